@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, minhash, mixing, packing, secrets
+from . import crosspolytope, imatch, minhash, mixing, packing, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
     "op4_imatch": op4_imatch,
     "op5_minhash": op5_minhash,
+    "op6_crosspolytope": op6_crosspolytope,
     "op7_mixing": op7_mixing,
 }
 ORACLES: dict[str, str] = {}
