@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, imatch, minhash, mixing, packing, secrets
+from . import crosspolytope, imatch, linecrf, minhash, mixing, packing, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_linecrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linecrf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
@@ -43,5 +47,6 @@ QUERIES: dict[str, Query] = {
     "op5_minhash": op5_minhash,
     "op6_crosspolytope": op6_crosspolytope,
     "op7_mixing": op7_mixing,
+    "op8_linecrf": op8_linecrf,
 }
 ORACLES: dict[str, str] = {}
