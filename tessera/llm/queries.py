@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, imatch, linecrf, minhash, mixing, packing, secrets
+from . import crosspolytope, grulm, imatch, linecrf, minhash, mixing, packing, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op8_linecrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linecrf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_grulm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grulm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
@@ -48,5 +52,6 @@ QUERIES: dict[str, Query] = {
     "op6_crosspolytope": op6_crosspolytope,
     "op7_mixing": op7_mixing,
     "op8_linecrf": op8_linecrf,
+    "op10_grulm": op10_grulm,
 }
 ORACLES: dict[str, str] = {}
