@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, grulm, imatch, linecrf, minhash, mixing, packing, secrets
+from . import crosspolytope, grulm, imatch, linecrf, minhash, mixing, packing, pii, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_grulm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
     "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
     "op4_imatch": op4_imatch,
