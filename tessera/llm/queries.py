@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, grulm, imatch, linecrf, minhash, mixing, packing, pii, secrets
+from . import bwt, crosspolytope, grulm, imatch, linecrf, minhash, mixing, packing, pii, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op8_linecrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linecrf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_grulm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grulm.score(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op6_crosspolytope": op6_crosspolytope,
     "op7_mixing": op7_mixing,
     "op8_linecrf": op8_linecrf,
+    "op9_bwt": op9_bwt,
     "op10_grulm": op10_grulm,
 }
 ORACLES: dict[str, str] = {}
