@@ -165,8 +165,13 @@ def replace(df: DataFrame, key: str = KEY) -> DataFrame:
     """df with surrogates in its texts, and n_entities and entities: type:start:end of each mention in the original text."""
     stages = Stages(df.sparkSession, "pii")
     df = df.drop("n_entities", "entities")
-    has = F.coalesce(F.regexp_like("text", F.lit(ANY)), F.lit(False))
-    hit, clean = df.where(has), df.where(~has)
+    # a mention holds one of these; the alternation is tried only where one is found
+    signs = [F.contains("text", F.lit(x)) for x in (*MALE.split("|"), *FEMALE.split("|"), "先生", "女士")]
+    may = F.regexp_like("text", F.lit("@|[0-9][^0-9]{0,3}[0-9]"))
+    for sign in signs:
+        may = may | sign
+    has = F.coalesce(F.when(may, F.regexp_like("text", F.lit(ANY))), F.lit(False))
+    hit, clean = stages.put(df.where(has), "hit"), df.where(~has)
     row = [F.col("doc_id").alias("hit_id"), F.xxhash64("text").alias("hit_key")]
     found = hit.select(*row, F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("i", "mention")).distinct()
     found = found.withColumn("type", _type(F.col("mention"))).where("type is not null")
