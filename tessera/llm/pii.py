@@ -100,9 +100,8 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: a + v - F.when(v > 9, 9).otherwise(0)) % 10
 
 
-def candidate(kind: Column, norm: Column, form: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity at an attempt, in normal form."""
-    b = _bytes(kind, norm, attempt, key)
+def candidate(kind: Column, form: Column, b: Column, attempt: Column) -> Column:
+    """The surrogate of an entity at an attempt, in normal form. b: the numbers of its hash."""
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), F.element_at(b, i) % len(values) + 1)
     letter = lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.element_at(b, i % 128 + 1) % 26 + 1, F.lit(1))
     digit = lambda i: (F.element_at(b, i % 128 + 1) % 10).cast("string")
@@ -136,8 +135,11 @@ def surrogates(entities: DataFrame, stages: Stages, key: str) -> DataFrame:
     """(kind, norm, surrogate), one to one within each kind. entities: kind, norm, form, distinct."""
     real = entities.select("kind", F.col("form").alias("cand"))
     waiting, done = entities, None
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for attempt in range(MOST_ROUNDS):
-        tried = stages.put(waiting.withColumn("cand", candidate(F.col("kind"), F.col("norm"), F.col("form"), F.lit(attempt), key)), f"tried{attempt}")
+        hashed = waiting.repartition(parts, "norm").withColumn("hash", _bytes(F.col("kind"), F.col("norm"), F.lit(attempt), key))
+        tried = hashed.withColumn("cand", candidate(F.col("kind"), F.col("form"), F.col("hash"), F.lit(attempt)))
+        tried = stages.put(tried.drop("hash"), f"tried{attempt}")
         free = tried.join(real, ["kind", "cand"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", F.col("surrogate").alias("cand")), ["kind", "cand"], "left_anti")
