@@ -27,14 +27,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn("dedup_id__", F.coalesce(F.col("doc_id").cast("long"), made))
     found = minhash.near_duplicates(keyed.select(F.col("dedup_id__").alias("doc_id"), "text"))
     found = stages.put(found.select("doc_id", "kept"), "found")
-    # rows of one id: one of them stays
-    ids = found.groupBy(F.col("doc_id").alias("id__")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone = ids.where(~F.col("kept")).select("id__")
-    several = ids.where(F.col("kept") & (F.col("n") > 1)).select("id__")
-    left = keyed.join(gone, keyed["dedup_id__"] == gone["id__"], "left_anti")
-    single = left.join(several, left["dedup_id__"] == several["id__"], "left_anti")
-    again = left.join(several, left["dedup_id__"] == several["id__"], "left_semi").dropDuplicates(["dedup_id__"])
-    return single.unionByName(again).drop("dedup_id__")
+    # one join with a row for each id, so texts move once at any size; rows of one id: one of them stays
+    ids = found.groupBy(F.col("doc_id").alias("id__")).agg(F.max("kept").alias("kept__"))
+    left = keyed.join(ids, keyed["dedup_id__"] == ids["id__"]).where("kept__")
+    return left.dropDuplicates(["dedup_id__"]).drop("dedup_id__", "id__", "kept__")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
