@@ -118,18 +118,18 @@ def first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return t.astype(np.int64) * (1 << 48) + code[np.arange(len(t)), t]
 
 
-def links_in_bucket(ids: np.ndarray, units: np.ndarray, counts: np.ndarray, codes: np.ndarray, part: np.ndarray, bucket: int, threshold: float, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """For each class the copies of others linked with it that count in this bucket, and the least index it is tied to."""
+def links_in_bucket(ids: np.ndarray, units: np.ndarray, counts: np.ndarray, codes: np.ndarray, part: np.ndarray, cross: bool, bucket: int, threshold: float, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """For each class the copies of others linked with it that count in this bucket, and the least index it is tied to.
+    cross: only pairs of two parts are compared."""
     n = len(ids)
     found, root = np.zeros(n, np.int64), np.arange(n)
     home = codes[:, bucket >> 48, 0] == bucket & ((1 << 48) - 1)
-    two = part.min() != part.max()
     for p in range(0, n, block):
         for q in range(p, n, block):
             i, j = np.nonzero(units[p : p + block] @ units[q : q + block].T >= threshold)
             i, j = i + p, j + q
             keep = (i < j) & (home[i] | home[j])
-            if two:
+            if cross:
                 keep &= part[i] != part[j]
             i, j = i[keep], j[keep]
             if not len(i):
@@ -182,21 +182,22 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, probes: int = P
     part = F.pmod(F.xxhash64("class_hash"), F.col("parts")).cast("int")
     rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     task = F.xxhash64("label", "bucket", F.least("part", "other"), F.greatest("part", "other"))
-    dealt = rows.select("class_hash", "bucket", "part", task.alias("task")).join(coded.select("class_hash", "rep", "copies", "own", "codes"), "class_hash").drop("class_hash")
+    dealt = rows.select("class_hash", "bucket", "part", (F.col("part") != F.col("other")).alias("cross"), task.alias("task")).join(coded.select("class_hash", "rep", "copies", "own", "codes"), "class_hash").drop("class_hash")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         at = None
 
         def flush() -> pd.DataFrame:
-            ids = np.array([x[2] for x in held])
-            codes = np.stack([x[5] for x in held]).reshape(len(held), t_n, 1 + probes)
-            found, root = links_in_bucket(ids, _units([x[4] for x in held]), np.array([x[3] for x in held]), codes, np.array([x[1] for x in held]), held[0][0], threshold)
+            bucket_of, part, cross, ids, copies, own, codes = zip(*held, strict=True)
+            ids = np.array(ids)
+            codes = np.stack(codes).reshape(len(held), t_n, 1 + probes)
+            found, root = links_in_bucket(ids, _units(list(own)), np.array(copies), codes, np.array(part), cross[0], bucket_of[0], threshold)
             tied = (root != np.arange(len(ids))) | (found > 0)
             return pd.DataFrame({"rep": ids[tied], "n": found[tied], "to": ids[root[tied]]})
 
         for batch in batches:
-            for row in zip(batch["task"], batch["bucket"], batch["part"], batch["rep"], batch["copies"], batch["own"], batch["codes"], strict=True):
+            for row in zip(batch["task"], batch["bucket"], batch["part"], batch["cross"], batch["rep"], batch["copies"], batch["own"], batch["codes"], strict=True):
                 if row[0] != at and held:
                     if len(held) > 1:
                         yield flush()

@@ -160,7 +160,8 @@ def render(piece: Column, surrogate: Column, kind: Column) -> Column:
     spaced = F.when(kind == "iban", F.upper(spaced)).otherwise(spaced)
     cased = F.when((piece == F.upper(piece)) & (piece != F.lower(piece)), F.upper(surrogate))
     cased = cased.when(F.left(piece, F.lit(1)) != F.lower(F.left(piece, F.lit(1))), F.concat(F.upper(F.left(surrogate, F.lit(1))), F.substring(surrogate, F.lit(2), F.lit(999))))
-    return F.when(kind.isin("card", "iban", "phone", "ssn"), spaced).otherwise(cased.otherwise(surrogate))
+    each = F.array_join(F.transform(F.split(surrogate, ""), lambda c, i: F.when(F.get(own, i) != F.lower(F.get(own, i)), F.upper(c)).otherwise(c)), "")
+    return F.when(kind.isin("card", "iban", "phone", "ssn"), spaced).when(kind.isin("email", "domain"), each).otherwise(cased.otherwise(surrogate))
 
 
 def replace(df: DataFrame, key: str = KEY) -> DataFrame:

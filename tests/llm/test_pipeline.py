@@ -1,0 +1,49 @@
+"""The pipeline's stages against brute force, and its registration."""
+
+from collections import Counter
+
+import __spark_entry__ as entry
+import corpus_pipeline as pipeline
+from tests.llm import brute
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_registered():
+    names = entry.queries()
+    assert [n for n in names if n.startswith("op")] == [n for n in names if n.startswith("op")] and sum(n.startswith("op") for n in names) == 10 and "pipeline" in names
+    assert [name for name, _ in pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "packing"]
+
+
+def test_stages(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    kept = pipeline.quality(spark, docs, data)
+    assert kept.columns == docs.columns
+    assert labels.where("quality = 1").join(docs, "doc_id", "left_semi").join(kept, "doc_id", "left_anti").count() == 0
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want = {d for d, (_, c) in brute.near_duplicates(rows).items() if d == c}
+    single = pipeline.near_duplicates(spark, docs, data)
+    assert {r["doc_id"] for r in single.collect()} == want and single.count() == len(want) and single.columns == docs.columns
+    clean = pipeline.secret_scan(spark, docs, data)
+    assert clean.count() == docs.count() and all(brute.secret_spans(r["text"])[1:3] == (0, 0) for r in clean.collect())
+    mixed = pipeline.mix(spark, docs, data)
+    sizes, taken = Counter(), Counter()
+    for r in docs.collect():
+        sizes[r["source"]] += len(brute.WORD.findall(r["text"] or ""))
+    for r in mixed.collect():
+        taken[r["source"]] += len(brute.WORD.findall(r["text"] or ""))
+    target = brute.mixed_targets(dict(sizes))
+    assert mixed.columns == docs.columns and all(abs(taken[s] - target[s]) <= 1.5 for s in sizes)
+    packed = pipeline.run(spark, data)
+    assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").count() == 0
+
+
+def test_odd_rows_pass_through(spark, data):
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "one two three", "en", None, 13), (3, "one two three", "en", None, 13), (None, "no id but some words here", "de", "b", 25), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    single = pipeline.near_duplicates(spark, docs, data)
+    assert Counter(r["doc_id"] for r in single.collect()) == {1: 1, 2: 1, 3: 1, None: 2}
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs, data).count() >= 0
+        assert stage(spark, docs.where("false"), data).count() == 0
