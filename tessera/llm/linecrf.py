@@ -78,11 +78,12 @@ class LineFeatures:
             code = np.add.reduceat(value, at)
             again[at[1:][code[1:] == code[:-1]]] = True
         again = sums(again)
-        n, w = np.maximum(size, 1), np.maximum(words, 1)
+        # digits say nothing of quality: shares are of the other characters
+        n, w = np.maximum(size - digit, 1), np.maximum(words, 1)
         full = size > 0
         last = np.where(full, cp[np.maximum(brk - 1, 0)], 0)
         own = np.stack((
-            np.ones(len(n)), np.log1p(size) / 6, letter / n, upper / np.maximum(letter, 1), digit / n, 4 * other / n, 8 * bang / n, 4 * point / n, 4 * space / n, np.minimum((size - space) / w / 10, 3), again / w,
+            np.ones(len(n)), np.log1p(size) / 6, letter / n, upper / np.maximum(letter, 1), 4 * other / n, np.minimum(20 * other / n, 1), 8 * bang / n, np.minimum(4 * point / n, 0.4), 4 * space / n, np.minimum((size - space) / w / 10, 3), again / w,
             np.log1p(words) / 5, full & (kind[starts] == _UPPER), np.isin(last, (46, 63, 33)), ~full,
         ), axis=1).astype(np.float64)
         ends = np.cumsum(n_lines)

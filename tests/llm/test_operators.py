@@ -54,6 +54,13 @@ def test_surrogates_are_distinct_and_new(spark):
     assert len(set(out)) == len(real) and not {x.split("@")[0] for x in out} & {x.split("@")[0] for x in real}
 
 
+def test_columns_are_kept_on_odd_rows(spark, odd):
+    for out in (pii.replace(odd), secrets.redact(odd)):
+        assert out.count() == odd.count() and out.columns[: len(odd.columns)] == odd.columns
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in odd.collect())
+    assert pii.replace(nothing(odd)).count() == 0 and packing.pack(odd).groupBy("doc_id").count().count() == 10
+
+
 # --- packing ---
 
 
