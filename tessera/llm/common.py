@@ -49,8 +49,3 @@ class Stages:
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def one_of_each(df: DataFrame, *needed: str) -> DataFrame:
-    """df with only the needed columns, so that extra columns with clashing names do no harm."""
-    return df.select(*needed)

@@ -210,11 +210,12 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, probes: int = P
     parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     linked = dealt.repartition(parts_n, "task").sortWithinPartitions("task").mapInPandas(find, "rep long, n long, to long")
     linked = stages.put(linked, "links")
-    # classes of one id are one node
     counts = linked.groupBy("rep").agg(F.sum("n").alias("n"))
     comp = components(linked.select(F.col("rep").alias("a"), F.col("to").alias("b")), stages)
     result = reps.join(counts, "rep", "left").join(comp, reps["rep"] == comp["node"], "left")
     result = result.select("class_hash", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = each.select("vec_id", "class_hash").join(result, "class_hash", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = some.select("vec_id", "class_hash").join(result, "class_hash").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = each.where(F.col("class_hash").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = out.unionByName(alone)
     id_ = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
     return out.select(id_("vec_id"), "n_links", id_("component_id"), (F.col("vec_id") == F.col("component_id")).alias("kept"))

@@ -34,7 +34,7 @@ from .components import components
 WORDS = 5
 HALVES, ROWS = 10, 3
 THRESHOLD = (85, 100)
-MOST_SHINGLES = 6_000_000
+MOST_SHINGLES = 1_000_000
 SEED = 0x5EED
 _NO_ID = (1 << 63) - 1
 
@@ -243,7 +243,8 @@ def near_duplicates(df: DataFrame, threshold: tuple[int, int] = THRESHOLD, halve
     confirmed = stages.put(links(df, clusters, stages, threshold, most_shingles).unionByName(same_id), "links")
     found = components(confirmed, stages, "linked")
     of_class = classes.join(found, classes["rep"] == found["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
-    out = each.join(of_class, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = some.join(of_class, "set_hash").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(each.where(F.col("set_hash").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     doc = F.when(F.col("doc_id") == _NO_ID, F.lit(None)).otherwise(F.col("doc_id"))
     comp = F.when(F.col("component_id") == _NO_ID, F.lit(None)).otherwise(F.col("component_id"))
     return out.select(doc.cast("long").alias("doc_id"), "n_shingles", comp.cast("long").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
