@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import JS_SPACE, line_count
@@ -54,11 +54,11 @@ def grouped_findings(findings: DataFrame, samples: int = 3, rules: int | None =
     """rule, severity of the first, count, the first samples, by count. findings: rule, severity, files, ordinal."""
     first = F.coalesce(F.element_at("files", 1), F.lit(""))
     kept = findings.select("rule", "severity", "ordinal", first.alias("sample"))
-    # the few first of each rule, by partial aggregation: bounded however many findings a rule has
     out = kept.groupBy("rule").agg(F.min_by("severity", "ordinal").alias("severity"), F.count("*").alias("count"), F.min("ordinal").alias("first"))
-    from pyspark.sql import Window
-
+    # the few first of each salted part, then of each rule: no task holds a rule
+    part = Window.partitionBy("rule", "salt").orderBy("ordinal")
     w = Window.partitionBy("rule").orderBy("ordinal")
-    top = kept.withColumn("n", F.row_number().over(w)).where(F.col("n") <= samples).groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("n", "sample"))).alias("xs"))
+    few = kept.withColumn("salt", F.pmod(F.xxhash64("ordinal"), F.lit(256))).withColumn("n", F.row_number().over(part)).where(F.col("n") <= samples)
+    top = few.withColumn("n", F.row_number().over(w)).where(F.col("n") <= samples).groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("n", "sample"))).alias("xs"))
     out = out.join(top, "rule").select("rule", "severity", "count", F.transform("xs", lambda x: x["sample"]).alias("samples"), "first").orderBy(F.desc("count"), "first")
     return out.limit(rules) if rules else out

@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import NARRATION
+
 # The longest lists of a summary, and characters per token.
 MODULES, HOTSPOTS, CYCLES, CYCLE_FILES, RULES, SAMPLES = 12, 15, 10, 8, 12, 3
 CHARS_PER_TOKEN = 3
@@ -62,6 +64,19 @@ def context(repo_id: str, stack: dict, scale_row: dict, metrics: dict, directori
     }
 
 
+def narration(text: Column) -> Column:
+    """A model's account of a summary, as a struct of a fixed schema; null where the text isn't such an account."""
+    told = F.from_json(text, NARRATION)
+    whole = told["summary"].isNotNull() & told["layering"].isNotNull() & told["risks"].isNotNull()
+    fit = F.forall(told["risks"], lambda r: F.coalesce(r["severity"].isin("high", "medium", "low"), F.lit(False)) & r["title"].isNotNull())
+    return F.when(whole & fit, told)
+
+
+def snapshot(metrics: dict, stack: dict, scale_row: dict) -> dict:
+    """What a checkpoint keeps of a run: single values and counts, no lists of rows."""
+    return {"framework": stack.get("framework"), "buildTool": stack.get("buildTool"), "score": metrics["score"]} | scale_row
+
+
 def estimated_tokens(summary: dict) -> int:
     text = json.dumps(summary, ensure_ascii=False, separators=(",", ":"))
     return math.ceil(len(text.encode("utf-16-le")) / 2 / CHARS_PER_TOKEN)

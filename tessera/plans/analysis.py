@@ -148,7 +148,8 @@ def run_analysis(spark: SparkSession, root: str, options: Options | None = None)
             store = Store(spark, f"{out}/store")
             store.append_run(a.repo_id, run_id, at, a.report)
             store.replace_files(a.files)
-            store.save_checkpoint(run_id, log.seq, at, {"files": a.files.count(), "score": a.metrics["score"]})
+            sizes = {"files": a.files.count(), "symbols": a.symbols.count(), "edges": a.edges.count(), "cycles": a.cycles.count(), "findings": len(found)}
+            store.save_checkpoint(run_id, log.seq, at, summary.snapshot(a.metrics, a.stack, sizes))
             write_reports(out, a.report)
     return a
 
