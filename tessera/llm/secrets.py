@@ -34,7 +34,7 @@ ASSIGN_LEAST = 6
 ACCESS = "AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 characters or more: a shorter match holds no longer one
 HEX = "[0-9a-f]{24,}"
 SECRET = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]*[0-9])(?=[0-9+/]*[A-Za-z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = "https?://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+|(?<![A-Za-z0-9@._-])(?:[a-z0-9-]+\\.)+(?:com|net|org|io|cloud|dev|internal|example)(?![A-Za-z0-9_-])"
+ENDPOINT = "https?://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+|(?<![A-Za-z0-9@._-])(?:[a-z0-9-]+\\.){1,20}(?:com|net|org|io|cloud|dev|internal|example)(?![A-Za-z0-9_-])"
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 PATTERNS = (ASSIGN, ACCESS, HEX, SECRET, ENDPOINT)
 SCOPE = 400

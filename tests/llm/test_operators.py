@@ -364,7 +364,7 @@ def test_repeats_of_equal_rows(spark, odd):
 
 
 def test_gradient():
-    net = grulm.Network(11, 3, np.float64)
+    net = grulm.Network(np.arange(11, 0, -1.0) ** 3, 3, np.float64)
     rng = np.random.default_rng(0)
     flat = net.start(np.arange(1, 12.0))
     flat = flat + rng.normal(0, 0.3, len(flat))
@@ -379,7 +379,7 @@ def test_gradient():
 
 
 def test_network_probabilities_sum_to_one_and_state_is_carried():
-    net = grulm.Network(13, 4, np.float64)
+    net = grulm.Network(np.arange(13, 0, -1.0) ** 3, 4, np.float64)
     flat = net.start(np.arange(1, 14.0), seed=1)
     flat = flat + np.random.default_rng(3).normal(0, 0.4, len(flat))
     h = np.random.default_rng(1).uniform(-1, 1, (1, 4)).repeat(13, 0)
