@@ -369,13 +369,13 @@ def cycle_cut(spark, sf):
     return cuts.select("repo_id", "src", "dst", "refs")
 
 
-_COMPONENT = "own AS (SELECT repo_id, id FROM files WHERE line_count % 2 = 0)"
+_COMPONENT = "own AS (SELECT repo_id, id FROM files WHERE complexity > 5)"
 
 
 @query(f"WITH {HOPS}, {_COMPONENT} SELECT e.ordinal, a.path AS src, b.path AS dst FROM edges e JOIN own x ON x.repo_id = e.repo_id AND x.id = e.src JOIN own y ON y.repo_id = e.repo_id AND y.id = e.dst JOIN files a ON a.repo_id = e.repo_id AND a.id = e.src JOIN files b ON b.repo_id = e.repo_id AND b.id = e.dst")
 def component_topology(spark, sf):
     files = hop_files(spark, sf)
-    symbols = files.where("line_count % 2 = 0").select("repo_id", F.col("id").alias("file_id"), F.lit("component").alias("kind"))
+    symbols = files.where("complexity > 5").select("repo_id", F.col("id").alias("file_id"), F.lit("component").alias("kind"))
     return architecture.component_topology(files, symbols, hop_edges(spark, sf)).select("ordinal", "src", "dst")
 
 
@@ -451,13 +451,13 @@ def confidence(spark, sf):
     return t(spark, sf, "part").select("p_partkey", F.round(metrics.confidence(known, F.col("p_size") % 6), 6).alias("confidence"))
 
 
-_DEPS = "deps AS (SELECT o_custkey % 200 AS repo, CASE o_orderkey % 7 WHEN 0 THEN 'next' WHEN 1 THEN 'nuxt' WHEN 2 THEN 'react' WHEN 3 THEN 'vue' WHEN 4 THEN 'vite' WHEN 5 THEN 'zustand' ELSE 'vue-router' END AS name, o_orderkey % 3 AS rank, o_orderkey AS k FROM orders WHERE o_orderkey % 5 = 0)"
+_DEPS = "deps AS (SELECT o_custkey % 200 AS repo, CASE o_orderkey % 7 WHEN 0 THEN 'next' WHEN 1 THEN 'nuxt' WHEN 2 THEN 'react' WHEN 3 THEN 'vue' WHEN 4 THEN 'vite' WHEN 5 THEN 'zustand' ELSE 'vue-router' END AS name, o_orderkey % 3 AS rank, o_orderkey AS k FROM orders)"
 
 
 def order_deps(spark, sf):
     k = F.col("o_orderkey")
     name = F.element_at(F.array(*map(F.lit, ("next", "nuxt", "react", "vue", "vite", "zustand", "vue-router"))), (k % 7 + 1).cast("int"))
-    d = t(spark, sf, "orders").where(k % 5 == 0).select((F.col("o_custkey") % 200).cast("string").alias("repo_id"), name.alias("name"), (k % 3 * F.lit(10_000_000_000) + k).alias("rank"), k.cast("string").alias("version"))
+    d = t(spark, sf, "orders").select((F.col("o_custkey") % 200).cast("string").alias("repo_id"), name.alias("name"), (k % 3 * F.lit(10_000_000_000) + k).alias("rank"), k.cast("string").alias("version"))
     return metrics.merged_dependencies(d)
 
 
@@ -474,12 +474,12 @@ def map_merge_last_win(spark, sf):
 
 # --- retrieval -----------------------------------------------------------------------------------------------------------
 
-_QUERIES = "q AS (SELECT conv_id, turn, left(text, 80) || CASE conv_id % 4 WHEN 0 THEN ' 找订单组件' WHEN 1 THEN ' 登录 useCart' WHEN 2 THEN ' 权限' ELSE '' END AS query FROM conversations)"
+_QUERIES = "q AS (SELECT conv_id, turn, text || CASE conv_id % 4 WHEN 0 THEN ' 找订单组件' WHEN 1 THEN ' 登录 useCart' WHEN 2 THEN ' 权限' ELSE '' END AS query FROM conversations)"
 
 
 def questions(spark, sf):
     more = F.element_at(F.array(*map(F.lit, (" 找订单组件", " 登录 useCart", " 权限", ""))), (F.col("conv_id") % 4 + 1).cast("int"))
-    return t(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.left("text", F.lit(80)), more).alias("query"))
+    return t(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", more).alias("query"))
 
 
 _BIGRAMS = "CASE WHEN length(x) <= 2 THEN [x] ELSE list_transform(range(1, length(x)), lambda i: substr(x, i, 2)) END"
