@@ -11,7 +11,7 @@ cosine in double precision, in blocks; a pair that meets in several buckets coun
 both sides' codes tell, so counts need no list of pairs and only sums and spanning ties leave a task. A bucket of more
 than ``most`` classes is cut into parts, and each pair of parts is a task.
 
-Defined cases: a vector that is null, zero, of another length than the first, or holds null or non-finite components, and
+Defined cases: a vector that is null, zero, of another length than most, or holds null or non-finite components, and
 one with a null label, has no links and is its own component; repeated rows count as other vectors; a null vec_id
 takes part and sorts last; an empty table gives no rows; extra columns are ignored.
 """
