@@ -42,7 +42,7 @@ VOCAB, SUFFIXES, HIDDEN = 1024, 96, 16
 #: further words whose counts tasks hold: a fixed number
 COMMON = 32_000
 SAMPLE, SHARD_TOKENS, ROUNDS, LEAST_UPDATES = 24, 300_000, 2, 150
-STREAMS, WINDOW, RATE = 64, 32, 0.01
+STREAMS, MOST_STREAMS, WINDOW, RATE = 64, 512, 32, 0.01
 SEED = 3
 BATCH_TOKENS = 2_000_000
 _SPLIT_MOST = 300_000
@@ -271,70 +271,98 @@ class Network:
         d = self.views(grad)
         t_n, b_n, n = *x.shape, self.h
         table = p["E"] @ p["W"] + p["b"]
-        hs, kept = np.empty((t_n, b_n, n), self.dtype), []
+        live = (~fresh).astype(self.dtype)[:, :, None]
+        before, hs, kept = np.empty((t_n, b_n, n), self.dtype), np.empty((t_n, b_n, n), self.dtype), []
         h = h0
         for t in range(t_n):
-            h = h * ~fresh[t][:, None]
+            h = np.multiply(h, live[t], out=before[t])
             new, g, c, hu = self.step(p, table[x[t]], h)
-            kept.append((h, g, c, hu))
+            kept.append((g, c, hu))
             hs[t] = h = new
-        flat_h, flat_y = hs.reshape(-1, n), y.ravel()
-        m = len(flat_y)
-        z = flat_h @ p["C"] + p["bc"]
-        q = np.exp(z - z.max(axis=1, keepdims=True))
-        q /= q.sum(axis=1, keepdims=True)
-        k = self.class_of[flat_y]
-        total = -np.log(q[np.arange(m), k] + 1e-30).sum()
-        q[np.arange(m), k] -= 1
-        d["C"][:], d["bc"][:] = flat_h.T @ q, q.sum(axis=0)
-        dh = q @ p["C"].T
-        for c, rows in self.by_class(flat_y):
-            a, b = self.bounds[c], self.bounds[c + 1]
-            hr = flat_h[rows]
-            z = hr @ p["O"][a:b].T + p["bo"][a:b]
-            q = np.exp(z - z.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            i = np.arange(len(rows)), flat_y[rows] - a
-            total -= np.log(q[i] + 1e-30).sum()
-            q[i] -= 1
-            d["O"][a:b], d["bo"][a:b] = q.T @ hr, q.sum(axis=0)
-            dh[rows] += q @ p["O"][a:b]
+        m = t_n * b_n
+        total, dh = self.outputs(p, d, hs.reshape(m, n), y.ravel())
         dh = dh.reshape(t_n, b_n, n)
-        dtable = np.zeros_like(table)
-        carry = np.zeros((b_n, n), self.dtype)
+        da, du = np.empty((t_n, b_n, 3 * n), self.dtype), np.empty((t_n, b_n, 3 * n), self.dtype)
+        carry, back = np.zeros((b_n, n), self.dtype), np.ascontiguousarray(p["U"].T)
         for t in reversed(range(t_n)):
-            h, g, c, hu = kept[t]
+            h, (g, c, hu) = before[t], kept[t]
             dn = dh[t] + carry
             zg, rg = g[:, :n], g[:, n:]
             dc = dn * (1 - zg) * (1 - c * c)
-            dz = dn * (h - c) * zg * (1 - zg)
-            dr = dc * hu * rg * (1 - rg)
-            da = np.concatenate((dz, dr, dc), axis=1)
-            du = np.concatenate((dz, dr, dc * rg), axis=1)
-            np.add.at(dtable, x[t], da)
-            d["U"] += h.T @ du
-            carry = (dn * zg + du @ p["U"].T) * ~fresh[t][:, None]
+            da[t, :, :n] = dn * (h - c) * zg * (1 - zg)
+            da[t, :, n : 2 * n] = dc * hu * rg * (1 - rg)
+            da[t, :, 2 * n :] = dc
+            du[t, :, : 2 * n] = da[t, :, : 2 * n]
+            du[t, :, 2 * n :] = dc * rg
+            carry = (dn * zg + du[t] @ back) * live[t]
+        d["U"][:] = before.reshape(m, n).T @ du.reshape(m, 3 * n)
+        dtable = np.zeros_like(table)
+        order = np.argsort(x.ravel().astype(np.int16 if self.n < 1 << 15 else np.int32), kind="stable")
+        own = x.ravel()[order]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        dtable[own[first]] = np.add.reduceat(da.reshape(m, 3 * n)[order], first, axis=0)
         d["E"][:], d["W"][:], d["b"][:] = dtable @ p["W"].T, p["E"].T @ dtable, dtable.sum(axis=0)
         grad /= m
         return float(total / m), grad, hs[-1]
 
+    def outputs(self, p: dict[str, np.ndarray], d: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """The summed negative log-likelihood of targets y after the states h, and its gradient by them; those by the outputs'
+        weights are added to d. Rows go in order of their classes."""
+        k = self.class_of[y].astype(np.int16)
+        order = np.argsort(k, kind="stable")
+        h, y, k = h[order], y[order], k[order]
+        dh, total, ones = np.empty_like(h), 0.0, np.ones(max(self.k, self.n), self.dtype)
+        weights = np.ascontiguousarray(p["C"].T)
+        for at in range(0, len(y), 4096):  # blocks that stay in the cache
+            own = slice(at, at + 4096)
+            q = h[own] @ p["C"]
+            q += p["bc"]
+            np.exp(q, out=q)
+            q *= (1 / (q @ ones[: self.k]))[:, None]
+            i = np.arange(len(q)), k[own]
+            total -= np.log(q[i] + 1e-30).sum()
+            q[i] -= 1
+            d["C"] += h[own].T @ q
+            d["bc"] += q.sum(axis=0)
+            dh[own] = q @ weights
+        ends = np.searchsorted(k, np.arange(self.k + 1))
+        for c in range(self.k):
+            own = slice(ends[c], ends[c + 1])
+            a, b = self.bounds[c], self.bounds[c + 1]
+            if b - a == 1 or ends[c] == ends[c + 1]:
+                continue
+            q = h[own] @ p["O"][a:b].T
+            q += p["bo"][a:b]
+            np.exp(q, out=q)
+            q *= (1 / (q @ ones[: b - a]))[:, None]
+            i = np.arange(len(q)), y[own] - a
+            total -= np.log(q[i] + 1e-30).sum()
+            q[i] -= 1
+            d["O"][a:b], d["bo"][a:b] = q.T @ h[own], q.sum(axis=0)
+            dh[own] += q @ p["O"][a:b]
+        out = np.empty_like(dh)
+        out[order] = dh
+        return total, out
+
     def train(self, flat: np.ndarray, docs: list[np.ndarray], seed: int, streams: int = STREAMS, window: int = WINDOW, rate: float = RATE, least: int = LEAST_UPDATES) -> np.ndarray:
-        """Adam over truncated windows of parallel streams of whole documents; each stream's state is carried on."""
+        """Adam over truncated windows of parallel streams, each of which carries its state on. Every epoch reads every token: the
+        documents are laid end to end in a permutation and cut evenly into the streams."""
         rng = np.random.default_rng(seed)
         flat = flat.astype(self.dtype).copy()
         m, v = np.zeros_like(flat), np.zeros_like(flat)
         total = sum(map(len, docs))
-        each = streams * window
-        updates = max(min(least, 10 * total // each + 5), total // each)  # a small shard is read ten times at most
-        lanes = [np.empty(0, np.int32)] * streams
+        # a large shard has more streams, a very small one fewer
+        streams = max(1, min(MOST_STREAMS, max(streams, total // (window * least)), total // window))
+        each = -(-total // (streams * window))
+        updates = each * max(1, min(10, -(-least // each)))  # a small shard is read ten times at most
         h = np.zeros((streams, self.h), self.dtype)
         last = np.zeros(streams, np.int32)
         for k in range(1, updates + 1):
-            y = np.empty((window, streams), np.int32)
-            for s in range(streams):
-                while len(lanes[s]) < window:
-                    lanes[s] = np.concatenate((lanes[s], docs[rng.integers(len(docs))]))
-                y[:, s], lanes[s] = lanes[s][:window], lanes[s][window:]
+            at = (k - 1) % each * window
+            if not at:  # the last windows are filled up from the beginning
+                lanes = np.resize(np.concatenate([docs[i] for i in rng.permutation(len(docs))]), (streams, each * window))
+                h, last = np.zeros_like(h), np.zeros_like(last)
+            y = np.ascontiguousarray(lanes[:, at : at + window].T)
             x = np.concatenate((last[None], y[:-1]))
             last = y[-1]
             _, grad, h = self.loss(flat, x, y, x == 0, h)

@@ -402,3 +402,18 @@ def test_language_model(spark, documents, odd):
     own = [r for r in out if r["held_out"] and r["doc_id"] < 100_000]
     assert sum(r["score"] for r in own) > sum(r["base_score"] for r in own)
     assert grulm.score(nothing(df)).count() == 0
+
+
+def test_every_token_of_a_shard_is_learnt():
+    seen = Counter()
+
+    class Watched(grulm.Network):
+        def loss(self, flat, x, y, fresh, h0):
+            seen.update(y.ravel().tolist())
+            return super().loss(flat, x, y, fresh, h0)
+
+    net = Watched(np.arange(601, 0, -1.0), 2)
+    docs = [np.append(np.full(200, d), 0) for d in range(1, 600)] + [np.append(np.full(9_999, 1), 600)]  # 600 ends a long document only
+    net.train(net.start(np.arange(601, 0, -1.0)), docs, seed=1, least=1)
+    want = Counter(np.concatenate(docs).tolist())
+    assert all(seen[s] >= n for s, n in want.items()) and sum(seen.values()) < 1.05 * sum(want.values())
