@@ -6,9 +6,9 @@ factored: first a class of symbols, then the symbol within its class. A word out
 of its suffix class times its share of the class, (c + 1) / Z, c being its count over all training documents and Z the sum of
 c + 1 over the class, plus 1.
 
-Counts cover all training documents. The network learns from a fixed share of them, ``SAMPLE``, so what it
-learns from grows with the corpus: the sample is dealt to shards of about ``SHARD_TOKENS`` tokens, each shard runs truncated
-backpropagation over parallel streams, and the shards' weights are averaged, position by position, in Spark; so the
+Counts cover all training documents, and the network learns from every token of them: they are read in place, each task
+cuts its own into shards of about ``SHARD_TOKENS`` tokens, each shard runs truncated backpropagation over parallel streams
+that together hold the whole shard, and the shards' weights are averaged, position by position, in Spark; so the
 driver gets one vector per round, of a fixed size. The output biases start at the symbols' frequencies.
 
 Scoring reads each document whole: documents are run side by side, longest first, in windows of ``WINDOW`` tokens, and the
@@ -41,7 +41,7 @@ FOLDS, HELD_OUT = 7, 2
 VOCAB, SUFFIXES, HIDDEN = 1024, 96, 16
 #: further words whose counts tasks hold: a fixed number
 COMMON = 32_000
-SAMPLE, SHARD_TOKENS, ROUNDS, LEAST_UPDATES = 24, 300_000, 2, 150
+LEAST_TOKENS, SHARD_TOKENS, ROUNDS, LEAST_UPDATES = 300_000, 2_400_000, 1, 150
 STREAMS, MOST_STREAMS, WINDOW, RATE = 64, 512, 32, 0.01
 SEED = 3
 BATCH_TOKENS = 2_000_000
@@ -402,31 +402,42 @@ class Network:
         return out
 
 
-def learn(sample: DataFrame, words: Symbols, hidden: int = HIDDEN, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> tuple[Network, np.ndarray, np.ndarray]:
-    """(the network, its weights, its place of each symbol). sample: text of training documents."""
+def learn(train: DataFrame, words: Symbols, hidden: int = HIDDEN, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> tuple[Network, np.ndarray, np.ndarray]:
+    """(the network, its weights, its place of each symbol). train: text of all training documents."""
     place = np.empty(words.size, np.int32)
     order = np.append(0, 1 + np.argsort(-words.weight[1:], kind="stable"))  # the end stays 0
     place[order] = np.arange(words.size)
     net = Network(words.weight[order], hidden)
     flat = net.start(words.weight[order])
-    n = sample.agg(F.sum(F.size(F.split("text", "[\\x20\\x09-\\x0D]+")))).first()[0] or 0
-    if not n:
+    if not words.n_docs:
         return net, flat, place
-    shards = sample.repartition(max(1, -(-int(n) // shard_tokens)))
+    # partitions of few tokens go together, without a shuffle
+    parts = train.select("text").coalesce(max(1, words.train_tokens // LEAST_TOKENS))
     for r in range(rounds):
 
         def run(batches: Iterator[pd.DataFrame], flat: np.ndarray = flat, r: int = r) -> Iterator[pd.DataFrame]:
-            docs = [place[words.symbol[np.append(words(tokens(t)), 0)]] for batch in batches for t in batch["text"]]
-            if docs:
-                yield pd.DataFrame({"v": [net.train(flat, docs, SEED + r)], "n": [float(sum(map(len, docs)))]})
+            of = place[words.symbol]
+            total, n, docs, held = np.zeros(len(flat)), 0, [], 0
+            for batch in batches:
+                for t in batch["text"]:
+                    docs.append(of[np.append(words(tokens(t)), 0)])
+                    held += len(docs[-1])
+                    if held >= shard_tokens:
+                        total += held * net.train(flat, docs, SEED + r).astype(np.float64)
+                        n, docs, held = n + held, [], 0
+            if held:
+                total += held * net.train(flat, docs, SEED + r).astype(np.float64)
+                n += held
+            if n:
+                yield pd.DataFrame({"v": [total / n], "n": [float(n)]})
 
-        trained = shards.mapInPandas(run, "v array<float>, n double")
+        trained = parts.mapInPandas(run, "v array<double>, n double")
         mean = trained.select(F.posexplode("v").alias("i", "x"), "n").groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
         flat = mean.toPandas().sort_values("i")["x"].to_numpy(np.float32)
     return net, flat, place
 
 
-def score(df: DataFrame, vocab: int = VOCAB, suffixes: int = SUFFIXES, hidden: int = HIDDEN, sample: int = SAMPLE) -> DataFrame:
+def score(df: DataFrame, vocab: int = VOCAB, suffixes: int = SUFFIXES, hidden: int = HIDDEN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of df (doc_id, text)."""
     stages = Stages(df.sparkSession, "grulm")
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -434,8 +445,7 @@ def score(df: DataFrame, vocab: int = VOCAB, suffixes: int = SUFFIXES, hidden: i
     train = docs.where(fold != HELD_OUT)
     counts = stages.put(count_words(train), "counts")
     words = symbols(counts, train.count(), vocab, suffixes)
-    chosen = train.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(sample)) == 0).select("text")
-    net, flat, place = learn(stages.put(chosen, "sample"), words, hidden)
+    net, flat, place = learn(train, words, hidden)
 
     def key_of(doc_id, text) -> int:
         return _signed(xxhash.xxh3_64_intdigest(f"{'' if pd.isna(doc_id) else int(doc_id)}:{text if isinstance(text, str) else ''}".encode("utf-8", "surrogatepass")))

@@ -417,3 +417,19 @@ def test_every_token_of_a_shard_is_learnt():
     net.train(net.start(np.arange(601, 0, -1.0)), docs, seed=1, least=1)
     want = Counter(np.concatenate(docs).tolist())
     assert all(seen[s] >= n for s, n in want.items()) and sum(seen.values()) < 1.05 * sum(want.values())
+
+
+def test_every_training_document_is_learnt(spark):
+    rng = np.random.default_rng(5)
+    texts = [[f"w{rng.integers(0, 40)}" for _ in range(60)] for _ in range(30)]
+    held = next(i for i in range(30) if grulm.held_out(i))
+    last = next(i for i in range(29, 0, -1) if not grulm.held_out(i))
+
+    def scored(texts):
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        return next(r["score"] for r in grulm.score(df).collect() if r["doc_id"] == held)
+
+    # in another order the words' counts are the same, so only what the network learns can differ
+    plain = scored(texts)
+    for i in (last, next(i for i in range(30) if not grulm.held_out(i))):
+        assert abs(scored([sorted(t) if k == i else t for k, t in enumerate(texts)]) - plain) > 1e-4
