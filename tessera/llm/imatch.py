@@ -1,19 +1,18 @@
 """I-Match fingerprints over randomised lexicon subsets; DataFrame functions only.
 
 Terms are the words of the text in lower case. A term's hash gives its slot, one of 2 ** 24; the lexicon is the set of
-slots below 2 ** 22 (a random quarter of all terms, however many there are) whose inverse document frequency, counted
-over all documents, lies in the chosen band. It is a bitmap of 512 KB at any size of the corpus. A document's terms in
-the lexicon are made distinct and sorted by slot, and each lexicon subset, a range of slots and so a random share of the
-terms, is hashed: one hash per subset, none where it holds no term. The subsets come in levels of 1/16, 1/128, 1/1024 and
-1/8192 of all terms: short texts meet in the wide ones and long texts, of which some term nearly always changes, in the
-narrow ones. A text without lexicon terms gets the hash of its words as they stand.
+slots whose inverse document frequency, counted over all documents, lies in the chosen band. It is a bitmap of 2 MB at any
+size of the corpus. A document's terms in the lexicon are made distinct and sorted by slot, and each lexicon subset, a range
+of slots and so a random share of the terms, is hashed: one hash per subset, none where it holds no term. The subsets come
+in levels of 1/16, 1/128, 1/1024 and 1/8192 of all terms: short texts meet in the wide ones and long texts, of which some
+term nearly always changes, in the narrow ones. The wide ones cover all slots, so every term of the lexicon is in one of
+them. A text without lexicon terms gets the hash of its words as they stand.
 
 The likeness of two fingerprints is the share of equal hashes among the subsets that either text has terms in, at the
 level where it is largest and rests on ``least`` subsets; with fewer anywhere, over all levels together.
 
 Moving data: one pass counts document frequencies (hashes only, pre-aggregated); one shuffle of the texts brings each
-document next to its successor. Ranges of ids are the shuffle's keys, so that the window, the explosion into terms and
-the regrouping by document all run in it without another one.
+document next to its successor. Ranges of ids are the shuffle's keys, so that the windows run in it without another one.
 
 Defined cases: null text: as empty; empty text: the fingerprint of no words; one document is its own successor; a null
 doc_id comes after all others; rows with one id stand in the order of their texts' hashes; equal texts have equal
@@ -22,25 +21,25 @@ fingerprints; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, Stages
 
-SLOTS, SAMPLED = 1 << 24, 1 << 22
+SLOT_BITS = 24
 MIN_IDF, MAX_IDF, LEAST_DOCS = 3.0, 12.0, 2
-SUBSETS = 12
-#: (width, first start, step between starts) of each level's ranges of slots.
-LEVELS = ((1 << 20, 0, (SAMPLED - (1 << 20)) // (SUBSETS - 1)), (1 << 17, 0, 1 << 17), (1 << 14, 1 << 21, 1 << 14), (1 << 11, 3 << 20, 1 << 11))
+#: (bits of a range's width, first start, number) of each level's ranges of slots, which follow upon each other.
+LEVELS = ((20, 0, 16), (17, 1 << 22, 12), (14, 2 << 22, 12), (11, 3 << 22, 12))
 LEAST = 3
 DOCS_PER_RANGE, LEAST_RANGES, MOST_RANGES = 500, 64, 100_000
 
 
 def slots(text: Column) -> Column:
-    """The sorted distinct slots, below SAMPLED, of a text's words."""
-    words = F.split(F.lower(text), f"[{SPACE}]+")
-    hashed = F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 40).cast("int"))
-    return F.array_sort(F.array_distinct(F.filter(hashed, lambda s: s < SAMPLED)))
+    """The distinct slots of a text's words."""
+    words = F.array_remove(F.split(F.lower(text), f"[{SPACE}]+"), "")
+    return F.array_distinct(F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - SLOT_BITS).cast("int")))
 
 
 def lexicon(docs: DataFrame, n_docs: int, min_idf: float, max_idf: float) -> DataFrame:
@@ -49,17 +48,29 @@ def lexicon(docs: DataFrame, n_docs: int, min_idf: float, max_idf: float) -> Dat
     df = docs.select(F.explode(slots(F.col("text"))).alias("slot")).groupBy("slot").count()
     band = df.where((F.col("count") <= max(most, LEAST_DOCS)) & (F.col("count") >= least))
     bits = band.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
-    every = docs.sparkSession.range(SAMPLED // 64).select(F.col("id").cast("int").alias("word"))
+    every = docs.sparkSession.range((1 << SLOT_BITS) // 64).select(F.col("id").cast("int").alias("word"))
     full = every.join(bits, "word", "left").select(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
-    return full.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias("words"))
+    return full.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["bits"]).alias("words"))
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def hashes(terms: Column) -> list[Column]:
     """For each level the array of its subsets' hashes, null where a subset is empty. terms: sorted slots in the lexicon."""
-    def level(width: int, first: int, step: int) -> Column:
-        near = F.filter(terms, lambda s: (s >= first) & (s < first + step * (SUBSETS - 1) + width))
-        inside = lambda i: F.filter(near, lambda s: (s >= first + i * step) & (s < first + i * step + width))
-        return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.when(F.size(inside(i)) > 0, F.xxhash64(inside(i))))
+
+    def parts(own: Column, bits: int, first: int | Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.filter(own, lambda s: F.shiftright(s - first, bits) == i))
+
+    def level(bits: int, first: int, n: int) -> Column:
+        if n << bits == 1 << SLOT_BITS:  # all slots: in two steps, by quarters
+            quarter = lambda q: let(F.filter(terms, lambda s: F.shiftright(s, SLOT_BITS - 2) == q), lambda own: parts(own, bits, F.shiftleft(q, SLOT_BITS - 2), n // 4))
+            found = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), quarter))
+        else:
+            found = let(F.filter(terms, lambda s: (s >= first) & (s < first + (n << bits))), lambda own: parts(own, bits, first, n))
+        return F.transform(found, lambda x: F.when(F.size(x) > 0, F.xxhash64(x)))
 
     return [level(*x) for x in LEVELS]
 
@@ -114,16 +125,13 @@ def fingerprints(df: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_I
     edited = F.when(F.col("guest"), F.lit("")).otherwise(F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.substring(F.coalesce("next_text", "text"), F.lit(1), cut)))
     plain = lambda c: F.xxhash64(F.array_join(F.filter(F.split(F.lower(c), f"[{SPACE}]+"), lambda w: w != ""), " "))
     rows = rows.select("part", "place", "guest", "doc_id", "text", edited.alias("edited"))
-    rows = rows.select("part", "place", "guest", "doc_id", n.alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), plain(F.col("text")).alias("plain"), plain(F.col("edited")).alias("edited_plain"), slots(F.col("text")).alias("a"), slots(F.col("edited")).alias("b"))
-    # each slot once, with a bit for the text and one for the edited text; -1 keeps documents without any
-    tag = lambda x, bits: F.transform(x, lambda s: s * 4 + bits)
-    tagged = F.concat(F.array(F.lit(-4)), tag(F.array_intersect("a", "b"), 3), tag(F.array_except("a", "b"), 1), tag(F.array_except("b", "a"), 2))
-    rows = rows.select(*[c for c in rows.columns if c not in ("a", "b")], F.explode(tagged).alias("x"))
-    rows = in_lexicon(rows, words)
-    key = ["part", "place", "guest", "doc_id", "n_chars", "edited_sha256", "plain", "edited_plain"]
-    terms = rows.groupBy(*key).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    of = lambda bits: F.transform(F.filter("xs", lambda x: (x >= 0) & (x.bitwiseAND(F.lit(bits)) > 0)), lambda x: F.shiftright(x, 2))
-    out = terms.select(*key, F.array(*hashes(of(1))).alias("a"), F.array(*hashes(of(2))).alias("b"))
+    key = ["part", "place", "guest", "doc_id", n.alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), plain(F.col("text")).alias("plain"), plain(F.col("edited")).alias("edited_plain")]
+    rows = rows.select(*key, slots(F.col("text")).alias("a"), slots(F.col("edited")).alias("b"))
+    # lambdas may hold no subquery, so the bitmap is a column here; as all are named once, Spark makes it one projection with
+    # that above, the subquery in the column's place, and no row carries it
+    named = [c for c in rows.columns if c not in ("a", "b")]
+    rows = rows.withColumn("bitmap", words.scalar()).select(*named, in_lexicon([F.col("a"), F.col("b")], F.col("bitmap")).alias("terms"))
+    out = rows.select("*", F.array(*hashes(F.col("terms")[0])).alias("a"), F.array(*hashes(F.col("terms")[1])).alias("b")).drop("terms")
     out = out.withColumns({"fingerprint": written(F.col("a"), F.col("plain")), "edited_fingerprint": written(F.col("b"), F.col("edited_plain"))})
     w = Window.partitionBy("part").orderBy("place")
     out = out.withColumns({"next_a": F.lead("a").over(w), "next_fingerprint": F.lead("fingerprint").over(w)})
@@ -132,8 +140,7 @@ def fingerprints(df: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_I
     return out.where(~F.col("guest")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near.alias("near_edited"), near_next.alias("near_next"))
 
 
-def in_lexicon(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """Rows whose slot is in the lexicon; the bitmap is a scalar subquery, so no row carries it."""
-    bitmap = words.scalar()
-    inside = F.getbit(F.element_at(bitmap, (F.shiftright("x", 8) + 1).cast("int")), F.shiftright("x", 2).bitwiseAND(F.lit(63)))
-    return rows.where(F.when(F.col("x") < 0, F.lit(True)).otherwise(inside == 1))
+def in_lexicon(terms: list[Column], bitmap: Column) -> Column:
+    """An array of the terms that are in the lexicon, sorted, for each of the arrays."""
+    inside = lambda words, s: F.getbit(F.element_at(words, F.shiftright(s, 6) + 1), s.bitwiseAND(F.lit(63))) == 1
+    return let(bitmap, lambda words: F.array(*[F.sort_array(F.filter(x, lambda s: inside(words, s))) for x in terms]))

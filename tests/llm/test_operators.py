@@ -150,6 +150,19 @@ def test_fingerprints(spark, documents, odd):
     assert imatch.fingerprints(df.where("doc_id = 3")).first()["near_next"] == 1.0
 
 
+def test_every_band_term_is_in_a_subset(spark):
+    import xxhash
+
+    slot = lambda w: xxhash.xxh64_intdigest(w, seed=42) >> 40
+    low = [w for w in (f"w{i}" for i in range(99)) if slot(w) < 1 << 22]
+    high = [w for w in (f"w{i}" for i in range(99)) if slot(w) >= 1 << 22]
+    texts = [" ".join(low[:3] + high[:9]), " ".join(low[:3] + high[9:18]), " ".join(high[:9]), " ".join(high[9:18]), high[20], high[20] + " ", "", " "]
+    out = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(out.values())) == 6 and out[4] == out[5] and out[6] == out[7] and [i for i, x in out.items() if x.startswith("w")] == [6, 7]
+    some = spark.createDataFrame([([int(x)],) for x in np.random.default_rng(0).integers(0, 1 << 24, 500)], "s array<int>")
+    assert some.select(F.flatten(F.array(*imatch.hashes(F.col("s")))).alias("h")).where(~F.exists("h", lambda h: h.isNotNull())).count() == 0
+
+
 # --- near duplicates ---
 
 
