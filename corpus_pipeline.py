@@ -21,16 +21,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group stays. A document without an id has a large one made of its text."""
+    """The document with the least id of each group stays; those without an id come last. Rows are told apart by id and text, so
+    different texts under one id are documents of their own; rows without an id and without words are no copies of each other."""
     stages = Stages(spark, "dedup")
-    made = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 61)
-    keyed = docs.withColumn("dedup_id__", F.coalesce(F.col("doc_id").cast("long"), made))
-    found = minhash.near_duplicates(keyed.select(F.col("dedup_id__").alias("doc_id"), "text"))
-    found = stages.put(found.select("doc_id", "kept"), "found")
-    # one join with a row for each id, so texts move once at any size; rows of one id: one of them stays
-    ids = found.groupBy(F.col("doc_id").alias("id__")).agg(F.max("kept").alias("kept__"))
-    left = keyed.join(ids, keyed["dedup_id__"] == ids["id__"]).where("kept__")
-    return left.dropDuplicates(["dedup_id__"]).drop("dedup_id__", "id__", "kept__")
+    lone = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(f"[^{SPACE}]")
+    keyed = docs.where(~lone).withColumn("node__", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+    found = minhash.near_duplicates(keyed.select(F.col("node__").alias("doc_id"), "text"))
+    found = stages.put(found.select(F.col("doc_id").alias("id__"), "component_id").distinct(), "found")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node__"))
+    first = found.join(keyed.select("doc_id", "node__"), F.col("id__") == F.col("node__")).groupBy("component_id").agg(F.min(order).alias("first"))
+    # one join with a row for each that stays, so texts move once at any size; of equal rows one stays
+    ids = stages.put(first.select(F.col("first.node__").alias("id__")), "kept")
+    left = keyed.join(ids, keyed["node__"] == ids["id__"])
+    return left.dropDuplicates(["node__"]).drop("node__", "id__").unionByName(docs.where(lone))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

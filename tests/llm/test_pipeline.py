@@ -47,3 +47,11 @@ def test_odd_rows_pass_through(spark, data):
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, data).count() >= 0
         assert stage(spark, docs.where("false"), data).count() == 0
+
+
+def test_different_texts_of_one_id_stay(spark, data):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, b + " end"), (3, a), (3, c), (None, c), (None, None), (None, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    kept = Counter((r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, docs, data).collect())
+    assert kept == {(1, a): 1, (1, b): 1, (3, c): 1, (None, None): 2, (None, " "): 1}
