@@ -6,7 +6,10 @@ factored: first a class of symbols, then the symbol within its class. A word out
 of its suffix class times its share of the class, (c + 1) / Z, c being its count over all training documents and Z the sum of
 c + 1 over the class, plus 1.
 
-Counts cover all training documents, and the network learns from every token of them: they are read in place, each task
+Counts cover all training documents. A second pass over the texts writes each document as its symbols, with a number of its own; learning
+and scoring read that table, so texts are cut into words twice in all and never moved.
+
+The network learns from every token of the training documents: the table is read in place, each task
 cuts its own into shards of about ``SHARD_TOKENS`` tokens, each shard runs truncated backpropagation over parallel streams
 that together hold the whole shard, and the shards' weights are averaged, position by position, in Spark; so the
 driver gets one vector per round, of a fixed size. The output biases start at the symbols' frequencies.
@@ -41,7 +44,7 @@ FOLDS, HELD_OUT = 7, 2
 VOCAB, SUFFIXES, HIDDEN = 1024, 96, 16
 #: further words whose counts tasks hold: a fixed number
 COMMON = 32_000
-LEAST_TOKENS, SHARD_TOKENS, ROUNDS, LEAST_UPDATES = 300_000, 2_400_000, 1, 150
+LEAST_TOKENS, SHARD_TOKENS, ROUNDS, LEAST_UPDATES = 800_000, 2_400_000, 1, 150
 STREAMS, MOST_STREAMS, WINDOW, RATE = 64, 512, 32, 0.01
 SEED = 3
 BATCH_TOKENS = 2_000_000
@@ -129,19 +132,6 @@ class Known(dict):
         return s
 
 
-class Rare(dict):
-    """Hashes of words, 0 for those whose counts are held here."""
-
-    def __init__(self, by_hash: dict[int, int]):
-        super().__init__()
-        self.by_hash = by_hash
-
-    def __missing__(self, w: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(w)
-        self[w] = h = 0 if h in self.by_hash else h
-        return h
-
-
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
@@ -402,25 +392,52 @@ class Network:
         return out
 
 
-def learn(train: DataFrame, words: Symbols, hidden: int = HIDDEN, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> tuple[Network, np.ndarray, np.ndarray]:
-    """(the network, its weights, its place of each symbol). train: text of all training documents."""
+def network(words: Symbols, hidden: int = HIDDEN) -> tuple[Network, np.ndarray, np.ndarray]:
+    """(the network, its weights at the start, its place of each symbol)."""
     place = np.empty(words.size, np.int32)
     order = np.append(0, 1 + np.argsort(-words.weight[1:], kind="stable"))  # the end stays 0
     place[order] = np.arange(words.size)
     net = Network(words.weight[order], hidden)
-    flat = net.start(words.weight[order])
+    return net, net.start(words.weight[order]), place
+
+
+def encode(docs: DataFrame, words: Symbols, place: np.ndarray) -> DataFrame:
+    """Per document its symbols by place (16 or 32 bits each), what is known of its tokens here, and its words whose counts are not:
+    their hashes and how often they occur."""
+    kind = "<u2" if words.size <= 1 << 16 else "<u4"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = place[words.symbol].astype(kind)
+        rare = len(words.by_hash) + 1  # ids from here on are classes of suffixes
+        for batch in batches:
+            cols: list[list] = [[], [], [], [], [], [], []]
+            for text in batch["text"]:
+                own = tokens(text)
+                ids = np.append(words(own), 0)
+                found = np.flatnonzero(ids >= rare)
+                h, n = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(own[i]) for i in found.tolist()), np.uint64, len(found)), return_counts=True)
+                row = (of[ids].tobytes(), len(ids), int(words.seen[ids].sum()), words.own[ids].sum(), words.share[ids].sum(), h.view(np.int64), n.astype(np.int32))
+                for c, x in zip(cols, row, strict=True):
+                    c.append(x)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": [held_out(x) for x in batch["doc_id"]]} | dict(zip(("ids", "n_tokens", "known", "own", "share", "h", "n"), cols, strict=True)))
+
+    return docs.mapInPandas(run, "doc_id long, held_out boolean, ids binary, n_tokens long, known long, own double, share double, h array<long>, n array<int>")
+
+
+def learn(train: DataFrame, net: Network, flat: np.ndarray, words: Symbols, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> np.ndarray:
+    """The weights. train: ids of all training documents, as encoded."""
     if not words.n_docs:
-        return net, flat, place
+        return flat
+    kind = "<u2" if words.size <= 1 << 16 else "<u4"
     # partitions of few tokens go together, without a shuffle
-    parts = train.select("text").coalesce(max(1, words.train_tokens // LEAST_TOKENS))
+    parts = train.select("ids").coalesce(max(1, words.train_tokens // LEAST_TOKENS))
     for r in range(rounds):
 
         def run(batches: Iterator[pd.DataFrame], flat: np.ndarray = flat, r: int = r) -> Iterator[pd.DataFrame]:
-            of = place[words.symbol]
             total, n, docs, held = np.zeros(len(flat)), 0, [], 0
             for batch in batches:
-                for t in batch["text"]:
-                    docs.append(of[np.append(words(tokens(t)), 0)])
+                for own in batch["ids"]:
+                    docs.append(np.frombuffer(own, kind).astype(np.int32))
                     held += len(docs[-1])
                     if held >= shard_tokens:
                         total += held * net.train(flat, docs, SEED + r).astype(np.float64)
@@ -434,7 +451,7 @@ def learn(train: DataFrame, words: Symbols, hidden: int = HIDDEN, rounds: int =
         trained = parts.mapInPandas(run, "v array<double>, n double")
         mean = trained.select(F.posexplode("v").alias("i", "x"), "n").groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
         flat = mean.toPandas().sort_values("i")["x"].to_numpy(np.float32)
-    return net, flat, place
+    return flat
 
 
 def score(df: DataFrame, vocab: int = VOCAB, suffixes: int = SUFFIXES, hidden: int = HIDDEN) -> DataFrame:
@@ -445,63 +462,32 @@ def score(df: DataFrame, vocab: int = VOCAB, suffixes: int = SUFFIXES, hidden: i
     train = docs.where(fold != HELD_OUT)
     counts = stages.put(count_words(train), "counts")
     words = symbols(counts, train.count(), vocab, suffixes)
-    net, flat, place = learn(train, words, hidden)
-
-    def key_of(doc_id, text) -> int:
-        return _signed(xxhash.xxh3_64_intdigest(f"{'' if pd.isna(doc_id) else int(doc_id)}:{text if isinstance(text, str) else ''}".encode("utf-8", "surrogatepass")))
-
-    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = Rare(words.by_hash)
-        for batch in batches:
-            keys, hs, ns = [], [], []
-            held = 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                seen = Counter(tokens(text))
-                if len(hashed) > _SPLIT_MOST:
-                    hashed.clear()
-                h = np.fromiter(map(hashed.__getitem__, seen), np.uint64, len(seen))
-                n = np.fromiter(seen.values(), np.int32, len(seen))
-                own = h != 0
-                hs.append(h[own].view(np.int64))
-                ns.append(n[own])
-                keys.append(np.full(len(hs[-1]), key_of(doc_id, text), np.int64))
-                held += len(hs[-1])
-                if held > 500_000:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "h": np.concatenate(hs), "n": np.concatenate(ns)})
-                    keys, hs, ns, held = [], [], [], 0
-            if held:
-                yield pd.DataFrame({"key": np.concatenate(keys), "h": np.concatenate(hs), "n": np.concatenate(ns)})
+    net, flat, place = network(words, hidden)
+    encoded = stages.put(encode(docs, words, place).withColumn("row", F.monotonically_increasing_id()), "encoded")  # fixed by being written
+    flat = learn(encoded.where("not held_out"), net, flat, words)
+    kind = "<u2" if words.size <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = place[words.symbol]
         for batch in batches:
-            at = 0
-            texts, ids = list(batch["text"]), list(batch["doc_id"])
-            while at < len(texts):
-                own, end, held = [], at, 0
-                while end < len(texts) and held < BATCH_TOKENS:
-                    own.append(np.append(words(tokens(texts[end])), 0))
+            at, found = 0, []
+            while at < len(batch):
+                own, held = [], 0
+                for x in batch["ids"].iloc[at:]:
+                    own.append(np.frombuffer(x, kind).astype(np.int32))
                     held += len(own[-1])
-                    end += 1
-                ln = net.score(flat, [of[x] for x in own])
-                first = np.cumsum([0] + [len(x) for x in own[:-1]])
-                joined = np.concatenate(own)
-                sums = lambda table: np.add.reduceat(table[joined], first)  # noqa: B023, E731
-                yield pd.DataFrame({
-                    "doc_id": pd.array([None if pd.isna(x) else int(x) for x in ids[at:end]], "Int64"), "key": [key_of(i, t) for i, t in zip(ids[at:end], texts[at:end], strict=True)], "held_out": [held_out(x) for x in ids[at:end]],
-                    "n_tokens": [len(x) for x in own], "known": sums(words.seen),
-                    "own": sums(words.own), "model": ln / np.log(10) + sums(words.share),
-                })
-                at = end
-
-    terms = docs.mapInPandas(rare, "key long, h long, n int").join(counts.select("h", "c"), "h", "left")
-    of_doc = terms.groupBy("key").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    each = docs.mapInPandas(run, "doc_id long, key long, held_out boolean, n_tokens long, known long, own double, model double")
-    each = stages.put(each, "each")
-    copies = each.groupBy("key").agg(F.count("*").alias("copies"))  # rows alike share a key: their sums are of all of them
-    out = each.join(of_doc, "key", "left").join(copies, "key")
-    rare_sum = F.coalesce(F.col("rare") / F.col("copies"), F.lit(0.0))
-    rare_known = F.coalesce(F.col("rare_known") / F.col("copies"), F.lit(0.0))
+                    if held >= BATCH_TOKENS:
+                        break
+                found.append(net.score(flat, own) / np.log(10))
+                at += len(own)
+            if found:
+                yield batch.drop(columns="ids").assign(model=np.concatenate(found))
+
+    terms = encoded.select("row", F.explode(F.arrays_zip("h", "n")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.n").alias("n")).join(counts.select("h", "c"), "h", "left")
+    of_doc = terms.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
+    fields = "row long, doc_id long, held_out boolean, n_tokens long, known long, own double, share double"
+    each = encoded.select(*[x.split()[0] for x in fields.split(", ")], "ids").mapInPandas(run, fields + ", model double")
+    out = each.join(of_doc, "row", "left")
+    rare_sum, rare_known = F.coalesce("rare", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
     n_all = F.lit(words.train_tokens).cast("long")
     base = F.col("own") + rare_sum - F.col("n_tokens") * F.log10(F.lit(float(words.train_tokens + words.train_types + 1)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.round(rare_known)).cast("long").alias("n_known"), n_all.alias("train_tokens"), base.alias("base_score"), (F.col("model") + rare_sum).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + rare_known).cast("long").alias("n_known"), n_all.alias("train_tokens"), base.alias("base_score"), (F.col("model") + F.col("share") + rare_sum).alias("score"))
