@@ -12,7 +12,8 @@ Every byte covered by a string of ``length`` bytes that also starts anywhere els
    shards is refined step by step, from the order by h symbols to the order by 2 h, each shard's own order staying as it is.
    Neighbours in the merged order that agree in all steps have a common prefix of ``length``; runs of such neighbours are the
    repeated intervals.
-3. An anchor with more distinct contexts than a block holds is dealt by the windows' own hashes instead (128 bits), exactly and with no cap.
+3. An anchor with more distinct contexts than a block holds is dealt by the windows' own hashes instead (128 bits), with no cap, so that
+   a passage in very many surroundings isn't one task's.
 
 Positions of repeated windows come back to all occurrences of a context, become spans of the document and are cut out.
 
@@ -228,33 +229,35 @@ def _bytes(text) -> bytes:
 
 
 def repeated_spans(df: DataFrame, stages: Stages, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """(key, spans): for documents with repeated windows, the [start, end) of each run of them as covered bytes. df: key, text."""
+    """(key, key2, spans): for documents with repeated windows, the [start, end) of each run of them as covered bytes.
+    df: key, key2 (two 64-bit hashes, which together tell rows apart), text."""
     spark = df.sparkSession
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Grams()
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for key, text in zip(batch["key"], batch["text"], strict=True):
+            cols: list[list] = [[], [], [], [], [], [], []]
+            for key, key2, text in zip(batch["key"], batch["key2"], batch["text"], strict=True):
                 own = _bytes(text)
                 v, a, b, own_several = anchors(own, grams, length, gram)
                 cols[0].append(v)
                 cols[1].append(np.fromiter((xxhash.xxh3_64_intdigest(own[i : j + length]) for i, j in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a)).view(np.int64))
                 cols[2].append(np.full(len(a), key, np.int64))
-                cols[3].append(a)
-                cols[4].append(b)
-                cols[5].append(own_several)
+                cols[3].append(np.full(len(a), key2, np.int64))
+                cols[4].append(a)
+                cols[5].append(b)
+                cols[6].append(own_several)
             if cols[0]:
-                yield pd.DataFrame(dict(zip(("anchor", "content", "key", "a", "b", "within"), map(np.concatenate, cols), strict=True)))
+                yield pd.DataFrame(dict(zip(("anchor", "content", "key", "key2", "a", "b", "within"), map(np.concatenate, cols), strict=True)))
 
-    found = stages.put(df.mapInPandas(first, "anchor long, content long, key long, a int, b int, within boolean"), "anchors")
-    kinds = found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "a", "b", "within")).alias("one"))
+    found = stages.put(df.mapInPandas(first, "anchor long, content long, key long, key2 long, a int, b int, within boolean"), "anchors")
+    kinds = found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "key2", "a", "b", "within")).alias("one"))
     kinds = stages.put(kinds.select("anchor", "content", "n", "one.*"), "kinds")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("b") - F.col("a") + length).alias("bytes"), F.bool_or("within").alias("within")).where("kinds > 1 or within")
     several = stages.put(several, "several")
     # one occurrence of each distinct context whose anchor has several
-    wanted = kinds.join(several.select("anchor", (F.col("bytes") > 4 * block).alias("large")), "anchor")
-    per_key = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "a", "b", "large")).alias("xs"))
+    wanted = kinds.join(several.select("anchor", (F.col("bytes") > block).alias("large")), "anchor")
+    per_key = wanted.groupBy("key", "key2").agg(F.collect_list(F.struct("anchor", "content", "a", "b", "large")).alias("xs"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -267,7 +270,7 @@ def repeated_spans(df: DataFrame, stages: Stages, length: int = LENGTH, gram: in
                     rows = []
             yield pd.DataFrame(rows, columns=["anchor", "content", "large", "own"])
 
-    contexts = df.join(per_key, "key").mapInPandas(cut, "anchor long, content long, large boolean, own binary")
+    contexts = df.join(per_key, ["key", "key2"]).select("text", "xs").mapInPandas(cut, "anchor long, content long, large boolean, own binary")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -302,7 +305,7 @@ def repeated_spans(df: DataFrame, stages: Stages, length: int = LENGTH, gram: in
     contexts = stages.put(contexts, "contexts")
     small = contexts.where("not large").drop("large").repartition(parts, "anchor").sortWithinPartitions("anchor")
     ranges = small.mapInPandas(find, "anchor long, content long, lo array<int>, hi array<int>")
-    if not several.where(F.col("bytes") > 4 * block).isEmpty():
+    if not several.where(F.col("bytes") > block).isEmpty():
         windows = stages.put(contexts.where("large").dropDuplicates(["anchor", "content"]).mapInPandas(explode, "anchor long, content long, at int, h1 long, h2 long"), "windows")
         twice = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
         hits = windows.join(twice, ["h1", "h2"]).groupBy("anchor", "content").agg(F.array_sort(F.collect_list("at")).alias("lo"))
@@ -313,14 +316,15 @@ def repeated_spans(df: DataFrame, stages: Stages, length: int = LENGTH, gram: in
     ranges = whole.unionByName(part)
     hits = found.join(ranges, ["anchor", "content"])
     spans = F.zip_with("lo", "hi", lambda x, y: F.struct((F.col("a") + x).alias("start"), (F.col("a") + y + length).alias("end")))
-    return hits.select("key", F.explode(spans).alias("span")).groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    return hits.select("key", "key2", F.explode(spans).alias("span")).groupBy("key", "key2").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of df (doc_id, text); with_text adds the kept bytes."""
     stages = Stages(df.sparkSession, "bwt")
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
-    spans = stages.put(repeated_spans(rows.select("key", "text"), stages, length), "spans")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"key": F.xxhash64("doc_id", "text"), "key2": F.xxhash64(F.lit(SEED), "text", "doc_id")})
+    spans = stages.put(repeated_spans(rows.select("key", "key2", "text"), stages, length), "spans")
+    stages.drop("anchors", "kinds", "several", "contexts", "windows", "ranges")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -343,4 +347,4 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, with_text: bool = False)
             yield frame if with_text else frame.drop(columns="kept")
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return rows.join(spans, "key", "left").select("doc_id", "text", "spans").mapInPandas(cut, schema)
+    return rows.join(spans, ["key", "key2"], "left").select("doc_id", "text", "spans").mapInPandas(cut, schema)
