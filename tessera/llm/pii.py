@@ -12,22 +12,29 @@ public range is a well-formed one, a given name is of the gender of the form of
 
 Collision checks run over the table of distinct entities: two entities of a kind never get one surrogate, and no surrogate
 is a form that occurs in the corpus. Losers try again with the next number in the hash, in rounds, until none is left;
-later tries are longer where the format's space is small.
-
-Only texts with a mention are moved. Defined cases: null text stays null, empty stays empty; rows with one id are
-documents of their own, and equal rows get equal results; a null doc_id is allowed; an empty table gives no rows; extra
-columns stay with ``replace`` and are ignored by the query.
+later tries of names and addresses are longer. Numbers can't get longer: where the corpus holds more than an eighth of all numbers of a format (a
+length, and a card's first digit), its numbers go through a keyed permutation of the format instead, which can't collide at any
+density and leaves no number as it is; such a surrogate may be another entity's number.
+
+The key comes from the caller, and enters by HMAC-SHA-256. Only texts with a mention are moved. Defined cases: null text stays null, empty
+stays empty; rows with one id are documents of their own, and equal rows get equal results; a null doc_id is allowed; an empty
+table gives no rows; extra columns stay with ``replace`` (one named n_entities or entities with an underscore added) and are
+ignored by the query.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stages
+from .common import Stages, free_name
 
-KEY = "surrogates-v1"
 MOST_ROUNDS = 40
+#: Rounds of the permutation, and the share of a format's numbers from which on it is used.
+FEISTEL, CROWDED = 10, 1 / 8
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,20}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -71,12 +78,12 @@ def parts(mention: Column, kind: Column) -> Column:
     local, domain = F.substring_index(mention, "@", 1), F.substring_index(mention, "@", -1)
     email = F.array(_struct("email", F.lower(mention), F.lower(local), local), keep(F.lit("@")), _struct("domain", F.lower(domain), F.lower(domain), domain))
     code = F.regexp_extract(mention, r"^(\+[0-9]{1,3})[ .(-]", 1)
-    rest = F.substring(mention, F.char_length(code) + 1, F.lit(999))
+    rest = F.substring(mention, F.char_length(code) + 1, F.char_length(mention))
     digits = F.regexp_replace(rest, "[^0-9]", "")
     phone = F.array(keep(code), _struct("phone", digits, digits, rest))
     title = F.regexp_extract(mention, rf"^((?:{MALE}|{FEMALE})\.? )", 1)
     male = F.regexp_like(title, F.lit(rf"^(?:{MALE})\.? $"))
-    words = F.split(F.substring(mention, F.char_length(title) + 1, F.lit(999)), " ")
+    words = F.split(F.substring(mention, F.char_length(title) + 1, F.char_length(mention)), " ")
     low = lambda i: F.lower(F.element_at(words, i))
     given = F.when(male, F.lit("given_m")).otherwise(F.lit("given_f"))
     family = _struct("family", low(-1), low(-1), F.element_at(words, -1))
@@ -87,11 +94,19 @@ def parts(mention: Column, kind: Column) -> Column:
     return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "name", name).when(kind == "han", han).when(kind == "ip", plain("ip", " ")).when(kind == "iban", plain("iban", "[^A-Z0-9]")).when(kind == "card", plain("card", "[^0-9]")).otherwise(plain("ssn", "[^0-9]"))
 
 
+def hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 in hexadecimal digits."""
+    own = key.encode()
+    own = (hashlib.sha256(own).digest() if len(own) > 64 else own).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytes(c ^ x for c in own))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))), 256)
+
+
 def _bytes(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """128 numbers of 0 to 255 from the keyed hash."""
-    one = lambda i: F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string"), F.lit(str(i))), 256)
-    hexed = F.concat(*map(one, range(4)))
-    return F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    own = F.array(hmac(key, F.concat_ws("|", kind, norm, attempt.cast("string"))))
+    hexed = F.array_join(F.flatten(F.transform(own, lambda h: F.array(*(F.sha2(F.concat(h, F.lit(str(i))).cast("binary"), 256) for i in range(4))))), "")
+    return F.element_at(F.transform(F.array(hexed), lambda x: F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.conv(F.substring(x, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))), 1)
 
 
 def _luhn(digits: Column) -> Column:
@@ -131,10 +146,75 @@ def candidate(kind: Column, form: Column, b: Column, attempt: Column) -> Column:
     return F.when(kind == "email", F.concat(shaped, longer)).when(kind == "domain", domain).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "ip", ip).otherwise(person)
 
 
+def _number(digits: Column) -> Column:
+    return F.coalesce(F.nullif(digits, F.lit("")), F.lit("0")).cast("long")
+
+
+def _power(n: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(10**i) for i in range(19))), n + 1)
+
+
+def permuted(digits: Column, secret: Column) -> Column:
+    """Another number of as many digits (18 at most): a one-to-one map without fixed points. secret: the format's own, in hexadecimal digits.
+    An unbalanced Feistel network P over the two halves, and then x goes to the inverse of P(x) + s."""
+    state = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    n = F.char_length(digits)
+    u = F.floor(n / 2).cast("int")
+    left, right = _power(u), _power(n - u)
+    mask = lambda i, x: F.conv(F.substring(F.sha2(F.concat_ws("|", secret, F.lit(str(i)), x.cast("string")).cast("binary"), 256), F.lit(1), F.lit(14)), 16, 10).cast("long")
+
+    def step(i: int, sign: int) -> Callable[[Column], Column]:
+        if i % 2:
+            return lambda s: state(s["a"], F.pmod(s["b"] + sign * mask(i, s["a"]), right))
+        return lambda s: state(F.pmod(s["a"] + sign * mask(i, s["b"]), left), s["b"])
+
+    x = F.array(state(_number(F.left(digits, u)), _number(F.substring(digits, u + 1, n))))  # an array of one, so that each step is computed once
+    for i in range(FEISTEL):
+        x = F.transform(x, step(i, 1))
+    shift = F.pmod(mask(FEISTEL, F.lit(0)), left * right - 1) + 1
+    moved = F.transform(x, lambda s: F.pmod(s["a"] * right + s["b"] + shift, left * right))
+    x = F.transform(moved, lambda y: state(F.call_function("div", y, right), F.pmod(y, right)))
+    for i in reversed(range(FEISTEL)):
+        x = F.transform(x, step(i, -1))
+    text = F.transform(x, lambda s: F.concat(F.when(u > 0, F.lpad(s["a"].cast("string"), u, "0")).otherwise(""), F.lpad(s["b"].cast("string"), n - u, "0")))
+    return F.element_at(text, 1)
+
+
+def number_format(kind: Column, form: Column) -> Column:
+    """What a permutation keeps of a number: its kind and length, and of a card its first digit and whether its check digit is right."""
+    n = F.char_length(form).cast("string")
+    return F.when(kind.isin("phone", "ssn"), F.concat_ws(":", kind, n)).when(kind == "card", F.concat_ws(":", kind, n, F.left(form, F.lit(1)), (_luhn(form) == 0).cast("string")))
+
+
+def in_format(kind: Column, form: Column, secret: Column) -> Column:
+    """The number's surrogate by permutation. A card's last digit keeps its distance from the right check digit."""
+    check = lambda body: F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
+    n = F.char_length(form)
+    body = F.left(form, n - 1)
+    off = F.pmod(F.right(form, F.lit(1)).cast("int") - check(body), F.lit(10))
+    new = F.concat(F.left(form, F.lit(1)), permuted(F.substring(form, F.lit(2), n - 2), secret))
+    card = F.element_at(F.transform(F.array(new), lambda x: F.concat(x, F.pmod(check(x) + off, F.lit(10)).cast("string"))), 1)
+    return F.when(kind == "card", card).otherwise(permuted(form, secret))
+
+
+def space(kind: Column, form: Column) -> Column:
+    """How many numbers a number's surrogate is drawn from."""
+    n = F.char_length(form)
+    return F.when(kind == "phone", 8.0 * F.pow(F.lit(10.0), n - 1)).when(kind == "ssn", 1e8).otherwise(F.pow(F.lit(10.0), n - 2))
+
+
 def surrogates(entities: DataFrame, stages: Stages, key: str) -> DataFrame:
     """(kind, norm, surrogate), one to one within each kind. entities: kind, norm, form, distinct."""
     real = entities.select("kind", F.col("form").alias("cand"))
+    numbers = entities.withColumn("format", number_format(F.col("kind"), F.col("form"))).where("format is not null")
+    # a row for each format: 2 * 20 lengths, and 400 of cards
+    crowded = numbers.groupBy("kind", "format").agg(F.count("*").alias("n"), F.min(space(F.col("kind"), F.col("form"))).alias("of")).where(F.col("n") > F.col("of") * CROWDED).select("kind", "format")
+    crowded = stages.put(crowded, "crowded")
     waiting, done = entities, None
+    if not crowded.isEmpty():
+        own = numbers.join(F.broadcast(crowded), ["kind", "format"])
+        done = stages.put(own.select("kind", "norm", in_format(F.col("kind"), F.col("form"), hmac(key, F.col("format"))).alias("surrogate")), "permuted")
+        waiting = entities.join(done.select("kind", "norm"), ["kind", "norm"], "left_anti")
     parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for attempt in range(MOST_ROUNDS):
         hashed = waiting.repartition(parts, "norm").withColumn("hash", _bytes(F.col("kind"), F.col("norm"), F.lit(attempt), key))
@@ -159,15 +239,16 @@ def render(piece: Column, surrogate: Column, kind: Column) -> Column:
     spaced = F.array_join(F.transform(own, lambda c, i: F.when(is_sign(c), c).otherwise(F.substring(surrogate, before(i) + 1, F.lit(1)))), "")
     spaced = F.when(kind == "iban", F.upper(spaced)).otherwise(spaced)
     cased = F.when((piece == F.upper(piece)) & (piece != F.lower(piece)), F.upper(surrogate))
-    cased = cased.when(F.left(piece, F.lit(1)) != F.lower(F.left(piece, F.lit(1))), F.concat(F.upper(F.left(surrogate, F.lit(1))), F.substring(surrogate, F.lit(2), F.lit(999))))
+    cased = cased.when(F.left(piece, F.lit(1)) != F.lower(F.left(piece, F.lit(1))), F.concat(F.upper(F.left(surrogate, F.lit(1))), F.substring(surrogate, F.lit(2), F.char_length(surrogate))))
     each = F.array_join(F.transform(F.split(surrogate, ""), lambda c, i: F.when(F.get(own, i) != F.lower(F.get(own, i)), F.upper(c)).otherwise(c)), "")
     return F.when(kind.isin("card", "iban", "phone", "ssn"), spaced).when(kind.isin("email", "domain"), each).otherwise(cased.otherwise(surrogate))
 
 
-def replace(df: DataFrame, key: str = KEY) -> DataFrame:
+def replace(df: DataFrame, key: str) -> DataFrame:
     """df with surrogates in its texts, and n_entities and entities: type:start:end of each mention in the original text."""
     stages = Stages(df.sparkSession, "pii")
-    df = df.drop("n_entities", "entities")
+    for c in [c for c in df.columns if c.lower() in ("n_entities", "entities")]:
+        df = df.withColumnRenamed(c, free_name(df, c + "_"))
     # a mention holds one of these; the alternation is tried only where one is found
     signs = [F.contains("text", F.lit(x)) for x in (*MALE.split("|"), *FEMALE.split("|"), "先生", "女士")]
     may = F.regexp_like("text", F.lit("@|[0-9][^0-9]{0,3}[0-9]"))
@@ -186,22 +267,24 @@ def replace(df: DataFrame, key: str = KEY) -> DataFrame:
     text = F.when(F.col("kind").isNull(), F.col("piece")).otherwise(render(F.col("piece"), F.col("surrogate"), F.col("kind")))
     ordered = F.array_sort(F.collect_list(F.struct("i", "j", "type", text.alias("new"), "piece")))
     per_row = stages.put(out.groupBy("hit_id", "hit_key").agg(ordered.alias("xs")), "rows")
+    own, spans = free_name(hit, "own"), free_name(hit, "spans")
     gaps = F.split("text", ANY, -1)
     old = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    mine = lambda i: F.filter("xs", lambda x: x["i"] == i)
+    mine = lambda i: F.filter(F.col(own)["xs"], lambda x: x["i"] == i)
     new = F.transform(old, lambda m, i: F.when(F.size(mine(i)) > 0, F.array_join(F.transform(mine(i), lambda x: x["new"]), "")).otherwise(m))
-    joined = hit.join(per_row, hit["doc_id"].eqNullSafe(per_row["hit_id"]) & (F.xxhash64(hit["text"]) == per_row["hit_key"]), "left")
+    joined = hit.join(per_row.select(F.struct("hit_id", "hit_key", "xs").alias(own)), F.col("doc_id").eqNullSafe(F.col(own)["hit_id"]) & (F.xxhash64("text") == F.col(own)["hit_key"]), "left")
+    # the patterns run again below: evenly dealt, however few partitions the join had
+    joined = joined.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id"), F.xxhash64("text"))
     text = F.array_join(F.flatten(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, s: F.array(g, s))), "")
     types = F.transform(old, lambda m, i: F.get(mine(i), F.lit(0))["type"])
     ends = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(old)).alias("g"), old.alias("m"), types.alias("t")), lambda x: F.struct((F.char_length(x["g"]) + F.char_length(x["m"])).alias("n"), F.char_length(x["m"]).alias("m"), x["t"].alias("t")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.when(x["t"].isNotNull(), F.array_append(a["out"], F.concat_ws(":", x["t"], (a["at"] + x["n"] - x["m"]).cast("string"), (a["at"] + x["n"]).cast("string")))).otherwise(a["out"]).alias("out"))
-    spans = F.aggregate(ends, start, step, lambda a: a["out"])
-    changed = joined.select(*[text.alias("text") if c == "text" else hit[c] for c in df.columns], spans.alias("spans"))
-    changed = changed.select(*[F.col(c) for c in df.columns], F.size("spans").cast("long").alias("n_entities"), F.array_join("spans", ",").alias("entities"))
+    changed = joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in df.columns], F.aggregate(ends, start, step, lambda a: a["out"]).alias(spans))
+    changed = changed.select(*[F.col(c) for c in df.columns], F.size(spans).cast("long").alias("n_entities"), F.array_join(spans, ",").alias("entities"))
     return clean.select(*[F.col(c) for c in df.columns], F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entities")).unionByName(changed)
 
 
-def report(df: DataFrame, key: str = KEY) -> DataFrame:
+def report(df: DataFrame, key: str) -> DataFrame:
     """doc_id, text with surrogates, n_entities, entities."""
     return replace(df.select("doc_id", "text"), key)
