@@ -34,10 +34,12 @@ _OWN: str | None = None
 
 
 class Stages:
-    """Tables written in the shared folder: they cut lineage, survive lost executors, and can be dropped when read."""
+    """Tables written in the shared folder: they cut lineage and survive lost executors. Those that no result reads are dropped by their
+    operator as soon as the next one is written; those behind a result go with clear(), once the result has been written."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
@@ -46,6 +48,30 @@ class Stages:
     def get(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _delete(self.spark, f"{self.root}/{name}")
+
+
+_ROOTS: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the stage tables of all operators that this process has run; results that aren't written yet can't be read any more."""
+    n = len(_ROOTS)
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+    return n
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with signs added until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

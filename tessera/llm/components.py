@@ -1,4 +1,7 @@
-"""Connected components by alternating stars, on tables: no graph is held by the driver or by one task."""
+"""Connected components by alternating stars, on tables: no graph is held by the driver or by one task.
+
+The least neighbours of the wide step are a table of their own: a join of two tables is one that Spark splits where a key is hot, so
+the edges of a cluster's hub needn't meet in one task; the least itself is found by partial minima."""
 
 from __future__ import annotations
 
@@ -10,15 +13,16 @@ from .common import Stages
 MOST_ROUNDS = 60
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def _star(edges: DataFrame, stages: Stages, name: str) -> DataFrame:
     """edges (a, b), a > b. Each node's greater neighbours, and the node, are tied to the least node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = stages.put(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
     tied = both.join(least, "a")
     return tied.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node's lesser neighbours are tied to the least of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     return edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -33,8 +37,8 @@ def components(edges: DataFrame, stages: Stages, tag: str = "cc") -> DataFrame:
         if mark == last:
             break
         last = mark
-        nxt = stages.put(_small_star(_star(e)), f"{tag}{k}")
-        stages.drop(f"{tag}{k - 1}")
+        nxt = stages.put(_small_star(_star(e, stages, f"{tag}{k}least")), f"{tag}{k}")
+        stages.drop(f"{tag}{k - 1}", f"{tag}{k}least")
         e = nxt
     else:
         raise RuntimeError("connected components did not settle")

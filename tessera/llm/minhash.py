@@ -94,7 +94,7 @@ class HalfKeys:
 
 
 def features(df: DataFrame, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null for an empty set) and half_keys."""
+    """doc_id, tag, n_shingles, set_hash (null for an empty set) and half_keys. df: doc_id, tag, text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, keys = WordHashes(), HalfKeys(halves, rows)
@@ -103,10 +103,10 @@ def features(df: DataFrame, halves: int = HALVES, rows: int = ROWS) -> DataFrame
             for text in batch["text"]:
                 s = shingles(text, cache)
                 out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, keys(s) if len(s) else None))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [x[0] for x in out], "set_hash": [x[1] for x in out], "half_keys": [x[2] for x in out]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "tag": batch["tag"].astype("Int64"), "n_shingles": [x[0] for x in out], "set_hash": [x[1] for x in out], "half_keys": [x[2] for x in out]})
 
-    ids = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
-    return ids.mapInPandas(run, "doc_id long, n_shingles long, set_hash binary, half_keys array<long>")
+    ids = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("tag").cast("long").alias("tag"), "text")
+    return ids.mapInPandas(run, "doc_id long, tag long, n_shingles long, set_hash binary, half_keys array<long>")
 
 
 def ties(classes: DataFrame, stages: Stages, halves: int = HALVES) -> DataFrame:
@@ -227,24 +227,38 @@ def links(df: DataFrame, clusters: DataFrame, stages: Stages, threshold: tuple[i
     return sets.repartition(parts_n, "task").sortWithinPartitions("task").mapInPandas(find, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, threshold: tuple[int, int] = THRESHOLD, halves: int = HALVES, rows: int = ROWS, most_shingles: int = MOST_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of df (doc_id, text)."""
+def near_duplicates(df: DataFrame, threshold: tuple[int, int] = THRESHOLD, halves: int = HALVES, rows: int = ROWS, most_shingles: int = MOST_SHINGLES, tag: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of df (doc_id, text).
+
+    With tag, a column of whole numbers that comes back as ``tag``, the ids are taken for hashes of rows: if rows of one id have
+    different sets, they are rows whose hashes clash, which link with nothing."""
     stages = Stages(df.sparkSession, "minhash")
-    each = stages.put(features(df.select("doc_id", "text"), halves, rows), "features")
+    each = stages.put(features(df.select("doc_id", F.lit(None).cast("long").alias("tag") if tag is None else F.col(tag).alias("tag"), "text"), halves, rows), "features")
     some = each.where(F.col("set_hash").isNotNull())
+    # an id whose rows have different sets is one node all the same, but for clashing hashes
+    several = (some if tag is None else each).groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y"), F.count_if(F.col("set_hash").isNull()).alias("empty"))
+    several = several.where("x <> y or x is not null and empty > 0").select("doc_id")
+    if tag is not None:
+        several = stages.put(several, "clashes")
+        some = some.join(several, "doc_id", "left_anti")
     classes = some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("half_keys").alias("half_keys"), F.first("n_shingles").alias("n_shingles"))
     classes = stages.put(classes, "classes")
     clusters = components(ties(classes, stages, halves), stages, "candidates")
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     clusters = stages.put(clusters.join(classes.select("rep", "n_shingles"), "rep"), "clusters")
-    # an id whose rows have different sets is one node all the same
-    several = some.groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id")
-    same_id = some.join(several, "doc_id").join(classes, "set_hash").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    confirmed = stages.put(links(df, clusters, stages, threshold, most_shingles).unionByName(same_id), "links")
+    confirmed = links(df, clusters, stages, threshold, most_shingles)
+    if tag is None:
+        confirmed = confirmed.unionByName(some.join(several, "doc_id").join(classes, "set_hash").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    confirmed = stages.put(confirmed, "links")
     found = components(confirmed, stages, "linked")
+    stages.drop("keys", "clusters", "dealt", "links")
     of_class = classes.join(found, classes["rep"] == found["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
-    out = some.join(of_class, "set_hash").select("doc_id", "n_shingles", "component_id")
-    out = out.unionByName(each.where(F.col("set_hash").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = some.join(of_class, "set_hash").select("doc_id", "tag", "n_shingles", "component_id")
+    alone = each.where(F.col("set_hash").isNull())
+    if tag is not None:
+        alone = each.join(several, "doc_id").unionByName(alone.join(several, "doc_id", "left_anti"))
+    out = out.unionByName(alone.select("doc_id", "tag", "n_shingles", F.col("doc_id").alias("component_id")))
     doc = F.when(F.col("doc_id") == _NO_ID, F.lit(None)).otherwise(F.col("doc_id"))
     comp = F.when(F.col("component_id") == _NO_ID, F.lit(None)).otherwise(F.col("component_id"))
-    return out.select(doc.cast("long").alias("doc_id"), "n_shingles", comp.cast("long").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = out.select(doc.cast("long").alias("doc_id"), "n_shingles", comp.cast("long").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"), "tag")
+    return out.drop("tag") if tag is None else out

@@ -16,20 +16,22 @@ of them is capped. The one table that meets in one task has a row for each sourc
 
 Defined cases: null text: size 0; null source: a source of its own, last; a null doc_id gets the same key as other nulls;
 repeated rows are documents of their own, and where the budget ends among rows of one id, each is taken in the same
-proportion; a size of 0 is taken 0 times its words; an empty table gives no rows; extra columns are kept by ``mix`` and
-ignored by the query.
+proportion; a size of 0 is taken 0 times its words; an empty table gives no rows; extra columns are kept by ``mix``, whatever
+their names, and ignored by the query.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Stages
+from .common import WORD, Stages, free_name
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 20_011
+#: What the operator adds to a row.
+RESULT = ("size", "source_size", "target", "taken")
 
 
 def size_of(text: Column) -> Column:
@@ -43,11 +45,11 @@ def quality_weight(text: Column) -> Column:
     return F.when(n > 0, 2.25 - 2 * letters / n).otherwise(F.lit(0.25))
 
 
-def with_key(df: DataFrame, weight: Column, seed: int) -> DataFrame:
-    """Adds mix_size and mix_key, a number below 2 ** 24; larger keys come first."""
+def mix_size_and_key(weight: Column, seed: int) -> tuple[Column, Column]:
+    """The size, and a number below 2 ** 24; larger ones come first."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit((1 << 53) - 1)) + 1) / F.lit(float(1 << 53))
     key = F.least(F.floor(F.pow(u, F.lit(1.0) / weight) * (1 << 24)), F.lit((1 << 24) - 1)).cast("long")
-    return df.withColumns({"mix_size": size_of(F.col("text")), "mix_key": key})
+    return size_of(F.col("text")), key
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -97,30 +99,41 @@ def plan(rows: DataFrame, stages: Stages, weights: tuple[int, ...], max_epochs:
     return stages.put(t.select("r.source", "source_size", "target", "epochs", F.col("prefix").alias("end_key"), "end_id", "end_size", "end_left"), "plan")
 
 
+def with_mix(df: DataFrame, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> tuple[DataFrame, str]:
+    """df with one more column, a struct of size, source_size, target and taken, and that column's name, which df doesn't have."""
+    stages, name = Stages(df.sparkSession, "mixing"), free_name(df, "mix")
+    size, key = mix_size_and_key(quality_weight(F.col("text")) if weight is None else weight, seed)
+    keyed = df.withColumn(name, F.struct(size.alias("size"), key.alias("key")))
+    rows = stages.put(keyed.select("doc_id", "source", F.col(name)["size"].alias("mix_size"), F.col(name)["key"].alias("mix_key")), "keys")
+    return taken(keyed, name, plan(rows, stages, weights, max_epochs)), name
+
+
 def mix(df: DataFrame, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """df with size, source_size, target and taken. df has doc_id, text and source."""
-    spark: SparkSession = df.sparkSession
-    stages = Stages(spark, "mixing")
-    clean = df.drop("size", "source_size", "target", "taken", "mix_size", "mix_key")
-    keyed = with_key(clean, quality_weight(F.col("text")) if weight is None else weight, seed)
-    rows = stages.put(keyed.select("doc_id", "source", "mix_size", "mix_key"), "keys")
-    return taken(keyed, plan(rows, stages, weights, max_epochs))
+    """df with size, source_size, target and taken; a column of df that has one of these names is kept with an underscore added.
+    df has doc_id, text and source."""
+    out, name = with_mix(df, weight, weights, max_epochs, seed)
+    held = out.select(*[F.col(c).alias(free_name(out, c + "_") if c.lower() in RESULT else c) for c in df.columns], name)
+    return held.select(*[c for c in held.columns if c != name], *[F.col(name)[c].alias(c) for c in RESULT])
 
 
 def mix_sizes(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target and taken: like mix, without carrying the texts."""
     stages = Stages(df.sparkSession, "mixing")
-    rows = stages.put(with_key(df.select("doc_id", "source", "text"), quality_weight(F.col("text")), seed).select("doc_id", "source", "mix_size", "mix_key"), "keys")
-    return taken(rows, plan(rows, stages, weights, max_epochs))
-
-
-def taken(keyed: DataFrame, ends: DataFrame) -> DataFrame:
-    """Applies a plan to rows with keys, without moving them further than the join by source."""
-    e = ends.withColumnRenamed("source", "plan_source")
-    out = keyed.join(e, keyed["source"].eqNullSafe(e["plan_source"]))
-    at_end = F.col("doc_id").eqNullSafe(F.col("end_id"))
-    before_end = F.when(F.col("doc_id").isNull(), False).when(F.col("end_id").isNull(), True).otherwise(F.col("doc_id") < F.col("end_id"))
-    key, end, n = F.col("mix_key"), F.col("end_key"), F.col("mix_size")
-    part = F.when(end < 0, n).when(key > end, n).when(key < end, 0).when(F.col("end_left").isNull(), 0)
-    part = part.when(at_end, F.when(F.col("end_size") > 0, F.floor(F.col("end_left") * n / F.col("end_size"))).otherwise(0)).when(before_end, n).otherwise(0)
-    return out.withColumn("taken", (F.col("epochs") * n + part).cast("long")).withColumnRenamed("mix_size", "size").drop("plan_source", "epochs", "end_key", "end_id", "end_size", "end_left", "mix_key")
+    size, key = mix_size_and_key(quality_weight(F.col("text")), seed)
+    rows = stages.put(df.select("doc_id", "source", size.alias("mix_size"), key.alias("mix_key")), "keys")
+    keyed = rows.select("doc_id", "source", F.struct(F.col("mix_size").alias("size"), F.col("mix_key").alias("key")).alias("mix"))
+    return taken(keyed, "mix", plan(rows, stages, weights, max_epochs)).select("doc_id", "source", "mix.*")
+
+
+def taken(keyed: DataFrame, name: str, ends: DataFrame) -> DataFrame:
+    """Applies a plan, which has a row for each source, to rows with their size and key in the struct ``name``. They go no further than the
+    join by source: a broadcast as long as Spark finds the plan small, and a join that it splits where a source is hot beyond that."""
+    p = free_name(keyed, "plan")
+    out = keyed.join(ends.select(F.struct(*ends.columns).alias(p)), F.col("source").eqNullSafe(F.col(p)["source"]))
+    own, e = F.col(name), F.col(p)
+    at_end = F.col("doc_id").eqNullSafe(e["end_id"])
+    before_end = F.when(F.col("doc_id").isNull(), False).when(e["end_id"].isNull(), True).otherwise(F.col("doc_id") < e["end_id"])
+    key, end, n = own["key"], e["end_key"], own["size"]
+    part = F.when(end < 0, n).when(key > end, n).when(key < end, 0).when(e["end_left"].isNull(), 0)
+    part = part.when(at_end, F.when(e["end_size"] > 0, F.floor(e["end_left"] * n / e["end_size"])).otherwise(0)).when(before_end, n).otherwise(0)
+    return out.withColumn(name, F.struct(n.alias("size"), e["source_size"].alias("source_size"), e["target"].alias("target"), (e["epochs"] * n + part).cast("long").alias("taken"))).drop(p)

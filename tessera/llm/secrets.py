@@ -18,7 +18,8 @@ running sums of the lengths of the pieces between matches and of the matches.
 
 Defined cases: a null or empty text has no spans and the hash of the empty string; each of several rows with one id (or a
 null id) is a document of its own if its text differs, and rows that agree in id and text get the same result each; an
-empty table gives no rows; equal starts are sorted by kind as listed; extra columns are ignored.
+empty table gives no rows; equal starts are sorted by kind as listed; extra columns are ignored by the
+query and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stages
+from .common import Stages, free_name
 
 # The base patterns and the least lengths of what they must capture.
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -122,9 +123,10 @@ def report(df: DataFrame, scope: int = SCOPE) -> DataFrame:
 def redact(df: DataFrame, scope: int = SCOPE, mark: str = "<{}>") -> DataFrame:
     """df with every span of its texts replaced by the mark of its kind. Overlapping spans are replaced as one, by the mark of
     the first. All columns of df are kept; null texts stay null."""
-    hits = Stages(df.sparkSession, "secrets").put(scan(df, scope), "found").select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "found")
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    out = df.join(hits, df["doc_id"].eqNullSafe(hits["hit_id"]) & (key == hits["hit_key"]), "left")
+    hit = free_name(df, "hit")
+    hits = Stages(df.sparkSession, "secrets").put(scan(df, scope), "found").select(F.struct("doc_id", "text_key", "found").alias(hit))
+    found = F.col(hit)["found"]
+    out = df.join(hits, F.col("doc_id").eqNullSafe(F.col(hit)["doc_id"]) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(hit)["text_key"]), "left")
     marks = F.array(*(F.lit(mark.format(k)) for k in KINDS))
     none = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
@@ -132,5 +134,6 @@ def redact(df: DataFrame, scope: int = SCOPE, mark: str = "<{}>") -> DataFrame:
         more = F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.element_at(marks, x["rank"] + 1))
         return F.struct(F.when(x["start"] >= acc["at"], more).otherwise(acc["done"]).alias("done"), F.greatest(acc["at"], x["end"]).alias("at"))
 
-    cleaned = F.aggregate("found", none, step, lambda acc: F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    return out.select(*[F.when(F.col("found").isNotNull() & F.col("text").isNotNull(), cleaned).otherwise(F.col("text")).alias("text") if c == "text" else df[c] for c in df.columns])
+    cleaned = F.aggregate(found, none, step, lambda acc: F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    text = F.when(found.isNotNull() & F.col("text").isNotNull(), cleaned).otherwise(F.col("text")).alias("text")
+    return out.select(*[text if c == "text" else F.col(c) for c in df.columns])

@@ -30,7 +30,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, percent=85):
     """doc_id -> (set size, component) for rows of distinct ids."""
     sets = {d: shingle_set(t) for d, t in rows}
     groups = Sets(sets)
@@ -42,10 +42,10 @@ def near_duplicates(rows):
     df = Counter(x for s, _ in every for x in s)
     index = defaultdict(list)
     for k, (s, d) in enumerate(every):
-        own = sorted(s, key=lambda x: (df[x], x))[: len(s) - (85 * len(s) + 99) // 100 + 1]
+        own = sorted(s, key=lambda x: (df[x], x))[: len(s) - (percent * len(s) + 99) // 100 + 1]
         for j in {j for x in own for j in index[x]}:
             both = len(s & every[j][0])
-            if 100 * both >= 85 * (len(s) + len(every[j][0]) - both):
+            if 100 * both >= percent * (len(s) + len(every[j][0]) - both):
                 groups.tie(every[j][1], d)
         for x in own:
             index[x].append(k)

@@ -27,7 +27,7 @@ def test_surrogates_keep_type_format_gender_and_identity(spark):
     text = "JOHN.Doe7@Mail.Example.com john.doe7@mail.example.com +1 (583) 555-8469 , +1-583-555-8469 , 4111 1111 1111 1111 , 4111111111111111 , 123-45-6789 8.8.4.4"
     names = "Mr. John Smith met Mrs. Smith and Mr. SMITH. г-н Иванов, г-жа Анна Петрова. 王小明先生 DE89 3704 0044 0532 0130 00"
     df = spark.createDataFrame([(1, text), (2, names), (3, "mail john.doe7@mail.example.com"), (4, None), (5, ""), (None, "a@b.co"), (6, "plain"), (6, "plain")], "doc_id long, text string")
-    out = {(r["doc_id"], i): r for i, r in enumerate(pii.report(df).orderBy("doc_id", "text").collect())}
+    out = {(r["doc_id"], i): r for i, r in enumerate(pii.report(df, "key").orderBy("doc_id", "text").collect())}
     by = {}
     for (d, _), r in out.items():
         by.setdefault(d, []).append(r)
@@ -50,15 +50,52 @@ def test_surrogates_keep_type_format_gender_and_identity(spark):
 def test_surrogates_are_distinct_and_new(spark):
     real = [f"u{i}@x.example.com" for i in range(300)] + [f"{chr(97 + i)}@y.example.com" for i in range(26)]
     df = spark.createDataFrame(list(enumerate(real)), "doc_id long, text string")
-    out = [r["text"] for r in pii.report(df).collect()]
+    out = [r["text"] for r in pii.report(df, "key").collect()]
     assert len(set(out)) == len(real) and not {x.split("@")[0] for x in out} & {x.split("@")[0] for x in real}
 
 
+def test_keyed_hash_is_hmac(spark):
+    import hmac
+
+    for key in ("k", "long " * 30):
+        got = spark.range(1).select(pii.hmac(key, F.lit("message é"))).first()[0]
+        assert got == hmac.new(key.encode(), "message é".encode(), "sha256").hexdigest()
+
+
+def test_full_formats_are_permuted(spark):
+    """Brute force over whole formats: as many surrogates as numbers, none its own, and another key gives others."""
+    def luhn(d):
+        return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10
+
+    forms = [("phone", f"{i:04d}") for i in range(10_000)] + [("phone", f"{i}") for i in range(10)] + [("phone", f"{i:03d}") for i in range(1000)] + [("card", f"4{i:04d}") for i in range(10_000)]
+    df = spark.createDataFrame(forms, "kind string, form string")
+    secret = pii.hmac("key", pii.number_format(F.col("kind"), F.col("form")))
+    out = [(r["kind"], r["form"], r["x"]) for r in df.select("kind", "form", pii.in_format(F.col("kind"), F.col("form"), secret).alias("x")).collect()]
+    for kind in ("phone", "card"):
+        for n in {len(f) for k, f, _ in out if k == kind}:
+            own = [(f, x) for k, f, x in out if k == kind and len(f) == n]
+            assert sorted(f for f, _ in own) == sorted(x for _, x in own) and all(f != x for f, x in own)
+    assert all((luhn(f) == 0) == (luhn(x) == 0) and x[0] == "4" for k, f, x in out if k == "card")
+
+
+def test_every_number_of_a_format_gets_its_own(spark):
+    df = spark.createDataFrame([(i, f"call +1 {i // 100:02d} {i % 100:02d} now") for i in range(10_000)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.report(df, "key").collect()}
+    digits = {d: "".join(c for c in t if c.isdigit())[1:] for d, t in out.items()}
+    assert len(set(digits.values())) == 10_000 and all(int(x) != d and t.startswith("call +1 ") for (d, x), t in zip(digits.items(), out.values(), strict=True))
+
+
+def test_long_names_are_entities_of_their_own(spark):
+    a, b = "Mr. A" + "b" * 1500 + "x", "Mr. A" + "b" * 1500 + "y"
+    out = [r["text"] for r in pii.report(spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    assert out[0] == out[2] != out[1]
+
+
 def test_columns_are_kept_on_odd_rows(spark, odd):
-    for out in (pii.replace(odd), secrets.redact(odd)):
+    for out in (pii.replace(odd, "key"), secrets.redact(odd)):
         assert out.count() == odd.count() and out.columns[: len(odd.columns)] == odd.columns
         assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in odd.collect())
-    assert pii.replace(nothing(odd)).count() == 0 and packing.pack(odd).groupBy("doc_id").count().count() == 10
+    assert pii.replace(nothing(odd), "key").count() == 0 and packing.pack(odd).groupBy("doc_id").count().count() == 10
 
 
 # --- packing ---
@@ -359,7 +396,7 @@ def test_repeats_of_a_common_passage_beyond_a_block(spark):
     from tessera.llm.common import Stages
 
     texts = repeat_texts()
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string")
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "key long, key2 long, text string")
     spans = {r["key"]: [tuple(x) for x in r["spans"]] for r in bwt.repeated_spans(df, Stages(spark, "t"), block=300).collect()}
     plain = {r["key"]: [tuple(x) for x in r["spans"]] for r in bwt.repeated_spans(df, Stages(spark, "t")).collect()}
     cover = lambda own: {i for a, b in own for i in range(a, b)}
