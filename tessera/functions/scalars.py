@@ -80,6 +80,16 @@ def class_kind(base: Column) -> Column:
     return F.when(F.regexp_like(F.coalesce(base, F.lit("")), F.lit(rf"(^|\.)(Component|PureComponent){_AFTER}")), "component").otherwise("class")
 
 
+def reading_order(path: Column) -> list[Column]:
+    """Sort columns: as people sort names, then by code points."""
+    return [F.collate(path, "UNICODE"), path]
+
+
+def first_path(path: Column) -> Column:
+    """The first of a group by reading order, as an aggregate."""
+    return F.min(F.struct(F.collate(path, "UNICODE").alias("c"), path.alias("p")))["p"]
+
+
 def line_of(content: Column, offset: Column) -> Column:
     """Line number of a zero-based offset."""
     return line_count(F.substring(content, F.lit(1), offset))
@@ -98,8 +108,13 @@ def top_folder(path: Column) -> Column:
     return F.coalesce(F.nullif(F.split_part(path, F.lit("/"), F.lit(1)), F.lit("")), F.lit("."))
 
 
+def utf16_length(text: Column) -> Column:
+    """Characters beyond the basic plane count twice."""
+    return F.char_length(text) + F.char_length(text) - F.char_length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", ""))
+
+
 def token_estimate(text: Column, per_token: int = 3) -> Column:
-    return F.ceil(F.char_length(text) / per_token).cast("long")
+    return F.ceil(utf16_length(text) / per_token).cast("long")
 
 
 def fingerprint(items: Column) -> Column:

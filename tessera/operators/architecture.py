@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import mermaid_id, top_folder
+from ..functions.scalars import first_path, mermaid_id, reading_order, top_folder
 
 # What folders of these names do.
 RESPONSIBILITIES = {
@@ -43,12 +43,12 @@ def directories(files: DataFrame, edges: DataFrame) -> DataFrame:
     """repo_id, path, responsibility, files, inbound, outbound, ordinal; by number of files, ties by the first file.
     Edges of every kind count where they cross folders. files: repo_id, id, path."""
     f = files.withColumn("folder", top_folder(F.col("path")))
-    sizes = f.groupBy("repo_id", "folder").agg(F.count("*").alias("files"), F.min("path").alias("first"))
+    sizes = f.groupBy("repo_id", "folder").agg(F.count("*").alias("files"), first_path(F.col("path")).alias("first"))
     cross = placed_edges(edges, f).where(~F.col("src_folder").eqNullSafe(F.col("dst_folder")))
     ins = cross.groupBy("repo_id", F.col("dst_folder").alias("folder")).agg(F.count("*").alias("inbound"))
     outs = cross.groupBy("repo_id", F.col("src_folder").alias("folder")).agg(F.count("*").alias("outbound"))
     t = sizes.join(ins, ["repo_id", "folder"], "left").join(outs, ["repo_id", "folder"], "left")
-    w = Window.partitionBy("repo_id").orderBy(F.desc("files"), "first")
+    w = Window.partitionBy("repo_id").orderBy(F.desc("files"), *reading_order(F.col("first")))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return t.select("repo_id", F.col("folder").alias("path"), responsibility(F.col("folder")).alias("responsibility"), "files", zero("inbound"), zero("outbound"), F.row_number().over(w).alias("ordinal"))
 

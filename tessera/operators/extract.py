@@ -9,10 +9,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import callable_kind, class_kind, variable_kind
+from ..sources.tree import in_reading_order, ordinal
 from .lexer import Lines, scan
 
 FACTS = "repo_id string, file_id string, path string, rec string, pos int, name string, what string, exported boolean, start_line int, end_line int, base string, init string, callee string, spec string"
@@ -60,12 +61,13 @@ def facts(files: DataFrame, contents: DataFrame) -> DataFrame:
     return joined.select("repo_id", "file_id", "path", "content").mapInPandas(run, FACTS)
 
 
-def symbols(fact_rows: DataFrame) -> DataFrame:
-    """With kinds. Order: sources before single-file components, then path, then place."""
-    s = fact_rows.where("rec in ('symbol', 'vue-symbol')")
+def symbols(fact_rows: DataFrame, files: DataFrame) -> DataFrame:
+    """With kinds. Order: sources before single-file components, then path in reading order, then place."""
+    place = in_reading_order(files.select("repo_id", "id", "path")).select("repo_id", F.col("id").alias("file_id"), "place")
+    s = fact_rows.where("rec in ('symbol', 'vue-symbol')").join(place, ["repo_id", "file_id"])
     vue = F.when(F.col("what") == "function", "component").otherwise("variable")
     own = F.when(F.col("what") == "function", callable_kind(F.col("name"))).when(F.col("what") == "class", class_kind(F.col("base")))
     own = own.when(F.col("what") == "variable", variable_kind(F.col("name"), F.col("init"), F.coalesce("callee", F.lit("")))).otherwise(F.col("what"))
     kind = F.when(F.col("rec") == "vue-symbol", vue).otherwise(own)
-    w = Window.partitionBy("repo_id").orderBy(F.endswith(F.lower("path"), F.lit(".vue")), "path", "pos")
-    return s.select("repo_id", F.concat_ws(":", "file_id", "name").alias("id"), "file_id", "name", kind.alias("kind"), "exported", "start_line", "end_line", F.row_number().over(w).cast("long").alias("ordinal"))
+    at = ordinal(F.col("path"), F.col("place"), F.lit(0), F.col("pos"))
+    return s.select("repo_id", F.concat_ws(":", "file_id", "name").alias("id"), "file_id", "name", kind.alias("kind"), "exported", "start_line", "end_line", at.alias("ordinal"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,10 +76,21 @@ def parse_package(text: str | None) -> list[tuple[int, str, str]]:
     return out
 
 
+def package_rows(texts: DataFrame) -> DataFrame:
+    """repo_id, rank, name, version of repo_id, text: what package descriptions list; nothing of those that can't be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(r, *x) for r, t in zip(b["repo_id"], b["text"], strict=True) for x in parse_package(t)]
+            yield pd.DataFrame(rows, columns=["repo_id", "rank", "name", "version"])
+
+    return texts.select("repo_id", "text").mapInPandas(run, "repo_id string, rank int, name string, version string")
+
+
 def stack(files: DataFrame, deps: DataFrame) -> DataFrame:
     """One row per repo_id of files. deps: repo_id, deps (a map)."""
     ranked = files.select("repo_id", "path", language_label(F.col("path")).alias("label"))
-    labels = ranked.groupBy("repo_id", "label").agg(F.min("path").alias("first")).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("first", "label"))).alias("ls"))
+    labels = ranked.groupBy("repo_id", "label").agg(F.min(F.struct(F.collate("path", "UNICODE").alias("c"), "path")).alias("first")).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("first", "label"))).alias("ls"))
     entry = files.groupBy("repo_id").agg(F.bool_or(F.col("path").isin(*APP_ENTRIES)).alias("app"))
     t = labels.join(entry, "repo_id").join(deps, "repo_id", "left").withColumn("deps", F.coalesce("deps", F.create_map().cast("map<string,string>")))
     d = F.col("deps")

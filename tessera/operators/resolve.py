@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import posixpath
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tree import in_reading_order, ordinal
+
 # What may stand for a missing suffix, and index files of folders.
 SUFFIXES = (".ts", ".tsx", ".d.ts", ".js", ".jsx")
 INDEXES = ("index.ts", "index.tsx", "index.d.ts", "index.js", "index.jsx")
@@ -21,16 +23,53 @@ REPLACED = {".js": (".ts", ".tsx"), ".jsx": (".tsx",), ".mjs": (".mts",), ".cjs"
 
 
 def parse_config(text: str | None) -> dict:
-    """baseUrl and paths of a compiler configuration with comments and closing commas; {} where it can't be read."""
+    """baseUrl, paths and extends of a compiler configuration with comments and closing commas; {} where it can't be read."""
     if not text:
         return {}
     kept = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
     kept = re.sub(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])', lambda m: m[1] or "", kept)
     try:
-        options = json.loads(kept).get("compilerOptions", {})
+        whole = json.loads(kept)
+        options = whole.get("compilerOptions", {})
     except (ValueError, AttributeError):
         return {}
-    return {k: options[k] for k in ("baseUrl", "paths") if k in options} if isinstance(options, dict) else {}
+    out = {k: options[k] for k in ("baseUrl", "paths") if k in options} if isinstance(options, dict) else {}
+    return out | ({"extends": whole["extends"]} if "extends" in whole else {})
+
+
+def load_config(read: Callable[[str], str | None], name: str, above: tuple[str, ...] = ()) -> dict:
+    """baseUrl and paths of the configuration at a path, with those of the ones it extends by relative paths, later ones winning; a
+    configuration's folders are made relative to the root. read: the text at a path from the root, or None."""
+    own = parse_config(read(name))
+    folder, out = posixpath.dirname(name), {}
+    parents = own.pop("extends", ())
+    for parent in [parents] if isinstance(parents, str) else parents:
+        at = posixpath.normpath(posixpath.join(folder, parent))
+        for path in (at, at + ".json"):
+            if parent.startswith(".") and path not in (*above, name) and read(path) is not None:
+                out |= load_config(read, path, (*above, name))
+                break
+    if "baseUrl" in own:
+        own["baseUrl"] = posixpath.normpath(posixpath.join(folder, own["baseUrl"]))
+    if "paths" in own:
+        own["base"] = own.get("baseUrl", out.get("baseUrl", folder or "."))
+    return out | own
+
+
+def config_rows(texts: DataFrame) -> DataFrame:
+    """repo_id, base_url, paths (a map) of repo_id, text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [load_config({"tsconfig.json": t}.get, "tsconfig.json") for t in b["text"]]
+            yield pd.DataFrame({"repo_id": b["repo_id"], "base_url": [c.get("baseUrl") for c in found], "paths": [c.get("paths") for c in found]})
+
+    return texts.select("repo_id", "text").mapInPandas(run, "repo_id string, base_url string, paths map<string,array<string>>")
+
+
+def leaves_root(spec: str, source: str) -> bool:
+    """Whether a relative specifier names something outside the tree."""
+    return spec.startswith(".") and posixpath.normpath(posixpath.join(posixpath.dirname(source), spec)).startswith("..")
 
 
 def _norm(path: str) -> str | None:
@@ -66,7 +105,7 @@ def candidates(spec: str, source: str, config: dict) -> list[str]:
             head, _, tail = pattern.partition("*")
             middle = spec[len(head) : len(spec) - len(tail)] if "*" in pattern else ""
             for target in paths[pattern]:
-                found += _files(posixpath.join(root or ".", target.replace("*", middle)))
+                found += _files(posixpath.join(config.get("base") or root or ".", target.replace("*", middle)))
         if root is not None:
             found += _files(posixpath.join(root, spec))
     seen = dict.fromkeys(p for p in map(_norm, found) if p and (source.lower().endswith(".vue") or not p.lower().endswith(".vue")))
@@ -74,44 +113,46 @@ def candidates(spec: str, source: str, config: dict) -> list[str]:
 
 
 def with_candidates(specs: DataFrame, configs: dict[str, dict]) -> DataFrame:
-    """specs (repo_id, path, spec, any others) with rank and candidate, a row each."""
+    """Distinct repo_id, path, spec with candidates, and outside: whether the specifier leaves the tree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(candidates=[candidates(s, p, configs.get(r) or {}) for r, p, s in zip(b["repo_id"], b["path"], b["spec"], strict=True)])
+            yield b.assign(candidates=[candidates(s, p, configs.get(r) or {}) for r, p, s in zip(b["repo_id"], b["path"], b["spec"], strict=True)], outside=[leaves_root(s, p) for p, s in zip(b["path"], b["spec"], strict=True)])
 
     pairs = specs.select("repo_id", "path", "spec").distinct()
-    made = pairs.mapInPandas(run, "repo_id string, path string, spec string, candidates array<string>")
-    return specs.join(made, ["repo_id", "path", "spec"]).select(*specs.columns, F.posexplode("candidates").alias("rank", "candidate"))
+    return pairs.mapInPandas(run, "repo_id string, path string, spec string, candidates array<string>, outside boolean")
 
 
 def ranked_match(ranked: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
     """key and the best target. An exact path beats one that agrees but for case; then the better rank; of files that differ in case alone
-    the last by path. ranked: repo_id, rank, candidate and the key; files: repo_id, id, path."""
+    the last in reading order. ranked: repo_id, rank, candidate and the key; files: repo_id, id, path."""
     exact = ranked.join(files.select("repo_id", F.col("path").alias("candidate"), F.col("id").alias("target")), ["repo_id", "candidate"])
-    lower = files.groupBy("repo_id", F.lower("path").alias("low")).agg(F.max_by("id", "path").alias("target"))
+    lower = files.groupBy("repo_id", F.lower("path").alias("low")).agg(F.max_by("id", F.struct(F.collate("path", "UNICODE").alias("c"), "path")).alias("target"))
     loose = ranked.withColumn("low", F.lower("candidate")).join(lower, ["repo_id", "low"])
     both = exact.select(*key, "rank", "target", F.lit(0).alias("loose")).unionByName(loose.select(*key, "rank", "target", F.lit(1).alias("loose")))
     return both.groupBy(*key).agg(F.min_by("target", F.struct("loose", "rank")).alias("target"))
 
 
 def dependency_edges(fact_rows: DataFrame, files: DataFrame, configs: dict[str, dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges, unresolved specifiers, resolved specifiers). Import edges: static ones, re-exports, then dynamic ones of a
+    """(edges, unresolved specifiers, resolved specifiers). unresolved: repo_id, path, spec, outside (it leaves the tree; other ones are packages, or files
+    that a scan leaves out). Import edges: static ones, re-exports, then dynamic ones of a
     file, then render edges; a file's edge to itself is none."""
     deps = fact_rows.where("rec in ('import', 'export', 'dynamic')").select("repo_id", "file_id", "path", "rec", "pos", "spec", "start_line")
     specs = deps.select("repo_id", "path", "spec").distinct()
-    resolved = ranked_match(with_candidates(specs, configs), files, ["repo_id", "path", "spec"])
+    made = with_candidates(specs, configs)
+    ranked = made.select("repo_id", "path", "spec", F.posexplode("candidates").alias("rank", "candidate"))
+    resolved = ranked_match(ranked, files, ["repo_id", "path", "spec"])
     hits = deps.join(resolved, ["repo_id", "path", "spec"])
     section = F.array_position(F.array(*map(F.lit, ("import", "export", "dynamic"))), F.col("rec")).cast("int")
-    place = F.struct("file", "line")
     imports = hits.where("target <> file_id").select("repo_id", F.col("file_id").alias("src"), F.col("target").alias("dst"), F.lit("import").alias("kind"), F.col("path").alias("file"), F.col("start_line").alias("line"), section.alias("section"), "pos")
-    unresolved = specs.join(resolved, ["repo_id", "path", "spec"], "left_anti")
+    unresolved = made.select("repo_id", "path", "spec", "outside").join(resolved, ["repo_id", "path", "spec"], "left_anti")
     local = fact_rows.where("rec = 'name'").join(resolved, ["repo_id", "path", "spec"])
     local = local.groupBy("repo_id", "file_id", "name").agg(F.max_by("target", "pos").alias("target"))  # the last import of a name counts
     tags = fact_rows.where("rec = 'tag'").select("repo_id", "file_id", "path", F.split_part("name", F.lit("."), F.lit(1)).alias("name"), "pos", "start_line").where(F.regexp_like("name", F.lit("^[A-Z]")))
     drawn = tags.join(local, ["repo_id", "file_id", "name"]).where("target <> file_id")
     renders = drawn.groupBy("repo_id", "file_id", "path", "target").agg(F.min(F.struct("pos", "start_line")).alias("x"))
     renders = renders.select("repo_id", F.col("file_id").alias("src"), F.col("target").alias("dst"), F.lit("render").alias("kind"), F.col("path").alias("file"), F.col("x.start_line").alias("line"), F.lit(4).alias("section"), F.col("x.pos").alias("pos"))
-    w = Window.partitionBy("repo_id").orderBy(F.endswith(F.lower("file"), F.lit(".vue")), "file", "section", "pos")
-    edges = imports.unionByName(renders).select("repo_id", "src", "dst", "kind", place.alias("location"), F.row_number().over(w).cast("long").alias("ordinal"))
+    at = in_reading_order(files.select("repo_id", "id", "path")).select("repo_id", F.col("id").alias("src"), "place")
+    every = imports.unionByName(renders).join(at, ["repo_id", "src"])
+    edges = every.select("repo_id", "src", "dst", "kind", F.struct("file", "line").alias("location"), ordinal(F.col("file"), F.col("place"), F.col("section"), F.col("pos")).alias("ordinal"))
     return edges, unresolved, resolved

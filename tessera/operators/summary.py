@@ -8,6 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import reading_order
 from ..schema import NARRATION
 
 # The longest lists of a summary, and characters per token.
@@ -16,7 +17,7 @@ CHARS_PER_TOKEN = 3
 
 
 def hotspots(files: DataFrame, edges: DataFrame, most: int | None = HOTSPOTS) -> DataFrame:
-    """repo_id, path, line_count, complexity, inbound, outbound by complexity + 3 * inbound, ties by path; imports only.
+    """repo_id, path, line_count, complexity, inbound, outbound by complexity + 3 * inbound, ties by path in reading order; imports only.
     With most, so many of each repository."""
     imports = edges.where("kind = 'import'")
     ins = imports.groupBy("repo_id", F.col("dst").alias("id")).agg(F.count("*").alias("inbound"))
@@ -24,7 +25,7 @@ def hotspots(files: DataFrame, edges: DataFrame, most: int | None = HOTSPOTS) ->
     t = files.join(ins, ["repo_id", "id"], "left").join(outs, ["repo_id", "id"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     t = t.select("repo_id", "path", "line_count", "complexity", zero("inbound"), zero("outbound"))
-    w = Window.partitionBy("repo_id").orderBy(F.desc(F.col("complexity") + 3 * F.col("inbound")), "path")
+    w = Window.partitionBy("repo_id").orderBy(F.desc(F.col("complexity") + 3 * F.col("inbound")), *reading_order(F.col("path")))
     t = t.withColumn("ordinal", F.row_number().over(w))
     return t.where(F.col("ordinal") <= most) if most else t
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
+import os
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -31,6 +34,17 @@ class Options:
     output: str | None = None
     persist: bool = True
 
+    @classmethod
+    def from_environment(cls, env: Mapping[str, str] | None = None, **more) -> Options:
+        """From TESSERA_OUTPUT, TESSERA_PERSIST (0: no), and TESSERA_PLANNER and TESSERA_NARRATOR, each "module:function"."""
+        env = os.environ if env is None else env
+
+        def named(where: str | None) -> Callable | None:
+            module, _, name = (where or "").partition(":")
+            return getattr(importlib.import_module(module), name) if name else None
+
+        return cls(**{"planner": named(env.get("TESSERA_PLANNER")), "narrator": named(env.get("TESSERA_NARRATOR")), "output": env.get("TESSERA_OUTPUT"), "persist": env.get("TESSERA_PERSIST") != "0"} | more)
+
 
 @dataclass
 class Analysis:
@@ -71,15 +85,16 @@ def tables(spark: SparkSession, root: str, repo_id: str | None = None) -> Analys
     repo_id = repo_id or root
     files, contents = read_tree(spark, root, repo_id)
     files, contents = files.persist(), contents.persist()
-    config = resolve.parse_config(_text(Path(root, "tsconfig.json")) or _text(Path(root, "jsconfig.json")))
+    read = lambda name: _text(Path(root, name))
+    config = resolve.load_config(read, "tsconfig.json" if read("tsconfig.json") else "jsconfig.json")
     facts = extract.facts(files, contents).persist()
-    symbols = extract.symbols(facts).persist()
+    symbols = extract.symbols(facts, files).persist()
     edges, unresolved, _ = resolve.dependency_edges(facts, files, {repo_id: config})
     edges = edges.persist()
     cycles = graph.components(files, edges).persist()
     front = rules.frontend_findings(contents).withColumn("ordinal", F.lit(1 << 30).cast("long"))
     findings = graph.cycle_findings(cycles).unionByName(front)
-    deps = spark.createDataFrame([(repo_id, *x) for x in metrics.parse_package(_text(Path(root, "package.json")))], "repo_id string, rank int, name string, version string")
+    deps = metrics.package_rows(spark.createDataFrame([(repo_id, read("package.json"))], "repo_id string, text string"))
     stack_row = metrics.stack(files, metrics.merged_dependencies(deps)).first()
     found = stack_row.asDict() if stack_row else {"framework": None, "framework_version": None, "build_tool": None, "state_management": [], "language": [], "router": None, "confidence": 0.25, "evidence": []}
     stack = {"framework": found["framework"], "frameworkVersion": found["framework_version"], "buildTool": found["build_tool"], "stateManagement": list(found["state_management"]), "language": list(found["language"]), "router": found["router"], "confidence": found["confidence"], "evidence": list(found["evidence"])}
@@ -119,6 +134,8 @@ def run_analysis(spark: SparkSession, root: str, options: Options | None = None)
         s.detail = a.stack["framework"] or "unknown"
     with log.step("parseSemantic") as s:
         s.detail = f"{a.symbols.count()} symbols, {a.edges.count()} edges"
+        if left := a.unresolved.where("outside").select("spec").distinct().count():
+            s.detail += f", {left} modules outside the tree left out"
     with log.step("analyzeArchitecture") as s:
         s.detail = f"{a.directories.count()} modules"
         mermaid = "\n".join(r["line"] for r in architecture.layer_mermaid(a.layers).orderBy("line_no").collect()) or "graph TD"
@@ -127,7 +144,7 @@ def run_analysis(spark: SparkSession, root: str, options: Options | None = None)
     with log.step("quality") as s:
         s.detail = f"score {a.metrics['score']}"
     with log.step("frontend"):
-        found = [r.asDict() for r in a.findings.orderBy("ordinal", "rule", "files").collect()]
+        found = [r.asDict() for r in a.findings.orderBy("ordinal", "rule", "files").toLocalIterator()]  # a report lists them all
     with log.step("retrieveContext") as s:
         if o.query:
             a.plan = plan_query(o.query, o.planner)
@@ -171,5 +188,18 @@ class Runs:
         future: Future = self.futures[run_id]
         return "running" if not future.done() else "failed" if future.exception() else "completed"
 
+    def frames(self, run_id: str, every: float = 0.2) -> Iterator[tuple[str, dict]]:
+        """(event name, payload): what has happened first, then what comes, and in any case a closing done."""
+        at = 0
+        while True:
+            status = self.status(run_id)  # before the events: none is missed
+            for event in self.events[run_id][at:]:
+                at += 1
+                yield "progress", event
+            if status != "running":
+                yield "done", {"run_id": run_id, "status": status}
+                return
+            time.sleep(every)
+
     def result(self, run_id: str, timeout: float | None = None) -> Analysis:
         return self.futures[run_id].result(timeout)

@@ -29,7 +29,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--json", action="store_true")
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("tessera").getOrCreate()
-    a = run_analysis(spark, args.folder, Options(query=args.query, listener=None if args.json else lambda e: print(progress_line(e))))
+    a = run_analysis(spark, args.folder, Options.from_environment(query=args.query, listener=None if args.json else lambda e: print(progress_line(e))))
     print(json.dumps({"report": a.report, "queryPlan": a.plan, "retrieval": a.retrieval}, ensure_ascii=False, indent=2) if args.json else summary_text(a))
     return 0
 

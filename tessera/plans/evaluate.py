@@ -1,40 +1,71 @@
-"""Expected facts of small source trees checked against an analysis."""
+"""Expected facts of small source trees checked against an analysis.
+
+    python -m tessera.plans.evaluate FOLDER     # every folder in it that has an expected.json; exit code 1 if any regressed
+"""
 
 from __future__ import annotations
 
+import argparse
 import json
+import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import fingerprint
 from ..operators import architecture
 from ..operators.summary import estimated_tokens
 from .analysis import Analysis, narration_context, tables
 
+EXPECTED = "expected.json"
+
 
-def outcome(status: str, passed: bool) -> str:
+def outcome(status: Column, passed: Column) -> Column:
     """expected-pass: PASS or REGRESSION; known-failure: FIXED or KNOWN-FAIL."""
-    return ("FIXED" if passed else "KNOWN-FAIL") if status == "known-failure" else ("PASS" if passed else "REGRESSION")
+    known = status == "known-failure"
+    return F.when(known & passed, "FIXED").when(known, "KNOWN-FAIL").when(passed, "PASS").otherwise("REGRESSION")
+
+
+def met(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """expected (any columns, kind, fact) with ok: whether the fact is there. More facts may be. found: kind, fact, and the columns
+    that expected shares with it."""
+    key = [c for c in found.columns if c in expected.columns]
+    return expected.join(found.select(*key).distinct().withColumn("ok", F.lit(True)), key, "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+
+
+def verdicts(checks: DataFrame, statuses: DataFrame) -> DataFrame:
+    """name, checks, passed, outcome of each of statuses (name, status): one without checks doesn't pass. checks: name, ok."""
+    per = checks.groupBy("name").agg(F.count("*").alias("checks"), F.bool_and("ok").alias("all_ok"))
+    out = statuses.join(per, "name", "left").select("name", "status", F.coalesce("checks", F.lit(0)).cast("long").alias("checks"), F.coalesce("all_ok", F.lit(False)).alias("passed"))
+    return out.select("name", "checks", "passed", outcome(F.col("status"), F.col("passed")).alias("outcome"))
+
+
+def tally(found: DataFrame) -> DataFrame:
+    """outcome, n and the share of all."""
+    per = found.groupBy("outcome").agg(F.count("*").alias("n"))
+    return per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("of")))).select("outcome", "n", (F.col("n") / F.col("of")).alias("share"))  # one row
 
 
-def fingerprint(paths: list[str]) -> str:
-    return " | ".join(sorted(paths))
+def facts(a: Analysis) -> DataFrame:
+    """kind, fact: what expectations may name, as tables; nothing is collected."""
+    edge = F.concat_ws(" ", "src_path", "kind", "dst_path")
+    cycles = a.cycles.select(F.lit("cycle").alias("kind"), fingerprint(F.col("files")).alias("fact"))
+    names = a.symbols.where("kind = 'component'").select(F.lit("component").alias("kind"), F.col("name").alias("fact"))
+    edges = architecture.edge_paths(a.edges, a.files).select(F.lit("edge").alias("kind"), edge.alias("fact"))
+    return cycles.unionByName(names).unionByName(edges)
 
 
-def checks(a: Analysis, expect: dict) -> list[tuple[str, bool]]:
+def wanted(expect: dict) -> list[tuple[str, str]]:
+    out = [("cycle", " | ".join(sorted(c))) for c in expect.get("cycles", ())]
+    out += [("component", n) for n in expect.get("components", ())]
+    return out + [("edge", f"{e['from']} {e['kind']} {e['to']}") for e in expect.get("edges", ())]
+
+
+def checks(spark: SparkSession, a: Analysis, expect: dict) -> list[tuple[str, bool]]:
     """Listed facts must exist; more may."""
-    out: list[tuple[str, bool]] = []
-    if "cycles" in expect:
-        found = {fingerprint(r["files"]) for r in a.cycles.select("files").collect()}
-        out += [(f"cycle {fingerprint(c)}", fingerprint(c) in found) for c in expect["cycles"]]
-    if "components" in expect:
-        names = {r["name"] for r in a.symbols.where("kind = 'component'").select("name").distinct().collect()}
-        out += [(f"component {n}", n in names) for n in expect["components"]]
-    if "edges" in expect:
-        rows = architecture.edge_paths(a.edges, a.files).select("src_path", "dst_path", "kind").distinct().collect()
-        found_edges = {tuple(r) for r in rows}
-        out += [(f"edge {e['from']} {e['kind']} {e['to']}", (e["from"], e["to"], e["kind"]) in found_edges) for e in expect["edges"]]
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(wanted(expect))], "i int, kind string, fact string")
+    out = [(f"{r['kind']} {r['fact']}", r["ok"]) for r in met(rows, facts(a)).orderBy("i").collect()] if wanted(expect) else []
     if "metrics" in expect:
         m = expect["metrics"]
         if "score" in m:
@@ -52,13 +83,45 @@ def checks(a: Analysis, expect: dict) -> list[tuple[str, bool]]:
     return out
 
 
+def folders(root: str) -> list[str]:
+    """Folders under root that have an expected.json, by name."""
+    return [os.path.join(root, d) for d in sorted(os.listdir(root)) if os.path.isfile(os.path.join(root, d, EXPECTED))]
+
+
+def evaluate_all(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, list[tuple[str, str, bool]]]:
+    """(verdicts, each check) of folders with an expected.json."""
+    statuses, done = [], []
+    for folder in roots:
+        expected = json.loads(Path(folder, EXPECTED).read_text(encoding="utf-8"))
+        name = os.path.basename(os.path.normpath(folder))
+        statuses.append((name, expected.get("status", "expected-pass")))
+        done += [(name, what, ok) for what, ok in checks(spark, tables(spark, folder), expected.get("expect", {}))]
+    return verdicts(spark.createDataFrame(done, "name string, what string, ok boolean"), spark.createDataFrame(statuses, "name string, status string")), done
+
+
 def evaluate(spark: SparkSession, folder: str) -> tuple[str, list[tuple[str, bool]]]:
-    """(outcome, checks) of a folder with an expected.json; one without checks doesn't pass."""
-    expected = json.loads(Path(folder, "expected.json").read_text(encoding="utf-8"))
-    done = checks(tables(spark, folder), expected.get("expect", {}))
-    return outcome(expected.get("status", "expected-pass"), bool(done) and all(ok for _, ok in done)), done
+    """(outcome, checks) of one folder."""
+    found, done = evaluate_all(spark, [folder])
+    return found.first()["outcome"], [(what, ok) for _, what, ok in done]
+
+
+def main(argv: list[str] | None = None) -> int:
+    """1 if any folder has regressed, 0 otherwise."""
+    p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    p.add_argument("folder")
+    args = p.parse_args(argv)
+    spark = SparkSession.builder.appName("tessera-evaluate").getOrCreate()
+    found, done = evaluate_all(spark, folders(args.folder))
+    rows = found.orderBy("name").collect()
+    for r in rows:
+        print(f"{r['outcome']:<12}{r['name']}")
+        for name, what, ok in done:
+            if name == r["name"] and not ok:
+                print(f"            missing: {what}")
+    for t in tally(found).orderBy("outcome").collect():
+        print(f"{t['n']:>4} {t['outcome']} ({t['share']:.0%})")
+    return int(any(r["outcome"] == "REGRESSION" for r in rows))
 
 
-def tally(spark: SparkSession, outcomes: list[str]):
-    rows = spark.createDataFrame([(o,) for o in outcomes], "outcome string")
-    return rows.groupBy("outcome").agg(F.count("*").alias("n"))
+if __name__ == "__main__":
+    raise SystemExit(main())

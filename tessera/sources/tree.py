@@ -5,11 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.scalars import IGNORED_ENDINGS, IGNORED_FOLDERS, LANGUAGES, complexity, content_hash, decoded, file_id, language, line_count
+from ..functions.scalars import IGNORED_ENDINGS, IGNORED_FOLDERS, LANGUAGES, complexity, content_hash, decoded, file_id, language, line_count, reading_order
 
 PER_TASK = 500
 OUTPUT_FOLDER = ".tessera"
@@ -93,6 +93,15 @@ def file_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files, rows.select("repo_id", "path", "content")
 
 
-def in_reading_order(files: DataFrame) -> DataFrame:
-    """By path as people sort names, then by code points."""
-    return files.orderBy(F.collate("path", "UNICODE"), "path")
+def in_reading_order(files: DataFrame, column: str = "place") -> DataFrame:
+    """files with their place in their repository, from 0 on: by path as people sort names, then by code points. Only what files has is
+    sorted, not what is found in them."""
+    w = Window.partitionBy("repo_id").orderBy(*reading_order(F.col("path")))
+    return files.withColumn(column, F.row_number().over(w).cast("long") - 1)
+
+
+def ordinal(path: Column, place: Column, section: Column, pos: Column) -> Column:
+    """One number for the order of what is found in files: sources before single-file components, then the file's place, the section
+    (below 16) and the position (below 2 ** 28) in it. It needs no sort of its own."""
+    vue = F.when(F.endswith(F.lower(path), F.lit(".vue")), F.lit(1 << 62)).otherwise(F.lit(0))
+    return (vue.cast("long") + F.shiftleft(place.cast("long"), 32) + F.shiftleft(section.cast("long"), 28) + pos).cast("long")

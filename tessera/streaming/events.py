@@ -82,6 +82,14 @@ def run_status(events: DataFrame, last: Column | None = None) -> DataFrame:
     return events.groupBy("run_id").agg(F.when(F.bool_or(F.col("phase") == "error"), "failed").when(F.bool_or(closing), "completed").otherwise("running").alias("status"))
 
 
+def replayed_frames(events: DataFrame, status: DataFrame) -> DataFrame:
+    """run_id, n, name, payload: the frames of each run's history in order, and a closing done for each that isn't running.
+    status: run_id, status."""
+    own = events.select("run_id", F.col("seq").alias("n"), F.lit("progress").alias("name"), F.to_json(F.struct("node", "phase", "seq")).alias("payload"))
+    last = events.groupBy("run_id").agg((F.max("seq") + 1).alias("n")).join(status.where("status <> 'running'"), "run_id")
+    return own.unionByName(last.select("run_id", "n", F.lit("done").alias("name"), F.to_json(F.struct("status")).alias("payload")))
+
+
 def retained_runs(runs: DataFrame, most: int = MOST_FINISHED) -> DataFrame:
     """All running ones and the newest finished ones. runs: run_id, status, started."""
     done = runs.where("status <> 'running'").orderBy(F.desc("started"), "run_id").limit(most)

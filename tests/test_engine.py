@@ -201,20 +201,50 @@ def test_long_rings_need_no_recursion():
     assert len(found) == 1 and len(found[0]) == n and len(graph.shortest_loop(found[0], ring)) == n + 1
 
 
-def test_components_by_reach_agree(spark):
+def test_components_by_joins_agree(spark):
     import random
 
-    from tests.shared import Shelf
-
     rng = random.Random(5)
-    pairs = [(rng.randrange(14), rng.randrange(14)) for _ in range(22)]
-    pairs = [(a, b) for a, b in pairs if a != b]
-    edges: dict = {}
-    for a, b in pairs:
-        edges.setdefault(a, []).append(b)
-    want = {m: min(g) for g in graph.strong_components(list(range(14)), edges) for m in g}
-    got = graph.components_by_reach(spark.createDataFrame(pairs, "a long, b long"), Shelf(spark).put)
-    assert {r["node"]: r["component"] for r in got.collect()} == want
+    files, rows = [], []
+    for r in range(4):
+        names = [f"{rng.choice('aBcD')}{i}.ts" for i in range(14)]
+        files += [(f"r{r}", n, n) for n in names]
+        rows += [(f"r{r}", rng.choice(names), rng.choice([*names, "gone.ts"]), "import", k) for k in range(10 + 6 * r)]
+    files, edges = spark.createDataFrame(files, "repo_id string, id string, path string"), spark.createDataFrame(rows, "repo_id string, src string, dst string, kind string, ordinal long").where("src <> dst")
+    plain = {(r["repo_id"], frozenset(r["files"])) for r in graph.components(files, edges).collect()}
+    joined = graph.components(files, edges, most_edges=16).collect()  # the last two repositories go through joins
+    assert plain and {(r["repo_id"], frozenset(r["files"])) for r in joined} == plain
+    arcs = {(r["repo_id"], r["src"], r["dst"]) for r in edges.collect()}
+    for r in graph.components(files, edges, most_edges=0).collect():
+        loop, own = r["loop"], {a: [d for q, s, d in sorted(arcs) if q == r["repo_id"] and s == a] for a in r["files"]}
+        assert loop[0] == loop[-1] == r["files"][0] and all((r["repo_id"], a, b) in arcs for a, b in zip(loop, loop[1:], strict=False))
+        assert len(loop) == len(graph.shortest_loop(r["files"], own))
+    assert graph.components(files.where("false"), edges.where("false"), most_edges=0).count() == 0
+
+
+def test_configurations_that_extend_others():
+    texts = {"tsconfig.json": '{"extends": "./conf/base", "compilerOptions": {"paths": {"@/*": ["src/*"]}}}', "conf/base.json": '{"extends": ["./missing", "../tsconfig.json"], "compilerOptions": {"baseUrl": "..", "paths": {"~/*": ["x/*"]}}}'}
+    found = resolve.load_config(texts.get, "tsconfig.json")
+    assert found == {"baseUrl": ".", "paths": {"@/*": ["src/*"]}, "base": "."} and "src/a.ts" in resolve.candidates("@/a", "b.ts", found)
+    assert resolve.load_config({"c/t.json": '{"compilerOptions": {"paths": {"@/*": ["s/*"]}}}'}.get, "c/t.json")["base"] == "c"
+    assert resolve.leaves_root("../../x", "src/a.ts") and not resolve.leaves_root("../x", "src/a.ts") and not resolve.leaves_root("react", "a.ts")
+
+
+def test_options_from_the_environment():
+    o = Options.from_environment({"TESSERA_PLANNER": "json:loads", "TESSERA_OUTPUT": "/x", "TESSERA_PERSIST": "0"}, query="q")
+    assert o.planner is json.loads and o.narrator is None and (o.output, o.persist, o.query) == ("/x", False, "q")
+
+
+def test_folder_of_expectations(spark, trees, tmp_path, capsys, monkeypatch):
+    import shutil
+
+    for name, status in (("good", "expected-pass"), ("bad", "expected-pass"), ("known", "known-failure")):
+        shutil.copytree(trees / "relative", tmp_path / name, dirs_exist_ok=True)
+        expect = {"cycles": [["src/a.ts", "src/b.ts"]]} if name == "good" else {"cycles": [["src/a.ts", "src/zz.ts"]]}
+        (tmp_path / name / "expected.json").write_text(json.dumps({"status": status, "expect": expect}))
+    assert ev.main([str(tmp_path)]) == 1 and "REGRESSION  bad" in capsys.readouterr().out
+    (tmp_path / "bad" / "expected.json").unlink()
+    assert ev.main([str(tmp_path)]) == 0
 
 
 def test_report_escapes_and_says_what_is_missing():
@@ -223,5 +253,6 @@ def test_report_escapes_and_says_what_is_missing():
     assert "未发现问题" in text and "未识别" in text
 
 
-def test_outcomes():
-    assert [ev.outcome(s, p) for s in ("expected-pass", "known-failure") for p in (True, False)] == ["PASS", "REGRESSION", "FIXED", "KNOWN-FAIL"]
+def test_outcomes(spark):
+    rows = spark.createDataFrame([(s, p) for s in ("expected-pass", "known-failure") for p in (True, False)], "s string, p boolean")
+    assert [r[0] for r in rows.select(ev.outcome(rows["s"], rows["p"])).collect()] == ["PASS", "REGRESSION", "FIXED", "KNOWN-FAIL"]
