@@ -35,5 +35,8 @@ class Store:
     def runs(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/runs")
 
+    def files(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/files")
+
     def checkpoints(self) -> DataFrame:
         return latest_checkpoints(self.spark.read.schema(CHECKPOINTS).parquet(f"{self.folder}/checkpoints"))

@@ -1,19 +1,27 @@
 """The engine's operators over the driver's tables: adapters that make repository-model relations of them, one query per
 operator, and the SQL that must give the same rows.
 
-Adapters: documents as files; users as nodes of a hop graph (one repository per remainder of 7); links of pages as specifiers;
-capitalised words as symbols; events as the progress log.
+Adapters: documents as files; users as files of a hop graph, with a repository for each day of the month (a hop goes from an event to the next one of its
+type and day); parts as small source files with imports, declarations and markup; links of pages as specifiers; capitalised words as symbols;
+events as the progress log. Adapters only make tables: what a query is named after is a function of the engine.
 """
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as fn
-from .operators import architecture, graph, metrics, resolve, retrieval, rules, summary
+from .operators import architecture, extract, graph, metrics, resolve, retrieval, rules, summary
+from .plans import evaluate, report
+from .plans.store import Store
+from .sources.tree import in_reading_order
+from .staging import Stages, shared_dir
 from .streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,8 +59,9 @@ def doc_path() -> Column:
     return F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("."), ext))
 
 
-def doc_contents(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "documents").select(F.col("lang").alias("repo_id"), "doc_id", doc_path().alias("path"), F.col("text").alias("content"))
+def doc_contents(spark: SparkSession, sf: str, before: Column | None = None) -> DataFrame:
+    text = F.col("text") if before is None else F.concat(before, "text")
+    return t(spark, sf, "documents").select(F.col("lang").alias("repo_id"), "doc_id", doc_path().alias("path"), text.alias("content"))
 
 
 def doc_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,6 +71,8 @@ def doc_files(spark: SparkSession, sf: str) -> DataFrame:
 
 DOCS = """docs AS (SELECT lang AS repo_id, doc_id, source || '/' || lang || '/' || doc_id || '.' ||
   CASE doc_id % 5 WHEN 0 THEN 'ts' WHEN 1 THEN 'tsx' WHEN 2 THEN 'js' WHEN 3 THEN 'jsx' ELSE 'vue' END AS path, text AS content FROM documents)"""
+HOOK = "if (a) { useThing(1) } "
+DOCS_CODE = DOCS.replace("text AS content", f"CASE WHEN doc_id % 3 = 0 THEN '{HOOK}' ELSE '' END || text AS content")
 LINES = "CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS BIGINT)"
 BRANCHES = r"""CAST(len(regexp_extract_all(content, '\b(?:if|for|while|case|catch)\b|&&|\|\||\?')) + 1 AS BIGINT)"""
 
@@ -101,9 +112,14 @@ def language_set(spark, sf):
     return doc_contents(spark, sf).groupBy("repo_id", fn.language_label(F.col("path")).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, CAST(length(left(content, doc_id % 500)) - length(replace(left(content, doc_id % 500), chr(10), '')) + 1 AS BIGINT) AS line FROM docs")
+_OFFSET = "CAST(length(content) * (doc_id % 101) // 100 AS BIGINT)"
+
+
+@query(f"WITH {DOCS} SELECT doc_id, CAST(length(left(content, {_OFFSET})) - length(replace(left(content, {_OFFSET}), chr(10), '')) + 1 AS BIGINT) AS line FROM docs")
 def line_of(spark, sf):
-    return doc_contents(spark, sf).select("doc_id", fn.line_of(F.col("content"), (F.col("doc_id") % 500).cast("int")).cast("long").alias("line"))
+    """Offsets from the beginning to the end of whole texts."""
+    offset = F.call_function("div", F.char_length("content") * (F.col("doc_id") % 101), F.lit(100)).cast("int")
+    return doc_contents(spark, sf).select("doc_id", fn.line_of(F.col("content"), offset).cast("long").alias("line"))
 
 
 @query("SELECT s_suppkey, regexp_replace(s_name || '/a-b.tsx', '[^A-Za-z0-9_]', '_', 'g') AS node FROM supplier")
@@ -116,11 +132,9 @@ def to_score(spark, sf):
     return t(spark, sf, "supplier").select("s_suppkey", fn.to_score(F.col("s_acctbal") / 50).cast("long").alias("score"))
 
 
-@query()
+@query(f"WITH {DOCS} SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path COLLATE en, path) - 1 AS place FROM docs")
 def path_rank(spark, sf):
-    """Order of people's sorting: DuckDB has none built in."""
-    w = Window.partitionBy("repo_id").orderBy(F.collate("path", "UNICODE"), "path")
-    return doc_contents(spark, sf).select("repo_id", "path", F.row_number().over(w).alias("ordinal"))
+    return in_reading_order(doc_contents(spark, sf).select("repo_id", "path"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
@@ -128,9 +142,23 @@ def html_escape(spark, sf):
     return t(spark, sf, "pages").select("page_id", fn.html_escape(F.col("html")).alias("escaped"))
 
 
-@query("SELECT page_id, CAST(ceil(length(html) / 3.0) AS BIGINT) AS tokens FROM pages")
+@query("SELECT page_id, CAST(ceil((length(h) + length(h) - length(regexp_replace(h, '[\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 3.0) AS BIGINT) AS tokens FROM (SELECT page_id, html || repeat(chr(128512), CAST(page_id % 4 AS INT)) AS h FROM pages)")
 def token_estimate(spark, sf):
-    return t(spark, sf, "pages").select("page_id", fn.token_estimate(F.col("html")).alias("tokens"))
+    more = F.repeat(F.lit("\U0001f600"), (F.col("page_id") % 4).cast("int"))
+    return t(spark, sf, "pages").select("page_id", fn.token_estimate(F.concat("html", more)).alias("tokens"))
+
+
+#: Each document's file is bound to the next three of its language and source.
+DOC_EDGES = """nexts AS (SELECT lang AS repo_id, doc_id, v.k, CASE v.k WHEN 3 THEN 'render' ELSE 'import' END AS kind, CASE v.k WHEN 1 THEN lead(doc_id, 1) OVER w WHEN 2 THEN lead(doc_id, 2) OVER w ELSE lead(doc_id, 3) OVER w END AS to_id FROM documents, (VALUES (1), (2), (3)) AS v(k) WINDOW w AS (PARTITION BY lang, source, v.k ORDER BY doc_id)),
+  doc_edges AS (SELECT n.repo_id, sha1(a.path) AS src, sha1(b.path) AS dst, b.path AS dst_path, n.kind, n.doc_id * 3 + n.k AS ordinal FROM nexts n JOIN docs a ON a.doc_id = n.doc_id JOIN docs b ON b.doc_id = n.to_id)"""
+
+
+def doc_edges(spark, sf):
+    w = Window.partitionBy("lang", "source").orderBy("doc_id")
+    d = t(spark, sf, "documents").select("lang", "source", "doc_id", fn.file_id(doc_path()).alias("src"))
+    ways = F.array(*(F.struct(F.lit(k).alias("k"), F.lead("src", k).over(w).alias("dst")) for k in (1, 2, 3)))
+    e = d.withColumn("x", ways).select(F.col("lang").alias("repo_id"), "src", "doc_id", F.explode("x").alias("x")).where("x.dst is not null")
+    return e.select("repo_id", "src", F.col("x.dst").alias("dst"), F.when(F.col("x.k") == 3, "render").otherwise("import").alias("kind"), (F.col("doc_id") * 3 + F.col("x.k")).alias("ordinal"))
 
 
 # --- rules ---------------------------------------------------------------------------------------------------------------
@@ -159,12 +187,14 @@ def rule_large_file(spark, sf):
     return doc_contents(spark, sf).where(rules.too_long(F.col("content"), MOST_LINES)).select("doc_id", "path")
 
 
-_FOUND = f"""{DOCS}, found AS (SELECT doc_id, path, 'lint-bypass' AS rule, 'warning' AS severity FROM docs WHERE contains(content, 'License') OR contains(content, '@')
-  UNION ALL SELECT doc_id, path, 'large-file', 'warning' FROM docs WHERE {LINES} > {MOST_LINES})"""
+_HOOKS = r"regexp_matches(path, '\.(tsx|jsx)$') AND regexp_matches(content, '\buse[A-Z]\w*\s*\(') AND regexp_matches(content, '\b(if|for|while)\s*\([^)]*\)[^{]*\{(?s:.*)use[A-Z]')"
+_FOUND = f"""{DOCS_CODE}, found AS (SELECT doc_id, path, 'lint-bypass' AS rule, 'warning' AS severity FROM docs WHERE contains(content, 'License') OR contains(content, '@')
+  UNION ALL SELECT doc_id, path, 'large-file', 'warning' FROM docs WHERE {LINES} > {MOST_LINES}
+  UNION ALL SELECT doc_id, path, 'react-hooks-condition', 'error' FROM docs WHERE {_HOOKS})"""
 
 
 def doc_findings(spark, sf):
-    return rules.frontend_findings(doc_contents(spark, sf), SIGNS, MOST_LINES).where("rule <> 'react-hooks-condition'")
+    return rules.frontend_findings(doc_contents(spark, sf, F.when(F.col("doc_id") % 3 == 0, F.lit(HOOK)).otherwise("")), SIGNS, MOST_LINES)
 
 
 @query(f"WITH {_FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY doc_id) AS k FROM found) SELECT rule, min(severity) AS severity, count(*) AS count, string_agg(path, '|' ORDER BY doc_id) FILTER (k <= 3) AS samples FROM r GROUP BY rule")
@@ -175,7 +205,7 @@ def finding_groups(spark, sf):
 
 @query(f"WITH {_FOUND} SELECT doc_id, path, rule FROM found UNION ALL SELECT doc_id, path, 'short' FROM docs WHERE length(content) < 40")
 def findings_union(spark, sf):
-    short = doc_contents(spark, sf).where(F.char_length("content") < 40).select("doc_id", "path", F.lit("short").alias("rule"))
+    short = doc_contents(spark, sf, F.when(F.col("doc_id") % 3 == 0, F.lit(HOOK)).otherwise("")).where(F.char_length("content") < 40).select("doc_id", "path", F.lit("short").alias("rule"))
     return doc_findings(spark, sf).select("doc_id", F.element_at("files", 1).alias("path"), "rule").unionByName(short)
 
 
@@ -197,11 +227,6 @@ def doc_symbols(spark, sf):
     return words.select("repo_id", "doc_id", "file_id", "name", kind.alias("kind"), F.row_number().over(Window.partitionBy("doc_id").orderBy("name")).cast("long").alias("ordinal"))
 
 
-@query(f"WITH {SYMBOLS} SELECT doc_id, name, kind, ordinal FROM symbols")
-def capital_symbols(spark, sf):
-    return doc_symbols(spark, sf).select("doc_id", "name", "kind", "ordinal")
-
-
 _NAMES = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'use' || upper(left(p_name, 1)) || substr(p_name, 2) WHEN 1 THEN upper(left(p_name, 1)) || substr(p_name, 2) ELSE p_name END AS name FROM part"
 
 
@@ -225,11 +250,149 @@ def classify_variable(spark, sf):
     return part_names(spark, sf).select("p_partkey", "name", fn.variable_kind(F.col("name"), init, callee).alias("kind"))
 
 
-@query(f"WITH {SYMBOLS} SELECT repo_id, name, min(doc_id) AS first_doc, count(*) AS n FROM symbols GROUP BY 1, 2")
+_BASES = "CASE p_partkey % 7 WHEN 0 THEN 'React.Component' WHEN 1 THEN 'Component' WHEN 2 THEN 'PureComponent<P>' WHEN 3 THEN 'Componentish' WHEN 4 THEN 'a.PureComponent' WHEN 5 THEN 'MyComponent' END"
+
+
+@query(rf"SELECT p_partkey, CASE WHEN regexp_matches({_BASES}, '(^|\.)(Component|PureComponent)\b') THEN 'component' ELSE 'class' END AS kind FROM part")
+def classify_class(spark, sf):
+    base = F.element_at(F.array(*map(F.lit, ("React.Component", "Component", "PureComponent<P>", "Componentish", "a.PureComponent", "MyComponent", None))), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return t(spark, sf, "part").select("p_partkey", fn.class_kind(base).alias("kind"))
+
+
+# --- source files --------------------------------------------------------------------------------------------------------
+
+#: A source file for each part, of a repository of every twentieth; k is the part's number. Of four files the last is a single-file component.
+CODE = """import Alpha, {{ beta as Gamma }} from './p{20}';
+export * from "./P{40}";
+import 'react';
+import Self, {{ Other as Beta }} from './p{0}';
+import type {{ Q }} from '@/p{80}';
+import '../../far/p{0}';
+export function useThing{0}() {{ return import('./p{60}') }}
+export const View{0} = () => <Alpha><Gamma.Item/><Self/><div/><Alpha/></Alpha>;
+class Old{0} extends React.Component {{}}
+interface I{0} {{}}
+const a{0} = memo(x), useB{0} = call();
+"""
+VUE = """<script>
+import A from './p{20}'
+import './p{23}.vue'
+export function go{0}() {{}}
+const x{0} = 1
+</script>
+"""
+CODE_CONFIG = {"baseUrl": ".", "paths": {"@/*": ["src/*"]}}
+_EXTS = ("tsx", "ts", "jsx", "vue")
+
+
+def _fill(text: str) -> Column:
+    """The text with each number in braces replaced by the part's own number plus it."""
+    pieces = []
+    for k, piece in enumerate(re.split(r"(?<!\{)\{(\d+)\}(?!\})", text)):
+        pieces.append((F.col("p_partkey") + int(piece)).cast("string") if k % 2 else F.lit(piece.replace("{{", "{").replace("}}", "}")))
+    return F.concat(*pieces)
+
+
+def code_rows(spark, sf):
+    """repo_id, path, content of the parts' files; plain TypeScript has no markup."""
+    ext = F.element_at(F.array(*map(F.lit, _EXTS)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    plain = "".join(x for x in CODE.splitlines(keepends=True) if "<Alpha>" not in x)
+    content = F.when(ext == "vue", _fill(VUE)).when(ext == "ts", _fill(plain)).otherwise(_fill(CODE))
+    return t(spark, sf, "part").select(F.concat(F.lit("r"), (F.col("p_partkey") % 20).cast("string")).alias("repo_id"), F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit("."), ext).alias("path"), content.alias("content"))
+
+
+def code_tables(spark, sf):
+    c = code_rows(spark, sf)
+    files = c.select("repo_id", fn.file_id(F.col("path")).alias("id"), "path")
+    return files, Stages(spark, "code").put(extract.facts(files, c), "facts")
+
+
+_CODE_FILES = """cf AS (SELECT p_partkey AS k, 'r' || (p_partkey % 20) AS repo_id, ['tsx', 'ts', 'jsx', 'vue'][p_partkey % 4 + 1] AS ext, 'src/p' || p_partkey || '.' || ['tsx', 'ts', 'jsx', 'vue'][p_partkey % 4 + 1] AS path FROM part),
+  placed AS (SELECT *, sha1(path) AS id, row_number() OVER (PARTITION BY repo_id ORDER BY path COLLATE en, path) - 1 AS place FROM cf)"""
+# (name, kind, exported, line in markup files, line in plain ones, position) of what a file declares: functions, classes, interfaces, then variables
+_DECLARED = """declared AS (SELECT * FROM (VALUES ('useThing', 'hook', true, 7, 7, 0), ('Old', 'component', false, 9, 8, 1), ('I', 'interface', false, 10, 9, 2), ('View', 'component', true, 8, NULL, 3), ('a', 'variable', false, 11, 10, 4), ('useB', 'hook', false, 11, 10, 5)) AS v(name, kind, exported, line, plain_line, pos)),
+  declared_vue AS (SELECT * FROM (VALUES ('go', 'component', true, 4, 0), ('x', 'variable', false, 5, 1)) AS v(name, kind, exported, line, pos))"""
+
+
+@query(f"""WITH {_CODE_FILES}, {_DECLARED}
+SELECT repo_id, id || ':' || name || k AS id, name || k AS name, kind, exported, CAST(CASE WHEN ext = 'ts' THEN plain_line ELSE line END AS BIGINT) AS start_line, CAST(place * (1::BIGINT << 32) + CASE WHEN ext = 'ts' AND pos > 3 THEN pos - 1 ELSE pos END AS BIGINT) AS ordinal FROM placed, declared WHERE ext <> 'vue' AND NOT (ext = 'ts' AND plain_line IS NULL)
+UNION ALL SELECT repo_id, id || ':' || name || k, name || k, kind, exported, CAST(line AS BIGINT), CAST((1::BIGINT << 62) + place * (1::BIGINT << 32) + pos AS BIGINT) FROM placed, declared_vue WHERE ext = 'vue'""")
+def module_symbols(spark, sf):
+    files, facts = code_tables(spark, sf)
+    return extract.symbols(facts, files).select("repo_id", "id", "name", "kind", "exported", F.col("start_line").cast("long").alias("start_line"), "ordinal")
+
+
+# (kind of fact, position, specifier before the number, number's distance, after it, line in markup files, line in plain ones)
+_REFERRED = """referred AS (SELECT * FROM (VALUES ('import', 0, './p', 20, '', 1, 1), ('export', 0, './P', 40, '', 2, 2), ('import', 1, 'react', NULL, '', 3, 3), ('import', 2, './p', 0, '', 4, 4), ('import', 3, '@/p', 80, '', 5, 5), ('import', 4, '../../far/p', 0, '', 6, 6), ('dynamic', 0, './p', 60, '', 7, 7)) AS v(rec, pos, head, far, tail, line, plain_line)),
+  referred_vue AS (SELECT * FROM (VALUES (0, './p', 20, '', 2), (1, './p', 23, '.vue', 3)) AS v(pos, head, far, tail, line)),
+  refs AS (SELECT k, repo_id, ext, path, id, place, rec, pos, head || coalesce(CAST(k + far AS VARCHAR), '') || tail AS spec, k + far AS to_k, head, line FROM placed, referred WHERE ext <> 'vue'
+    UNION ALL SELECT k, repo_id, ext, path, id, place, 'import', pos, head || (k + far) || tail, k + far, head, line FROM placed, referred_vue WHERE ext = 'vue')"""
+
+
+@query(f"WITH {_CODE_FILES}, {_REFERRED} SELECT repo_id, path, rec, pos, spec, line FROM refs")
+def link_extract(spark, sf):
+    """Static imports, re-exports and dynamic imports of source files."""
+    _, facts = code_tables(spark, sf)
+    return facts.where("rec in ('import', 'export', 'dynamic')").select("repo_id", "path", "rec", "pos", "spec", F.col("start_line").alias("line"))
+
+
+def code_edges(spark, sf):
+    files, facts = code_tables(spark, sf)
+    return resolve.dependency_edges(facts, files, {f"r{i}": CODE_CONFIG for i in range(20)})
+
+
+# a target is the file of the number in the same repository, which no source finds as a single-file component, and such a component only with its suffix or another
+# kind's; the number is at a distance that the repository shares, but for the component's last import
+_TARGETS = f"""{_CODE_FILES}, {_REFERRED}, hits AS (SELECT r.*, f.id AS target, f.path AS target_path FROM refs r JOIN placed f ON f.repo_id = r.repo_id AND f.k = r.to_k WHERE r.head IN ('./p', './P', '@/p') AND (r.ext = 'vue' OR f.ext <> 'vue'))"""
+
+
+@query(f"WITH {_TARGETS} SELECT repo_id, path, spec, target_path AS target FROM hits")
+def resolve_exact(spark, sf):
+    files, facts = code_tables(spark, sf)
+    _, _, found = resolve.dependency_edges(facts, files, {f"r{i}": CODE_CONFIG for i in range(20)})
+    return found.join(files.select("repo_id", F.col("id").alias("target"), F.col("path").alias("target_path")), ["repo_id", "target"]).select("repo_id", "path", "spec", F.col("target_path").alias("target"))
+
+
+@query(f"WITH {_TARGETS} SELECT repo_id, path, spec, head = '../../far/p' AS outside FROM refs r WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.path = r.path AND h.spec = r.spec)")
+def unresolved(spark, sf):
+    return code_edges(spark, sf)[1]
+
+
+_SECTION = "CASE rec WHEN 'import' THEN 1 WHEN 'export' THEN 2 WHEN 'dynamic' THEN 3 END"
+_AT = "CAST(CASE WHEN ext = 'vue' THEN 1::BIGINT << 62 ELSE 0 END + place * (1::BIGINT << 32) + {} * (1::BIGINT << 28) + {} AS BIGINT)"
+
+
+@query(f"WITH {_TARGETS} SELECT repo_id, id AS src, target AS dst, path AS file, CAST(CASE WHEN ext = 'ts' THEN line ELSE line END AS BIGINT) AS line, {_AT.format(_SECTION, 'pos')} AS ordinal FROM hits WHERE target <> id")
+def edges_clean(spark, sf):
+    """Import edges: those of a file to itself are none."""
+    e = code_edges(spark, sf)[0].where("kind = 'import'")
+    return e.select("repo_id", "src", "dst", "location.file", F.col("location.line").cast("long").alias("line"), "ordinal")
+
+
+@query(f"WITH {_TARGETS} SELECT repo_id, id AS src, target AS dst, CAST(8 AS BIGINT) AS line, {_AT.format(4, 0)} AS ordinal FROM hits WHERE rec = 'import' AND pos = 0 AND ext IN ('tsx', 'jsx')")
 def first_render(spark, sf):
-    """First document per (repository, name), as the first tag of a target is kept."""
-    s = doc_symbols(spark, sf)
-    return s.groupBy("repo_id", "name").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+    """Render edges: one for each file that a file's tags name, at the first such tag (the opening ones come first); self-references are none."""
+    e = code_edges(spark, sf)[0].where("kind = 'render'")
+    return e.select("repo_id", "src", "dst", F.col("location.line").cast("long").alias("line"), "ordinal")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS repo_id, v.rank, v.name, replace(v.version, '#', CAST(c_custkey AS VARCHAR)) AS version FROM customer JOIN (VALUES (0, 0, 'vue', '^3.#'), (0, 0, 'a', '1'), (0, 1, 'vite', '5'), (4, 2, 'react', '18')) AS v(kind, rank, name, version) ON c_custkey % 5 = v.kind")
+def package_sections(spark, sf):
+    k = F.col("c_custkey")
+    text = F.when(k % 5 == 0, F.concat(F.lit('{"dependencies": {"vue": "^3.'), k.cast("string"), F.lit('", "a": 1}, "devDependencies": {"vite": "5"}}')))
+    text = text.when(k % 5 == 1, "[]").when(k % 5 == 2, '{"dependencies": ').when(k % 5 == 4, '{"dependencies": null, "peerDependencies": {"react": "18"}}')
+    return metrics.package_rows(t(spark, sf, "customer").select(k.cast("string").alias("repo_id"), text.alias("text")))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS repo_id, CASE WHEN s_suppkey % 3 < 2 THEN 'app' || s_suppkey END AS base_url, CASE WHEN s_suppkey % 3 = 0 THEN '@/*' || '|' || 'src//x/*' || s_suppkey END AS paths FROM supplier")
+def config_options(spark, sf):
+    """Compiler configurations with comments and closing commas; broken ones give nothing."""
+    k = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit('{ // names\n "compilerOptions": { /* root */ "baseUrl": "./app'), k, F.lit('", "paths": {"@/*": ["src//x/*'), k, F.lit('",],}, } }'))
+    plain = F.concat(F.lit('{"compilerOptions": {"baseUrl": "app'), k, F.lit('/."}}'))
+    text = F.when(F.col("s_suppkey") % 3 == 0, text).when(F.col("s_suppkey") % 3 == 1, plain).otherwise('{"compilerOptions": ')
+    found = resolve.config_rows(t(spark, sf, "supplier").select(k.alias("repo_id"), text.alias("text")))
+    return found.select("repo_id", "base_url", F.when(F.col("paths").isNotNull(), joined(F.concat(F.map_keys("paths"), F.flatten(F.map_values("paths"))))).alias("paths"))
 
 
 # --- resolution ----------------------------------------------------------------------------------------------------------
@@ -247,16 +410,6 @@ def page_targets(spark, sf):
     return t(spark, sf, "pages").select(F.lit("web").alias("repo_id"), p.alias("path")).where("path <> ''").distinct().withColumn("id", F.concat(F.lit("t:"), "path"))
 
 
-@query(f"WITH {LINKS} SELECT page_id, spec, count(*) AS n FROM links GROUP BY 1, 2")
-def link_extract(spark, sf):
-    return page_links(spark, sf).groupBy("page_id", "spec").agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {LINKS} SELECT page_id, spec FROM links JOIN targets ON spec = path")
-def resolve_exact(spark, sf):
-    return page_links(spark, sf).join(page_targets(spark, sf).select("repo_id", F.col("path").alias("spec")), ["repo_id", "spec"]).select("page_id", "spec")
-
-
 @query(f"WITH {LINKS}, low AS (SELECT lower(path) AS low, max(path) AS path FROM targets GROUP BY 1) SELECT page_id, spec, coalesce(e.path, l.path) AS target FROM links LEFT JOIN targets e ON e.path = spec LEFT JOIN low l ON l.low = lower(spec) WHERE coalesce(e.path, l.path) IS NOT NULL")
 def resolve_ci(spark, sf):
     ranked = page_links(spark, sf).select("repo_id", "spec").distinct().select("repo_id", "spec", F.lit(0).alias("rank"), F.col("spec").alias("candidate"))
@@ -280,54 +433,61 @@ def resolve_ranked(spark, sf):
     return found.select("spec", F.substring("target", 3, 999).alias("target"))
 
 
-@query(f"WITH {LINKS} SELECT spec, count(*) AS n FROM links WHERE lower(spec) NOT IN (SELECT lower(path) FROM targets) GROUP BY 1")
-def unresolved(spark, sf):
-    known = page_targets(spark, sf).select("repo_id", F.lower("path").alias("low")).distinct()
-    miss = page_links(spark, sf).withColumn("low", F.lower("spec")).join(known, ["repo_id", "low"], "left_anti")
-    return miss.groupBy("spec").agg(F.count("*").alias("n"))
-
-
 # --- hop graph -----------------------------------------------------------------------------------------------------------
 
-HOPS = """hops AS (SELECT event_id AS ordinal, user_id AS a, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS b, event_type FROM events),
-  edges AS (SELECT 'r' || (a % 7) AS repo_id, 'u' || a AS src, 'u' || b AS dst, CASE event_type WHEN 'purchase' THEN 'import' ELSE 'render' END AS kind, ordinal
-    FROM hops WHERE event_type IN ('purchase', 'view') AND a <> b AND a % 7 = b % 7),
-  files AS (SELECT 'r' || (user_id % 7) AS repo_id, 'u' || user_id AS id, 'm' || (user_id % 5) || '/u' || user_id || '.ts' AS path, count(*) AS line_count, count(*) % 10 + 1 AS complexity FROM events GROUP BY user_id)"""
+_LAYERS = ", ".join(f"'{x}'" for x in architecture.LAYERS)
+HOPS = f"""hops AS (SELECT 'd' || day(ts) AS repo_id, event_id AS ordinal, user_id AS a, lead(user_id) OVER (PARTITION BY day(ts), event_type ORDER BY ts, event_id) AS b, event_type FROM events),
+  edges AS (SELECT repo_id, 'u' || a AS src, 'u' || b AS dst, CASE event_type WHEN 'view' THEN 'render' WHEN 'error' THEN 'call' ELSE 'import' END AS kind, ordinal FROM hops WHERE a <> b),
+  files AS (SELECT 'd' || day(ts) AS repo_id, 'u' || user_id AS id, coalesce([{_LAYERS}][user_id % 9 + 1], CASE user_id % 9 WHEN 7 THEN 'app' ELSE 'Misc' END) || '/u' || user_id || CASE user_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '.js' END AS path, count(*) AS line_count, CAST(sum(event_id) % 10 + 1 AS BIGINT) AS complexity, user_id % 3 < 2 AS typed FROM events GROUP BY 1, user_id),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path COLLATE en, path) AS place FROM files)"""
 REACH = f"""WITH RECURSIVE {HOPS}, e AS (SELECT DISTINCT repo_id, src, dst FROM edges WHERE kind = 'import'),
   reach AS (SELECT repo_id, src, dst FROM e UNION SELECT r.repo_id, r.src, e.dst FROM reach r JOIN e ON r.repo_id = e.repo_id AND r.dst = e.src),
   member AS (SELECT x.repo_id, x.src AS id, least(x.src, min(x.dst)) AS component FROM reach x JOIN reach y ON x.repo_id = y.repo_id AND x.src = y.dst AND x.dst = y.src WHERE x.src <> x.dst GROUP BY x.repo_id, x.src)"""
 _PATHS = ", named AS (SELECT m.repo_id, m.component, m.id, f.path FROM member m JOIN files f ON f.repo_id = m.repo_id AND f.id = m.id)"
 
 
+def _day() -> Column:
+    return F.concat(F.lit("d"), F.dayofmonth("ts").cast("string"))
+
+
 def hop_edges(spark, sf):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = t(spark, sf, "events").where(F.col("event_type").isin("purchase", "view")).select(F.col("event_id").alias("ordinal"), F.col("user_id").alias("a"), F.lead("user_id").over(w).alias("b"), "event_type")
+    w = Window.partitionBy(F.dayofmonth("ts"), "event_type").orderBy("ts", "event_id")
+    e = t(spark, sf, "events").select(_day().alias("repo_id"), F.col("event_id").alias("ordinal"), F.col("user_id").alias("a"), F.lead("user_id").over(w).alias("b"), "event_type")
     node = lambda c: F.concat(F.lit("u"), F.col(c).cast("string"))
-    e = e.where((F.col("a") != F.col("b")) & (F.col("a") % 7 == F.col("b") % 7))
-    return e.select(F.concat(F.lit("r"), (F.col("a") % 7).cast("string")).alias("repo_id"), node("a").alias("src"), node("b").alias("dst"), F.when(F.col("event_type") == "purchase", "import").otherwise("render").alias("kind"), "ordinal")
+    kind = F.when(F.col("event_type") == "view", "render").when(F.col("event_type") == "error", "call").otherwise("import")
+    return e.where("a <> b").select("repo_id", node("a").alias("src"), node("b").alias("dst"), kind.alias("kind"), "ordinal")
 
 
 def hop_files(spark, sf):
-    u = t(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("line_count"))
-    s = F.col("user_id").cast("string")
-    return u.select(F.concat(F.lit("r"), (F.col("user_id") % 7).cast("string")).alias("repo_id"), F.concat(F.lit("u"), s).alias("id"), F.concat(F.lit("m"), (F.col("user_id") % 5).cast("string"), F.lit("/u"), s, F.lit(".ts")).alias("path"), F.lit("ts").alias("language"), "line_count", (F.col("line_count") % 10 + 1).alias("complexity"))
+    u = t(spark, sf, "events").groupBy(_day().alias("repo_id"), "user_id").agg(F.count("*").alias("line_count"), (F.sum("event_id") % 10 + 1).alias("complexity"))
+    k, s = F.col("user_id"), F.col("user_id").cast("string")
+    folder = F.element_at(F.array(*map(F.lit, (*architecture.LAYERS, "app", "Misc"))), (k % 9 + 1).cast("int"))
+    ext = F.element_at(F.array(*map(F.lit, ("ts", "tsx", "js"))), (k % 3 + 1).cast("int"))
+    return u.select("repo_id", F.concat(F.lit("u"), s).alias("id"), F.concat(folder, F.lit("/u"), s, F.lit("."), ext).alias("path"), ext.alias("language"), "line_count", "complexity")
 
 
 def hop_cycles(spark, sf):
     return graph.components(hop_files(spark, sf), hop_edges(spark, sf))
 
 
-@query(f"WITH {HOPS} SELECT ordinal, src, dst, kind FROM edges")
-def edges_clean(spark, sf):
-    return hop_edges(spark, sf).select("ordinal", "src", "dst", "kind")
+_SCC = REACH + _PATHS + " SELECT repo_id, path, min(path) OVER (PARTITION BY repo_id, component) AS first_path, count(*) OVER (PARTITION BY repo_id, component) AS members FROM named"
 
 
-@query(REACH + _PATHS + " SELECT repo_id, path, min(path) OVER (PARTITION BY repo_id, component) AS first_path, count(*) OVER (PARTITION BY repo_id, component) AS members FROM named")
-def scc(spark, sf):
-    c = hop_cycles(spark, sf)
+def _members(c):
     return c.select("repo_id", F.explode("files").alias("path"), F.array_min("files").alias("first_path"), F.size("files").cast("long").alias("members"))
 
 
+@query(_SCC)
+def scc(spark, sf):
+    return _members(hop_cycles(spark, sf))
+
+
+@query(_SCC)
+def scc_joined(spark, sf):
+    """By joins alone, as for repositories that outgrow a task."""
+    return _members(graph.components(hop_files(spark, sf), hop_edges(spark, sf), most_edges=0))
+
+
 @query(REACH + _PATHS + " SELECT repo_id, string_agg(path, ' | ' ORDER BY path) AS fingerprint FROM named GROUP BY repo_id, component")
 def scc_fingerprint(spark, sf):
     return hop_cycles(spark, sf).select("repo_id", fn.fingerprint(F.col("files")).alias("fingerprint"))
@@ -386,7 +546,7 @@ def edge_paths(spark, sf):
 
 _HOT = f"""WITH {HOPS}, i AS (SELECT repo_id, dst AS id, count(*) AS n FROM edges WHERE kind = 'import' GROUP BY 1, 2), o AS (SELECT repo_id, src AS id, count(*) AS n FROM edges WHERE kind = 'import' GROUP BY 1, 2),
   h AS (SELECT f.repo_id, f.path, f.complexity, coalesce(i.n, 0) AS inbound, coalesce(o.n, 0) AS outbound FROM files f LEFT JOIN i ON i.repo_id = f.repo_id AND i.id = f.id LEFT JOIN o ON o.repo_id = f.repo_id AND o.id = f.id),
-  r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY complexity + 3 * inbound DESC, path) AS ordinal FROM h)"""
+  r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY complexity + 3 * inbound DESC, path COLLATE en, path) AS ordinal FROM h)"""
 
 
 @query(_HOT + " SELECT repo_id, path, complexity, inbound, outbound, ordinal FROM r WHERE ordinal <= 15")
@@ -407,36 +567,48 @@ def mermaid_lines(spark, sf):
 
 # --- structure -----------------------------------------------------------------------------------------------------------
 
-_DIRS = f"""WITH {HOPS}, f AS (SELECT *, split_part(path, '/', 1) AS folder FROM files), x AS (SELECT e.repo_id, a.folder AS af, b.folder AS bf FROM edges e JOIN f a ON a.repo_id = e.repo_id AND a.id = e.src JOIN f b ON b.repo_id = e.repo_id AND b.id = e.dst WHERE a.folder <> b.folder),
-  s AS (SELECT repo_id, folder, count(*) AS files, min(path) AS first FROM f GROUP BY 1, 2), i AS (SELECT repo_id, bf AS folder, count(*) AS n FROM x GROUP BY 1, 2), o AS (SELECT repo_id, af AS folder, count(*) AS n FROM x GROUP BY 1, 2),
+_DIRS = f"""WITH {HOPS}, f AS (SELECT *, split_part(path, '/', 1) AS folder FROM placed), x AS (SELECT e.repo_id, a.folder AS af, b.folder AS bf FROM edges e JOIN f a ON a.repo_id = e.repo_id AND a.id = e.src JOIN f b ON b.repo_id = e.repo_id AND b.id = e.dst WHERE a.folder <> b.folder),
+  s AS (SELECT repo_id, folder, count(*) AS files, min(place) AS first FROM f GROUP BY 1, 2), i AS (SELECT repo_id, bf AS folder, count(*) AS n FROM x GROUP BY 1, 2), o AS (SELECT repo_id, af AS folder, count(*) AS n FROM x GROUP BY 1, 2),
   d AS (SELECT s.repo_id, s.folder AS path, s.files, coalesce(i.n, 0) AS inbound, coalesce(o.n, 0) AS outbound, row_number() OVER (PARTITION BY s.repo_id ORDER BY s.files DESC, s.first) AS ordinal FROM s LEFT JOIN i ON i.repo_id = s.repo_id AND i.folder = s.folder LEFT JOIN o ON o.repo_id = s.repo_id AND o.folder = s.folder)"""
+_DOES = "CASE path " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in architecture.RESPONSIBILITIES.items()) + f" ELSE '{architecture.UNKNOWN}' END"
 
 
-@query(_DIRS + " SELECT repo_id, path, '待识别模块' AS responsibility, files, inbound, outbound, ordinal FROM d")
+@query(_DIRS + f" SELECT repo_id, path, {_DOES} AS responsibility, files, inbound, outbound, ordinal FROM d")
 def directories(spark, sf):
     d = architecture.directories(hop_files(spark, sf), hop_edges(spark, sf))
     return d.withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
-@query(f"""WITH {HOPS}, f AS (SELECT repo_id, id, split_part(path, '/', 1) AS folder FROM files), p AS (SELECT e.repo_id, a.folder AS name, b.folder AS dep, min(e.ordinal) AS first FROM edges e JOIN f a ON a.repo_id = e.repo_id AND a.id = e.src JOIN f b ON b.repo_id = e.repo_id AND b.id = e.dst
-  WHERE e.kind = 'import' AND a.folder <> b.folder AND a.folder IN ('m0', 'm1', 'm2') GROUP BY 1, 2, 3), g AS (SELECT repo_id, name, string_agg(dep, '|' ORDER BY first) AS deps FROM p GROUP BY 1, 2)
-SELECT DISTINCT f.repo_id, f.folder AS name, coalesce(g.deps, '') AS depends_on FROM f LEFT JOIN g ON g.repo_id = f.repo_id AND g.name = f.folder WHERE f.folder IN ('m0', 'm1', 'm2')""")
+_LAYERED = f"""WITH {HOPS}, f AS (SELECT repo_id, id, split_part(path, '/', 1) AS folder FROM files), p AS (SELECT e.repo_id, a.folder AS name, b.folder AS dep, min(e.ordinal) AS first FROM edges e JOIN f a ON a.repo_id = e.repo_id AND a.id = e.src JOIN f b ON b.repo_id = e.repo_id AND b.id = e.dst
+  WHERE e.kind = 'import' AND a.folder <> b.folder AND a.folder IN ({_LAYERS}) GROUP BY 1, 2, 3), layer AS (SELECT DISTINCT repo_id, folder AS name, list_position([{_LAYERS}], folder) AS n FROM f WHERE folder IN ({_LAYERS}))"""
+
+
+@query(_LAYERED + ", g AS (SELECT repo_id, name, string_agg(dep, '|' ORDER BY first) AS deps FROM p GROUP BY 1, 2) SELECT l.repo_id, l.name, coalesce(g.deps, '') AS depends_on FROM layer l LEFT JOIN g ON g.repo_id = l.repo_id AND g.name = l.name")
 def layers(spark, sf):
-    found = architecture.layers(hop_files(spark, sf), hop_edges(spark, sf), ("m0", "m1", "m2"))
+    found = architecture.layers(hop_files(spark, sf), hop_edges(spark, sf))
     return found.select("repo_id", "name", joined(F.col("depends_on")).alias("depends_on"))
 
 
-@query(f"""WITH {HOPS}, c AS (SELECT repo_id, count(*) AS n, avg(complexity) AS c FROM files GROUP BY 1), e AS (SELECT repo_id, count(*) AS m FROM edges WHERE kind = 'import' GROUP BY 1),
-  s AS (SELECT c.repo_id, floor(least(100, greatest(0, 100 - 5 * c.c)) + 0.5) AS complexity, floor(least(100, greatest(0, 100 - 10 * coalesce(e.m, 0) / c.n)) + 0.5) AS coupling FROM c LEFT JOIN e USING (repo_id))
-SELECT repo_id, CAST(complexity AS BIGINT) AS complexity, CAST(coupling AS BIGINT) AS coupling, CAST(100 AS BIGINT) AS typing, CAST(floor((complexity + coupling + 100) / 3 + 0.5) AS BIGINT) AS score FROM s""")
+@query(_LAYERED + """, met AS (SELECT repo_id, name, n, 0 AS pos FROM layer UNION ALL SELECT p.repo_id, p.dep, l.n, row_number() OVER (PARTITION BY p.repo_id, p.name ORDER BY first) FROM p JOIN layer l ON l.repo_id = p.repo_id AND l.name = p.name),
+  lines AS (SELECT DISTINCT repo_id, 0 AS section, 0 AS n, 0 AS pos, 'graph TD' AS line FROM layer UNION ALL SELECT repo_id, 1, min(n * 1000 + pos), 0, '  ' || name || '["' || name || '"]' FROM met GROUP BY repo_id, name
+    UNION ALL SELECT p.repo_id, 2, l.n, row_number() OVER (PARTITION BY p.repo_id, p.name ORDER BY first), '  ' || p.name || ' --> ' || p.dep FROM p JOIN layer l ON l.repo_id = p.repo_id AND l.name = p.name)
+SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY section, n, pos) AS line_no, line FROM lines""")
+def layer_mermaid(spark, sf):
+    found = architecture.layer_mermaid(architecture.layers(hop_files(spark, sf), hop_edges(spark, sf)))
+    return found.select("repo_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query(f"""WITH {HOPS}, c AS (SELECT repo_id, count(*) AS n, avg(complexity) AS c, floor(100.0 * count(*) FILTER (typed) / count(*) + 0.5) AS typing FROM files GROUP BY 1), e AS (SELECT repo_id, count(*) AS m FROM edges WHERE kind = 'import' GROUP BY 1),
+  s AS (SELECT c.repo_id, floor(least(100, greatest(0, 100 - 5 * c.c)) + 0.5) AS complexity, floor(least(100, greatest(0, 100 - 10 * coalesce(e.m, 0) / c.n)) + 0.5) AS coupling, typing FROM c LEFT JOIN e USING (repo_id))
+SELECT repo_id, CAST(complexity AS BIGINT) AS complexity, CAST(coupling AS BIGINT) AS coupling, CAST(typing AS BIGINT) AS typing, CAST(floor((complexity + coupling + typing) / 3 + 0.5) AS BIGINT) AS score FROM s""")
 def maintainability(spark, sf):
     m = metrics.maintainability(hop_files(spark, sf), hop_edges(spark, sf))
     return m.select("repo_id", *(F.col(c).cast("long").alias(c) for c in ("complexity", "coupling", "typing", "score")))
 
 
-@query(f"WITH {SYMBOLS}, f AS (SELECT repo_id, count(*) AS files FROM docs GROUP BY 1), s AS (SELECT repo_id, count(*) AS symbols, count(*) FILTER (kind = 'component') AS components FROM symbols GROUP BY 1) SELECT f.repo_id, files, coalesce(symbols, 0) AS symbols, coalesce(components, 0) AS components, CAST(0 AS BIGINT) AS edges FROM f LEFT JOIN s USING (repo_id)")
+@query(f"WITH {SYMBOLS}, {DOC_EDGES}, f AS (SELECT repo_id, count(*) AS files FROM docs GROUP BY 1), s AS (SELECT repo_id, count(*) AS symbols, count(*) FILTER (kind = 'component') AS components FROM symbols GROUP BY 1) SELECT f.repo_id, files, coalesce(symbols, 0) AS symbols, coalesce(components, 0) AS components, coalesce(edges, 0) AS edges FROM f LEFT JOIN s USING (repo_id) LEFT JOIN (SELECT repo_id, count(*) AS edges FROM doc_edges GROUP BY 1) USING (repo_id)")
 def scale_counts(spark, sf):
-    return summary.scale(doc_files(spark, sf), doc_symbols(spark, sf), hop_edges(spark, sf).where("false"))
+    return summary.scale(doc_files(spark, sf), doc_symbols(spark, sf), doc_edges(spark, sf))
 
 
 @query(_DIRS + " SELECT repo_id, CAST(greatest(0, count(*) - 3) AS BIGINT) AS modules FROM d GROUP BY 1")
@@ -525,14 +697,14 @@ def symbol_hits(spark, sf):
     return found.select(F.col("id").alias("file_id"), "n", "symbol")
 
 
-@query(f"WITH {HOPS} SELECT e.repo_id, e.src AS id, CAST(least(count(*), 5) * 5 AS BIGINT) AS bonus FROM edges e JOIN files f ON f.repo_id = e.repo_id AND f.id = e.dst GROUP BY 1, 2")
+@query(f"WITH {HOPS} SELECT e.repo_id, e.src AS id, CAST(least(count(*), 5) * 5 AS BIGINT) AS bonus FROM edges e JOIN files f ON f.repo_id = e.repo_id AND f.id = e.dst WHERE e.kind <> 'call' GROUP BY 1, 2")
 def relation_bonus(spark, sf):
     files = hop_files(spark, sf)
     found = retrieval.relation_hits(hop_edges(spark, sf), files, files.select("repo_id", "id"), ["import", "render"])
     return found.select("repo_id", "id", retrieval.relation_bonus(F.col("total")).cast("long").alias("bonus"))
 
 
-@query(f"""WITH {HOPS}, d AS (SELECT e.repo_id, e.src AS id, f.path, min(e.ordinal) AS first FROM edges e JOIN files f ON f.repo_id = e.repo_id AND f.id = e.dst GROUP BY 1, 2, 3),
+@query(f"""WITH {HOPS}, d AS (SELECT e.repo_id, e.src AS id, f.path, min(e.ordinal) AS first FROM edges e JOIN files f ON f.repo_id = e.repo_id AND f.id = e.dst WHERE e.kind <> 'call' GROUP BY 1, 2, 3),
   r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, id ORDER BY first) AS k FROM d) SELECT repo_id, id, string_agg(path, '|' ORDER BY k) AS related FROM r WHERE k <= 8 GROUP BY 1, 2""")
 def related_paths(spark, sf):
     files = hop_files(spark, sf)
@@ -540,16 +712,29 @@ def related_paths(spark, sf):
     return found.select("repo_id", "id", joined(F.col("related")).alias("related"))
 
 
-_COUNT = " + ".join(f"CAST(contains(lower(path || chr(10) || content), '{c}') AS INT)" for c in ("the", "ing_was", "订单", "order", "checkout", "purchase", "trade", "hook"))
-_SYM = " OR ".join(f"contains(lower(name), '{c}')" for c in ("the", "ing_was", "订单", "order", "checkout", "purchase", "trade", "hook"))
+_WORDS = ("order", "checkout", "purchase", "trade", "订单", "hook", "the", "ing_was")
+_SAID = " || ".join(f"CASE WHEN contains(lower(path || chr(10) || content), '{c}') THEN '|文本命中：{c}' ELSE '' END" for c in _WORDS)
+_COUNT = " + ".join(f"CAST(contains(lower(path || chr(10) || content), '{c}') AS INT)" for c in _WORDS)
+_SYM = " OR ".join(f"contains(lower(name), '{c}')" for c in _WORDS)
 
 
-@query(f"""WITH {SYMBOLS}, x AS (SELECT sha1(path) AS id, path, 10 * ({_COUNT}) AS s FROM docs), y AS (SELECT file_id AS id, 25 * count(*) AS s FROM symbols WHERE kind = 'hook' AND ({_SYM}) GROUP BY 1)
-SELECT path, CAST(x.s + coalesce(y.s, 0) AS BIGINT) AS score FROM x LEFT JOIN y USING (id) WHERE x.s + coalesce(y.s, 0) > 0 ORDER BY score DESC, x.s = 0, path LIMIT 30""")
+@query(f"""WITH {SYMBOLS}, {DOC_EDGES}, x AS (SELECT sha1(path) AS id, path, 10 * ({_COUNT}) AS s, {_SAID} AS said FROM docs), y AS (SELECT file_id AS id, 25 * count(*) AS s, arg_max(name, ordinal) AS symbol, repeat('|符号命中：hook', count(*)) AS said FROM symbols WHERE kind = 'hook' AND ({_SYM}) GROUP BY 1),
+  base AS (SELECT x.*, coalesce(y.s, 0) AS ys, y.symbol, coalesce(y.said, '') AS ysaid FROM x LEFT JOIN y USING (id) WHERE x.s + coalesce(y.s, 0) > 0),
+  rk AS (SELECT src AS id, kind, count(*) AS n, min(ordinal) AS first FROM doc_edges GROUP BY 1, 2), r AS (SELECT id, 5 * least(sum(n), 5) AS s, string_agg('|关系命中：' || kind || CASE WHEN n > 1 THEN ' × ' || n ELSE '' END, '' ORDER BY first) AS said FROM rk GROUP BY 1),
+  near AS (SELECT src AS id, string_agg(dst_path, '|' ORDER BY ordinal) AS related FROM doc_edges GROUP BY 1)
+SELECT path, symbol, CAST(base.s + ys + coalesce(r.s, 0) AS BIGINT) AS score, substr(base.said || ysaid || coalesce(r.said, ''), 2) AS reasons, coalesce(related, '') AS related FROM base LEFT JOIN r USING (id) LEFT JOIN near USING (id) ORDER BY score DESC, base.s = 0, path COLLATE en, path LIMIT 30""")
 def hybrid_retrieve(spark, sf):
     plan = retrieval.parse_query(QUERY)
-    no_edges = spark.createDataFrame([], "repo_id string, src string, dst string, kind string, ordinal long")
-    return retrieval.retrieve(plan, doc_files(spark, sf), doc_symbols(spark, sf), no_edges, doc_contents(spark, sf)).select("path", "score")
+    found = retrieval.retrieve(plan, doc_files(spark, sf), doc_symbols(spark, sf), doc_edges(spark, sf), doc_contents(spark, sf))
+    return found.select("path", "symbol", "score", joined(F.col("reasons")).alias("reasons"), joined(F.col("related_paths")).alias("related"))
+
+
+@query(f"""WITH {_QUERIES}, a AS (SELECT conv_id, turn, query || CASE conv_id % 3 WHEN 0 THEN ' Hook' WHEN 1 THEN ' 调用' ELSE ' hook' END AS query FROM q) SELECT conv_id, turn, CASE WHEN contains(query, '组件') THEN 'component' WHEN contains(query, 'Hook') OR contains(query, 'hook') THEN 'hook' ELSE 'component|hook|function|class|variable' END AS symbol_kinds,
+  CASE WHEN contains(query, '调用') THEN 'call|import|uses-hook' ELSE 'import|call|render|uses-hook|uses-store' END AS relation_kinds FROM a""")
+def plan_kinds(spark, sf):
+    more = F.element_at(F.array(*map(F.lit, (" Hook", " 调用", " hook"))), (F.col("conv_id") % 3 + 1).cast("int"))
+    plan = retrieval.query_plan(F.concat("query", more))
+    return questions(spark, sf).select("conv_id", "turn", plan.alias("p")).select("conv_id", "turn", joined(F.col("p.symbol_kinds")).alias("symbol_kinds"), joined(F.col("p.relation_kinds")).alias("relation_kinds"))
 
 
 # --- events --------------------------------------------------------------------------------------------------------------
@@ -609,11 +794,9 @@ def checkpoint_upsert(spark, sf):
     return ev.latest_checkpoints(rows).select("run_id", "seq", "state")
 
 
-@query()
+@query(_FOLD.replace("min(seq) AS first_seq", "arg_max(detail, seq) AS detail, min(seq) AS first_seq") + " SELECT * FROM s")
 def stream_progress(spark, sf):
     """The fold of the log read as a stream until what is there is read."""
-    import uuid
-
     schema = t(spark, sf, "events").schema
     name = f"progress_{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")  # a file or a folder of files
@@ -633,16 +816,106 @@ def elapsed_fmt(spark, sf):
     return t(spark, sf, "events").select("event_id", fn.duration_label(ms).alias("label"))
 
 
-@query("WITH o AS (SELECT CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_totalprice > 100000 THEN 'FIXED' ELSE 'KNOWN-FAIL' END ELSE CASE WHEN o_totalprice > 100000 THEN 'PASS' ELSE 'REGRESSION' END END AS outcome FROM orders) SELECT outcome, count(*) AS n FROM o GROUP BY 1")
-def outcome_tally(spark, sf):
-    ok = F.col("o_totalprice") > 100000
-    outcome = F.when(F.col("o_orderstatus") == "F", F.when(ok, "FIXED").otherwise("KNOWN-FAIL")).otherwise(F.when(ok, "PASS").otherwise("REGRESSION"))
-    return t(spark, sf, "orders").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+_VERDICTS = """checks AS (SELECT c.c_nationkey AS n, EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) AS ok FROM customer c WHERE c.c_custkey % 50 > c.c_nationkey),
+  per AS (SELECT n, count(*) AS checks, bool_and(ok) AS ok FROM checks GROUP BY 1),
+  verdicts AS (SELECT n_name AS name, coalesce(checks, 0) AS checks, coalesce(ok, false) AS passed, n_nationkey % 2 = 1 AS known FROM nation LEFT JOIN per ON n = n_nationkey),
+  outcomes AS (SELECT name, checks, passed, CASE WHEN known THEN CASE WHEN passed THEN 'FIXED' ELSE 'KNOWN-FAIL' END WHEN passed THEN 'PASS' ELSE 'REGRESSION' END AS outcome FROM verdicts)"""
+
+
+def nation_checks(spark, sf):
+    """Customers are facts that a nation's suite expects; those with orders are found."""
+    c = t(spark, sf, "customer").where("c_custkey % 50 > c_nationkey").join(t(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name")), "c_nationkey")
+    expected = c.select("name", F.lit("customer").alias("kind"), F.col("c_custkey").cast("string").alias("fact"))
+    found = t(spark, sf, "orders").select(F.lit("customer").alias("kind"), F.col("o_custkey").cast("string").alias("fact"))
+    return evaluate.met(expected, found)
 
 
-@query("WITH e AS (SELECT c_custkey, c_nationkey FROM customer), f AS (SELECT DISTINCT o_custkey FROM orders), k AS (SELECT c_nationkey, c_custkey IN (SELECT o_custkey FROM f) AS ok FROM e) SELECT c_nationkey, count(*) AS checks, count(*) > 0 AND bool_and(ok) AS passed FROM k GROUP BY 1")
+def nation_verdicts(spark, sf):
+    status = F.when(F.col("n_nationkey") % 2 == 1, "known-failure").otherwise("expected-pass")
+    return evaluate.verdicts(nation_checks(spark, sf), t(spark, sf, "nation").select(F.col("n_name").alias("name"), status.alias("status")))
+
+
+@query(f"WITH {_VERDICTS} SELECT name, checks, passed, outcome FROM outcomes")
 def expect_check(spark, sf):
-    """Expected facts (customers that have orders), by group: all of them, and at least one."""
-    facts = t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("ok", F.lit(True))
-    k = t(spark, sf, "customer").join(facts, "c_custkey", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    return k.groupBy("c_nationkey").agg(F.count("*").alias("checks"), ((F.count("*") > 0) & F.bool_and("ok")).alias("passed"))
+    return nation_verdicts(spark, sf)
+
+
+@query(f"WITH {_VERDICTS} SELECT outcome, count(*) AS n, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM outcomes) AS share FROM outcomes GROUP BY 1")
+def outcome_tally(spark, sf):
+    return evaluate.tally(nation_verdicts(spark, sf))
+
+
+# --- stored tables, logs and reports -------------------------------------------------------------------------------------
+
+
+@query("SELECT path, repo_id, sha256(content || CASE WHEN repo_id = 'en' THEN '!' ELSE '' END) AS content_hash, repo_id = 'en' AS new FROM (SELECT lang AS repo_id, source || '/' || lang || '/' || doc_id || '.' || ['ts', 'tsx', 'js', 'jsx', 'vue'][doc_id % 5 + 1] AS path, text AS content FROM documents)")
+def stored_files(spark, sf):
+    """The file index after one repository has been analysed again, and which of its files had changed before that."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    first = doc_files(spark, sf).select("repo_id", "path", "content_hash")
+    store.replace_files(first)
+    again = doc_contents(spark, sf).where("repo_id = 'en'").select("repo_id", "path", fn.content_hash(F.concat("content", F.lit("!"))).alias("content_hash"))
+    both = again.unionByName(first.where("repo_id <> 'en'"))
+    changed = Stages(spark, "changed").put(store.changed(both).select("repo_id", "path", F.lit(True).alias("new")), "rows")
+    store.replace_files(again)
+    return store.files().join(changed, ["repo_id", "path"], "left").select("path", F.col("repo_id").cast("string").alias("repo_id"), "content_hash", F.coalesce("new", F.lit(False)).alias("new"))
+
+
+@query("SELECT n_name AS id, 't' || k AS generated_at, '{\"nation\": ' || n_nationkey || ', \"k\": ' || k || '}' AS payload FROM nation, (VALUES (0), (1)) AS v(k) WHERE n_nationkey < 5")
+def stored_runs(spark, sf):
+    """Runs are appended; nothing is replaced."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    for k in (0, 1):
+        for r in t(spark, sf, "nation").where("n_nationkey < 5").collect():
+            store.append_run(f"r{r['n_nationkey']}", r["n_name"], f"t{k}", {"nation": r["n_nationkey"], "k": k})
+    return store.runs().select("id", "generated_at", "payload")
+
+
+_NATION_LOG = """nation_log AS (SELECT n_name AS run_id, CAST(seq AS BIGINT) AS seq, CASE WHEN seq < 2 THEN 'scan' ELSE 'render' END AS node, CASE WHEN seq % 2 = 0 THEN 'start' WHEN seq = 3 AND n_nationkey % 3 = 0 THEN 'error' ELSE 'end' END AS phase, CASE WHEN seq % 2 = 1 THEN CASE WHEN seq = 3 AND n_nationkey % 3 = 0 THEN 'broken' ELSE 'n' || n_nationkey END END AS detail
+  FROM nation, (VALUES (0), (1), (2), (3)) AS v(seq) WHERE NOT (n_nationkey % 3 = 2 AND seq = 3))"""
+
+
+def nation_log(spark, sf) -> DataFrame:
+    """The log of a run for each nation: of three one fails in its last step, one ends, and one is still in it."""
+    folder = tempfile.mkdtemp(prefix="tessera-log-")
+    for r in t(spark, sf, "nation").orderBy("n_nationkey").collect():
+        log, k = ev.EventLog(folder, r["n_name"]), r["n_nationkey"]
+        with log.step("scan") as s:
+            s.detail = f"n{k}"
+        if k % 3 == 2:
+            log.emit("render", "start")
+            continue
+        try:
+            with log.step("render") as s:
+                s.detail = f"n{k}"
+                if k % 3 == 0:
+                    raise ValueError("broken")
+        except ValueError:
+            pass
+    log_rows = ev.read_events(spark, folder)
+    return spark.createDataFrame(log_rows.collect(), log_rows.schema)  # a hundred rows; the folder is the driver's own
+
+
+@query(f"WITH {_NATION_LOG} SELECT run_id, seq, node, phase, detail FROM nation_log")
+def event_log_files(spark, sf):
+    return nation_log(spark, sf).select("run_id", "seq", "node", "phase", "detail")
+
+
+@query(f"""WITH {_NATION_LOG} SELECT run_id, seq AS n, 'progress' AS name, '{{{{"node":"' || node || '","phase":"' || phase || '","seq":' || seq || '}}}}' AS payload FROM nation_log
+UNION ALL SELECT n_name, 4, 'done', '{{{{"status":"' || CASE n_nationkey % 3 WHEN 0 THEN 'failed' ELSE 'completed' END || '"}}}}' FROM nation WHERE n_nationkey % 3 < 2""".replace("{{{{", "{").replace("}}}}", "}").replace("{{", "{").replace("}}", "}"))
+def sse_replay(spark, sf):
+    log = nation_log(spark, sf)
+    return ev.replayed_frames(log, ev.run_status(log))
+
+
+_TOP = "top AS (SELECT n_name, n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'warning' ELSE 'error' END AS severity FROM nation WHERE n_nationkey < 6)"
+
+
+@query(f"""WITH {_TOP} SELECT '# {report.TITLE}' || chr(10) || chr(10) || '生成时间：t' || chr(10) || chr(10) || '## 技术栈' || chr(10) || '- 框架：Vue' || chr(10) || '- 构建工具：{report.UNKNOWN}' || chr(10) || '- 置信度：0.76' || chr(10) || '- 证据：a；b' || chr(10) || chr(10)
+  || '## 指标' || chr(10) || '- 总分：7' || chr(10) || '- coupling: 9' || chr(10) || chr(10) || '## 架构解读' || chr(10) || chr(10) || '_{report.NO_MODEL}_' || chr(10) || chr(10) || '## Findings' || chr(10)
+  || (SELECT string_agg('- [' || severity || '] m' || n_nationkey || '（' || n_name || ', x.ts）', chr(10) ORDER BY n_nationkey) FROM top) || chr(10) || chr(10) || '## Mermaid' || chr(10) || '```mermaid' || chr(10) || 'graph TD' || chr(10) || '```' AS text""")
+def report_markdown(spark, sf):
+    rows = t(spark, sf, "nation").where("n_nationkey < 6").orderBy("n_nationkey").collect()
+    found = [{"rule": "r", "severity": "error" if r["n_nationkey"] % 2 else "warning", "message": f"m{r['n_nationkey']}", "files": [r["n_name"], "x.ts"]} for r in rows]
+    text = report.markdown({"generatedAt": "t", "stack": {"framework": "Vue", "confidence": 0.76, "evidence": ["a", "b"]}, "metrics": {"score": 7, "dimensions": {"coupling": 9}}, "findings": found, "mermaid": "graph TD"})
+    return spark.createDataFrame([(text,)], "text string")
