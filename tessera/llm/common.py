@@ -1,12 +1,13 @@
-"""Shared pieces of the training-data operators: table access, staging, text constants."""
+"""Shared pieces of the training-data operators: table access, text constants."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..staging import Stages, clear, shared_dir
+
+__all__ = ["SPACE", "WORD", "Stages", "clear", "free_name", "shared_dir", "table"]
+
 #: White space that separates words, as a regular-expression class body (ASCII only).
 SPACE = "\\x20\\x09-\\x0D"
 #: A word.
@@ -17,58 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; in local mode, where it is unset, a temporary one of this process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    global _OWN
-    if _OWN is None:
-        _OWN = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return _OWN
-
-
-_OWN: str | None = None
-
-
-class Stages:
-    """Tables written in the shared folder: they cut lineage and survive lost executors. Those that no result reads are dropped by their
-    operator as soon as the next one is written; those behind a result go with clear(), once the result has been written."""
-
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-        _ROOTS.append(self.root)
-
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
-        return self.get(name, df)
-
-    def get(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            _delete(self.spark, f"{self.root}/{name}")
-
-
-_ROOTS: list[str] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
-
-
-def clear(spark: SparkSession) -> int:
-    """Deletes the stage tables of all operators that this process has run; results that aren't written yet can't be read any more."""
-    n = len(_ROOTS)
-    while _ROOTS:
-        _delete(spark, _ROOTS.pop())
-    return n
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with signs added until df has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -252,7 +252,7 @@ def test_embedding_links_equal_brute_force(spark):
     base = rng.normal(size=(60, 24))
     v = [b + rng.normal(scale=0.12, size=24) for b in base for _ in range(5)] + [base[0]] * 4
     rows = [(i, [float(x) for x in e], int(i % 3) if i < 300 else 0) for i, e in enumerate(v)]
-    odd = [(900, None, 1), (901, [0.0] * 24, 1), (902, [float("nan")] * 24, 1), (903, [None] * 24, 1), (904, rows[0][1], None), (905, [1.0], 1)]
+    odd = [(900, None, 1), (901, [0.0] * 24, 1), (902, [float("nan")] * 24, 1), (903, [None] * 24, 1), (904, rows[0][1], None), (905, [1.0], 1), (906, [], 1)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int").withColumn("copies", F.lit(1))
     unit = np.array([e for _, e, _ in rows])
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
@@ -262,8 +262,9 @@ def test_embedding_links_equal_brute_force(spark):
     groups = brute.Sets(range(len(rows)))
     for i, j in zip(*np.nonzero(near), strict=True):
         groups.tie(int(i), int(j))
-    for bucket in (crosspolytope.BUCKET, 8):  # the latter cuts buckets into parts
-        out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in crosspolytope.near_duplicates(df, bucket=bucket).collect()}
+    # by table, by bucket, and with buckets cut into parts
+    for more in ({}, {"group_bytes": 0}, {"group_bytes": 0, "bucket": 8}):
+        out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in crosspolytope.near_duplicates(df, **more).collect()}
         found = sum(out[i][0] for i in range(len(rows)))
         assert found >= 0.9 * near.sum() and all(out[i][0] <= near[i].sum() for i in range(len(rows)))
         assert np.mean([out[i][1] == groups.find(i) for i in range(len(rows))]) > 0.95
@@ -271,6 +272,28 @@ def test_embedding_links_equal_brute_force(spark):
     assert crosspolytope.near_duplicates(nothing(df)).count() == 0
 
 
+def test_vectors_of_a_rare_length_link(spark):
+    rows = [(1, [1.0, 0.5, 0.0], 1), (2, [0.0, 0.5, 1.0], 1), (3, [1.0, 2.0], 1), (4, [2.0, 4.0], 1), (5, [1.0, 2.1], 1), (6, [1.0, 2.0], 2), (7, [1.0, 0.51, 0.0], 1), (8, [3.0], 1), (9, [3.5], 1), (10, [-3.5], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for more in ({}, {"group_bytes": 0}):
+        out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in crosspolytope.near_duplicates(df, **more).collect()}
+        assert out == {1: (1, 1), 2: (0, 2), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6), 7: (1, 1), 8: (1, 8), 9: (1, 8), 10: (0, 10)}
+
+
+@pytest.mark.parametrize(("tables", "hashes", "probes"), [(crosspolytope.FEW[0], 1, crosspolytope.FEW[1]), *((t, k, crosspolytope.PROBES) for k, t in crosspolytope.TABLES.items())])
+@pytest.mark.parametrize("dim", [24, 64, 300])
+def test_recall_at_the_threshold(tables, hashes, probes, dim):
+    rng = np.random.default_rng(dim)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.normal(size=(600, dim)))
+    r = rng.normal(size=a.shape)
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * unit(r - (r * a).sum(axis=1, keepdims=True) * a)
+    hasher = crosspolytope.CrossPolytope(dim, tables, hashes, probes)
+    x, y = hasher.codes(a), hasher.codes(b)
+    met = ((x == y[:, :, :1]).any(axis=2) | (y == x[:, :, :1]).any(axis=2)).any(axis=1)
+    assert met.mean() > 0.985
+
+
 def test_fast_hadamard():
     x = np.random.default_rng(0).normal(size=(3, 16))
     assert np.allclose(crosspolytope.fast_hadamard(crosspolytope.fast_hadamard(x)), x)
