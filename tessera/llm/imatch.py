@@ -12,7 +12,8 @@ The likeness of two fingerprints is the share of equal hashes among the subsets
 level where it is largest and rests on ``least`` subsets; with fewer anywhere, over all levels together.
 
 Moving data: one pass counts document frequencies (hashes only, pre-aggregated); one shuffle of the texts brings each
-document next to its successor. Ranges of ids are the shuffle's keys, so that the windows run in it without another one.
+document next to its successor. Ranges of ids, cut so that they hold like numbers of documents, are the shuffle's keys, so that the
+windows run in it without another one.
 
 Defined cases: null text: as empty; empty text: the fingerprint of no words; one document is its own successor; a null
 doc_id comes after all others; rows with one id stand in the order of their texts' hashes; equal texts have equal
@@ -33,7 +34,7 @@ MIN_IDF, MAX_IDF, LEAST_DOCS = 3.0, 12.0, 2
 #: (bits of a range's width, first start, number) of each level's ranges of slots, which follow upon each other.
 LEVELS = ((20, 0, 16), (17, 1 << 22, 12), (14, 2 << 22, 12), (11, 3 << 22, 12))
 LEAST = 3
-DOCS_PER_RANGE, LEAST_RANGES, MOST_RANGES = 500, 64, 100_000
+DOCS_PER_RANGE, LEAST_RANGES, MOST_RANGES, PER_BOUND = 500, 64, 100_000, 20
 
 
 def slots(text: Column) -> Column:
@@ -92,34 +93,47 @@ def likeness(a: Column, b: Column, a_text: Column, b_text: Column, least: int =
     return F.coalesce(best, F.when(total["of"] > 0, total["same"] / total["of"]), (a_text == b_text).cast("double"), F.lit(0.0))
 
 
-def neighbours(docs: DataFrame, n_docs: int) -> DataFrame:
-    """Every document with its range of ids (part), its place there and the text of its successor in descending order of
-    ids; the last one's successor is the first. Guests, the first of the next range, stand at the end of each range."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
+def range_of(key: Column, bounds: Column) -> Column:
+    """How many of the sorted bounds are at most the key, by bisection."""
+    most = 1 << (MOST_RANGES - 1).bit_length()
+    steps = F.array(*(F.lit(most >> k) for k in range(1, most.bit_length())))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at))
+
+
+def neighbours(docs: DataFrame, stages: Stages) -> tuple[DataFrame, int]:
+    """(every document with its range (part), its place there and the text of its successor in descending order of
+    ids, the last one's successor being the first; the number of documents). Guests, the first of the next range, stand at the end of each
+    range. Ranges hold like numbers of documents, whatever the ids: they are cut by (id, hash of the text), so rows of one id, or
+    without an id, are spread as well."""
+    key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"))
+    keys = stages.put(docs.select(key.alias("key")), "keys")
+    n_docs = keys.count()
     ranges = min(MOST_RANGES, max(LEAST_RANGES, n_docs // DOCS_PER_RANGE))
-    width = (high - low) // ranges + 1
-    part = F.floor((F.coalesce("doc_id", F.lit(low)) - low) / F.lit(width)).cast("int")
-    rows = docs.withColumns({"part": part, "h": F.xxhash64("text")})
-    first = F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "h")).alias("first")
-    heads = rows.groupBy("part").agg(first)
+    every = max(1, n_docs // (ranges * PER_BOUND))
+    # what is drawn here decides only where ranges begin, about PER_BOUND keys to a range
+    drawn = keys.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).agg(F.array_sort(F.collect_list("key")).alias("xs"))
+    gap = F.greatest(F.lit(1), F.floor(F.size("xs") / ranges).cast("int"))
+    bounds = stages.put(drawn.select(F.array_distinct(F.filter("xs", lambda x, i: (i > 0) & (i % gap == 0))).alias("bounds")), "bounds")
+    with_part = lambda df: df.withColumn("bounds", bounds.scalar()).withColumn("part", range_of(F.col("key"), F.col("bounds"))).drop("bounds")
+    heads = with_part(keys).groupBy("part").agg(F.max("key").alias("first"))
     order = Window.orderBy(F.desc("part"))
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # at most MOST_RANGES rows, of three numbers each
-    heads = heads.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(everything)).alias("x")).select(F.col("part").alias("to"), F.col("x.id").alias("head"), F.col("x.h").alias("head_h"))
-    guests = rows.join(F.broadcast(heads), (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("head")) & (F.col("h") == F.col("head_h")))
-    guests = guests.select("doc_id", "text", F.col("to").alias("part"), "h", F.lit(True).alias("guest"))
-    w = Window.partitionBy("part").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("h"))
+    heads = stages.put(heads.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(everything)).alias("head")).select(F.col("part").alias("to"), "head"), "heads")
+    rows = with_part(docs.withColumn("key", key))
+    guests = docs.withColumn("key", key).join(F.broadcast(heads), F.col("key") == F.col("head")).select("doc_id", "text", "key", F.col("to").alias("part"), F.lit(True).alias("guest"))
+    w = Window.partitionBy("part").orderBy("guest", F.desc("key"))
     both = rows.withColumn("guest", F.lit(False)).unionByName(guests)
-    return both.withColumns({"place": F.row_number().over(w), "next_text": F.lead("text").over(w)})
+    return both.withColumns({"place": F.row_number().over(w), "next_text": F.lead("text").over(w)}), n_docs
 
 
 def fingerprints(df: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    stages = Stages(df.sparkSession, "imatch")
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n_docs = docs.count()
-    words = Stages(df.sparkSession, "imatch").put(lexicon(docs, n_docs, min_idf, max_idf), "lexicon")
-    rows = neighbours(docs, n_docs)
+    rows, n_docs = neighbours(docs, stages)
+    words = stages.put(lexicon(docs, n_docs, min_idf, max_idf), "lexicon")
+    stages.drop("keys")
     n = F.char_length("text").cast("long")
     cut = F.floor(n / 3).cast("int")
     edited = F.when(F.col("guest"), F.lit("")).otherwise(F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.substring(F.coalesce("next_text", "text"), F.lit(1), cut)))

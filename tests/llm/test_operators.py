@@ -187,6 +187,73 @@ def test_fingerprints(spark, documents, odd):
     assert imatch.fingerprints(df.where("doc_id = 3")).first()["near_next"] == 1.0
 
 
+def fingerprint_of(text, lexicon):
+    """The written fingerprint and its levels, in plain Python; lexicon: slots."""
+    import re
+
+    import xxhash
+
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text.lower()) if w]
+    terms = sorted({xxhash.xxh64_intdigest(w.encode(), seed=42) >> 40 for w in words} & lexicon)
+    levels = []
+    for bits, first, n in imatch.LEVELS:
+        level = []
+        for i in range(n):
+            own, h = [s for s in terms if first + (i << bits) <= s < first + (i + 1 << bits)], 42
+            for s in own:
+                h = xxhash.xxh64_intdigest(s.to_bytes(4, "little"), seed=h)
+            level.append(h if own else None)
+        levels.append(level)
+    flat = [h for level in levels for h in level]
+    if any(h is not None for h in flat):
+        return ".".join("-" if h is None else f"{h & 0xFFFFFFFF:08x}" for h in flat), levels
+    return "w" + f"{xxhash.xxh64_intdigest(' '.join(words).encode(), seed=42):x}", levels
+
+
+def likeness_of(a, b):
+    pairs = [[(x, y) for x, y in zip(p, q, strict=True) if x is not None or y is not None] for p, q in zip(a[1], b[1], strict=True)]
+    shares = [sum(x == y for x, y in level) / len(level) for level in pairs if len(level) >= imatch.LEAST]
+    every = [xy for level in pairs for xy in level]
+    return max(shares) if shares else sum(x == y for x, y in every) / len(every) if every else float(a[0] == b[0])
+
+
+def test_fingerprints_equal_brute_force(spark, documents):
+    import re
+
+    import xxhash
+
+    rows = sorted(rows_of(documents), reverse=True) + [(-5, None), (-7, "only two")]
+    seen = Counter(s for _, t in rows for s in {xxhash.xxh64_intdigest(w.encode(), seed=42) >> 40 for w in re.split("[\x20\x09-\x0d]+", (t or "").lower()) if w})
+    n = len(rows)
+    lexicon = {s for s, k in seen.items() if max(2, n * np.exp(-imatch.MAX_IDF)) <= k <= max(2, n * np.exp(-imatch.MIN_IDF))}
+    out = {r["doc_id"]: r for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (d, t) in enumerate(rows):
+        t, nxt = t or "", rows[(k + 1) % n][1] or ""
+        cut = len(t) // 3
+        own, edited, after = (fingerprint_of(x, lexicon) for x in (t, t[: len(t) - cut] + nxt[:cut], nxt))
+        r = out[d]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (own[0], edited[0])
+        assert r["near_edited"] == pytest.approx(likeness_of(own, edited)) and r["near_next"] == pytest.approx(likeness_of(own, after))
+
+
+def test_ranges_hold_like_numbers_of_documents(spark):
+    from tessera.llm.common import Stages
+
+    ids = [*range(2000), 1 << 60, -(1 << 60), *[None] * 1000, *[7] * 1000]
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    rows, n = imatch.neighbours(df, Stages(spark, "t"))
+    found = rows.collect()
+    sizes = Counter(r["part"] for r in found if not r["guest"])
+    assert n == len(ids) == sum(sizes.values()) and len(sizes) > 40 and max(sizes.values()) < 200
+    follows = {r["text"]: r["next_text"] for r in found if not r["guest"]}
+    assert Counter(follows.values()) == Counter(follows.keys())  # one round through all
+    at, seen = "text 2000", ["text 2000"]
+    while (at := follows[at]) != "text 2000":
+        seen.append(at)
+    order = [ids[int(t.split()[1])] for t in seen]
+    assert len(order) == n and [i for i in order if i is not None] == sorted((i for i in ids if i is not None), reverse=True) and order[-1000:] == [None] * 1000
+
+
 def test_every_band_term_is_in_a_subset(spark):
     import xxhash
 
