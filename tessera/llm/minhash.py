@@ -222,7 +222,8 @@ def links(df: DataFrame, clusters: DataFrame, stages: Stages, threshold: tuple[i
             yield flush()
 
     ids = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("rep"), "text")
-    sets = ids.join(dealt, "rep").mapInPandas(make_sets, "rep long, task long, block long, own binary")
+    # sorted on both sides at every size, so that a run on little data moves texts as one on much does
+    sets = ids.join(dealt.hint("merge"), "rep").mapInPandas(make_sets, "rep long, task long, block long, own binary")
     parts_n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sets.repartition(parts_n, "task").sortWithinPartitions("task").mapInPandas(find, "a long, b long")
 
