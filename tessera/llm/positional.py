@@ -136,8 +136,9 @@ def report(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataF
     of_item = stages.put(own.join(index.phrases, "phrase").select("pid", "item_id").distinct(), "items")
     pairs = found.select(*TEXT, "pid").distinct().join(_small(of_item), "pid").select(*TEXT, "item_id").distinct()
     items = pairs.groupBy(*TEXT).agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
-    hits = covered(found).join(items, TEXT)
-    out = index.documents.join(hits, TEXT, "left")
+    # a table of its own: the join of two tables is one that Spark splits where a text has very many copies
+    hits = stages.put(covered(found).join(items, TEXT), "hits")
+    out = index.documents.join(_small(hits), TEXT, "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     digest = F.sha2(F.array_join(F.coalesce("ids", F.array().cast("array<string>")), ","), 256).alias("items_sha256")
     return out.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), digest, (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
