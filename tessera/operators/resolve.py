@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import json
+import os
 import posixpath
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tree import in_reading_order, ordinal
+from ..staging import Stages
+from .packages import configurations, package_paths
 
 # What may stand for a missing suffix, and index files of folders.
 SUFFIXES = (".ts", ".tsx", ".d.ts", ".js", ".jsx")
@@ -22,59 +24,38 @@ VUE_INDEXES = ("index.ts", "index.tsx", "index.js", "index.vue")
 REPLACED = {".js": (".ts", ".tsx"), ".jsx": (".tsx",), ".mjs": (".mts",), ".cjs": (".cts",)}
 
 
-def parse_config(text: str | None) -> dict:
-    """baseUrl, paths and extends of a compiler configuration with comments and closing commas; {} where it can't be read."""
-    if not text:
-        return {}
-    kept = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
-    kept = re.sub(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])', lambda m: m[1] or "", kept)
-    try:
-        whole = json.loads(kept)
-        options = whole.get("compilerOptions", {})
-    except (ValueError, AttributeError):
-        return {}
-    out = {k: options[k] for k in ("baseUrl", "paths") if k in options} if isinstance(options, dict) else {}
-    return out | ({"extends": whole["extends"]} if "extends" in whole else {})
-
-
-def load_config(read: Callable[[str], str | None], name: str, above: tuple[str, ...] = ()) -> dict:
-    """baseUrl and paths of the configuration at a path, with those of the ones it extends by relative paths, later ones winning; a
-    configuration's folders are made relative to the root. read: the text at a path from the root, or None."""
-    own = parse_config(read(name))
-    folder, out = posixpath.dirname(name), {}
-    parents = own.pop("extends", ())
-    for parent in [parents] if isinstance(parents, str) else parents:
-        at = posixpath.normpath(posixpath.join(folder, parent))
-        for path in (at, at + ".json"):
-            if parent.startswith(".") and path not in (*above, name) and read(path) is not None:
-                out |= load_config(read, path, (*above, name))
-                break
-    if "baseUrl" in own:
-        own["baseUrl"] = posixpath.normpath(posixpath.join(folder, own["baseUrl"]))
-    if "paths" in own:
-        own["base"] = own.get("baseUrl", out.get("baseUrl", folder or "."))
-    return out | own
-
-
-def config_rows(texts: DataFrame) -> DataFrame:
-    """repo_id, base_url, paths (a map) of repo_id, text."""
+@dataclass
+class Surroundings:
+    """What specifiers are resolved by, of all repositories at once. settings and links: see packages. elsewhere (repo_id, path): files
+    that are there but weren't scanned; paths of those outside a repository's root start with "..". roots (repo_id, root): with it,
+    candidates outside a root are looked up on the disk that tasks share."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [load_config({"tsconfig.json": t}.get, "tsconfig.json") for t in b["text"]]
-            yield pd.DataFrame({"repo_id": b["repo_id"], "base_url": [c.get("baseUrl") for c in found], "paths": [c.get("paths") for c in found]})
+    settings: DataFrame
+    links: DataFrame
+    elsewhere: DataFrame
+    roots: DataFrame | None = None
+
+    @classmethod
+    def none(cls, spark: SparkSession) -> Surroundings:
+        empty = lambda *cs: spark.createDataFrame([], ", ".join(f"{c} string" for c in cs))
+        return cls(empty("repo_id", "path", "text"), empty("repo_id", "path", "target"), empty("repo_id", "path"))
 
-    return texts.select("repo_id", "text").mapInPandas(run, "repo_id string, base_url string, paths map<string,array<string>>")
 
+def outside_files(paths: DataFrame, around: Surroundings) -> DataFrame:
+    """elsewhere, with those of paths (repo_id, path) that leave the tree and are on the disk."""
+    if around.roots is None:
+        return around.elsewhere
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[os.path.isfile(os.path.join(r, p)) for r, p in zip(b["root"], b["path"], strict=True)]][["repo_id", "path"]]
 
-def leaves_root(spec: str, source: str) -> bool:
-    """Whether a relative specifier names something outside the tree."""
-    return spec.startswith(".") and posixpath.normpath(posixpath.join(posixpath.dirname(source), spec)).startswith("..")
+    asked = paths.where(F.startswith("path", F.lit("../"))).select("repo_id", "path").distinct().join(around.roots, "repo_id")
+    return around.elsewhere.select("repo_id", "path").unionByName(asked.select("repo_id", "path", "root").mapInPandas(run, "repo_id string, path string"))
 
 
-def _norm(path: str) -> str | None:
-    path = posixpath.normpath(path)
-    return None if path.startswith("..") else path.lstrip("/")
+def _norm(path: str) -> str:
+    return posixpath.normpath(path).lstrip("/")
 
 
 def _files(base: str) -> list[str]:
@@ -85,9 +66,9 @@ def _files(base: str) -> list[str]:
     return out + [posixpath.join(base, x) for x in INDEXES]
 
 
-def candidates(spec: str, source: str, config: dict) -> list[str]:
-    """Paths from the repository's root, best first. Sources never resolve to single-file components; these resolve relative
-    specifiers only."""
+def candidates(spec: str, source: str, config: dict, exact: Iterable[str] = (), loose: Iterable[str] = ()) -> list[str]:
+    """Paths from the repository's root, best first; those that leave it start with "..". Sources never resolve to single-file components;
+    these resolve relative specifiers only. config: baseUrl, paths, base; exact and loose: what packages say of the specifier."""
     folder = posixpath.dirname(source)
     if source.lower().endswith(".vue"):
         if not spec.startswith("."):
@@ -99,53 +80,76 @@ def candidates(spec: str, source: str, config: dict) -> list[str]:
     else:
         root, found = config.get("baseUrl"), []
         paths = config.get("paths") or {}
-        exact = [p for p in paths if p == spec]
+        named = [p for p in paths if p == spec]
         wild = sorted((p for p in paths if "*" in p and spec.startswith(p.split("*")[0]) and spec.endswith(p.split("*")[1]) and len(spec) >= len(p) - 1), key=lambda p: -len(p.split("*")[0]))
-        for pattern in exact or wild[:1]:
+        for pattern in named or wild[:1]:
             head, _, tail = pattern.partition("*")
             middle = spec[len(head) : len(spec) - len(tail)] if "*" in pattern else ""
             for target in paths[pattern]:
-                found += _files(posixpath.join(config.get("base") or root or ".", target.replace("*", middle)))
-        if root is not None:
+                found += _files(posixpath.join(config.get("base") or root or "", target.replace("*", middle)))
+        if root is not None and not spec.startswith("#"):
             found += _files(posixpath.join(root, spec))
-    seen = dict.fromkeys(p for p in map(_norm, found) if p and (source.lower().endswith(".vue") or not p.lower().endswith(".vue")))
+        for path in exact:
+            stem, suffix = posixpath.splitext(path)
+            found += [stem + s for s in REPLACED.get(suffix, ())] + [path]
+        for path in loose:
+            found += _files(path)
+    seen = dict.fromkeys(p for p in map(_norm, found) if p and p != "." and (source.lower().endswith(".vue") or not p.lower().endswith(".vue")))
     return list(seen)
 
 
-def with_candidates(specs: DataFrame, configs: dict[str, dict]) -> DataFrame:
-    """Distinct repo_id, path, spec with candidates, and outside: whether the specifier leaves the tree."""
+def with_candidates(specs: DataFrame, around: Surroundings) -> DataFrame:
+    """Distinct repo_id, path, spec with candidates. Configurations are joined as a table, a row a repository."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(candidates=[candidates(s, p, configs.get(r) or {}) for r, p, s in zip(b["repo_id"], b["path"], b["spec"], strict=True)], outside=[leaves_root(s, p) for p, s in zip(b["path"], b["spec"], strict=True)])
+            found = []
+            for spec, path, base_url, base, paths, exact, loose in zip(b["spec"], b["path"], b["base_url"], b["base"], b["paths"], b["exact"], b["loose"], strict=True):
+                config = {"baseUrl": base_url, "base": base, "paths": {k: list(v) for k, v in paths.items()} if paths is not None else {}}
+                found.append(candidates(spec, path, config, exact if exact is not None else (), loose if loose is not None else ()))
+            yield b[["repo_id", "path", "spec"]].assign(candidates=found)
 
     pairs = specs.select("repo_id", "path", "spec").distinct()
-    return pairs.mapInPandas(run, "repo_id string, path string, spec string, candidates array<string>, outside boolean")
+    packaged = package_paths(pairs, around.settings, around.links)
+    rows = pairs.join(packaged, ["repo_id", "path", "spec"], "left").join(configurations(around.settings, around.links), "repo_id", "left")
+    return rows.select("repo_id", "path", "spec", "base_url", "base", "paths", "exact", "loose").mapInPandas(run, "repo_id string, path string, spec string, candidates array<string>")
 
 
-def ranked_match(ranked: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
+def ranked_match(ranked: DataFrame, files: DataFrame, key: list[str], exact_only: DataFrame | None = None) -> DataFrame:
     """key and the best target. An exact path beats one that agrees but for case; then the better rank; of files that differ in case alone
-    the last in reading order. ranked: repo_id, rank, candidate and the key; files: repo_id, id, path."""
-    exact = ranked.join(files.select("repo_id", F.col("path").alias("candidate"), F.col("id").alias("target")), ["repo_id", "candidate"])
+    the last in reading order. ranked: repo_id, rank, candidate and the key; files, and exact_only, which match by the exact path alone: repo_id, id, path."""
+    whole = files.select("repo_id", "id", "path")
+    exact = ranked.join((whole.unionByName(exact_only) if exact_only is not None else whole).select("repo_id", F.col("path").alias("candidate"), F.col("id").alias("target")), ["repo_id", "candidate"])
     lower = files.groupBy("repo_id", F.lower("path").alias("low")).agg(F.max_by("id", F.struct(F.collate("path", "UNICODE").alias("c"), "path")).alias("target"))
     loose = ranked.withColumn("low", F.lower("candidate")).join(lower, ["repo_id", "low"])
     both = exact.select(*key, "rank", "target", F.lit(0).alias("loose")).unionByName(loose.select(*key, "rank", "target", F.lit(1).alias("loose")))
     return both.groupBy(*key).agg(F.min_by("target", F.struct("loose", "rank")).alias("target"))
 
 
-def dependency_edges(fact_rows: DataFrame, files: DataFrame, configs: dict[str, dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges, unresolved specifiers, resolved specifiers). unresolved: repo_id, path, spec, outside (it leaves the tree; other ones are packages, or files
-    that a scan leaves out). Import edges: static ones, re-exports, then dynamic ones of a
+def matched(specs: DataFrame, files: DataFrame, around: Surroundings) -> DataFrame:
+    """repo_id, path, spec, target (a scanned file's id, or null), outside: whether the specifier resolves to a file outside the tree. What
+    resolves to a file that a scan leaves out, or to nothing, has neither. A file that is there takes a specifier from worse candidates,
+    scanned or not."""
+    made = Stages(files.sparkSession, "resolve").put(with_candidates(specs, around), "candidates")
+    ranked = made.select("repo_id", "path", "spec", F.posexplode("candidates").alias("rank", "candidate"))
+    key = ["repo_id", "path", "spec"]
+    beyond = outside_files(ranked.select("repo_id", F.col("candidate").alias("path")), around)
+    beyond = beyond.select("repo_id", F.concat(F.lit("/"), "path").alias("id"), "path")  # ids of scanned files have no slash in front
+    found = ranked_match(ranked, files, key, beyond)
+    other = F.startswith("target", F.lit("/"))
+    return made.select(*key).join(found, key, "left").select(*key, F.when(~other, F.col("target")).alias("target"), F.coalesce(F.startswith("target", F.lit("/../")), F.lit(False)).alias("outside"))
+
+
+def dependency_edges(fact_rows: DataFrame, files: DataFrame, around: Surroundings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, unresolved specifiers, resolved specifiers). unresolved: repo_id, path, spec, outside (it resolves to a file outside the
+    tree; other ones are packages, files that a scan leaves out, or nowhere). Import edges: static ones, re-exports, then dynamic ones of a
     file, then render edges; a file's edge to itself is none."""
     deps = fact_rows.where("rec in ('import', 'export', 'dynamic')").select("repo_id", "file_id", "path", "rec", "pos", "spec", "start_line")
-    specs = deps.select("repo_id", "path", "spec").distinct()
-    made = with_candidates(specs, configs)
-    ranked = made.select("repo_id", "path", "spec", F.posexplode("candidates").alias("rank", "candidate"))
-    resolved = ranked_match(ranked, files, ["repo_id", "path", "spec"])
+    every = matched(deps, files, around)
+    resolved, unresolved = every.where("target is not null").drop("outside"), every.where("target is null").drop("target")
     hits = deps.join(resolved, ["repo_id", "path", "spec"])
     section = F.array_position(F.array(*map(F.lit, ("import", "export", "dynamic"))), F.col("rec")).cast("int")
     imports = hits.where("target <> file_id").select("repo_id", F.col("file_id").alias("src"), F.col("target").alias("dst"), F.lit("import").alias("kind"), F.col("path").alias("file"), F.col("start_line").alias("line"), section.alias("section"), "pos")
-    unresolved = made.select("repo_id", "path", "spec", "outside").join(resolved, ["repo_id", "path", "spec"], "left_anti")
     local = fact_rows.where("rec = 'name'").join(resolved, ["repo_id", "path", "spec"])
     local = local.groupBy("repo_id", "file_id", "name").agg(F.max_by("target", "pos").alias("target"))  # the last import of a name counts
     tags = fact_rows.where("rec = 'tag'").select("repo_id", "file_id", "path", F.split_part("name", F.lit("."), F.lit(1)).alias("name"), "pos", "start_line").where(F.regexp_like("name", F.lit("^[A-Z]")))

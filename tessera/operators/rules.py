@@ -50,15 +50,20 @@ def frontend_findings(contents: DataFrame, signs: tuple[str, ...] = BYPASS, most
     return contents.select(*rest, "path", F.explode(found).alias("x")).select(*rest, "x.rule", "x.severity", "x.message", F.array("path").alias("files"), F.array().cast("array<string>").alias("evidence"))
 
 
-def grouped_findings(findings: DataFrame, samples: int = 3, rules: int | None = 12) -> DataFrame:
-    """rule, severity of the first, count, the first samples, by count. findings: rule, severity, files, ordinal."""
-    first = F.coalesce(F.element_at("files", 1), F.lit(""))
-    kept = findings.select("rule", "severity", "ordinal", first.alias("sample"))
-    out = kept.groupBy("rule").agg(F.min_by("severity", "ordinal").alias("severity"), F.count("*").alias("count"), F.min("ordinal").alias("first"))
+def grouped_findings(findings: DataFrame, samples: int = 3, rules: int | None = 12, by: tuple[str, ...] = ()) -> DataFrame:
+    """rule, severity of the first, count, the first samples, by count. findings: rule, severity, files, ordinal. With by, in groups of
+    these columns, with the rule's place (ordinal) in its group."""
+    key, first = [*by, "rule"], F.coalesce(F.element_at("files", 1), F.lit(""))
+    kept = findings.select(*key, "severity", "ordinal", first.alias("sample"))
+    out = kept.groupBy(*key).agg(F.min_by("severity", "ordinal").alias("severity"), F.count("*").alias("count"), F.min("ordinal").alias("first"))
     # the few first of each salted part, then of each rule: no task holds a rule
-    part = Window.partitionBy("rule", "salt").orderBy("ordinal")
-    w = Window.partitionBy("rule").orderBy("ordinal")
+    part = Window.partitionBy(*key, "salt").orderBy("ordinal")
+    w = Window.partitionBy(*key).orderBy("ordinal")
     few = kept.withColumn("salt", F.pmod(F.xxhash64("ordinal"), F.lit(256))).withColumn("n", F.row_number().over(part)).where(F.col("n") <= samples)
-    top = few.withColumn("n", F.row_number().over(w)).where(F.col("n") <= samples).groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("n", "sample"))).alias("xs"))
-    out = out.join(top, "rule").select("rule", "severity", "count", F.transform("xs", lambda x: x["sample"]).alias("samples"), "first").orderBy(F.desc("count"), "first")
+    top = few.withColumn("n", F.row_number().over(w)).where(F.col("n") <= samples).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "sample"))).alias("xs"))
+    out = out.join(top, key).select(*key, "severity", "count", F.transform("xs", lambda x: x["sample"]).alias("samples"), "first")
+    if by:
+        out = out.withColumn("ordinal", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "first")))
+        return out.where(F.col("ordinal") <= rules) if rules else out
+    out = out.orderBy(F.desc("count"), "first")
     return out.limit(rules) if rules else out

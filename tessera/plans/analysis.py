@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import json
 import os
 import time
 import uuid
@@ -12,11 +13,12 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import architecture, extract, graph, metrics, resolve, retrieval, rules, summary
-from ..sources.tree import OUTPUT_FOLDER, read_tree, require_folder
+from ..sources.tree import OUTPUT_FOLDER, require_folder, scan
+from ..staging import Stages
 from ..streaming.events import EventLog
 from .report import write_reports
 from .store import Store
@@ -33,6 +35,8 @@ class Options:
     listener: Callable[[dict], None] | None = None
     output: str | None = None
     persist: bool = True
+    most_findings: int = 1_000  # of a report, and files of each; the store has them all
+    most_files: int = 100
 
     @classmethod
     def from_environment(cls, env: Mapping[str, str] | None = None, **more) -> Options:
@@ -47,10 +51,11 @@ class Options:
 
 
 @dataclass
-class Analysis:
-    """The tables of one repository, and what was collected of them."""
+class Repositories:
+    """The tables of any number of repositories, of one plan: nothing is collected, and no repository has a plan of its own."""
 
-    repo_id: str
+    roots: DataFrame
+    settings: DataFrame
     files: DataFrame
     contents: DataFrame
     symbols: DataFrame
@@ -60,63 +65,77 @@ class Analysis:
     findings: DataFrame
     directories: DataFrame
     layers: DataFrame
-    stack: dict
-    metrics: dict
+    stacks: DataFrame
+    metrics: DataFrame
+
+    def contexts(self, limits: summary.Limits = summary.Limits()) -> DataFrame:
+        """repo_id, context: the summary of each."""
+        cuts = graph.cycle_cuts(self.cycles, architecture.edge_paths(self.edges, self.files))
+        others = self.findings.where(F.col("rule") != graph.CYCLE_RULE).select("repo_id", "rule", "severity", "files", F.row_number().over(Window.partitionBy("repo_id", "rule").orderBy("files")).alias("ordinal"))
+        made = summary.contexts(self.roots, self.files, self.symbols, self.edges, self.stacks, self.metrics, self.directories, self.layers, self.cycles, cuts, others, limits)
+        return Stages(self.roots.sparkSession, "contexts").put(made, "contexts")
+
+
+@dataclass
+class Analysis(Repositories):
+    """The tables of one repository, and what was collected of them."""
+
+    repo_id: str = ""
+    stack: dict = field(default_factory=dict)
+    score: dict = field(default_factory=dict)
     report: dict = field(default_factory=dict)
     plan: dict | None = None
     retrieval: list[dict] = field(default_factory=list)
 
 
-def _text(path: Path) -> str | None:
-    try:
-        return path.read_text(encoding="utf-8")
-    except (OSError, UnicodeDecodeError):
-        return None
-
-
 def metrics_of(row) -> dict:
     """Score 0 and no dimensions without files."""
     return {"score": row["score"], "dimensions": {k: row[k] for k in ("complexity", "coupling", "typing")}} if row else {"score": 0, "dimensions": {}}
 
 
+def repositories(roots: DataFrame) -> Repositories:
+    """Everything that needs no planner or narrator, of all roots (repo_id, root) at once."""
+    stages = Stages(roots.sparkSession, "repositories")
+    roots = roots.select("repo_id", "root")
+    files, contents, settings, links = scan(roots)
+    files, contents = stages.put(files, "files"), stages.put(contents, "contents")
+    none = resolve.Surroundings.none(roots.sparkSession)
+    facts = stages.put(extract.facts(files, contents), "facts")
+    symbols = stages.put(extract.symbols(facts, files), "symbols")
+    edges, unresolved, _ = resolve.dependency_edges(facts, files, resolve.Surroundings(settings, links, none.elsewhere, roots))
+    edges = stages.put(edges, "edges")
+    cycles = stages.put(graph.components(files, edges), "cycles")
+    front = rules.frontend_findings(contents).withColumn("ordinal", F.lit(1 << 30).cast("long"))
+    findings = stages.put(graph.cycle_findings(cycles).unionByName(front), "findings")
+    deps = metrics.package_rows(settings.where("path = 'package.json'"))
+    stacks = stages.put(metrics.stack(files, metrics.merged_dependencies(deps)), "stacks")
+    found = {"directories": architecture.directories(files, edges), "layers": architecture.layers(files, edges), "metrics": metrics.maintainability(files, edges)}
+    return Repositories(roots, settings, files, contents, symbols, edges, unresolved, cycles, findings, stacks=stacks, **{k: stages.put(v, k) for k, v in found.items()})
+
+
 def tables(spark: SparkSession, root: str, repo_id: str | None = None) -> Analysis:
-    """Everything that needs no planner or narrator."""
+    """Those of one repository, with its stack and score."""
     root = require_folder(root)
     repo_id = repo_id or root
-    files, contents = read_tree(spark, root, repo_id)
-    files, contents = files.persist(), contents.persist()
-    read = lambda name: _text(Path(root, name))
-    config = resolve.load_config(read, "tsconfig.json" if read("tsconfig.json") else "jsconfig.json")
-    facts = extract.facts(files, contents).persist()
-    symbols = extract.symbols(facts, files).persist()
-    edges, unresolved, _ = resolve.dependency_edges(facts, files, {repo_id: config})
-    edges = edges.persist()
-    cycles = graph.components(files, edges).persist()
-    front = rules.frontend_findings(contents).withColumn("ordinal", F.lit(1 << 30).cast("long"))
-    findings = graph.cycle_findings(cycles).unionByName(front)
-    deps = metrics.package_rows(spark.createDataFrame([(repo_id, read("package.json"))], "repo_id string, text string"))
-    stack_row = metrics.stack(files, metrics.merged_dependencies(deps)).first()
-    found = stack_row.asDict() if stack_row else {"framework": None, "framework_version": None, "build_tool": None, "state_management": [], "language": [], "router": None, "confidence": 0.25, "evidence": []}
+    r = repositories(spark.createDataFrame([(repo_id, root)], "repo_id string, root string"))
+    row = r.stacks.first()
+    found = row.asDict() if row else {"framework": None, "framework_version": None, "build_tool": None, "state_management": [], "language": [], "router": None, "confidence": 0.25, "evidence": []}
     stack = {"framework": found["framework"], "frameworkVersion": found["framework_version"], "buildTool": found["build_tool"], "stateManagement": list(found["state_management"]), "language": list(found["language"]), "router": found["router"], "confidence": found["confidence"], "evidence": list(found["evidence"])}
-    dirs = architecture.directories(files, edges)
-    return Analysis(repo_id, files, contents, symbols, edges, unresolved, cycles, findings, dirs, architecture.layers(files, edges), stack, metrics_of(metrics.maintainability(files, edges).first()))
+    return Analysis(**vars(r), repo_id=repo_id, stack=stack, score=metrics_of(r.metrics.first()))
 
 
-def plan_query(query: str, planner: Planner | None) -> dict:
+def plan_query(spark: SparkSession, query: str, planner: Planner | None) -> dict:
     if planner:
         try:
             return planner(query)
         except Exception:  # a planner of the caller's may fail in any way
-            return retrieval.parse_query(query)
-    return retrieval.parse_query(query)
+            return retrieval.parse_query(spark, query)
+    return retrieval.parse_query(spark, query)
 
 
 def narration_context(a: Analysis) -> dict:
-    row = summary.scale(a.files, a.symbols, a.edges).first()
-    sizes = {k: row[k] if row else 0 for k in ("files", "symbols", "components", "edges")}
-    cuts = graph.cycle_cuts(a.cycles, architecture.edge_paths(a.edges, a.files))
-    others = a.findings.where(F.col("rule") != graph.CYCLE_RULE).select("rule", "severity", "files", F.monotonically_increasing_id().alias("ordinal"))
-    return summary.context(a.repo_id, a.stack, sizes, a.metrics, a.directories, a.layers, summary.hotspots(a.files, a.edges), a.cycles, cuts, rules.grouped_findings(others, rules=None))
+    """The summary that a narrator is given."""
+    return json.loads(a.contexts().select(F.to_json("context").alias("x")).first()["x"])
 
 
 def run_analysis(spark: SparkSession, root: str, options: Options | None = None) -> Analysis:
@@ -142,12 +161,14 @@ def run_analysis(spark: SparkSession, root: str, options: Options | None = None)
     with log.step("dependency") as s:
         s.detail = f"{a.cycles.count()} cycles"
     with log.step("quality") as s:
-        s.detail = f"score {a.metrics['score']}"
-    with log.step("frontend"):
-        found = [r.asDict() for r in a.findings.orderBy("ordinal", "rule", "files").toLocalIterator()]  # a report lists them all
+        s.detail = f"score {a.score['score']}"
+    with log.step("frontend") as s:
+        total = a.findings.count()
+        found = [r.asDict() for r in a.findings.withColumn("files", F.slice("files", 1, o.most_files)).orderBy("ordinal", "rule", "files").limit(o.most_findings).collect()]
+        s.detail = f"{total} findings"
     with log.step("retrieveContext") as s:
         if o.query:
-            a.plan = plan_query(o.query, o.planner)
+            a.plan = plan_query(spark, o.query, o.planner)
             a.retrieval = [r.asDict() for r in retrieval.retrieve(a.plan, a.files, a.symbols, a.edges, a.contents).collect()]
         s.detail = f"{len(a.retrieval)} results"
     with log.step("narrate") as s:
@@ -160,13 +181,13 @@ def run_analysis(spark: SparkSession, root: str, options: Options | None = None)
     with log.step("render"):
         at = datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
         listed = [{k: f[k] for k in ("rule", "severity", "message", "files", "evidence")} for f in found]
-        a.report = {"root": root, "stack": a.stack, "metrics": a.metrics, "findings": listed, "mermaid": mermaid, "narration": told, "generatedAt": at}
+        a.report = {"root": root, "stack": a.stack, "metrics": a.score, "findings": listed, "mermaid": mermaid, "narration": told, "generatedAt": at, "findingsLeftOut": total - len(found)}
         if o.persist:
             store = Store(spark, f"{out}/store")
             store.append_run(a.repo_id, run_id, at, a.report)
             store.replace_files(a.files)
-            sizes = {"files": a.files.count(), "symbols": a.symbols.count(), "edges": a.edges.count(), "cycles": a.cycles.count(), "findings": len(found)}
-            store.save_checkpoint(run_id, log.seq, at, summary.snapshot(a.metrics, a.stack, sizes))
+            sizes = {"files": a.files.count(), "symbols": a.symbols.count(), "edges": a.edges.count(), "cycles": a.cycles.count(), "findings": total}
+            store.save_checkpoint(run_id, log.seq, at, summary.snapshot(a.score, a.stack, sizes))
             write_reports(out, a.report)
     return a
 

@@ -17,7 +17,7 @@ def progress_line(event: dict) -> str:
 
 
 def summary_text(a: Analysis) -> str:
-    lines = [f"score {a.metrics['score']}", f"stack {a.stack['framework'] or '-'} / {a.stack['buildTool'] or '-'}", f"findings {len(a.report['findings'])}"]
+    lines = [f"score {a.score['score']}", f"stack {a.stack['framework'] or '-'} / {a.stack['buildTool'] or '-'}", f"findings {len(a.report['findings'])}"]
     lines += [f"{r['score']:>4} {r['path']}" for r in a.retrieval]
     return "\n".join(lines)
 

@@ -6,9 +6,7 @@
 from __future__ import annotations
 
 import argparse
-import json
 import os
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +14,14 @@ from pyspark.sql import functions as F
 from ..functions.scalars import fingerprint
 from ..operators import architecture
 from ..operators.summary import estimated_tokens
-from .analysis import Analysis, narration_context, tables
+from ..staging import Stages
+from .analysis import Repositories, repositories
 
 EXPECTED = "expected.json"
+# The shape of an expected.json.
+_EDGE, _CUT = "struct<from:string,to:string,kind:string>", "struct<from:string,to:string,references:long>"
+ITEMS = {"cycle": "array<array<string>>", "component": "array<string>", "edge": f"array<{_EDGE}>", "module": "array<string>", "cut": f"array<{_CUT}>"}
+EXPECTATIONS = f"status string, expect struct<cycles:array<array<string>>,components:array<string>,edges:array<{_EDGE}>,metrics:struct<score:int,dimensionCount:int>,narration:struct<maxEstimatedTokens:long,modules:array<string>,cycleCuts:array<{_CUT}>>>"
 
 
 def outcome(status: Column, passed: Column) -> Column:
@@ -47,40 +50,49 @@ def tally(found: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("of")))).select("outcome", "n", (F.col("n") / F.col("of")).alias("share"))  # one row
 
 
-def facts(a: Analysis) -> DataFrame:
-    """kind, fact: what expectations may name, as tables; nothing is collected."""
+def facts(r: Repositories, contexts: DataFrame) -> DataFrame:
+    """repo_id, kind, fact: what expectations may name, as tables; nothing is collected. contexts: the repositories' summaries."""
     edge = F.concat_ws(" ", "src_path", "kind", "dst_path")
-    cycles = a.cycles.select(F.lit("cycle").alias("kind"), fingerprint(F.col("files")).alias("fact"))
-    names = a.symbols.where("kind = 'component'").select(F.lit("component").alias("kind"), F.col("name").alias("fact"))
-    edges = architecture.edge_paths(a.edges, a.files).select(F.lit("edge").alias("kind"), edge.alias("fact"))
-    return cycles.unionByName(names).unionByName(edges)
-
-
-def wanted(expect: dict) -> list[tuple[str, str]]:
-    out = [("cycle", " | ".join(sorted(c))) for c in expect.get("cycles", ())]
-    out += [("component", n) for n in expect.get("components", ())]
-    return out + [("edge", f"{e['from']} {e['kind']} {e['to']}") for e in expect.get("edges", ())]
-
-
-def checks(spark: SparkSession, a: Analysis, expect: dict) -> list[tuple[str, bool]]:
-    """Listed facts must exist; more may."""
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(wanted(expect))], "i int, kind string, fact string")
-    out = [(f"{r['kind']} {r['fact']}", r["ok"]) for r in met(rows, facts(a)).orderBy("i").collect()] if wanted(expect) else []
-    if "metrics" in expect:
-        m = expect["metrics"]
-        if "score" in m:
-            out.append(("score", a.metrics["score"] == m["score"]))
-        if "dimensionCount" in m:
-            out.append(("dimensions", len(a.metrics["dimensions"]) == m["dimensionCount"]))
-    if "narration" in expect:
-        n, context = expect["narration"], narration_context(a)
-        if "maxEstimatedTokens" in n:
-            out.append(("tokens", estimated_tokens(context) <= n["maxEstimatedTokens"]))
-        modules = {x["path"] for x in context["modules"]}
-        out += [(f"module {x}", x in modules) for x in n.get("modules", ())]
-        cuts = [c.get("suggestedCut") for c in context["cycles"]]
-        out += [(f"cut {c['from']}", c in cuts) for c in n.get("cycleCuts", ())]
-    return out
+    cycles = r.cycles.select("repo_id", F.lit("cycle").alias("kind"), fingerprint(F.col("files")).alias("fact"))
+    names = r.symbols.where("kind = 'component'").select("repo_id", F.lit("component").alias("kind"), F.col("name").alias("fact"))
+    edges = architecture.edge_paths(r.edges, r.files).select("repo_id", F.lit("edge").alias("kind"), edge.alias("fact"))
+    x = F.col("context")
+    modules = F.transform(x["modules"], lambda m: F.struct(F.lit("module").alias("kind"), m["path"].alias("fact")))
+    cuts = F.transform(F.filter(x["cycles"], lambda c: c["suggestedCut"].isNotNull()), lambda c: F.struct(F.lit("cut").alias("kind"), cut_text(c["suggestedCut"]).alias("fact")))
+    told = contexts.select("repo_id", F.inline(F.concat(modules, cuts)))
+    return cycles.unionByName(names).unionByName(edges).unionByName(told)
+
+
+def cut_text(c: Column) -> Column:
+    return F.concat_ws(" ", c["from"], c["to"], c["references"].cast("string"))
+
+
+def wanted(expected: DataFrame) -> DataFrame:
+    """repo_id, kind, fact of expected (repo_id, expect)."""
+    e, n = F.col("expect"), F.col("expect.narration")
+    every = lambda xs, kind, text: F.transform(F.coalesce(xs, F.array().cast(ITEMS[kind])), lambda v: F.struct(F.lit(kind).alias("kind"), text(v).alias("fact")))
+    return expected.select("repo_id", F.inline(F.concat(
+        every(e["cycles"], "cycle", fingerprint),
+        every(e["components"], "component", lambda v: v),
+        every(e["edges"], "edge", lambda v: F.concat_ws(" ", v["from"], v["kind"], v["to"])),
+        every(n["modules"], "module", lambda v: v),
+        every(n["cycleCuts"], "cut", cut_text),
+    )))
+
+
+def checks(r: Repositories, expected: DataFrame) -> DataFrame:
+    """repo_id, what, ok of expected (repo_id, expect): listed facts must exist, more may; scores, numbers of dimensions and tokens."""
+    contexts = r.contexts()
+    facts_met = met(wanted(expected), facts(r, contexts)).select("repo_id", F.concat_ws(" ", "kind", "fact").alias("what"), "ok")
+    e = expected.join(r.metrics.select("repo_id", "score"), "repo_id", "left").join(contexts.select("repo_id", estimated_tokens(F.col("context")).alias("tokens")), "repo_id", "left")
+    one = lambda wish, what, ok: F.when(wish.isNotNull(), F.struct(F.lit(what).alias("what"), ok.alias("ok")))
+    m, most = F.col("expect.metrics"), F.col("expect.narration.maxEstimatedTokens")
+    numbers = F.array_compact(F.array(
+        one(m["score"], "score", m["score"] == F.coalesce("score", F.lit(0))),
+        one(m["dimensionCount"], "dimensions", m["dimensionCount"] == F.when(F.col("score").isNull(), 0).otherwise(3)),
+        one(most, "tokens", F.col("tokens") <= most),
+    ))
+    return facts_met.unionByName(e.select("repo_id", F.inline(numbers)))
 
 
 def folders(root: str) -> list[str]:
@@ -88,21 +100,20 @@ def folders(root: str) -> list[str]:
     return [os.path.join(root, d) for d in sorted(os.listdir(root)) if os.path.isfile(os.path.join(root, d, EXPECTED))]
 
 
-def evaluate_all(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, list[tuple[str, str, bool]]]:
-    """(verdicts, each check) of folders with an expected.json."""
-    statuses, done = [], []
-    for folder in roots:
-        expected = json.loads(Path(folder, EXPECTED).read_text(encoding="utf-8"))
-        name = os.path.basename(os.path.normpath(folder))
-        statuses.append((name, expected.get("status", "expected-pass")))
-        done += [(name, what, ok) for what, ok in checks(spark, tables(spark, folder), expected.get("expect", {}))]
-    return verdicts(spark.createDataFrame(done, "name string, what string, ok boolean"), spark.createDataFrame(statuses, "name string, status string")), done
+def evaluate_all(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, checks: name, what, ok) of folders with an expected.json, all in one plan."""
+    names = [(os.path.basename(os.path.normpath(f)), os.path.abspath(f)) for f in roots]
+    r = repositories(spark.createDataFrame(names, "repo_id string, root string"))
+    read = F.from_json("text", EXPECTATIONS)
+    expected = r.settings.where(F.col("path") == EXPECTED).select("repo_id", F.coalesce(read["status"], F.lit("expected-pass")).alias("status"), read["expect"].alias("expect"))
+    done = Stages(spark, "checks").put(checks(r, expected).withColumnRenamed("repo_id", "name"), "checks")
+    return verdicts(done, expected.select(F.col("repo_id").alias("name"), "status")), done
 
 
 def evaluate(spark: SparkSession, folder: str) -> tuple[str, list[tuple[str, bool]]]:
     """(outcome, checks) of one folder."""
     found, done = evaluate_all(spark, [folder])
-    return found.first()["outcome"], [(what, ok) for _, what, ok in done]
+    return found.first()["outcome"], [(r["what"], r["ok"]) for r in done.orderBy("what").collect()]
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -113,11 +124,13 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("tessera-evaluate").getOrCreate()
     found, done = evaluate_all(spark, folders(args.folder))
     rows = found.orderBy("name").collect()
+    missing: dict = {}
+    for x in done.where("not ok").orderBy("name", "what").collect():
+        missing.setdefault(x["name"], []).append(x["what"])
     for r in rows:
         print(f"{r['outcome']:<12}{r['name']}")
-        for name, what, ok in done:
-            if name == r["name"] and not ok:
-                print(f"            missing: {what}")
+        for x in missing.get(r["name"], ()):
+            print(f"            missing: {x}")
     for t in tally(found).orderBy("outcome").collect():
         print(f"{t['n']:>4} {t['outcome']} ({t['share']:.0%})")
     return int(any(r["outcome"] == "REGRESSION" for r in rows))

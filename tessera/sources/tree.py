@@ -1,72 +1,97 @@
-"""A source tree as tables, by a Python data source: built-in file sources hide names that start with an underscore."""
+"""Source trees of many repositories as tables. Folders are listed level by level, each by a task: the driver holds no path but the roots.
+Built-in file sources hide names that start with an underscore, so tasks list and read; the roots are on a disk that all of them see."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scalars import IGNORED_ENDINGS, IGNORED_FOLDERS, LANGUAGES, complexity, content_hash, decoded, file_id, language, line_count, reading_order
-
-PER_TASK = 500
-OUTPUT_FOLDER = ".tessera"
-
-
-def listed(root: str, own_output: str = OUTPUT_FOLDER) -> list[str]:
-    """Paths of source files under root, with slashes, sorted. Ignored folders are never entered; names with a leading dot are left out."""
-    out = []
-    for folder, folders, names in os.walk(root):
-        folders[:] = sorted(f for f in folders if f not in IGNORED_FOLDERS and f != own_output and not f.startswith("."))
-        for name in names:
-            suffix = os.path.splitext(name)[1][1:].lower()
-            if not name.startswith(".") and suffix in LANGUAGES and not name.endswith(IGNORED_ENDINGS):
-                out.append(os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/"))
-    return sorted(out)
-
-
-class Batch(InputPartition):
-    def __init__(self, root: str, repo_id: str, paths: list[str]):
-        super().__init__(0)
-        self.root, self.repo_id, self.paths = root, repo_id, paths
-
-
-class TreeReader(DataSourceReader):
-    def __init__(self, roots: list[tuple[str, str]], per_task: int):
-        self.roots, self.per_task = roots, per_task
-
-    def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for repo_id, root in self.roots:
-            paths = listed(root)
-            out += [Batch(root, repo_id, paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)]
-        return out or [Batch("", "", [])]
-
-    def read(self, partition: Batch) -> Iterator[tuple]:
-        for path in partition.paths:
-            with open(os.path.join(partition.root, path), "rb") as f:
-                yield partition.repo_id, path, f.read()
-
-
-class SourceTree(DataSource):
-    """Options: path, the root; repo_id (default: the root's path); or roots, lines of "repo_id<tab>root"; per_task."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "source_tree"
-
-    def schema(self) -> str:
-        return "repo_id string, path string, raw binary"
-
-    def reader(self, schema) -> DataSourceReader:
-        if roots := self.options.get("roots"):
-            pairs = [tuple(x.split("\t", 1)) for x in roots.splitlines() if x]
-        else:
-            root = os.path.abspath(self.options["path"])
-            pairs = [(self.options.get("repo_id", root), root)]
-        return TreeReader(pairs, int(self.options.get("per_task", PER_TASK)))
+from ..staging import Stages
+
+OUTPUT_FOLDER, INSTALLED = ".tessera", "node_modules"
+#: Levels of folders, and bytes that a task reads before it passes them on.
+MOST_LEVELS, READ_AHEAD = 1_000, 32 << 20
+LISTED = "repo_id string, root string, path string, kind string, target string"
+
+
+def entries(root: str, path: str, kind: str) -> Iterator[tuple[str, str, str | None]]:
+    """(path, kind, target) of what a folder holds: source, setting (JSON), folder, installed (packages), link (of a package). Ignored
+    folders and names with a leading dot are left out; of installed packages only their descriptions and links are told."""
+    for e in sorted(os.scandir(os.path.join(root, path)), key=lambda e: e.name):
+        own = f"{path}/{e.name}" if path else e.name
+        suffix = os.path.splitext(e.name)[1][1:].lower()
+        if e.name.startswith("."):
+            continue
+        if kind == "installed":
+            if e.is_symlink() and e.is_dir():
+                target = os.path.relpath(os.path.realpath(e.path), os.path.realpath(root)).replace(os.sep, "/")
+                yield own, "link", target
+                if (target.startswith("..") or INSTALLED in target.split("/")) and os.path.isfile(os.path.join(e.path, "package.json")):
+                    yield f"{target}/package.json", "setting", None
+            elif e.is_dir() and e.name.startswith("@"):
+                yield own, "installed", None
+            elif e.is_dir():
+                yield from ((f"{own}/{x.name}", "setting", None) for x in os.scandir(e.path) if x.name.endswith(".json") and x.is_file())
+        elif e.is_dir(follow_symlinks=False):
+            if e.name == INSTALLED:
+                yield own, "installed", None
+            elif e.name not in IGNORED_FOLDERS and e.name != OUTPUT_FOLDER:
+                yield own, "folder", None
+        elif e.is_file() and suffix == "json":
+            yield own, "setting", None
+        elif e.is_file() and suffix in LANGUAGES and not e.name.endswith(IGNORED_ENDINGS):
+            yield own, "source", None
+
+
+def listing(roots: DataFrame, stages: Stages) -> DataFrame:
+    """repo_id, root, path, kind (source, setting or link), target. roots: repo_id, root."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for repo, root, path, kind in zip(b["repo_id"], b["root"], b["path"], b["kind"], strict=True):
+                yield pd.DataFrame([(repo, root, *x) for x in entries(root, path, kind)], columns=["repo_id", "root", "path", "kind", "target"])
+
+    level, found = roots.select("repo_id", "root", F.lit("").alias("path"), F.lit("folder").alias("kind")), []
+    for k in range(MOST_LEVELS):
+        seen = stages.put(level.repartition("repo_id", "path").mapInPandas(run, LISTED), f"level{k}")
+        found.append(seen.where("kind in ('source', 'setting', 'link')"))
+        level = seen.where("kind in ('folder', 'installed')").select("repo_id", "root", "path", "kind")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+    raise RuntimeError("folders are nested too deep")
+
+
+def with_bytes(paths: DataFrame) -> DataFrame:
+    """repo_id, path, raw of files. paths: repo_id, root, path. Tasks pass on what they have read as soon as it is large."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows, size = [], 0
+            for repo, root, path in zip(b["repo_id"], b["root"], b["path"], strict=True):
+                with open(os.path.join(root, path), "rb") as f:
+                    rows.append((repo, path, f.read()))
+                size += len(rows[-1][2])
+                if size > READ_AHEAD:
+                    yield pd.DataFrame(rows, columns=["repo_id", "path", "raw"])
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["repo_id", "path", "raw"])
+
+    return paths.select("repo_id", "root", "path").repartition("repo_id", "path").mapInPandas(run, "repo_id string, path string, raw binary")
+
+
+def scan(roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(files, contents, settings, links) of repositories. roots: repo_id, root (a folder's absolute path)."""
+    stages = Stages(roots.sparkSession, "scan")
+    found = listing(roots, stages)
+    files, contents = file_tables(with_bytes(found.where("kind = 'source'")))
+    settings = with_bytes(found.where("kind = 'setting'")).select("repo_id", "path", decoded(F.col("raw")).alias("text"))
+    return files, contents, stages.put(settings, "settings"), found.where("kind = 'link'").select("repo_id", "path", "target")
 
 
 def require_folder(root: str) -> str:
@@ -78,14 +103,6 @@ def require_folder(root: str) -> str:
     return os.path.abspath(root)
 
 
-def read_tree(spark: SparkSession, root: str, repo_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, contents)."""
-    root = require_folder(root)
-    spark.dataSource.register(SourceTree)
-    raw = spark.read.format("source_tree").option("path", root).option("repo_id", repo_id or root).load()
-    return file_tables(raw)
-
-
 def file_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """raw: repo_id, path, raw bytes."""
     rows = raw.withColumns({"language": language(F.col("path")), "content": decoded(F.col("raw"))}).where("language is not null")

@@ -1,8 +1,8 @@
 """The engine's operators over the driver's tables: adapters that make repository-model relations of them, one query per
 operator, and the SQL that must give the same rows.
 
-Adapters: documents as files; users as files of a hop graph, with a repository for each day of the month (a hop goes from an event to the next one of its
-type and day); parts as small source files with imports, declarations and markup; links of pages as specifiers; capitalised words as symbols;
+Adapters: documents as files; users as files of a hop graph, with a repository for each quarter of a day (a hop goes from an event to the next one of its
+type and quarter); parts as small source files with imports, declarations and markup; links of pages as specifiers; capitalised words as symbols;
 events as the progress log. Adapters only make tables: what a query is named after is a function of the engine.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as fn
-from .operators import architecture, extract, graph, metrics, resolve, retrieval, rules, summary
+from .operators import architecture, extract, graph, metrics, packages, resolve, retrieval, rules, summary
 from .plans import evaluate, report
 from .plans.store import Store
 from .sources.tree import in_reading_order
@@ -281,7 +281,7 @@ export function go{0}() {{}}
 const x{0} = 1
 </script>
 """
-CODE_CONFIG = {"baseUrl": ".", "paths": {"@/*": ["src/*"]}}
+CODE_CONFIG = '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"]}}}'
 _EXTS = ("tsx", "ts", "jsx", "vue")
 
 
@@ -338,7 +338,17 @@ def link_extract(spark, sf):
 
 def code_edges(spark, sf):
     files, facts = code_tables(spark, sf)
-    return resolve.dependency_edges(facts, files, {f"r{i}": CODE_CONFIG for i in range(20)})
+    return resolve.dependency_edges(facts, files, code_surroundings(spark, sf))
+
+
+def code_surroundings(spark, sf) -> resolve.Surroundings:
+    """Each repository's configuration; outside its root there is a file for each even part."""
+    k = F.col("p_partkey")
+    repo = F.concat(F.lit("r"), (k % 20).cast("string")).alias("repo_id")
+    parts = t(spark, sf, "part")
+    settings = parts.select(repo).distinct().select("repo_id", F.lit("tsconfig.json").alias("path"), F.lit(CODE_CONFIG).alias("text"))
+    far = parts.where(k % 2 == 0).select(repo, F.concat(F.lit("../far/p"), k.cast("string"), F.lit(".ts")).alias("path"))
+    return resolve.Surroundings(settings, resolve.Surroundings.none(spark).links, far)
 
 
 # a target is the file of the number in the same repository, which no source finds as a single-file component, and such a component only with its suffix or another
@@ -349,11 +359,11 @@ _TARGETS = f"""{_CODE_FILES}, {_REFERRED}, hits AS (SELECT r.*, f.id AS target,
 @query(f"WITH {_TARGETS} SELECT repo_id, path, spec, target_path AS target FROM hits")
 def resolve_exact(spark, sf):
     files, facts = code_tables(spark, sf)
-    _, _, found = resolve.dependency_edges(facts, files, {f"r{i}": CODE_CONFIG for i in range(20)})
+    _, _, found = resolve.dependency_edges(facts, files, code_surroundings(spark, sf))
     return found.join(files.select("repo_id", F.col("id").alias("target"), F.col("path").alias("target_path")), ["repo_id", "target"]).select("repo_id", "path", "spec", F.col("target_path").alias("target"))
 
 
-@query(f"WITH {_TARGETS} SELECT repo_id, path, spec, head = '../../far/p' AS outside FROM refs r WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.path = r.path AND h.spec = r.spec)")
+@query(f"WITH {_TARGETS} SELECT repo_id, path, spec, head = '../../far/p' AND k % 2 = 0 AS outside FROM refs r WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.path = r.path AND h.spec = r.spec)")
 def unresolved(spark, sf):
     return code_edges(spark, sf)[1]
 
@@ -384,14 +394,20 @@ def package_sections(spark, sf):
     return metrics.package_rows(t(spark, sf, "customer").select(k.cast("string").alias("repo_id"), text.alias("text")))
 
 
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS repo_id, CASE WHEN s_suppkey % 3 < 2 THEN 'app' || s_suppkey END AS base_url, CASE WHEN s_suppkey % 3 = 0 THEN '@/*' || '|' || 'src//x/*' || s_suppkey END AS paths FROM supplier")
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS repo_id, CASE WHEN s_suppkey % 3 < 2 THEN 'app' || s_suppkey END AS base_url, CASE WHEN s_suppkey % 3 < 2 THEN '@/*|' || CASE s_suppkey % 3 WHEN 0 THEN 'src//x/*' ELSE 'last/*' END || s_suppkey END AS paths FROM supplier")
 def config_options(spark, sf):
-    """Compiler configurations with comments and closing commas; broken ones give nothing."""
+    """Compiler configurations: with comments and closing commas; extending others by a path and by a package behind a link, of which
+    the last wins; broken ones give nothing."""
     k = F.col("s_suppkey").cast("string")
+    here = t(spark, sf, "supplier").select("s_suppkey", k.alias("repo_id"))
     text = F.concat(F.lit('{ // names\n "compilerOptions": { /* root */ "baseUrl": "./app'), k, F.lit('", "paths": {"@/*": ["src//x/*'), k, F.lit('",],}, } }'))
-    plain = F.concat(F.lit('{"compilerOptions": {"baseUrl": "app'), k, F.lit('/."}}'))
-    text = F.when(F.col("s_suppkey") % 3 == 0, text).when(F.col("s_suppkey") % 3 == 1, plain).otherwise('{"compilerOptions": ')
-    found = resolve.config_rows(t(spark, sf, "supplier").select(k.alias("repo_id"), text.alias("text")))
+    first = F.when(F.col("s_suppkey") % 3 == 0, text).when(F.col("s_suppkey") % 3 == 1, '{"extends": ["./conf/near", "@cfg/base/strict"]}').otherwise('{"compilerOptions": ')
+    near = F.concat(F.lit('{"extends": "../tsconfig.json", "compilerOptions": {"baseUrl": "../app'), k, F.lit('/.", "paths": {"~/*": ["near/*"]}}}'))
+    strict = F.concat(F.lit('{"compilerOptions": {"paths": {"@/*": ["last/*'), k, F.lit('"]}}}'))
+    each = F.array(*(F.struct(F.lit(path).alias("path"), text.alias("text")) for path, text in (("tsconfig.json", first), ("conf/near.json", near), ("cfgs/base/strict.json", strict))))
+    settings = here.select("repo_id", F.inline(each))
+    links = here.select("repo_id", F.lit("node_modules/@cfg/base").alias("path"), F.lit("cfgs/base").alias("target"))
+    found = packages.configurations(settings, links)
     return found.select("repo_id", "base_url", F.when(F.col("paths").isNotNull(), joined(F.concat(F.map_keys("paths"), F.flatten(F.map_values("paths"))))).alias("paths"))
 
 
@@ -433,12 +449,46 @@ def resolve_ranked(spark, sf):
     return found.select("spec", F.substring("target", 3, 999).alias("target"))
 
 
+#: A package for each customer, in its nation's repository: exports with conditions, a list, a closed pattern and an open one; its own imports.
+MANIFEST = """{{"name": "@acme/ui{0}", "exports": {{".": {{"node": "./no.js", "import": {{"types": "./src/index.ts", "default": "./dist/index.js"}}}}, "./internal/*": null, "./*": ["lib/bad", {{"browser": "./b.js"}}, "./src/*.js"]}},
+ "imports": {{"#lib/*": "./lib/*.ts", "#base": {{"node": "./none.ts", "default": "@acme/base"}}}}}}"""
+BASE_MANIFEST = '{"name": "@acme/base", "main": "./dist/main.js", "types": "src/main.ts"}'
+# where a specifier stands (an app, or the package itself), the specifier, and the path that it names in the repository; {} is the customer's number
+_ASKED = (("apps/a{}.ts", "@acme/ui{}", "packages/ui{}/src/index.ts"), ("apps/a{}.ts", "@acme/ui{}/button", "packages/ui{}/src/button.ts"), ("apps/a{}.ts", "@acme/ui{}/internal/x", None), ("apps/a{}.ts", "@acme/base", "packages/base/src/main.ts"), ("apps/a{}.ts", "#lib/fmt", None),
+  ("packages/ui{}/src/index.ts", "#lib/fmt", "packages/ui{}/lib/fmt.ts"), ("packages/ui{}/src/index.ts", "#base", "packages/base/src/main.ts"), ("packages/ui{}/src/index.ts", "@acme/ui{}/button", "packages/ui{}/src/button.ts"), ("packages/ui{}/src/index.ts", "@acme/base/deep", None))
+_ASKED_SQL = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in _ASKED)
+_NAMED = "replace({}, '{{}}', CAST(c_custkey AS VARCHAR))".format
+
+
+@query(f"""WITH asked AS (SELECT * FROM (VALUES {_ASKED_SQL}) AS v(path, spec, target)), x AS (SELECT 'n' || c_nationkey AS repo_id, c_custkey % 3 = 2 AND path LIKE 'apps/%' AND spec LIKE '@acme/ui%' AS away, {_NAMED('path')} AS path, {_NAMED('spec')} AS spec, {_NAMED('target')} AS target FROM customer, asked)
+SELECT repo_id, path, spec, CASE WHEN NOT away THEN target END AS target, away AND spec LIKE '%/button' AS outside FROM x""")
+def resolve_packages(spark, sf):
+    """Specifiers of workspaces: by conditions, patterns and links, by a package's own imports, and of itself; every third package is
+    linked from outside the tree, where only its button is."""
+    k = F.col("c_custkey").cast("string")
+    here = t(spark, sf, "customer").select("c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("repo_id"))
+    named = lambda text: F.replace(F.lit(text), F.lit("{}"), k)
+    rows = lambda *texts: here.select("repo_id", F.explode(F.array(*map(named, texts))).alias("path"))
+    manifest = F.replace(F.lit(MANIFEST.replace("{0}", "<>").replace("{{", "{").replace("}}", "}")), F.lit("<>"), k)
+    files = rows("apps/a{}.ts", "packages/ui{}/src/index.ts", "packages/ui{}/src/button.ts", "packages/ui{}/lib/fmt.ts").unionByName(here.select("repo_id", F.lit("packages/base/src/main.ts").alias("path")).distinct())
+    files = files.select("repo_id", fn.file_id(F.col("path")).alias("id"), "path")
+    away = F.col("c_custkey") % 3 == 2
+    one = here.select("repo_id", F.lit("packages/base/package.json").alias("path"), F.lit(BASE_MANIFEST).alias("text")).distinct()
+    settings = here.select("repo_id", named("packages/ui{}/package.json").alias("path"), manifest.alias("text")).unionByName(here.where(away).select("repo_id", named("../shared/ui{}/package.json").alias("path"), manifest.alias("text"))).unionByName(one)
+    links = here.select("repo_id", named("node_modules/@acme/ui{}").alias("path"), F.when(away, named("../shared/ui{}")).otherwise(named("packages/ui{}")).alias("target")).unionByName(here.select("repo_id", F.lit("node_modules/@acme/base").alias("path"), F.lit("packages/base").alias("target")).distinct())
+    elsewhere = here.where(away).select("repo_id", named("../shared/ui{}/src/button.ts").alias("path"))
+    specs = here.select("repo_id", F.inline(F.array(*(F.struct(named(p).alias("path"), named(s).alias("spec")) for p, s, _ in _ASKED))))
+    found = resolve.matched(specs, files, resolve.Surroundings(settings, links, elsewhere))
+    return found.join(files.select("repo_id", F.col("id").alias("target"), F.col("path").alias("target_path")), ["repo_id", "target"], "left").select("repo_id", "path", "spec", F.col("target_path").alias("target"), "outside")
+
+
 # --- hop graph -----------------------------------------------------------------------------------------------------------
 
 _LAYERS = ", ".join(f"'{x}'" for x in architecture.LAYERS)
-HOPS = f"""hops AS (SELECT 'd' || day(ts) AS repo_id, event_id AS ordinal, user_id AS a, lead(user_id) OVER (PARTITION BY day(ts), event_type ORDER BY ts, event_id) AS b, event_type FROM events),
+_REPO = "'d' || day(ts) || 'q' || (hour(ts) // 6)"
+HOPS = f"""hops AS (SELECT {_REPO} AS repo_id, event_id AS ordinal, user_id AS a, lead(user_id) OVER (PARTITION BY {_REPO}, event_type ORDER BY ts, event_id) AS b, event_type FROM events),
   edges AS (SELECT repo_id, 'u' || a AS src, 'u' || b AS dst, CASE event_type WHEN 'view' THEN 'render' WHEN 'error' THEN 'call' ELSE 'import' END AS kind, ordinal FROM hops WHERE a <> b),
-  files AS (SELECT 'd' || day(ts) AS repo_id, 'u' || user_id AS id, coalesce([{_LAYERS}][user_id % 9 + 1], CASE user_id % 9 WHEN 7 THEN 'app' ELSE 'Misc' END) || '/u' || user_id || CASE user_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '.js' END AS path, count(*) AS line_count, CAST(sum(event_id) % 10 + 1 AS BIGINT) AS complexity, user_id % 3 < 2 AS typed FROM events GROUP BY 1, user_id),
+  files AS (SELECT {_REPO} AS repo_id, 'u' || user_id AS id, coalesce([{_LAYERS}][user_id % 9 + 1], CASE user_id % 9 WHEN 7 THEN 'app' ELSE 'Misc' END) || '/u' || user_id || CASE user_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '.js' END AS path, count(*) AS line_count, CAST(sum(event_id) % 10 + 1 AS BIGINT) AS complexity, user_id % 3 < 2 AS typed FROM events GROUP BY 1, user_id),
   placed AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path COLLATE en, path) AS place FROM files)"""
 REACH = f"""WITH RECURSIVE {HOPS}, e AS (SELECT DISTINCT repo_id, src, dst FROM edges WHERE kind = 'import'),
   reach AS (SELECT repo_id, src, dst FROM e UNION SELECT r.repo_id, r.src, e.dst FROM reach r JOIN e ON r.repo_id = e.repo_id AND r.dst = e.src),
@@ -446,20 +496,21 @@ REACH = f"""WITH RECURSIVE {HOPS}, e AS (SELECT DISTINCT repo_id, src, dst FROM
 _PATHS = ", named AS (SELECT m.repo_id, m.component, m.id, f.path FROM member m JOIN files f ON f.repo_id = m.repo_id AND f.id = m.id)"
 
 
-def _day() -> Column:
-    return F.concat(F.lit("d"), F.dayofmonth("ts").cast("string"))
+def _quarter() -> Column:
+    """A repository for each six hours."""
+    return F.concat(F.lit("d"), F.dayofmonth("ts").cast("string"), F.lit("q"), F.floor(F.hour("ts") / 6).cast("string"))
 
 
 def hop_edges(spark, sf):
-    w = Window.partitionBy(F.dayofmonth("ts"), "event_type").orderBy("ts", "event_id")
-    e = t(spark, sf, "events").select(_day().alias("repo_id"), F.col("event_id").alias("ordinal"), F.col("user_id").alias("a"), F.lead("user_id").over(w).alias("b"), "event_type")
+    w = Window.partitionBy(_quarter(), "event_type").orderBy("ts", "event_id")
+    e = t(spark, sf, "events").select(_quarter().alias("repo_id"), F.col("event_id").alias("ordinal"), F.col("user_id").alias("a"), F.lead("user_id").over(w).alias("b"), "event_type")
     node = lambda c: F.concat(F.lit("u"), F.col(c).cast("string"))
     kind = F.when(F.col("event_type") == "view", "render").when(F.col("event_type") == "error", "call").otherwise("import")
     return e.where("a <> b").select("repo_id", node("a").alias("src"), node("b").alias("dst"), kind.alias("kind"), "ordinal")
 
 
 def hop_files(spark, sf):
-    u = t(spark, sf, "events").groupBy(_day().alias("repo_id"), "user_id").agg(F.count("*").alias("line_count"), (F.sum("event_id") % 10 + 1).alias("complexity"))
+    u = t(spark, sf, "events").groupBy(_quarter().alias("repo_id"), "user_id").agg(F.count("*").alias("line_count"), (F.sum("event_id") % 10 + 1).alias("complexity"))
     k, s = F.col("user_id"), F.col("user_id").cast("string")
     folder = F.element_at(F.array(*map(F.lit, (*architecture.LAYERS, "app", "Misc"))), (k % 9 + 1).cast("int"))
     ext = F.element_at(F.array(*map(F.lit, ("ts", "tsx", "js"))), (k % 3 + 1).cast("int"))
@@ -617,6 +668,39 @@ def truncation(spark, sf):
     return d.groupBy("repo_id").agg(summary.left_out(F.count("*"), 3).alias("modules"))
 
 
+_FEW = summary.Limits(modules=3, hotspots=4, cycles=1, cycle_files=5, rules=2, samples=2)
+
+
+@query(REACH + f""", dirs AS (WITH {_DIRS.split(HOPS + ", ")[1]} SELECT * FROM d), hot AS (WITH {_HOT.split(HOPS + ", ")[1]} SELECT * FROM r),
+  comp AS (SELECT m.repo_id, m.component, count(*) AS n, min(p.place) AS first, list(p.path ORDER BY p.place) AS paths FROM member m JOIN placed p ON p.repo_id = m.repo_id AND p.id = m.id GROUP BY 1, 2),
+  cyc AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY first) AS ordinal FROM comp),
+  pairs AS (SELECT d.repo_id, a.component, x.path AS src, y.path AS dst, count(*) AS refs, min(d.ordinal) AS first FROM edges d JOIN member a ON a.repo_id = d.repo_id AND a.id = d.src JOIN member b ON b.repo_id = d.repo_id AND b.id = d.dst JOIN files x ON x.repo_id = d.repo_id AND x.id = d.src JOIN files y ON y.repo_id = d.repo_id AND y.id = d.dst WHERE d.kind = 'import' AND a.component = b.component GROUP BY 1, 2, 3, 4),
+  cut AS (SELECT repo_id, component, src || '>' || dst || '>' || refs AS cut FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, component ORDER BY refs, first) AS k FROM pairs) WHERE k = 1),
+  found AS (SELECT repo_id, 'r' || CAST(substr(id, 2) AS BIGINT) % 3 AS rule, CAST(substr(id, 2) AS BIGINT) AS ordinal, path, row_number() OVER (PARTITION BY repo_id, CAST(substr(id, 2) AS BIGINT) % 3 ORDER BY CAST(substr(id, 2) AS BIGINT)) AS k FROM files),
+  ruled AS (SELECT repo_id, rule || ':' || count(*) || ':' || string_agg(path, ',' ORDER BY ordinal) FILTER (k <= 2) AS said, row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, min(ordinal)) AS k FROM found GROUP BY repo_id, rule),
+  a1 AS (SELECT repo_id, string_agg(path || ':' || files, '|' ORDER BY ordinal) FILTER (ordinal <= 3) AS modules, greatest(0, count(*) - 3) AS n FROM dirs GROUP BY 1), a2 AS (SELECT repo_id, string_agg(path || ':' || inbound, '|' ORDER BY ordinal) FILTER (ordinal <= 4) AS hotspots, greatest(0, count(*) - 4) AS n FROM hot GROUP BY 1),
+  a3 AS (SELECT c.repo_id, max(array_to_string(c.paths[:5], ',') || '/' || c.n || '/' || cut.cut) FILTER (ordinal <= 1) AS cycles, greatest(0, count(*) - 1) AS n FROM cyc c LEFT JOIN cut ON cut.repo_id = c.repo_id AND cut.component = c.component GROUP BY 1), a4 AS (SELECT repo_id, string_agg(said, '|' ORDER BY k) FILTER (k <= 2) AS rules, greatest(0, count(*) - 2) AS n FROM ruled GROUP BY 1)
+SELECT a1.repo_id, modules, hotspots, coalesce(cycles, '') AS cycles, rules, a1.n || '|' || a2.n || '|' || coalesce(a3.n, 0) || '|' || a4.n AS left_out FROM a1 JOIN a2 USING (repo_id) LEFT JOIN a3 USING (repo_id) JOIN a4 USING (repo_id)""")
+def summaries(spark, sf):
+    """The bounded summary of each repository, with all its limits, and what they leave out."""
+    stages = Stages(spark, "summaries")
+    files, edges = stages.put(hop_files(spark, sf), "files"), stages.put(hop_edges(spark, sf), "edges")
+    cycles = stages.put(graph.components(files, edges), "cycles")
+    number = F.substring("id", 2, 20).cast("long")
+    found = files.select("repo_id", F.concat(F.lit("r"), (number % 3).cast("string")).alias("rule"), F.lit("warning").alias("severity"), F.array("path").alias("files"), number.alias("ordinal"))
+    none = files.select("repo_id", F.col("id").alias("file_id"), F.lit("variable").alias("kind"))
+    stacks = files.select("repo_id").distinct().select("repo_id", *(F.lit(None).cast("string").alias(c) for c in ("framework", "build_tool", "router")), F.array().cast("array<string>").alias("state_management"))
+    cuts = graph.cycle_cuts(cycles, architecture.edge_paths(edges, files))
+    made = summary.contexts(stacks, files, none, edges, stacks, metrics.maintainability(files, edges), architecture.directories(files, edges), architecture.layers(files, edges), cycles, cuts, found, _FEW)
+    x = F.col("context")
+    pairs = lambda c, *ks: joined(F.transform(x[c], lambda m: F.concat_ws(":", *(m[k].cast("string") for k in ks))))
+    cut = lambda c: F.concat_ws(">", c["from"], c["to"], c["references"].cast("string"))
+    cycle = joined(F.transform(x["cycles"], lambda c: F.concat_ws("/", joined(c["files"], ","), c["totalFiles"].cast("string"), cut(c["suggestedCut"]))))
+    said = joined(F.transform(x["findings"], lambda r: F.concat_ws(":", r["rule"], r["count"].cast("string"), joined(r["samples"], ","))))
+    left = F.concat_ws("|", *(x["truncated"][k].cast("string") for k in ("modules", "hotspots", "cycles", "findingRules")))
+    return made.select("repo_id", pairs("modules", "path", "files").alias("modules"), pairs("hotspots", "path", "inbound").alias("hotspots"), cycle.alias("cycles"), said.alias("rules"), left.alias("left_out"))
+
+
 @query("SELECT p_partkey, round(CASE WHEN p_size % 3 > 0 THEN least(CAST(0.99 AS DOUBLE), CAST(0.7 AS DOUBLE) + (p_size % 6) * CAST(0.06 AS DOUBLE)) ELSE CAST(0.25 AS DOUBLE) END, 6) AS confidence FROM part")
 def confidence(spark, sf):
     known = F.when(F.col("p_size") % 3 > 0, "x")
@@ -688,10 +772,10 @@ def text_hits(spark, sf):
     return found.select(F.col("id").alias("doc_id"), joined(F.col("hits")).alias("hits"))
 
 
-_NAMED = " OR ".join(f"contains(lower(name), '{c}')" for c in CONCEPTS)
+_ANY_NAMED = " OR ".join(f"contains(lower(name), '{c}')" for c in CONCEPTS)
 
 
-@query(f"WITH {SYMBOLS} SELECT file_id, count(*) AS n, arg_max(name, ordinal) AS symbol FROM symbols WHERE kind IN ('component', 'hook') AND ({_NAMED}) GROUP BY 1")
+@query(f"WITH {SYMBOLS} SELECT file_id, count(*) AS n, arg_max(name, ordinal) AS symbol FROM symbols WHERE kind IN ('component', 'hook') AND ({_ANY_NAMED}) GROUP BY 1")
 def symbol_hits(spark, sf):
     found = retrieval.symbol_hits(doc_symbols(spark, sf), list(CONCEPTS), ["component", "hook"])
     return found.select(F.col("id").alias("file_id"), "n", "symbol")
@@ -724,7 +808,7 @@ _SYM = " OR ".join(f"contains(lower(name), '{c}')" for c in _WORDS)
   near AS (SELECT src AS id, string_agg(dst_path, '|' ORDER BY ordinal) AS related FROM doc_edges GROUP BY 1)
 SELECT path, symbol, CAST(base.s + ys + coalesce(r.s, 0) AS BIGINT) AS score, substr(base.said || ysaid || coalesce(r.said, ''), 2) AS reasons, coalesce(related, '') AS related FROM base LEFT JOIN r USING (id) LEFT JOIN near USING (id) ORDER BY score DESC, base.s = 0, path COLLATE en, path LIMIT 30""")
 def hybrid_retrieve(spark, sf):
-    plan = retrieval.parse_query(QUERY)
+    plan = retrieval.parse_query(spark, QUERY)
     found = retrieval.retrieve(plan, doc_files(spark, sf), doc_symbols(spark, sf), doc_edges(spark, sf), doc_contents(spark, sf))
     return found.select("path", "symbol", "score", joined(F.col("reasons")).alias("reasons"), joined(F.col("related_paths")).alias("related"))
 

@@ -1,233 +1,296 @@
-"""Small source trees of our own, with the facts that an analysis must find in them."""
+"""Small source trees made up for these tests, and what an analysis must find in them."""
 
 import json
+import random
 
 import pytest
 
-from tessera.operators import architecture, graph, resolve, retrieval, summary
+from tessera.functions.scalars import fingerprint
+from tessera.operators import architecture, graph, packages, resolve, retrieval, summary
 from tessera.operators.lexer import scan
 from tessera.plans import evaluate as ev
 from tessera.plans.analysis import Options, Runs, narration_context, plan_query, run_analysis, tables
 from tessera.plans.report import escape_html, markdown
+from tessera.plans.store import Store
+from tessera.streaming.events import node_states, progress_label, read_events, run_status
 
+#: folder -> (files, expectations)
 TREES = {
-    "relative": {"src/a.ts": 'import { b } from "./b";\n\nexport const a = 1 + b;\n', "src/b.ts": 'import { a } from "./a";\n\nexport const b = a;\n'},
-    "alias": {
-        "tsconfig.json": '{\n  // names\n  "compilerOptions": { "baseUrl": ".", "paths": { "@/*": ["src/*"], } }\n}',
-        "src/shared/format.ts": 'import { loadUser } from "@/user/service";\nexport function formatUser(n: string) { return n; }\nexport function formatById(i: number) { return formatUser(loadUser(i)); }\n',
-        "src/user/service.ts": 'import { formatUser } from "@/shared/format";\nexport function loadUser(id: number) { return formatUser(String(id)); }\n',
-    },
-    "dynamic": {
-        "src/pages/Home.tsx": 'import { config } from "../router";\nexport function Home() { return <main>{config}</main>; }\n',
-        "src/router.ts": 'export const config = 1;\nexport const routes = [{ path: "/", load: () => import("./pages/Home") }];\n',
-    },
-    "arrow": {"src/Card.tsx": "export const Card = (p: { t: string }) => <b>{p.t}</b>;\n", "src/Panel.tsx": 'import { memo } from "react";\nexport const Panel = memo(() => <i>It\'s</i>);\n'},
-    "render": {"src/App.tsx": 'import { Card } from "./Card";\nexport function App() {\n  return <section><Card title="x" /><Card title="y" /></section>;\n}\n', "src/Card.tsx": "export const Card = (p: { title: string }) => <b>{p.title}</b>;\n"},
-    "layers": {
-        "components/Card.tsx": 'import { formatTitle } from "../utils/format";\nexport const Card = (p: { t: string }) => <b>{formatTitle(p.t)}</b>;\n',
-        "pages/Home.tsx": 'import { Card } from "../components/Card";\nimport { createOrder } from "../services/order";\nexport function Home() { return <Card t={createOrder()} />; }\n',
-        "services/order.ts": 'import { cart } from "../stores/cart";\nimport { formatTitle } from "../utils/format";\nexport function createOrder() { return formatTitle(cart.name); }\n',
-        "stores/cart.ts": 'import { createOrder } from "../services/order";\nexport { createOrder as checkout } from "../services/order";\nexport const cart = { name: "n", make: createOrder };\n',
-        "utils/format.ts": "export function formatTitle(t: string) { return t.trim(); }\n",
-    },
-    "empty": {"README.md": "nothing"},
-    "nested": {"src/a.ts": 'import { b } from "./b";\nexport const a = b;\n', "src/b.ts": 'import { c } from "./c";\nimport { d } from "./d";\nexport const b = c + d;\n', "src/c.ts": 'import { a } from "./a";\nexport const c = a;\n', "src/d.ts": 'import { b } from "./b";\nexport const d = b;\n'},
-}
-EXPECT = {
-    "relative": {"cycles": [["src/b.ts", "src/a.ts"]], "metrics": {"score": 95, "dimensionCount": 3}},
-    "alias": {"cycles": [["src/shared/format.ts", "src/user/service.ts"]]},
-    "dynamic": {"cycles": [["src/pages/Home.tsx", "src/router.ts"]], "components": ["Home"]},
-    "arrow": {"components": ["Card", "Panel"], "metrics": {"score": 98}},
-    "render": {"edges": [{"from": "src/App.tsx", "to": "src/Card.tsx", "kind": "render"}, {"from": "src/App.tsx", "to": "src/Card.tsx", "kind": "import"}], "metrics": {"score": 97}},
-    "layers": {
-        "cycles": [["services/order.ts", "stores/cart.ts"]], "components": ["Home", "Card"], "metrics": {"score": 94},
-        "narration": {"maxEstimatedTokens": 1000, "modules": ["components", "pages", "services", "stores", "utils"], "cycleCuts": [{"from": "services/order.ts", "to": "stores/cart.ts", "references": 1}]},
-    },
-    "empty": {"metrics": {"score": 0, "dimensionCount": 0}},
-    "nested": {"cycles": [["src/a.ts", "src/b.ts", "src/c.ts", "src/d.ts"]], "metrics": {"score": 94}},
+    "water": (
+        {
+            "tsconfig.json": '{"extends": "./etc/paths"} // the rest is there',
+            "etc/paths.json": '{"compilerOptions": {"baseUrl": "..", "paths": {"~pump/*": ["plant/pump/*"], "~tank/*": ["plant/tank/*"],}}}',
+            "plant/pump/motor.ts": 'import { level } from "~tank/gauge";\nexport const spin = () => level + 1;\n',
+            "plant/tank/gauge.ts": 'import { open } from "./valve";\nexport const level = open ? 1 : 0;\n',
+            "plant/tank/valve.ts": 'import { spin } from "~pump/motor";\nexport const open = spin() > 0;\n',
+        },
+        {"cycles": [["plant/tank/valve.ts", "plant/pump/motor.ts", "plant/tank/gauge.ts"]], "metrics": {"dimensionCount": 3}},
+    ),
+    "garden": (
+        {
+            "beds/index.ts": 'export * from "./seed";\nexport { grow } from "./grow";\n',
+            "beds/seed.ts": 'import { grow } from ".";\nexport const seed = grow;\n',
+            "beds/grow.ts": "export function grow() { return 2; }\n",
+            "walk.ts": 'import { seed } from "./beds";\nexport const walk = seed;\n',
+        },
+        {"cycles": [["beds/index.ts", "beds/seed.ts"]], "edges": [{"from": "beds/seed.ts", "kind": "import", "to": "beds/index.ts"}, {"from": "walk.ts", "kind": "import", "to": "beds/index.ts"}]},
+    ),
+    "desk": (
+        {"desk/Lamp.jsx": 'import { watts } from "./plug.js";\nexport function Lamp() { return <em>{watts}</em>; }\n', "desk/plug.js": 'export const watts = 9;\nexport const later = () => import("./Lamp");\n'},
+        {"cycles": [["desk/Lamp.jsx", "desk/plug.js"]], "components": ["Lamp"]},
+    ),
+    "shapes": (
+        {"kit/Round.tsx": 'import { Component, forwardRef } from "react";\nexport class Round extends Component<{}> {}\nexport const Square = forwardRef(() => <i/>);\nexport const useSide = () => 4;\nconst Plain = 3;\n'},
+        {"components": ["Round", "Square"]},
+    ),
+    "stage": (
+        {"Play.tsx": 'import * as Props from "./props";\nexport const Play = () => <main><Props.Chair/><Props.Table/></main>;\n', "props.tsx": "export const Chair = () => <b/>;\nexport const Table = () => <b/>;\n"},
+        {"edges": [{"from": "Play.tsx", "kind": "render", "to": "props.tsx"}, {"from": "Play.tsx", "kind": "import", "to": "props.tsx"}], "components": ["Chair", "Play", "Table"]},
+    ),
+    "mill": (
+        {
+            "package.json": '{"dependencies": {"vue": "3.5"}, "devDependencies": {"vite": "6"}}',
+            "components/Wheel.tsx": 'import { useFlow } from "../hooks/useFlow";\nexport const Wheel = () => <u>{useFlow()}</u>;\n',
+            "hooks/useFlow.ts": 'import { grain } from "../services/grain";\nexport const useFlow = () => grain.length;\n',
+            "pages/Mill.tsx": 'import { Wheel } from "../components/Wheel";\nimport { grain } from "../services/grain";\nexport function Mill() { return <p><Wheel/><Wheel/>{grain}</p>; }\n',
+            "services/grain.ts": 'import { useFlow } from "../hooks/useFlow";\nimport type { Flow } from "../hooks/useFlow";\nexport const grain = [useFlow];\n',
+        },
+        {
+            "cycles": [["services/grain.ts", "hooks/useFlow.ts"]],
+            "narration": {"maxEstimatedTokens": 900, "modules": ["components", "hooks", "pages", "services"], "cycleCuts": [{"from": "hooks/useFlow.ts", "to": "services/grain.ts", "references": 1}]},
+        },
+    ),
+    "bare": ({"notes.txt": "no sources"}, {"metrics": {"score": 0, "dimensionCount": 0}}),
+    "rings": (
+        {
+            "x/east.ts": 'import "./west";\n', "x/west.ts": 'import "./east";\nimport "../tail";\n', "tail.ts": "export {};\n",
+            "B/two.ts": 'import "./three";\nimport "./one";\n', "B/one.ts": 'import "./two";\n', "B/three.ts": 'import "./one";\n',
+        },
+        {"cycles": [["x/east.ts", "x/west.ts"], ["B/one.ts", "B/three.ts", "B/two.ts"]]},
+    ),
 }
 
 
+def write(root, files):
+    for path, text in files.items():
+        p = root / path
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(text if isinstance(text, bytes) else text.encode())
+    return root
+
+
 @pytest.fixture(scope="module")
 def trees(tmp_path_factory):
     root = tmp_path_factory.mktemp("trees")
-    for name, files in TREES.items():
-        for path, text in files.items():
-            p = root / name / path
-            p.parent.mkdir(parents=True, exist_ok=True)
-            p.write_text(text, encoding="utf-8")
-        (root / name / "expected.json").write_text(json.dumps({"title": name, "status": "expected-pass", "expect": EXPECT[name]}))
+    for name, (files, expect) in TREES.items():
+        write(root / name, files | {"expected.json": json.dumps({"status": "expected-pass", "expect": expect})})
     return root
 
 
-@pytest.mark.parametrize("name", list(TREES))
-def test_expected_facts(spark, trees, name):
-    result, done = ev.evaluate(spark, str(trees / name))
-    assert result == "PASS", done
-
-
-def test_orders_loops_and_dimensions(spark, trees):
-    a = tables(spark, str(trees / "relative"))
-    row = a.cycles.first()
-    assert list(row["files"]) == ["src/b.ts", "src/a.ts"] and list(row["loop"]) == ["src/b.ts", "src/a.ts", "src/b.ts"]
-    assert a.metrics == {"score": 95, "dimensions": {"complexity": 95, "coupling": 90, "typing": 100}}
-    nested = tables(spark, str(trees / "nested"))
-    row = nested.cycles.first()
-    assert list(row["files"]) == ["src/d.ts", "src/c.ts", "src/b.ts", "src/a.ts"] and list(row["loop"]) == ["src/d.ts", "src/b.ts", "src/d.ts"]
-    assert nested.metrics["dimensions"]["coupling"] == 88
-
-
-def test_layers_in_full(spark, trees):
-    a = tables(spark, str(trees / "layers"))
-    edges = [(r["src_path"], r["dst_path"], r["kind"]) for r in architecture.edge_paths(a.edges, a.files).orderBy("ordinal").collect()]
-    home, card, order, cart, fmt = "pages/Home.tsx", "components/Card.tsx", "services/order.ts", "stores/cart.ts", "utils/format.ts"
-    assert edges == [(card, fmt, "import"), (home, card, "import"), (home, order, "import"), (home, card, "render"), (order, cart, "import"), (order, fmt, "import"), (cart, order, "import"), (cart, order, "import")]
-    dirs = {r["path"]: (r["files"], r["inbound"], r["outbound"]) for r in a.directories.collect()}
-    assert dirs == {"components": (1, 2, 1), "pages": (1, 0, 3), "services": (1, 3, 2), "stores": (1, 1, 2), "utils": (1, 2, 0)}
-    hot = [(r["path"], r["complexity"] + 3 * r["inbound"]) for r in summary.hotspots(a.files, a.edges).orderBy("ordinal").collect()]
-    assert hot == [(order, 10), (fmt, 7), (card, 4), (cart, 4), (home, 1)]
-    layer = {r["name"]: list(r["depends_on"]) for r in a.layers.collect()}
-    assert layer == {"pages": ["components", "services"], "components": ["utils"], "stores": ["services"], "services": ["stores", "utils"], "utils": []}
-    topology = [(r["src"], r["dst"]) for r in architecture.component_topology(a.files, a.symbols, a.edges).collect()]
-    assert topology == [(home, card)] * 2
-    found = [(r["path"], r["score"]) for r in retrieval.retrieve(retrieval.parse_query("订单"), a.files, a.symbols, a.edges, a.contents).collect()]
-    assert found == [(order, 45), (cart, 30), (home, 25)]
-    lines = [r["line"] for r in architecture.layer_mermaid(a.layers).orderBy("line_no").collect()]
-    assert lines[:2] == ["graph TD", '  pages["pages"]'] and "  pages --> components" in lines
-    context = narration_context(a)
-    assert context["truncated"] == {"modules": 0, "hotspots": 0, "cycles": 0, "findingRules": 0} and context["scale"]["components"] == 2
-
-
-def test_query_plans():
-    p = retrieval.parse_query("useCart hook")
-    assert p["terms"] == ["usecart", "hook"] and p["symbol_kinds"] == ["hook"]
-    p = retrieval.parse_query("找订单组件")
-    assert p["terms"] == ["找订", "订单", "单组"] and p["symbol_kinds"] == ["component"]
-    assert retrieval.parse_query("订单")["concepts"] == ["order", "checkout", "purchase", "trade", "订单"]
-    assert plan_query("订单", lambda q: 1 / 0)["terms"] == ["订单"]
-
-
-def test_workflow_writes_reports_and_goes_on_without_a_narrator(spark, trees, tmp_path):
-    events = []
-    out = tmp_path / "out"
-
-    def narrator(context):
-        raise RuntimeError("no model")
-
-    a = run_analysis(spark, str(trees / "layers"), Options(query="订单", narrator=narrator, listener=events.append, output=str(out)))
-    assert [e["node"] for e in events if e["phase"] == "start"][0] == "loadRepository" and len({e["node"] for e in events}) == 11
-    assert (out / "report.md").read_text().startswith("# ") and "未配置模型" in (out / "report.html").read_text()
-    assert json.loads((out / "report.json").read_text())["metrics"]["score"] == 94 and a.retrieval[0]["path"] == "services/order.ts"
-    from tessera.plans.store import Store
-    from tessera.streaming.events import node_states, progress_label, read_events, run_status
+@pytest.fixture(scope="module")
+def mill(spark, trees):
+    return tables(spark, str(trees / "mill"))
+
+
+def test_all_trees_in_one_plan(spark, trees):
+    found, done = ev.evaluate_all(spark, ev.folders(str(trees)))
+    rows = {r["name"]: r["outcome"] for r in found.collect()}
+    assert rows == dict.fromkeys(TREES, "PASS"), done.where("not ok").collect()
+    n = {r["name"]: r["checks"] for r in found.collect()}
+    assert n["mill"] == 7 and n["bare"] == 2 and n["rings"] == 2
+
+
+def test_one_tree_and_a_missing_fact(spark, trees, tmp_path):
+    assert ev.evaluate(spark, str(trees / "desk")) == ("PASS", [("component Lamp", True), ("cycle desk/Lamp.jsx | desk/plug.js", True)])
+    write(tmp_path, {"a.ts": "1", "expected.json": json.dumps({"expect": {"components": ["Nobody"], "metrics": {"score": 1}}})})
+    assert ev.evaluate(spark, str(tmp_path)) == ("REGRESSION", [("component Nobody", False), ("score", False)])
+
+
+def test_components_are_in_reading_order(spark, trees):
+    a = tables(spark, str(trees / "rings"))
+    rows = [(list(r["files"]), list(r["loop"])) for r in a.cycles.orderBy("ordinal").collect()]
+    assert rows == [(["B/one.ts", "B/three.ts", "B/two.ts"], ["B/one.ts", "B/two.ts", "B/one.ts"]), (["x/east.ts", "x/west.ts"], ["x/east.ts", "x/west.ts", "x/east.ts"])]
+    found = a.findings.where("rule = 'import-cycle'").orderBy("ordinal").collect()
+    assert [list(r["evidence"]) for r in found] == [["B/one.ts → B/two.ts → B/one.ts"], ["x/east.ts → x/west.ts → x/east.ts"]]
+    assert a.score["dimensions"] == {"complexity": 95, "coupling": 88, "typing": 100}  # seven imports of six files
+
+
+def test_edges_folders_and_layers(mill):
+    wheel, flow, page, grain = "components/Wheel.tsx", "hooks/useFlow.ts", "pages/Mill.tsx", "services/grain.ts"
+    edges = [(r["src_path"], r["kind"], r["dst_path"]) for r in architecture.edge_paths(mill.edges, mill.files).orderBy("ordinal").collect()]
+    assert edges == [(wheel, "import", flow), (flow, "import", grain), (page, "import", wheel), (page, "import", grain), (page, "render", wheel), (grain, "import", flow), (grain, "import", flow)]
+    assert {r["path"]: (r["inbound"], r["outbound"]) for r in mill.directories.collect()} == {"components": (2, 1), "hooks": (3, 1), "pages": (0, 3), "services": (2, 2)}
+    assert {r["name"]: list(r["depends_on"]) for r in mill.layers.collect()} == {"pages": ["components", "services"], "components": ["hooks"], "hooks": ["services"], "services": ["hooks"]}
+    assert [r["path"] for r in summary.hotspots(mill.files, mill.edges).orderBy("ordinal").collect()] == [flow, grain, wheel, page]
+    assert [(r["src"], r["dst"]) for r in architecture.component_topology(mill.files, mill.symbols, mill.edges).collect()] == [(page, wheel)] * 2
+    lines = [r["line"] for r in architecture.layer_mermaid(mill.layers).orderBy("line_no").collect()]
+    assert lines[0] == "graph TD" and lines[-1] == "  services --> hooks" and '  hooks["hooks"]' in lines
+    assert mill.stack["framework"] == "Vue" and mill.stack["buildTool"] == "Vite" and mill.stack["frameworkVersion"] == "3.5"
+
+
+def test_summaries_are_bounded_and_say_what_they_leave_out(mill):
+    whole = narration_context(mill)
+    assert whole["scale"] == {"files": 4, "symbols": 4, "components": 2, "edges": 7} and set(whole["truncated"].values()) == {0}
+    few = mill.contexts(summary.Limits(modules=1, hotspots=2, cycles=0, cycle_files=1)).first()["context"]
+    assert few["truncated"].asDict() == {"modules": 3, "hotspots": 2, "cycles": 1, "findingRules": 0}
+    assert [h["path"] for h in few["hotspots"]] == ["hooks/useFlow.ts", "services/grain.ts"] and few["cycles"] == []
+    one = mill.contexts(summary.Limits(cycle_files=1)).first()["context"]["cycles"][0]
+    assert list(one["files"]) == ["hooks/useFlow.ts"] and one["totalFiles"] == 2 and one["suggestedCut"]["references"] == 1
+
+
+def test_retrieval_of_one_question(spark, mill):
+    plan = plan_query(spark, "grain Hook", None)
+    assert plan == {"concepts": ["grain", "hook"], "symbol_kinds": ["hook"], "relation_kinds": ["import", "call", "render", "uses-hook", "uses-store"], "terms": ["grain", "hook"]}
+    found = [(r["path"], r["symbol"], r["score"]) for r in retrieval.retrieve(plan, mill.files, mill.symbols, mill.edges, mill.contents).collect()]
+    assert found == [("services/grain.ts", None, 30), ("hooks/useFlow.ts", None, 25), ("pages/Mill.tsx", None, 25), ("components/Wheel.tsx", None, 15)]
+
+
+def test_plans_of_questions(spark):
+    p = plan_query(spark, "查找购物车组件 addItem", None)
+    assert p["symbol_kinds"] == ["component"] and p["concepts"][:3] == ["cart", "basket", "shopping"] and "additem" in p["terms"] and "组件" not in p["terms"]
+    assert plan_query(spark, "权限", lambda q: 1 / 0)["concepts"][0] == "permission"
+    assert plan_query(spark, "x", lambda q: {"concepts": [q]}) == {"concepts": ["x"]}
+
+
+def test_workspaces_resolve_by_links_and_exports(spark, tmp_path):
+    root, far = tmp_path / "repo", tmp_path / "sibling"
+    write(far, {"package.json": '{"name": "@lab/far", "exports": {"./*": "./*.ts"}}', "lens.ts": "export const lens = 1;\n"})
+    write(root, {
+        "tools/ink/package.json": '{"name": "@lab/ink", "exports": {".": {"node": "./no.js", "types": "./main.ts"}, "./pens/*": "./src/*.js", "./closed": null}, "imports": {"#wet/*": "./src/wet/*.ts"}}',
+        "tools/ink/main.ts": 'export * from "#wet/drop";\n', "tools/ink/src/wet/drop.ts": "export const drop = 1;\n", "tools/ink/src/quill.ts": 'import "@lab/ink/pens/quill";\nexport const quill = 1;\n', "tools/ink/closed.ts": "export {};\n",
+        "site/page.ts": 'import "@lab/ink";\nimport "@lab/ink/pens/quill";\nimport "@lab/ink/closed";\nimport "@lab/far/lens";\nimport "../../sibling/lens";\nimport "../../sibling/none";\nimport "react";\n',
+    })
+    (root / "node_modules/@lab").mkdir(parents=True)
+    (root / "node_modules/@lab/ink").symlink_to(root / "tools/ink", target_is_directory=True)
+    (root / "node_modules/@lab/far").symlink_to(far, target_is_directory=True)
+    a = tables(spark, str(root))
+    edges = sorted((r["src_path"], r["dst_path"]) for r in architecture.edge_paths(a.edges, a.files).collect())
+    assert edges == [("site/page.ts", "tools/ink/main.ts"), ("site/page.ts", "tools/ink/src/quill.ts"), ("tools/ink/main.ts", "tools/ink/src/wet/drop.ts")]
+    left = {r["spec"]: r["outside"] for r in a.unresolved.collect()}
+    assert left == {"@lab/ink/closed": False, "@lab/far/lens": True, "../../sibling/lens": True, "../../sibling/none": False, "react": False}
+
+
+def test_entries_of_packages():
+    p = json.dumps({"exports": {".": ["bad", {"browser": "./b.js"}, "./ok.js"], "./a/*": {"import": {"node": "./n/*.js"}, "default": "./d/*.js"}, "./a/b/*": "./deep/*/*.ts", "./*.svg": None, "./*": "./all/*"}})
+    ask = lambda r: packages.targets(p, "package", r)["files"]
+    assert ask(".") == ["ok.js"] and ask("./a/x") == ["d/x.js"] and ask("./a/b/c") == ["deep/c/c.ts"] and ask("./z") == ["all/z"]
+    assert ask("./q.svg") == []
+    assert packages.targets('{"exports": "./one.ts"}', "package", ".")["files"] == ["one.ts"] and packages.targets('{"exports": "./one.ts"}', "package", "./x")["files"] == []
+    assert packages.targets('{"main": "lib/x.js", "types": "t.d.ts"}', "package", ".")["loose"] == ["t.d.ts", "lib/x.js", ""]
+    assert packages.targets(None, "package", "./sub")["loose"] == ["sub"] and packages.targets("[1]", "import", "#x") == {"files": [], "loose": [], "again": []}
+
+
+def test_chains_of_configurations(spark):
+    texts = {
+        "a": {"jsconfig.json": '{"compilerOptions": {"baseUrl": "z"}}', "tsconfig.json": '{"extends": ["./one", "./two.json", "./gone"], "compilerOptions": {}}', "one.json": '{"compilerOptions": {"baseUrl": "b1", "paths": {"x": ["1"]}}}', "two.json": '{"extends": "./deep/three", "compilerOptions": {"paths": {"x": ["2"]}}}', "deep/three.json": '{"extends": "../tsconfig", "compilerOptions": {"baseUrl": "../b3", "paths": {"x": ["3"]}}}'},
+        "b": {"jsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["s/*"]}}}'}, "c": {"tsconfig.json": "{"}, "d": {"package.json": "{}"},
+    }
+    settings = spark.createDataFrame([(r, p, t) for r, fs in texts.items() for p, t in fs.items()], "repo_id string, path string, text string")
+    none = resolve.Surroundings.none(spark)
+    got = {r["repo_id"]: (r["base_url"], r["paths"], r["base"]) for r in packages.configurations(settings, none.links).collect()}
+    assert got == {"a": ("b3", {"x": ["2"]}, "b3"), "b": (None, {"@/*": ["s/*"]}, ""), "c": (None, None, None)}
+    assert packages.configurations(settings.where("false"), none.links).count() == 0
+
+
+def test_candidates_of_specifiers():
+    config = {"baseUrl": "", "paths": {"lib/*": ["src/*", "gen/*"], "lib/special": ["odd.ts"]}, "base": ""}
+    assert resolve.candidates("lib/special", "q.ts", config)[0] == "odd.ts"
+    assert [p for p in resolve.candidates("lib/k", "q.ts", config) if p.endswith("/k.ts")] == ["src/k.ts", "gen/k.ts", "lib/k.ts"]
+    assert resolve.candidates("./w.jsx", "d/q.ts", {})[:2] == ["d/w.jsx", "d/w.tsx"]
+    assert resolve.candidates("pkg", "q.vue", {}) == [] and "n/index.vue" in resolve.candidates("./n", "q.vue", {})
+    assert resolve.candidates("../../w", "d/q.ts", {})[0] == "../w.ts"
+
+
+def test_components_agree_on_both_routes(spark):
+    rng = random.Random(11)
+    files, rows, k = [], [], 0
+    for r in range(5):
+        names = [f"{rng.choice('pQr')}{i}.ts" for i in range(16)]
+        files += [(f"r{r}", f"id{n}", n) for n in names]
+        for _ in range(14 + 5 * r):
+            k += 1
+            rows.append((f"r{r}", f"id{rng.choice(names)}", f"id{rng.choice([*names, 'gone.ts'])}", "import", k))
+    files, edges = spark.createDataFrame(files, "repo_id string, id string, path string"), spark.createDataFrame(rows, "repo_id string, src string, dst string, kind string, ordinal long").where("src <> dst")
+    plain, joined, mixed = ([tuple(r) for r in graph.components(files, edges, most_edges=m).orderBy("repo_id", "ordinal").collect()] for m in (10_000, 0, 24))
+    assert plain == joined == mixed and len({r[0] for r in plain}) >= 3 and max(r[1] for r in plain) >= 1
+    for _, _, own, loop in plain:
+        assert loop[0] == loop[-1] == own[0] and set(loop) <= set(own)
+    assert graph.components(files.where("false"), edges.where("false"), most_edges=0).count() == 0
+
+
+def test_deep_graphs_need_no_recursion():
+    n = 30_000
+    chain = {i: [i + 1] for i in range(n - 1)}
+    assert graph.strong_components(list(range(n)), chain) == []
+    whole = graph.strong_components(list(range(n)), chain | {n - 1: [0]})
+    assert [len(g) for g in whole] == [n] and len(graph.shortest_loop(whole[0], chain | {n - 1: [0]})) == n + 1
+
 
+def test_a_run_writes_its_reports_whatever_the_narrator_does(spark, trees, tmp_path):
+    seen, out = [], tmp_path / "made"
+
+    def broken(context):
+        raise RuntimeError("silent")
+
+    a = run_analysis(spark, str(trees / "mill"), Options(query="grain", narrator=broken, listener=seen.append, output=str(out), most_findings=0))
+    assert seen[0]["node"] == "loadRepository" and seen[-1]["node"] == "render" and len({e["node"] for e in seen}) == 11
+    assert any(e["node"] == "narrate" and e["detail"] == "skipped: silent" for e in seen)
+    written = json.loads((out / "report.json").read_text())
+    assert written["findings"] == [] and written["findingsLeftOut"] == 1 and written["narration"] is None and a.retrieval
+    assert (out / "report.md").read_text().startswith("# ") and (out / "report.html").read_text().startswith("<!doctype html>")
     store = Store(spark, f"{out}/store")
-    assert store.runs().count() == 1 and store.checkpoints().count() == 1 and store.changed(a.files).count() == 0
+    assert store.runs().count() == store.checkpoints().count() == 1 and store.files().count() == 4 and store.changed(a.files).count() == 0
     log = read_events(spark, f"{out}/events")
     assert run_status(log).first()["status"] == "completed" and progress_label(node_states(log)).first()["label"] == "11/11"
 
 
-def test_background_runs_and_missing_folders(spark, trees, tmp_path):
+def test_runs_in_the_background(spark, trees, tmp_path):
     runs = Runs(spark)
-    run = runs.submit(str(trees / "relative"), output=str(tmp_path / "o"))
-    assert runs.result(run, 120).metrics["score"] == 95 and runs.status(run) == "completed"
+    run = runs.submit(str(trees / "desk"), output=str(tmp_path / "o"))
+    assert runs.result(run, 300).score["dimensions"]["typing"] == 0 and runs.status(run) == "completed"
+    names = [name for name, _ in runs.frames(run)]
+    assert names[-1] == "done" and set(names[:-1]) == {"progress"}
     with pytest.raises(NotADirectoryError):
-        tables(spark, str(tmp_path / "none"))
-    assert not (tmp_path / "none").exists()
+        tables(spark, str(tmp_path / "nowhere"))
+    assert not (tmp_path / "nowhere").exists()
 
 
-def test_scan_hazards(spark, tmp_path):
-    for path, raw in {
-        "pages/_app.tsx": b"x", "_lib/x.ts": b"a\r\nb\r\n", "[id]/page.tsx": b"", ".hidden.ts": b"x", "node_modules/a.ts": b"x", "a.min.js": b"x", "b.JS": b"\xff if(a)&&b", "c.json": b"{}", ".x/y.ts": b"",
-        "v/A.vue": b"<script>import { b } from '../t'\nexport function f() {}\nconst x = 1</script>", "t.ts": b"import A from './v/A.vue'\nexport const b = 1", "d/e.d.ts": b"x",
-    }.items():
-        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / path).write_bytes(raw)
+def test_what_a_scan_takes_and_leaves(spark, tmp_path):
+    write(tmp_path, {
+        "routes/_layout.tsx": "x", "_private/y.ts": "a\r\nb\r\n", "[slug]/page.tsx": "", ".secret.ts": "x", "node_modules/p/q.ts": "x", "out/z.ts": "x", "vendor.min.js": "x", "UP.JS": b"\xff if(a)&&b", "data.json": "{}", ".git/y.ts": "",
+        "view/Box.vue": "<script>import { t } from '../t'\nexport function show() {}\nconst n = 1</script>", "t.ts": "import Box from './view/Box.vue'\nexport const t = 1", "types/e.d.ts": "x",
+    })
     a = tables(spark, str(tmp_path), "r")
     rows = {r["path"]: r for r in a.files.collect()}
-    assert set(rows) == {"pages/_app.tsx", "_lib/x.ts", "[id]/page.tsx", "b.JS", "v/A.vue", "t.ts", "d/e.d.ts"}
-    assert rows["_lib/x.ts"]["line_count"] == 3 and rows["[id]/page.tsx"]["line_count"] == 1
-    import hashlib
-
-    assert rows["b.JS"]["content_hash"] == hashlib.sha256("� if(a)&&b".encode()).hexdigest() and rows["b.JS"]["size"] == 10 and rows["b.JS"]["complexity"] == 3
-    edges = {(r["src_path"], r["dst_path"]) for r in architecture.edge_paths(a.edges, a.files).collect()}
-    assert edges == {("v/A.vue", "t.ts")}  # never from a source to a single-file component
-    kinds = {r["name"]: r["kind"] for r in a.symbols.where("file_id = '%s'" % rows["v/A.vue"]["id"]).collect()}
-    assert kinds == {"f": "component", "x": "variable"}
+    assert set(rows) == {"routes/_layout.tsx", "_private/y.ts", "[slug]/page.tsx", "UP.JS", "view/Box.vue", "t.ts", "types/e.d.ts"}
+    assert rows["_private/y.ts"]["line_count"] == 3 and rows["[slug]/page.tsx"]["line_count"] == 1 and rows["UP.JS"]["size"] == 10 and rows["UP.JS"]["complexity"] == 3
+    assert {(r["src_path"], r["dst_path"]) for r in architecture.edge_paths(a.edges, a.files).collect()} == {("view/Box.vue", "t.ts")}
+    assert {r["name"]: r["kind"] for r in a.symbols.where(a.symbols["file_id"] == rows["view/Box.vue"]["id"]).collect()} == {"show": "component", "n": "variable"}
 
 
 def test_lexer():
     m = scan(
-        """import React, { useState as us, type X } from "react"; import * as ns from './ns'; import './side';
-export { a as b } from "./re"; export * from './all';
-// import x from "no"
-const s = `import ${ 1 + `${2}` } from "q"`; const re = /import "x"/g;
-export const Card = ({t}: P) => { const x = 1 < 2; return <div className="a">It's <Card.Foo a={() => <Bar/>}>x</Card.Foo><Baz/></div>; };
-export default function App(): { a: number } { return (<><Card t={1}/></>); }
-const W = memo(forwardRef((p, r) => null)), {q, r} = useThing<Foo>();
-class Old extends React.Component<P> implements Q { render() { return null } }
-interface I { a: string }
-type T = { a: 1 } | { b: 2 }
-const lazy = () => import("./Lazy")
-async function useIt<T>(a: T) { if (a < 3 && a > 2) { import(`./no`); import("./x" + y) } }
-let z
-export { z }
+        """import Main, { alpha as beta, type Gamma } from "pkg"; import * as all from './all'; import './effect';
+export { d as e } from "./again"; export * from './star';
+// import n from "comment"
+const text = `import ${ 3 + `${4}` } from "quoted"`; const pattern = /export "x"/g;
+export const Tile = ({p}: Q) => { const y = 2 < 3; return <div id="k">Don't <Tile.Edge f={() => <Dot/>}>z</Tile.Edge><Line/></div>; };
+export default function Board(): { b: number } { return (<><Tile p={1}/></>); }
+const Frame = memo(forwardRef((a, b) => null)), {u, v} = useGrid<Cell>();
+class Piece extends React.PureComponent<P> implements R { render() { return null } }
+interface Side { s: string }
+type Kind = { k: 1 } | { l: 2 }
+const soon = () => import("./Soon")
+async function useMove<T>(x: T) { if (x < 5 && x > 4) { import(`./not`); import("./y" + z) } }
+let last
+export { last }
 """,
         True,
     )
-    kinds = [(s.what, s.name, s.init) for s in m.symbols]
-    assert kinds == [("function", "App", "none"), ("function", "useIt", "none"), ("class", "Old", "none"), ("interface", "I", "none"), ("type", "T", "none"), ("variable", "s", "other"), ("variable", "re", "other"), ("variable", "Card", "function"), ("variable", "W", "call"), ("variable", "{q, r}", "call"), ("variable", "lazy", "function"), ("variable", "z", "none")]
-    assert [s.name for s in m.symbols if s.exported] == ["App", "Card", "z"]
-    assert [x for x, _ in m.imports] == ["react", "./ns", "./side"] and [x for x, _ in m.exports] == ["./re", "./all"]
-    assert [x for x, _ in m.dynamic][:1] == ["./Lazy"]
-    assert m.names == [("React", "react"), ("us", "react"), ("X", "react"), ("ns", "./ns")]
-    assert [x for x, _ in m.tags] == ["div", "Card.Foo", "Bar", "Baz", "Card"]
-
-
-def test_resolution_candidates():
-    c = resolve.candidates("@/x", "src/a.ts", {"baseUrl": ".", "paths": {"@/*": ["src/*"], "@/x": ["lib/x.ts"]}})
-    assert c[0] == "lib/x.ts"  # an exact name beats a pattern
-    assert resolve.candidates("./b.js", "src/a.ts", {})[:2] == ["src/b.js", "src/b.ts"]
-    assert resolve.candidates("x", "a.vue", {}) == [] and "c/index.vue" in resolve.candidates("./c", "a.vue", {})
-    assert resolve.candidates("../../x", "a.ts", {}) == []
-
-
-def test_long_rings_need_no_recursion():
-    n = 20_000
-    nodes = list(range(n))
-    assert graph.strong_components(nodes, {i: [i + 1] for i in range(n - 1)}) == []
-    ring = {i: [(i + 1) % n] for i in range(n)}
-    found = graph.strong_components(nodes, ring)
-    assert len(found) == 1 and len(found[0]) == n and len(graph.shortest_loop(found[0], ring)) == n + 1
-
-
-def test_components_by_joins_agree(spark):
-    import random
-
-    rng = random.Random(5)
-    files, rows = [], []
-    for r in range(4):
-        names = [f"{rng.choice('aBcD')}{i}.ts" for i in range(14)]
-        files += [(f"r{r}", n, n) for n in names]
-        rows += [(f"r{r}", rng.choice(names), rng.choice([*names, "gone.ts"]), "import", k) for k in range(10 + 6 * r)]
-    files, edges = spark.createDataFrame(files, "repo_id string, id string, path string"), spark.createDataFrame(rows, "repo_id string, src string, dst string, kind string, ordinal long").where("src <> dst")
-    plain = {(r["repo_id"], frozenset(r["files"])) for r in graph.components(files, edges).collect()}
-    joined = graph.components(files, edges, most_edges=16).collect()  # the last two repositories go through joins
-    assert plain and {(r["repo_id"], frozenset(r["files"])) for r in joined} == plain
-    arcs = {(r["repo_id"], r["src"], r["dst"]) for r in edges.collect()}
-    for r in graph.components(files, edges, most_edges=0).collect():
-        loop, own = r["loop"], {a: [d for q, s, d in sorted(arcs) if q == r["repo_id"] and s == a] for a in r["files"]}
-        assert loop[0] == loop[-1] == r["files"][0] and all((r["repo_id"], a, b) in arcs for a, b in zip(loop, loop[1:], strict=False))
-        assert len(loop) == len(graph.shortest_loop(r["files"], own))
-    assert graph.components(files.where("false"), edges.where("false"), most_edges=0).count() == 0
-
-
-def test_configurations_that_extend_others():
-    texts = {"tsconfig.json": '{"extends": "./conf/base", "compilerOptions": {"paths": {"@/*": ["src/*"]}}}', "conf/base.json": '{"extends": ["./missing", "../tsconfig.json"], "compilerOptions": {"baseUrl": "..", "paths": {"~/*": ["x/*"]}}}'}
-    found = resolve.load_config(texts.get, "tsconfig.json")
-    assert found == {"baseUrl": ".", "paths": {"@/*": ["src/*"]}, "base": "."} and "src/a.ts" in resolve.candidates("@/a", "b.ts", found)
-    assert resolve.load_config({"c/t.json": '{"compilerOptions": {"paths": {"@/*": ["s/*"]}}}'}.get, "c/t.json")["base"] == "c"
-    assert resolve.leaves_root("../../x", "src/a.ts") and not resolve.leaves_root("../x", "src/a.ts") and not resolve.leaves_root("react", "a.ts")
+    assert [(s.what, s.name) for s in m.symbols] == [("function", "Board"), ("function", "useMove"), ("class", "Piece"), ("interface", "Side"), ("type", "Kind"), *(("variable", n) for n in ("text", "pattern", "Tile", "Frame", "{u, v}", "soon", "last"))]
+    assert [s.name for s in m.symbols if s.exported] == ["Board", "Tile", "last"]
+    assert [x for x, _ in m.imports] == ["pkg", "./all", "./effect"] and [x for x, _ in m.exports] == ["./again", "./star"] and [x for x, _ in m.dynamic][:1] == ["./Soon"]
+    assert m.names == [("Main", "pkg"), ("beta", "pkg"), ("Gamma", "pkg"), ("all", "./all")] and [x for x, _ in m.tags] == ["div", "Tile.Edge", "Dot", "Line", "Tile"]
 
 
 def test_options_from_the_environment():
@@ -235,24 +298,24 @@ def test_options_from_the_environment():
     assert o.planner is json.loads and o.narrator is None and (o.output, o.persist, o.query) == ("/x", False, "q")
 
 
-def test_folder_of_expectations(spark, trees, tmp_path, capsys, monkeypatch):
-    import shutil
-
-    for name, status in (("good", "expected-pass"), ("bad", "expected-pass"), ("known", "known-failure")):
-        shutil.copytree(trees / "relative", tmp_path / name, dirs_exist_ok=True)
-        expect = {"cycles": [["src/a.ts", "src/b.ts"]]} if name == "good" else {"cycles": [["src/a.ts", "src/zz.ts"]]}
-        (tmp_path / name / "expected.json").write_text(json.dumps({"status": status, "expect": expect}))
-    assert ev.main([str(tmp_path)]) == 1 and "REGRESSION  bad" in capsys.readouterr().out
-    (tmp_path / "bad" / "expected.json").unlink()
+def test_the_evaluation_of_a_folder(spark, tmp_path, capsys):
+    two = {"m.ts": 'import "./n";\n', "n.ts": 'import "./m";\n'}
+    for name, status, other in (("fine", "expected-pass", "n.ts"), ("worse", "expected-pass", "o.ts"), ("old", "known-failure", "o.ts")):
+        write(tmp_path / name, two | {"expected.json": json.dumps({"status": status, "expect": {"cycles": [["m.ts", other]]}})})
+    assert ev.main([str(tmp_path)]) == 1
+    said = capsys.readouterr().out
+    assert "REGRESSION  worse" in said and "missing: cycle m.ts | o.ts" in said and "KNOWN-FAIL  old" in said
+    (tmp_path / "worse" / "expected.json").unlink()
     assert ev.main([str(tmp_path)]) == 0
 
 
-def test_report_escapes_and_says_what_is_missing():
-    assert escape_html("<a b='c'>&\"") == "&lt;a b=&#39;c&#39;&gt;&amp;&quot;"
+def test_reports_escape_and_say_what_is_missing():
+    assert escape_html("<i j='k'>&\"") == "&lt;i j=&#39;k&#39;&gt;&amp;&quot;"
     text = markdown({"generatedAt": "t", "stack": {"confidence": 0.25, "evidence": []}, "metrics": {"score": 0, "dimensions": {}}, "findings": [], "mermaid": "graph TD"})
     assert "未发现问题" in text and "未识别" in text
 
 
-def test_outcomes(spark):
-    rows = spark.createDataFrame([(s, p) for s in ("expected-pass", "known-failure") for p in (True, False)], "s string, p boolean")
+def test_outcomes_and_fingerprints(spark):
+    rows = spark.createDataFrame([(s, p, ["b", "a"]) for s in ("expected-pass", "known-failure") for p in (True, False)], "s string, p boolean, xs array<string>")
     assert [r[0] for r in rows.select(ev.outcome(rows["s"], rows["p"])).collect()] == ["PASS", "REGRESSION", "FIXED", "KNOWN-FAIL"]
+    assert rows.select(fingerprint(rows["xs"])).first()[0] == "a | b"
