@@ -58,7 +58,9 @@ def facts(files: DataFrame, contents: DataFrame) -> DataFrame:
             yield frame.astype(object).where(frame.notna(), None)
 
     joined = contents.join(files.select("repo_id", F.col("id").alias("file_id"), "path"), ["repo_id", "path"])
-    return joined.select("repo_id", "file_id", "path", "content").mapInPandas(run, FACTS)
+    # dealt by number, so that small trees aren't put together into one task either: reading code costs far more than moving it
+    tasks = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return joined.select("repo_id", "file_id", "path", "content").repartition(tasks, "repo_id", "path").mapInPandas(run, FACTS)
 
 
 def symbols(fact_rows: DataFrame, files: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import architecture, extract, graph, metrics, resolve, retrieval, rules, summary
+from ..schema import CHECKPOINTS, RUNS
 from ..sources.tree import OUTPUT_FOLDER, require_folder, scan
 from ..staging import Stages
 from ..streaming.events import EventLog
@@ -184,10 +185,11 @@ def run_analysis(spark: SparkSession, root: str, options: Options | None = None)
         a.report = {"root": root, "stack": a.stack, "metrics": a.score, "findings": listed, "mermaid": mermaid, "narration": told, "generatedAt": at, "findingsLeftOut": total - len(found)}
         if o.persist:
             store = Store(spark, f"{out}/store")
-            store.append_run(a.repo_id, run_id, at, a.report)
-            store.replace_files(a.files)
             sizes = {"files": a.files.count(), "symbols": a.symbols.count(), "edges": a.edges.count(), "cycles": a.cycles.count(), "findings": total}
-            store.save_checkpoint(run_id, log.seq, at, summary.snapshot(a.score, a.stack, sizes))
+            state = summary.snapshot(a.score, a.stack, sizes)
+            one = lambda row, schema: spark.createDataFrame([row], schema)
+            told_run = one((run_id, at, json.dumps(a.report, ensure_ascii=False), a.repo_id), RUNS + ", repo_id string")
+            store.commit(told_run, a.files, one((run_id, log.seq, at, json.dumps(state, ensure_ascii=False)), CHECKPOINTS))
             write_reports(out, a.report)
     return a
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 TITLE = "仓库分析报告"
 NO_MODEL = "未配置模型，本次仅输出确定性分析结果。"
 UNKNOWN, NOTHING, CLEAN = "未识别", "无", "未发现问题"
@@ -45,6 +49,16 @@ def markdown(result: dict) -> str:
     return "\n".join(line for part in parts for line in part)
 
 
+def markdown_rows(results: DataFrame) -> DataFrame:
+    """text, the report of each result (a JSON text). Reports are bounded, so each is made by one call."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"text": [markdown(json.loads(r)) for r in b["result"]]})
+
+    return results.select("result").mapInPandas(run, "text string")
+
+
 def html(result: dict) -> str:
     e, stack = escape_html, result["stack"]
     findings = "\n".join(f"{e(f['severity'])}: {e(f['message'])} [{e(', '.join(f['files']))}]" for f in result["findings"]) or CLEAN

@@ -2,32 +2,28 @@
 
 from __future__ import annotations
 
-import json
 import time
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EVENTS
+from . import log
 
 STEPS = 11
 MOST_FINISHED = 20
 
 
 class EventLog:
-    """Writes a run's events as lines of JSON, a file each, and tells a listener."""
+    """Writes a run's events to a folder, by a path or an address that all machines see, and tells a listener."""
 
     def __init__(self, folder: str, run_id: str, listener=None):
-        self.folder, self.run_id, self.seq, self.listener = Path(folder), run_id, 0, listener
-        self.folder.mkdir(parents=True, exist_ok=True)
+        self.folder, self.run_id, self.seq, self.listener = str(folder), run_id, 0, listener
 
     def emit(self, node: str, phase: str, duration_ms: int | None = None, detail: str | None = None) -> dict:
         event = {"run_id": self.run_id, "seq": self.seq, "node": node, "phase": phase, "at": datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z"), "duration_ms": duration_ms, "detail": detail}
-        path = self.folder / f"{self.run_id}-{self.seq:05d}.json"
-        path.with_suffix(".tmp").write_text(json.dumps(event, ensure_ascii=False) + "\n")
-        path.with_suffix(".tmp").rename(path)
+        log.put(self.folder, event)
         self.seq += 1
         if self.listener:
             self.listener(event)
@@ -55,11 +51,6 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(EVENTS).json(f"{folder}/*.json")
 
 
-def follow(spark: SparkSession, folder: str) -> DataFrame:
-    """The log as a stream: what is there already first, then what comes."""
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.json").json(folder)
-
-
 def node_states(events: DataFrame) -> DataFrame:
     """Per run and node the state of its last event, and its first place. Works on a stream in complete or update mode."""
     state = F.when(F.col("phase") == "start", "running").when(F.col("phase") == "end", "done").otherwise("error")
@@ -99,5 +90,3 @@ def retained_runs(runs: DataFrame, most: int = MOST_FINISHED) -> DataFrame:
 def latest_checkpoints(rows: DataFrame) -> DataFrame:
     """The last state of each run. rows: run_id, seq, updated_at, state."""
     return rows.groupBy("run_id").agg(F.max(F.struct("seq", "updated_at", "state")).alias("x")).select("run_id", "x.seq", "x.updated_at", "x.state")
-
-
