@@ -7,8 +7,8 @@ written in the format of each mention: its separators, its lengths and its upper
 domain, and a name's given and family names, are entities of their own, so "Mr. A B" and "Mr. B" still share B.
 
 A surrogate comes from a keyed hash of the entity. It is of the same type: letters for letters and digits for digits, a
-card keeps its first digit and a valid check digit stays valid, a telephone number keeps its country code, an address in a private or
-public range is a well-formed one, a given name is of the gender of the form of address, and names are in the script of the original.
+card keeps its first digit and a valid check digit stays valid, as do an IBAN's, with its country; a telephone number in international form
+is one entity in all its spellings and keeps its country code; an address in a private range stays in that range, and a public one public; a given name is of the gender of the form of address, and names are in the script of the original.
 
 Collision checks run over the table of distinct entities: two entities of a kind never get one surrogate, and no surrogate
 is a form that occurs in the corpus. Losers try again with the next number in the hash, in rounds, until none is left;
@@ -45,7 +45,12 @@ IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4
 MALE = "Mr|Herr|Señor|Sr|Monsieur|г-н|господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|г-жа|госпожа"
 NAME = rf"(?<![\p{{L}}-])(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
-HAN = r"[\p{IsHan}]{2,4}(?:先生|女士)"
+# Family names, of two signs and of one, that begin a Chinese name; country codes of telephone numbers.
+TWO_SIGNS = "欧阳|司马|上官|诸葛|司徒|东方|独孤|南宫|夏侯|皇甫|尉迟|公孙|慕容|令狐|长孙|宇文"
+ONE_SIGN = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚"
+CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
+#: A known family name and up to two signs; without one in reach, up to four signs. What stands before a family name is not part of the name.
+HAN = rf"(?:(?:{TWO_SIGNS}|[{ONE_SIGN}])\p{{IsHan}}{{0,2}}?|[\p{{IsHan}}&&[^{ONE_SIGN}]]{{2,4}}?)(?:先生|女士)"
 TYPES = {"email": EMAIL, "iban": IBAN, "card": CARD, "ssn": SSN, "phone": PHONE, "ip": IP, "name": NAME, "han": HAN}
 ANY = "|".join(TYPES.values())
 
@@ -77,10 +82,10 @@ def parts(mention: Column, kind: Column) -> Column:
     plain = lambda k, strip: F.array(_struct(k, *[F.lower(F.regexp_replace(mention, strip, ""))] * 2, mention))
     local, domain = F.substring_index(mention, "@", 1), F.substring_index(mention, "@", -1)
     email = F.array(_struct("email", F.lower(mention), F.lower(local), local), keep(F.lit("@")), _struct("domain", F.lower(domain), F.lower(domain), domain))
-    code = F.regexp_extract(mention, r"^(\+[0-9]{1,3})[ .(-]", 1)
+    code = country_code(mention)
     rest = F.substring(mention, F.char_length(code) + 1, F.char_length(mention))
-    digits = F.regexp_replace(rest, "[^0-9]", "")
-    phone = F.array(keep(code), _struct("phone", digits, digits, rest))
+    whole = F.concat(code, F.regexp_replace(rest, "[^0-9]", ""))  # the number in international form, where its code is known
+    phone = F.array(keep(code), _struct("phone", whole, whole, rest))
     title = F.regexp_extract(mention, rf"^((?:{MALE}|{FEMALE})\.? )", 1)
     male = F.regexp_like(title, F.lit(rf"^(?:{MALE})\.? $"))
     words = F.split(F.substring(mention, F.char_length(title) + 1, F.char_length(mention)), " ")
@@ -89,9 +94,29 @@ def parts(mention: Column, kind: Column) -> Column:
     family = _struct("family", low(-1), low(-1), F.element_at(words, -1))
     name = F.when(F.size(words) > 1, F.array(keep(title), _struct(given, low(1), low(1), F.element_at(words, 1)), keep(F.lit(" ")), family)).otherwise(F.array(keep(title), family))
     n = F.char_length(mention)
-    own = F.substring(mention, F.lit(2), n - 3)
-    han = F.array(_struct("family", F.left(mention, F.lit(1)), F.left(mention, F.lit(1)), F.left(mention, F.lit(1))), _struct(F.when(F.right(mention, F.lit(2)) == "先生", F.lit("given_m")).otherwise(F.lit("given_f")), own, own, own), keep(F.right(mention, F.lit(2))))
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "name", name).when(kind == "han", han).when(kind == "ip", plain("ip", " ")).when(kind == "iban", plain("iban", "[^A-Z0-9]")).when(kind == "card", plain("card", "[^0-9]")).otherwise(plain("ssn", "[^0-9]"))
+    two = F.regexp_like(mention, F.lit(f"^(?:{TWO_SIGNS})")) & (n >= 4)
+    first = F.when(two, F.left(mention, F.lit(2))).otherwise(F.left(mention, F.lit(1)))
+    own = F.substring(mention, F.char_length(first) + 1, n - 2 - F.char_length(first))
+    of = F.when(F.right(mention, F.lit(2)) == "先生", F.lit("given_m")).otherwise(F.lit("given_f"))
+    head, tail = _struct("family", first, first, first), keep(F.right(mention, F.lit(2)))
+    han = F.when(own == "", F.array(head, tail)).otherwise(F.array(head, _struct(of, own, own, own), tail))
+    return F.when(kind.isNull(), F.array(keep(mention))).when(kind == "email", email).when(kind == "phone", phone).when(kind == "name", name).when(kind == "han", han).when(kind == "ip", plain("ip", " ")).when(kind == "iban", plain("iban", "[^A-Z0-9]")).when(kind == "card", plain("card", "[^0-9]")).otherwise(plain("ssn", "[^0-9]"))
+
+
+def country_code(number: Column) -> Column:
+    """The code that a telephone number in international form begins with, with its plus; else empty."""
+    return F.regexp_extract(number, rf"^(\+(?:{CODES}))", 1)
+
+
+def national(number: Column) -> Column:
+    """What follows the country code."""
+    return F.substring(number, F.char_length(country_code(number)) + 1, F.char_length(number))
+
+
+def iban_rest(country: Column, account: Column) -> Column:
+    """The number of an IBAN of lower-case letters with check digits 00, modulo 97."""
+    value = lambda c: F.when(F.regexp_like(c, F.lit("^[0-9]$")), c.cast("int")).otherwise(F.ascii(c) - 87)
+    return F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
 
 
 def hmac(key: str, message: Column) -> Column:
@@ -129,10 +154,18 @@ def candidate(kind: Column, form: Column, b: Column, attempt: Column) -> Column:
     raw = F.concat(F.left(form, F.lit(1)), F.substring(shaped, F.lit(2), F.char_length(form) - 2))
     check = F.pmod(F.lit(10) - _luhn(F.concat(raw, F.lit("0"))), F.lit(10)).cast("string")
     card = F.concat(raw, F.when(_luhn(form) == 0, check).otherwise(F.right(shaped, F.lit(1))))
-    iban = F.concat(F.left(form, F.lit(2)), F.substring(shaped, F.lit(3), F.char_length(form)))
-    phone = F.concat((F.element_at(b, 128) % 8 + 2).cast("string"), F.substring(shaped, F.lit(2), F.char_length(form)))
+    country, account = F.left(form, F.lit(2)), F.substring(shaped, F.lit(5), F.char_length(form))
+    valid = F.pmod(iban_rest(country, F.substring(form, F.lit(5), F.char_length(form))) + F.substring(form, F.lit(3), F.lit(2)).cast("int"), F.lit(97)) == 1
+    sums = F.lpad((98 - iban_rest(country, account)).cast("string"), 2, "0")
+    iban = F.concat(country, F.when(valid, sums).otherwise(F.substring(shaped, F.lit(3), F.lit(2))), account)
+    code = country_code(form)
+    phone = F.concat(code, (F.element_at(b, 128) % 8 + 2).cast("string"), F.substring(shaped, F.char_length(code) + 2, F.char_length(form)))
     ssn = F.concat(F.lit("9"), F.substring(shaped, F.lit(2), F.lit(8)))  # never issued
-    ip = F.concat_ws(".", *((F.element_at(b, i) % 223 + 1).cast("string") for i in range(1, 5)))
+    # the private, shared and local ranges keep the octets that make them one; no public address becomes one of them
+    octet = lambda i: (F.element_at(b, i) % 254 + 1).cast("string")
+    kept = F.regexp_extract(form, r"^(10|127|169\.254|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7]))\.", 1)
+    free = F.element_at(F.array(*(F.lit(str(x)) for x in range(1, 224) if x not in (10, 100, 127, 169, 172, 192))), F.element_at(b, 5) % 217 + 1)
+    ip = F.when(kept == "", F.concat_ws(".", free, octet(2), octet(3), octet(4))).when(F.contains(kept, F.lit(".")), F.concat_ws(".", kept, octet(3), octet(4))).otherwise(F.concat_ws(".", kept, octet(2), octet(3), octet(4)))
 
     def name(script: str) -> Column:
         starts, ends = SYLLABLES[script]
@@ -183,7 +216,7 @@ def permuted(digits: Column, secret: Column) -> Column:
 def number_format(kind: Column, form: Column) -> Column:
     """What a permutation keeps of a number: its kind and length, and of a card its first digit and whether its check digit is right."""
     n = F.char_length(form).cast("string")
-    return F.when(kind.isin("phone", "ssn"), F.concat_ws(":", kind, n)).when(kind == "card", F.concat_ws(":", kind, n, F.left(form, F.lit(1)), (_luhn(form) == 0).cast("string")))
+    return F.when(kind == "phone", F.concat_ws(":", kind, country_code(form), n)).when(kind == "ssn", F.concat_ws(":", kind, n)).when(kind == "card", F.concat_ws(":", kind, n, F.left(form, F.lit(1)), (_luhn(form) == 0).cast("string")))
 
 
 def in_format(kind: Column, form: Column, secret: Column) -> Column:
@@ -194,13 +227,13 @@ def in_format(kind: Column, form: Column, secret: Column) -> Column:
     off = F.pmod(F.right(form, F.lit(1)).cast("int") - check(body), F.lit(10))
     new = F.concat(F.left(form, F.lit(1)), permuted(F.substring(form, F.lit(2), n - 2), secret))
     card = F.element_at(F.transform(F.array(new), lambda x: F.concat(x, F.pmod(check(x) + off, F.lit(10)).cast("string"))), 1)
-    return F.when(kind == "card", card).otherwise(permuted(form, secret))
+    return F.when(kind == "card", card).when(kind == "phone", F.concat(country_code(form), permuted(national(form), secret))).otherwise(permuted(form, secret))
 
 
 def space(kind: Column, form: Column) -> Column:
     """How many numbers a number's surrogate is drawn from."""
     n = F.char_length(form)
-    return F.when(kind == "phone", 8.0 * F.pow(F.lit(10.0), n - 1)).when(kind == "ssn", 1e8).otherwise(F.pow(F.lit(10.0), n - 2))
+    return F.when(kind == "phone", 8.0 * F.pow(F.lit(10.0), F.char_length(national(form)) - 1)).when(kind == "ssn", 1e8).otherwise(F.pow(F.lit(10.0), n - 2))
 
 
 def surrogates(entities: DataFrame, stages: Stages, key: str) -> DataFrame:
@@ -256,27 +289,30 @@ def replace(df: DataFrame, key: str) -> DataFrame:
         may = may | sign
     has = F.coalesce(F.when(may, F.regexp_like("text", F.lit(ANY))), F.lit(False))
     hit, clean = stages.put(df.where(has), "hit"), df.where(~has)
-    row = [F.col("doc_id").alias("hit_id"), F.xxhash64("text").alias("hit_key")]
+    key_of = F.md5(F.col("text").cast("binary"))  # 128 bits
+    row = [F.col("doc_id").alias("hit_id"), key_of.alias("hit_key")]
     found = hit.select(*row, F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("i", "mention")).distinct()
-    found = found.withColumn("type", _type(F.col("mention"))).where("type is not null")
+    found = found.withColumn("type", _type(F.col("mention")))
     pieces = found.select("hit_id", "hit_key", "i", "type", F.posexplode(parts(F.col("mention"), F.col("type"))).alias("j", "x")).select("hit_id", "hit_key", "i", "j", "type", "x.*")
     pieces = stages.put(pieces, "pieces")
     entities = stages.put(pieces.where("kind is not null").groupBy("kind", "norm").agg(F.min("form").alias("form")), "entities")
     named = surrogates(entities, stages, key).select(F.col("kind").alias("k"), F.col("norm").alias("n"), "surrogate")
     out = pieces.join(named, (F.col("kind") == F.col("k")) & (F.col("norm") == F.col("n")), "left")
-    text = F.when(F.col("kind").isNull(), F.col("piece")).otherwise(render(F.col("piece"), F.col("surrogate"), F.col("kind")))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "j", "type", text.alias("new"), "piece")))
-    per_row = stages.put(out.groupBy("hit_id", "hit_key").agg(ordered.alias("xs")), "rows")
+    text = F.when(F.col("kind").isNull(), F.col("piece")).otherwise(render(F.col("piece"), F.when(F.col("kind") == "phone", national(F.col("surrogate"))).otherwise(F.col("surrogate")), F.col("kind")))
+    # each mention's text, then each row's mentions by place, in one shuffle
+    out = out.select("hit_id", "hit_key", "i", "j", "type", text.alias("new")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "hit_id", "hit_key")
+    each = out.groupBy("hit_id", "hit_key", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "new"))), lambda x: x["new"]), "").alias("new"), F.first("type").alias("type"))
+    per_row = stages.put(each.groupBy("hit_id", "hit_key").agg(F.array_sort(F.collect_list(F.struct("i", "new", "type"))).alias("xs")), "rows")
     own, spans = free_name(hit, "own"), free_name(hit, "spans")
     gaps = F.split("text", ANY, -1)
     old = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    mine = lambda i: F.filter(F.col(own)["xs"], lambda x: x["i"] == i)
-    new = F.transform(old, lambda m, i: F.when(F.size(mine(i)) > 0, F.array_join(F.transform(mine(i), lambda x: x["new"]), "")).otherwise(m))
-    joined = hit.join(per_row.select(F.struct("hit_id", "hit_key", "xs").alias(own)), F.col("doc_id").eqNullSafe(F.col(own)["hit_id"]) & (F.xxhash64("text") == F.col(own)["hit_key"]), "left")
+    mine = lambda i: F.get(F.col(own)["xs"], i)
+    new = F.transform(old, lambda m, i: F.coalesce(mine(i)["new"], m))
+    joined = hit.join(per_row.select(F.struct("hit_id", "hit_key", "xs").alias(own)), F.col("doc_id").eqNullSafe(F.col(own)["hit_id"]) & (key_of == F.col(own)["hit_key"]), "left")
     # the patterns run again below: evenly dealt, however few partitions the join had
     joined = joined.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id"), F.xxhash64("text"))
     text = F.array_join(F.flatten(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, s: F.array(g, s))), "")
-    types = F.transform(old, lambda m, i: F.get(mine(i), F.lit(0))["type"])
+    types = F.transform(old, lambda m, i: mine(i)["type"])
     ends = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(old)).alias("g"), old.alias("m"), types.alias("t")), lambda x: F.struct((F.char_length(x["g"]) + F.char_length(x["m"])).alias("n"), F.char_length(x["m"]).alias("m"), x["t"].alias("t")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.when(x["t"].isNotNull(), F.array_append(a["out"], F.concat_ws(":", x["t"], (a["at"] + x["n"] - x["m"]).cast("string"), (a["at"] + x["n"]).cast("string")))).otherwise(a["out"]).alias("out"))

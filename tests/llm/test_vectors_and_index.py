@@ -171,3 +171,41 @@ def test_annulus_finds_the_nearest_with_ties():
         number, distance = annulus.Annulus(c).nearest(q)
         d = ((q[:, None, :] - np.array(c)[None]) ** 2).sum(axis=2)
         assert (distance == d.min(axis=1)).all() and (number == d.argmin(axis=1)).all()
+
+
+def test_surrogates_keep_what_their_type_needs(spark):
+    from tessera.llm import pii
+
+    def valid(iban):
+        iban = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606", "DE88370400440532013000"]
+    rows = [(k, f"x {v} y") for k, v in enumerate(ibans)]
+    phones = ["+49 30 1234567", "+49301234567", "+49 (30) 123-4567", "+1 301 234 567", "+4930 1234567", "+442079460958", "(301) 234-5678"]
+    rows += [(10 + k, f"call {v}.") for k, v in enumerate(phones)]
+    rows += [(20, "我们见到王小明先生和昨天李女士"), (21, "王小明先生"), (22, "欧阳娜女士"), (23, "就是王小明先生"), (30, "at 192.168.1.7"), (31, "at 10.2.3.4"), (32, "at 8.8.8.8"), (40, " ".join(f"a{i}@b{i % 9}.org" for i in range(3_000)))]
+    out = {r["doc_id"]: r["text"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    made = [out[k].removeprefix("x ").removesuffix(" y") for k in range(4)]
+    assert [valid(v) for v in made] == [True, True, True, False] and all(a[:2] == b[:2] and a != b and len(a) == len(b) for a, b in zip(made, ibans, strict=True))
+    numbers = [re.sub("[^0-9+]", "", out[10 + k]) for k in range(7)]
+    assert len({numbers[0], numbers[1], numbers[2], numbers[4]}) == 1 and numbers[0].startswith("+49") and numbers[3].startswith("+1") and numbers[5].startswith("+44")
+    assert numbers[0][3:] != numbers[3][2:] and len(numbers[5]) == 13 and out[12][5:9] == "+49 " and out[12][9] == "("
+    han = out[21].removesuffix("先生")
+    assert out[20].startswith(f"我们见到{han}先生和昨天") and out[20].endswith("女士") and out[23] == f"就是{han}先生" and "王小明" not in out[20] and "李女士" not in out[20]
+    assert "欧阳" not in out[22] and out[30].startswith("at 192.168.") and out[31].startswith("at 10.") and not re.match("at (10|127|172|192|169|100)[.]", out[32])
+    assert len(set(out[40].split())) == 3_000 and not set(out[40].split()) & set(rows[-1][1].split())
+
+
+def test_a_labelled_id_repeated_very_often_stays_one_row(spark):
+    from tessera.llm import linecrf
+
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('line ', id, if(id % 2 = 0, '\\nA good sentence of words.', '\\n### !!! ###')) as text")
+    many = docs.unionByName(spark.range(60_000).selectExpr("7L as doc_id", "concat('copy ', id % 5) as text"))
+    labels = spark.range(400).selectExpr("id as doc_id", "cast(1 - id % 2 as int) as quality")
+    from unittest import mock
+
+    seen = []
+    with mock.patch.object(linecrf.Chain, "fit", classmethod(lambda cls, x, n_lines, y: (seen.append(len(n_lines)), linecrf.Chain(np.zeros(x.shape[1]), np.zeros((2, 2))))[1])):
+        linecrf.train(many, labels)
+    assert seen[0] <= 400
