@@ -50,7 +50,7 @@ TWO_SIGNS = "欧阳|司马|上官|诸葛|司徒|东方|独孤|南宫|夏侯|皇
 ONE_SIGN = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚"
 CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
 #: A known family name and up to two signs; without one in reach, up to four signs. What stands before a family name is not part of the name.
-HAN = rf"(?:(?:{TWO_SIGNS}|[{ONE_SIGN}])\p{{IsHan}}{{0,2}}?|[\p{{IsHan}}&&[^{ONE_SIGN}]]{{2,4}}?)(?:先生|女士)"
+HAN = rf"(?=\p{{IsHan}})(?:(?:{TWO_SIGNS}|[{ONE_SIGN}])\p{{IsHan}}{{0,2}}?|[\p{{IsHan}}&&[^{ONE_SIGN}]]{{2,4}}?)(?:先生|女士)"
 TYPES = {"email": EMAIL, "iban": IBAN, "card": CARD, "ssn": SSN, "phone": PHONE, "ip": IP, "name": NAME, "han": HAN}
 ANY = "|".join(TYPES.values())
 
