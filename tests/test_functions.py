@@ -66,10 +66,15 @@ def test_relation_bonus_and_barrels(spark):
 
 @settings(max_examples=25, deadline=None)
 @given(st.text(alphabet="找订单组件 abAB_-19", max_size=20))
-def test_query_terms_agree_with_the_driver(spark, text):
-    plan = retrieval.parse_query(text)
-    row = spark.createDataFrame([(text,)], "q string").select(retrieval.query_plan(F.col("q")).alias("p")).first()["p"]
-    assert list(row["terms"]) == plan["terms"] and list(row["concepts"]) == plan["concepts"] and list(row["symbol_kinds"]) == plan["symbol_kinds"]
+def test_query_terms_of_any_question(spark, text):
+    runs = "".join(c if "一" <= c <= "龥" else " " for c in text).split()
+    pairs = [r[i : i + 2] for r in runs for i in range(max(1, len(r) - 1))]
+    code = "".join(c if c in "abAB_-19" else " " for c in text).lower().split()
+    words = [w for w in (x.lstrip("_-19") for x in code) if len(w) > 1] + pairs
+    want = [w for w in dict.fromkeys(words) if w and len(w) <= retrieval.LONGEST_TERM and w not in retrieval.STOP_WORDS]
+    plan = retrieval.parse_query(spark, text)
+    near = [v for k, vs in retrieval.CONCEPTS.items() if k in text for v in vs]
+    assert plan["terms"] == want and plan["concepts"] == list(dict.fromkeys(near + want)) and (plan["symbol_kinds"] == ["component"]) == ("组件" in text)
 
 
 @settings(max_examples=20, deadline=None)
