@@ -2,7 +2,7 @@
 
 One pass over the text keeps a stack of modes (code in braces, template strings, markup tags and markup children), so strings,
 comments, regular expressions and nested templates never look like code. Markup is recognised only where an expression can
-start. Known gaps: code that doesn't parse, and declarations inside namespaces (they aren't top-level).
+start. Within brackets, whose tokens no declaration needs, one pattern takes all tokens up to the next bracket at once. Known gaps: code that doesn't parse, and declarations inside namespaces (they aren't top-level).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 
 class Token(NamedTuple):
-    kind: str  # id, num, str, template, regex, punct, open (markup tag), self (closed markup tag)
+    kind: str  # id, num, str, template, regex, punct, end
     text: str
     start: int
     end: int
@@ -43,168 +43,229 @@ class Module:
     tags: list[tuple[str, int]] = field(default_factory=list)  # markup tag, offset: opening ones, then self-closing ones
 
 
-_WORD = re.compile(r"[A-Za-z_$\u0080-\U0010ffff][\w$\u0080-\U0010ffff]*|#[A-Za-z_$][\w$]*")
-_NUMBER = re.compile(r"\d[\w.]*|\.\d[\w.]*")
-_PUNCT = re.compile(r">>>=|\.\.\.|=>|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|\?\.(?!\d)|&&|\|\||\?\?|==|!=|<=|>=|\+\+|--|\+=|-=|\*=|/=|%=|\*\*|<<|[{}()\[\];,<>+\-*/%&|^!~?:=.@#]")
+_SKIP = r"\s*+(?>(?>//[^\n]*+|/\*(?>(?s:.*?)\*/|(?s:.*))|\ufeff)\s*+)*+"  # blanks and comments
+_WORD = r"[A-Za-z_$\u0080-\U0010ffff][\w$\u0080-\U0010ffff]*+|#[A-Za-z_$][\w$]*+"
+_NUMBER = r"\d[\w.]*+|\.\d[\w.]*+"
+_DOUBLE, _SINGLE = (rf"{q}((?>[^{q}\\\n]|\\(?s:.)?)*+)[{q}\n]?" for q in "\"'")
+_SIGNS = ";,>+*%&|^!~?:=.@#-"
+_OPERATOR = rf"[;,:](?![>=])|\.(?!\.\.)|\.\.\.|=(?:>|==?)?|>>>=|>>=|>=|!==?|[*]{{2}}=?|&&=?|[|]{{2}}=?|\?\?=?|\?\.(?!\d)|\+\+|--|[+*%-]=|[{_SIGNS}]"
+_LESS = r"<<=|<=|<<|<"
+_WORDS, _NUMBERS, _DOUBLES, _SINGLES, _OPERATORS, _OPEN, _CLOSE, _TICK, _SLASH, _LESSES = range(1, 11)
+_ONE = re.compile(rf"{_SKIP}(?:({_WORD})|({_NUMBER})|{_DOUBLE}|{_SINGLE}|({_OPERATOR})|([({{\[])|([)}}\]])|(`)|(/=?)|({_LESS})|(?s:.))")
+_QUOTED = "|".join(rf"{q}(?>[^{q}\\\n]|\\(?s:.)?)*+[{q}\n]?" for q in "\"'")
+
+
+def _run(stops: str) -> re.Pattern:
+    """Whatever starts no comment, regular expression, template or markup, with whole brackets of up to two levels in it. A
+    bracket that may be an import's isn't taken."""
+    plain = rf"[^\"'`/()\[\]{{}}{stops}]++|{_QUOTED}"
+    opening = r"(?:[\[{]|(?<!import)(?<!import\s)(?<!\s\s)\()"
+    inner = rf"{opening}(?>{plain})*+[)\]}}]"
+    return re.compile(rf"(?>{plain}|{opening}(?>{plain}|{inner})*+[)\]}}])*+")
+
+
+_RUN, _RUN_MARKUP = _run(""), _run("<")
+_LAST_WORD = re.compile(r"[\w$\u0080-\U0010ffff]+\Z")
+_IMPORT_LAST = re.compile(r"(?:^|[^\w$.]|\.\.\.)import\Z")
+_COMMENT = re.compile(r"//[^\n]*+|/\*(?>(?s:.*?)\*/|(?s:.*))")
+_CALLED = re.compile(rf"{_SKIP}\({_SKIP}(?:{_DOUBLE}|{_SINGLE})")
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
 _TAG = re.compile(r"<\s*([A-Za-z_$][\w$]*(?:[.:-][A-Za-z_$][\w$-]*)*)")
+_TYPE_ARGUMENTS = re.compile(r"\s*(,|extends\s|=[^=>]{0,60}>\s*\()")
+_IN_TEMPLATE = re.compile(r"(?>[^\\`$]|\\(?s:.)?|\$(?!\{))*+")
+_IN_CHILDREN, _IN_TAG = re.compile(r"[^{<]*+"), re.compile(r"(?>[^\"'{/><]|/(?!>))*+")
 _VALUE_WORDS = frozenset("return case default typeof instanceof in of new delete void throw await yield do else extends".split())
-_OPENS, _CLOSES = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
+_OPENS = frozenset("([{")
 
 
-def tokenize(text: str, markup: bool) -> list[Token]:
-    out: list[Token] = []
-    modes: list[list] = [["code", 0]]  # what, and for code the number of open braces
-    i, n, depth = 0, len(text), 0
+class Tokens(list):
+    """The tokens outside all brackets, and those in the lists of names of imports and exports. What stands in other
+    brackets is only read for its extent, its markup tags and its dynamic imports."""
+
+    def __init__(self):
+        super().__init__()
+        self.closing: dict[int, int] = {}  # place of an opening bracket: place of the one that closes it
+        self.opened: list[tuple[str, int]] = []  # markup tags
+        self.closed: list[tuple[str, int]] = []  # those that close themselves
+        self.dynamic: list[tuple[str, int]] = []
+
+
+def _ending(passed: str) -> tuple[bool, str]:
+    """(whether an operand has ended, the last word or sign) after a text that doesn't end in a blank."""
+    c = passed[-1]
+    if c in ")]\"'`":
+        return True, ""
+    if word := _LAST_WORD.search(passed[-11:]):  # as long as the longest of the words that matter, and one more
+        return word[0] not in _VALUE_WORDS, word[0]
+    return passed.endswith(("++", "--")) or (c == "." and passed[-2:-1].isdigit()), c
 
-    def expression() -> bool:
-        """Whether an operand can start here."""
-        if not out:
-            return True
-        last = out[-1]
-        if last.kind == "punct":
-            return last.text not in (")", "]", "}", "++", "--") or last.text == "}"
-        return last.kind == "id" and last.text in _VALUE_WORDS
 
-    def emit(kind: str, start: int, end: int, value: str | None = None) -> None:
-        out.append(Token(kind, text[start:end] if value is None else value, start, end, depth))
+def tokenize(text: str, markup: bool) -> Tokens:
+    out = Tokens()
+    modes: list[list] = [["code", 0]]  # what, and for code the number of open braces
+    brackets: list[int] = []  # places of the open ones, -1 if not kept
+    run = _RUN_MARKUP if markup else _RUN
+    n = len(text)
+    i = max(text.find("\n"), 0) or n if text.startswith("#!") else 0
+    kept = True  # whether tokens are kept here
+    operand, last = False, ""  # whether an operand has just ended; the last word or sign
+
+    def emit(kind: str, start: int, end: int, value: str) -> None:
+        if kept:
+            out.append(Token(kind, value, start, end, len(brackets)))
+
+    def opens(p: str, at: int) -> None:
+        nonlocal kept, operand, last
+        brackets.append(len(out) if kept else -1)
+        if kept:
+            out.append(Token("punct", p, at, at + 1, len(brackets) - 1))
+            kept = p == "{" and (len(brackets) > 1 or last in ("import", "export", "type", ","))
+        operand, last = False, p
+
+    def closes(p: str, at: int) -> None:
+        nonlocal kept, operand, last
+        place = brackets.pop() if brackets else -1
+        kept = kept or place >= 0 or not brackets
+        if place >= 0:
+            out.closing[place] = len(out)
+        emit("punct", at, at + 1, p)
+        operand, last = p != "}", p
+
+    def markup_ends(at: int) -> None:
+        nonlocal operand, last
+        if modes[-1][0] == "code":
+            emit("num", at - 1, at, ")")
+            operand, last = True, ""
 
     while i < n:
         mode = modes[-1]
-        c = text[i]
-        if mode[0] == "template":
-            if c == "\\":
-                i += 2
-            elif c == "`":
+        if mode[0] == "code":
+            if not kept:
+                at = run.match(text, i).end()
+                c = text[at : at + 1]
+                if c in ("/", "<", "("):
+                    passed = text[i:at].rstrip()
+                    if c == "(" and (_IMPORT_LAST.search(passed[-9:]) if passed else last == "import") and (called := _CALLED.match(text, at)):
+                        out.dynamic.append((called[called.lastindex], text.rindex("import", 0, at)))
+                    if passed:
+                        operand, last = _ending(passed)
+                    if comment := _COMMENT.match(text, at):
+                        i = comment.end()
+                        continue
+                i = at
+            m = _ONE.match(text, i)
+            if m is None:
+                break
+            i, k = m.end(), m.lastindex
+            if k is None:
+                continue
+            start, value = m.start(k), m[k]
+            if k == _WORDS:
+                if value == "import" and last != "." and (called := _CALLED.match(text, i)):
+                    out.dynamic.append((called[called.lastindex], start))
+                emit("id", start, i, value)
+                operand, last = value not in _VALUE_WORDS, value
+            elif k == _OPERATORS:
+                emit("punct", start, i, value)
+                operand, last = value in ("++", "--"), value
+            elif k == _OPEN:
+                mode[1] += value == "{"
+                opens(value, start)
+            elif k == _CLOSE:
+                if value == "}" and mode[1] == 0 and len(mode) > 2:
+                    modes.pop()
+                elif value == "}":
+                    mode[1] = max(0, mode[1] - 1)
+                closes(value, start)
+            elif k == _TICK:
+                modes.append(["template", start])
+            elif k == _SLASH and not operand and (m := _REGEX.match(text, start)):
+                i = m.end()
+                emit("regex", start, i, m[0])
+                operand, last = True, ""
+            elif k == _LESSES and markup and not operand and text.startswith("<>", start):
+                modes.append(["children"])
+                i = start + 2
+            elif k == _LESSES and markup and not operand and (m := _TAG.match(text, start)) and not _TYPE_ARGUMENTS.match(text, m.end(), m.end() + 60):
+                modes.append(["tag", m[1], start])
+                i = m.end()
+            elif k in (_SLASH, _LESSES):
+                emit("punct", start, i, value)
+                operand, last = False, value
+            else:
+                quoted = k != _NUMBERS
+                emit("str" if quoted else "num", start - quoted, i, value)
+                operand, last = True, ""
+        elif mode[0] == "template":
+            i = _IN_TEMPLATE.match(text, i).end()
+            if text.startswith("`", i):
                 modes.pop()
-                emit("template", mode[1], i + 1)
+                emit("template", mode[1], i + 1, text[mode[1] : i + 1] if kept else "")
+                operand, last = True, ""
                 i += 1
-            elif text.startswith("${", i):
+            elif i < n:
                 modes.append(["code", 0, "template"])
-                depth += 1
-                emit("punct", i + 1, i + 2, "{")
+                opens("{", i + 1)
                 i += 2
-            else:
-                i += 1
-            continue
-        if mode[0] == "children":
-            if c == "{":
+        elif mode[0] == "children":
+            i = _IN_CHILDREN.match(text, i).end()
+            if text.startswith("{", i):
                 modes.append(["code", 0, "markup"])
-                depth += 1
-                emit("punct", i, i + 1)
+                opens("{", i)
                 i += 1
             elif text.startswith("</", i):
                 end = text.find(">", i)
                 i = n if end < 0 else end + 1
                 modes.pop()
-                if modes[-1][0] == "code":
-                    emit("num", i - 1, i, ")")  # an operand has ended
-            elif c == "<" and (m := _TAG.match(text, i)):
-                modes.append(["tag", m[1], i, len(out)])
+                markup_ends(i)
+            elif m := _TAG.match(text, i):
+                modes.append(["tag", m[1], i])
                 i = m.end()
             elif text.startswith("<>", i):
                 modes.append(["children"])
                 i += 2
             else:
                 i += 1
-            continue
-        if mode[0] == "tag":
-            if c in "\"'":
+        else:
+            i = _IN_TAG.match(text, i).end()
+            c = text[i : i + 1]
+            if c in ('"', "'"):
                 end = text.find(c, i + 1)
                 i = n if end < 0 else end + 1
             elif c == "{":
                 modes.append(["code", 0, "markup"])
-                depth += 1
-                emit("punct", i, i + 1)
+                opens("{", i)
                 i += 1
-            elif text.startswith("/>", i):
+            elif c == "/":
                 modes.pop()
-                out.insert(mode[3], Token("self", mode[1], mode[2], i + 2, depth))
+                out.closed.append((mode[1], mode[2]))
                 i += 2
-                if modes[-1][0] == "code":
-                    emit("num", i - 1, i, ")")
+                markup_ends(i)
             elif c == ">":
-                out.insert(mode[3], Token("open", mode[1], mode[2], i + 1, depth))
+                out.opened.append((mode[1], mode[2]))
                 mode[:] = ["children"]
                 i += 1
-            elif c == "<" and mode[1]:  # type arguments of a tag
+            elif c == "<":  # type arguments of a tag
                 level = 0
                 while i < n:
                     level += {"<": 1, ">": -1}.get(text[i], 0)
                     i += 1
                     if not level:
                         break
-            else:
-                i += 1
-            continue
-        if c.isspace() or c == "\ufeff":
-            i += 1
-        elif text.startswith("//", i) or (i == 0 and text.startswith("#!")):
-            end = text.find("\n", i)
-            i = n if end < 0 else end
-        elif text.startswith("/*", i):
-            end = text.find("*/", i + 2)
-            i = n if end < 0 else end + 2
-        elif c in "\"'":
-            j = i + 1
-            while j < n and text[j] != c and text[j] != "\n":
-                j += 2 if text[j] == "\\" else 1
-            emit("str", i, j + 1, text[i + 1 : j])
-            i = j + 1
-        elif c == "`":
-            modes.append(["template", i])
-            i += 1
-        elif m := _WORD.match(text, i):
-            emit("id", i, m.end())
-            i = m.end()
-        elif m := _NUMBER.match(text, i):
-            emit("num", i, m.end())
-            i = m.end()
-        elif c == "/" and expression() and (m := _REGEX.match(text, i)):
-            emit("regex", i, m.end())
-            i = m.end()
-        elif markup and c == "<" and expression() and text.startswith("<>", i):
-            modes.append(["children"])
-            i += 2
-        elif markup and c == "<" and expression() and (m := _TAG.match(text, i)) and not re.match(r"\s*(,|extends\s|=[^=>]*>\s*\()", text[m.end() : m.end() + 60]):
-            modes.append(["tag", m[1], i, len(out)])
-            i = m.end()
-        elif m := _PUNCT.match(text, i):
-            p = m[0]
-            if p in _OPENS:
-                emit("punct", i, m.end())
-                depth += 1
-                if p == "{":
-                    mode[1] += 1
-            elif p in _CLOSES:
-                if p == "}" and mode[1] == 0 and len(mode) > 2:
-                    modes.pop()
-                    depth = max(0, depth - 1)
-                    emit("punct", i, m.end())
-                    i = m.end()
-                    continue
-                depth = max(0, depth - 1)
-                if p == "}":
-                    mode[1] = max(0, mode[1] - 1)
-                emit("punct", i, m.end())
-            else:
-                emit("punct", i, m.end())
-            i = m.end()
-        else:
-            i += 1
+    if brackets:  # unclosed ones reach to the end
+        end = len(text.rstrip())
+        out.append(Token("end", "", end, end, len(brackets)))
+    for tags in (out.opened, out.closed):
+        tags.sort(key=lambda tag: tag[1])
     return out
 
 
-def _close(ts: list[Token], i: int) -> int:
+def _close(ts: Tokens, i: int) -> int:
     """The place of the bracket that closes the one at i, or the last place."""
-    level = ts[i].depth
-    for j in range(i + 1, len(ts)):
-        if ts[j].kind == "punct" and ts[j].text in _CLOSES and ts[j].depth == level:
-            return j
-    return len(ts) - 1
+    return ts.closing.get(i, len(ts) - 1)
 
 
-def _angle(ts: list[Token], i: int) -> int:
+def _angle(ts: Tokens, i: int) -> int:
     """After the type arguments that start at i, if any do."""
     if i < len(ts) and ts[i].text == "<":
         level = 0
@@ -216,7 +277,7 @@ def _angle(ts: list[Token], i: int) -> int:
     return i
 
 
-def _body_end(ts: list[Token], i: int) -> int:
+def _body_end(ts: Tokens, i: int) -> int:
     """From a function's first parenthesis on: the place of its last token, with a body or without."""
     i = _close(ts, i) + 1
     if i < len(ts) and ts[i].text == ":":
@@ -232,7 +293,7 @@ def _body_end(ts: list[Token], i: int) -> int:
     return i if i < len(ts) and ts[i].text == ";" else i - 1
 
 
-def _initializer(text: str, ts: list[Token], a: int, b: int) -> tuple[str, str]:
+def _initializer(text: str, ts: Tokens, a: int, b: int) -> tuple[str, str]:
     """(init kind, callee) of the tokens a..b."""
     if a > b:
         return "none", ""
@@ -268,7 +329,7 @@ def _initializer(text: str, ts: list[Token], a: int, b: int) -> tuple[str, str]:
     return "call", text[ts[a].start : ts[opening].start]
 
 
-def _statement_end(ts: list[Token], i: int) -> int:
+def _statement_end(ts: Tokens, i: int) -> int:
     """The place of the last token of the statement that holds i: before a semicolon, or where a new statement must start."""
     starts = {"async", "const", "let", "var", "function", "class", "interface", "export", "import", "if", "for", "while", "return", "enum", "declare", "namespace", "abstract", "type"}
     base = ts[i].depth
@@ -283,7 +344,7 @@ def _statement_end(ts: list[Token], i: int) -> int:
     return len(ts) - 1
 
 
-def _import_names(ts: list[Token], i: int, end: int, spec: str, module: Module) -> None:
+def _import_names(ts: Tokens, i: int, end: int, spec: str, module: Module) -> None:
     """Local names of the clause between import and from."""
     while i < end:
         t = ts[i]
@@ -299,7 +360,7 @@ def _import_names(ts: list[Token], i: int, end: int, spec: str, module: Module)
                 else:
                     part.append(x.text)
             i = close + 1
-        elif t.text == "*":
+        elif t.text == "*" and i + 2 < end:
             module.names.append((ts[i + 2].text, spec))
             i += 3
         elif t.kind == "id" and t.text != "from" and not (t.text == "type" and i + 1 < end and ts[i + 1].text not in (",", "from")):
@@ -311,15 +372,8 @@ def _import_names(ts: list[Token], i: int, end: int, spec: str, module: Module)
 
 def scan(text: str, markup: bool) -> Module:
     """Declarations, imports and tags of one source."""
-    every = tokenize(text, markup)
-    module = Module()
-    opening = [(t.text, t.start) for t in every if t.kind == "open"]
-    closed = [(t.text, t.start) for t in every if t.kind == "self"]
-    module.tags = opening + closed
-    ts = [t for t in every if t.kind not in ("open", "self")]
-    for i, t in enumerate(ts[:-2]):
-        if t.kind == "id" and t.text == "import" and ts[i + 1].text == "(" and ts[i + 2].kind == "str" and (i == 0 or ts[i - 1].text != "."):
-            module.dynamic.append((ts[i + 2].text, t.start))
+    ts = tokenize(text, markup)
+    module = Module(dynamic=ts.dynamic, tags=ts.opened + ts.closed)
     found: dict[str, list[Symbol]] = {k: [] for k in ("function", "class", "interface", "type", "variable")}
     listed: set[str] = set()
 
@@ -391,7 +445,7 @@ def scan(text: str, markup: bool) -> Module:
             end = _statement_end(ts, i + 2)
             add("type", nxt.text, exported, first, end)
             i = end + 1
-        elif t.text in ("const", "let", "var") and nxt.text != "enum":
+        elif t.text in ("const", "let", "var") and nxt.text != "enum" and i + 1 < len(ts):
             end = _statement_end(ts, i + 1)
             j = i + 1
             while j <= end:
@@ -404,11 +458,14 @@ def scan(text: str, markup: bool) -> Module:
                     name = ts[j].text
                     j += 1
                 while j <= end and ts[j].text not in ("=", ","):
-                    j = _angle(ts, j) if ts[j].text == "<" else _close(ts, j) + 1 if ts[j].kind == "punct" and ts[j].text in _OPENS else j + 1
+                    j = max(_angle(ts, j), j + 1) if ts[j].text == "<" else _close(ts, j) + 1 if ts[j].kind == "punct" and ts[j].text in _OPENS else j + 1
                 b = j
                 if j <= end and ts[j].text == "=":
                     b = j + 1
                     while b <= end and not (ts[b].text == "," and ts[b].kind == "punct"):
+                        after = _angle(ts, b) if ts[b].kind == "punct" else b
+                        if b < after <= end and ts[after].text == "(":  # type arguments of a call or an arrow function
+                            b = after
                         b = _close(ts, b) + 1 if ts[b].kind == "punct" and ts[b].text in _OPENS else b + 1
                 init, callee = _initializer(text, ts, j + 1, b - 1) if j <= end and ts[j].text == "=" else ("none", "")
                 add("variable", name, exported, a, b - 1, init=init, callee=callee)
