@@ -16,8 +16,9 @@ document next to its successor. Ranges of ids, cut so that they hold like number
 windows run in it without another one.
 
 Defined cases: null text: as empty; empty text: the fingerprint of no words; one document is its own successor; a null
-doc_id comes after all others; rows with one id stand in the order of their texts' hashes; equal texts have equal
-fingerprints; an empty table gives no rows; extra columns are ignored.
+doc_id comes after all others; rows with one id stand in the order of their texts' hashes; of more than ``EQUAL`` rows with one
+id and text the last is worked out among its neighbours, and the others, which are each their own successor, once per
+``PER_ENTRY`` of them, wherever a task is free; equal texts have equal fingerprints; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ MIN_IDF, MAX_IDF, LEAST_DOCS = 3.0, 12.0, 2
 LEVELS = ((20, 0, 16), (17, 1 << 22, 12), (14, 2 << 22, 12), (11, 3 << 22, 12))
 LEAST = 3
 DOCS_PER_RANGE, LEAST_RANGES, MOST_RANGES, PER_BOUND = 500, 64, 100_000, 20
+EQUAL, PER_ENTRY = 16, 10_000
 
 
 def slots(text: Column) -> Column:
@@ -104,27 +106,39 @@ def neighbours(docs: DataFrame, stages: Stages) -> tuple[DataFrame, int]:
     """(every document with its range (part), its place there and the text of its successor in descending order of
     ids, the last one's successor being the first; the number of documents). Guests, the first of the next range, stand at the end of each
     range. Ranges hold like numbers of documents, whatever the ids: they are cut by (id, hash of the text), so rows of one id, or
-    without an id, are spread as well."""
+    without an id, are spread as well. Equal rows beyond ``EQUAL`` are two kinds of row: the last, and the others with their number
+    (copies) and a part below 0."""
     key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"))
-    keys = stages.put(docs.select(key.alias("key")), "keys")
-    n_docs = keys.count()
+    keyed = docs.withColumn("key", key)
+    keys = stages.put(keyed.groupBy("key").count(), "keys")
+    n_docs = keys.agg(F.sum("count")).first()[0] or 0
+    equal = stages.put(keys.where(F.col("count") > EQUAL), "equal")
     ranges = min(MOST_RANGES, max(LEAST_RANGES, n_docs // DOCS_PER_RANGE))
     every = max(1, n_docs // (ranges * PER_BOUND))
     # what is drawn here decides only where ranges begin, about PER_BOUND keys to a range
     drawn = keys.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).agg(F.array_sort(F.collect_list("key")).alias("xs"))
     gap = F.greatest(F.lit(1), F.floor(F.size("xs") / ranges).cast("int"))
     bounds = stages.put(drawn.select(F.array_distinct(F.filter("xs", lambda x, i: (i > 0) & (i % gap == 0))).alias("bounds")), "bounds")
-    with_part = lambda df: df.withColumn("bounds", bounds.scalar()).withColumn("part", range_of(F.col("key"), F.col("bounds"))).drop("bounds")
+    with_part = lambda df: df.withColumn("bounds", bounds.scalar()).withColumn("part", range_of(F.col("key"), F.col("bounds")).cast("long")).drop("bounds")
     heads = with_part(keys).groupBy("part").agg(F.max("key").alias("first"))
     order = Window.orderBy(F.desc("part"))
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # at most MOST_RANGES rows, of three numbers each
     heads = stages.put(heads.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(everything)).alias("head")).select(F.col("part").alias("to"), "head"), "heads")
-    rows = with_part(docs.withColumn("key", key))
-    guests = docs.withColumn("key", key).join(F.broadcast(heads), F.col("key") == F.col("head")).select("doc_id", "text", "key", F.col("to").alias("part"), F.lit(True).alias("guest"))
+    wanted = heads.select(F.col("head").alias("key")).union(equal.select("key")).distinct()
+    # one row of each key, the copies of a key being put together before they move
+    picked = stages.put(keyed.join(wanted, "key").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")), "picked")
+    rows = with_part(keyed.join(equal.select("key"), "key", "left_anti").select("doc_id", "text", "key"))
+    many = equal.join(picked, "key")
+    last = with_part(many.select("doc_id", "text", "key"))
+    entries = many.withColumn("entry", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 2) / PER_ENTRY))))
+    copies = F.least(F.lit(PER_ENTRY), F.col("count") - 1 - F.col("entry") * PER_ENTRY).cast("int")
+    others = entries.select("doc_id", "text", "key", (-1 - F.pmod(F.xxhash64("key", "entry"), F.lit(1 << 62))).alias("part"), copies.alias("copies"))
+    guests = heads.join(picked, F.col("key") == F.col("head")).select("doc_id", "text", "key", F.col("to").alias("part"))
+    both = [df.withColumns({"guest": F.lit(df is guests), **({} if df is others else {"copies": F.lit(1)})}) for df in (rows, last, others, guests)]
+    both = both[0].unionByName(both[1]).unionByName(both[2]).unionByName(both[3])
     w = Window.partitionBy("part").orderBy("guest", F.desc("key"))
-    both = rows.withColumn("guest", F.lit(False)).unionByName(guests)
-    return both.withColumns({"place": F.row_number().over(w), "next_text": F.lead("text").over(w)}), n_docs
+    return both.withColumns({"place": F.row_number().over(w), "next_text": F.when(F.col("part") >= 0, F.lead("text").over(w))}), n_docs
 
 
 def fingerprints(df: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> DataFrame:
@@ -138,8 +152,8 @@ def fingerprints(df: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_I
     cut = F.floor(n / 3).cast("int")
     edited = F.when(F.col("guest"), F.lit("")).otherwise(F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.substring(F.coalesce("next_text", "text"), F.lit(1), cut)))
     plain = lambda c: F.xxhash64(F.array_join(F.filter(F.split(F.lower(c), f"[{SPACE}]+"), lambda w: w != ""), " "))
-    rows = rows.select("part", "place", "guest", "doc_id", "text", edited.alias("edited"))
-    key = ["part", "place", "guest", "doc_id", n.alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), plain(F.col("text")).alias("plain"), plain(F.col("edited")).alias("edited_plain")]
+    rows = rows.select("part", "place", "guest", "copies", "doc_id", "text", edited.alias("edited"))
+    key = ["part", "place", "guest", "copies", "doc_id", n.alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), plain(F.col("text")).alias("plain"), plain(F.col("edited")).alias("edited_plain")]
     rows = rows.select(*key, slots(F.col("text")).alias("a"), slots(F.col("edited")).alias("b"))
     # lambdas may hold no subquery, so the bitmap is a column here; as all are named once, Spark makes it one projection with
     # that above, the subquery in the column's place, and no row carries it
@@ -148,10 +162,13 @@ def fingerprints(df: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_I
     out = rows.select("*", F.array(*hashes(F.col("terms")[0])).alias("a"), F.array(*hashes(F.col("terms")[1])).alias("b")).drop("terms")
     out = out.withColumns({"fingerprint": written(F.col("a"), F.col("plain")), "edited_fingerprint": written(F.col("b"), F.col("edited_plain"))})
     w = Window.partitionBy("part").orderBy("place")
-    out = out.withColumns({"next_a": F.lead("a").over(w), "next_fingerprint": F.lead("fingerprint").over(w)})
+    own = F.col("part") < 0  # equal rows, each its own successor
+    out = out.withColumns({"next_a": F.when(~own, F.lead("a").over(w)), "next_fingerprint": F.when(~own, F.lead("fingerprint").over(w))})
     near = likeness(F.col("a"), F.col("b"), F.col("fingerprint"), F.col("edited_fingerprint"))
     near_next = likeness(F.col("a"), F.coalesce("next_a", "a"), F.col("fingerprint"), F.coalesce("next_fingerprint", "fingerprint"))
-    return out.where(~F.col("guest")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near.alias("near_edited"), near_next.alias("near_next"))
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near.alias("near_edited"), near_next.alias("near_next")]
+    out = out.where(~F.col("guest")).select(*columns, "copies")
+    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copies", "copy")
 
 
 def in_lexicon(terms: list[Column], bitmap: Column) -> Column:

@@ -254,6 +254,33 @@ def test_ranges_hold_like_numbers_of_documents(spark):
     assert len(order) == n and [i for i in order if i is not None] == sorted((i for i in ids if i is not None), reverse=True) and order[-1000:] == [None] * 1000
 
 
+def test_fingerprints_of_many_equal_rows(spark):
+    same = "one text " * 9
+    few = [(k, f"text {k} of its own, with words {k * 7} {k * 11}") for k in range(40)]
+    many = spark.range(100_000).selectExpr("cast(null as long) doc_id", f"'{same}' text")
+    seven = spark.range(50).selectExpr("7L doc_id", f"'{same}' text")
+    df = many.unionByName(seven).unionByName(spark.createDataFrame([*few, (None, "")], "doc_id long, text string"))
+    out = imatch.fingerprints(df).collect()
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out)
+    rows = [(d, t) for d, t in few if d != 7]
+    by_hash = lambda x: spark.createDataFrame([(x,)], "text string").selectExpr("xxhash64(text) h").first()["h"]
+    of_seven = sorted([*[(by_hash(same), same)] * 50, (by_hash(few[7][1]), few[7][1])], reverse=True)
+    of_none = sorted([*[(by_hash(same), same)] * 3, (by_hash(""), "")], reverse=True)  # the copies between the first and the last are alike
+    rows = sorted([(d, 0, t) for d, t in rows] + [(7, h, t) for h, t in of_seven], reverse=True) + [(None, h, t) for h, t in of_none]
+    want = Counter()
+    for k, (d, _, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][2]
+        cut = len(t) // 3
+        sha = hashlib.sha256((t[: len(t) - cut] + nxt[:cut]).encode()).hexdigest()
+        want[d, len(t), sha] += 1
+        if d is None and t == nxt == same and want[d, len(t), sha] == 2:
+            want[d, len(t), sha] += 100_000 - 3
+    assert imatch.EQUAL < 50 and sum(got.values()) == 100_091 and got == want
+    alike = hashlib.sha256((same[:54] + same[:27]).encode()).hexdigest()
+    assert sum(r["edited_sha256"] == alike and r["near_next"] == 1.0 for r in out) == 99_999 + 49
+    assert len({r["fingerprint"] for r in out if r["n_chars"] == len(same)}) == 1
+
+
 def test_every_band_term_is_in_a_subset(spark):
     import xxhash
 
