@@ -17,7 +17,11 @@ Every byte covered by a string of ``length`` bytes that also starts anywhere els
 
 Positions of repeated windows come back to all occurrences of a context, become spans of the document and are cut out.
 
-Defined cases: a null text is empty; texts shorter than ``length`` stay; rows with one id are documents of their own, so
+Beside that, passages of ``WORDS`` words are counted that another row holds too, to the byte: they may be shorter than ``length``, are
+told and not removed. They have anchors (least hash of ``WORD_GRAM`` words) and contexts as above, which travel with the others, and
+the contexts whose anchor has several are decided by the hashes of their windows (128 bits), as in 3.
+
+Defined cases: rows of one id and text count as one row in n_shared, and only there; a null text is empty; texts shorter than ``length`` stay; rows with one id are documents of their own, so
 equal rows repeat each other; a null doc_id is allowed; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -35,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import Stages
 
 LENGTH, GRAM = 400, 48
+WORDS, WORD_GRAM = 50, 12
 BLOCK, SHARD = 2_000_000, 400_000
 SEED = 9
 _M64 = (1 << 64) - 1
@@ -52,14 +57,24 @@ class Grams:
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
-    def __call__(self, text: np.ndarray, k: int) -> np.ndarray:
+    def sums(self, text: np.ndarray) -> np.ndarray:
         n = len(text)
         if len(self.up) < n:
             size = max(n, 2 * len(self.up), 1 << 14)
             self.up = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, self.base, np.uint64))))
             self.down = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, self.inverse, np.uint64))))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.values[text] * self.up[:n], dtype=np.uint64)))
-        h = (sums[k:] - sums[:-k]) * self.down[: n - k + 1]
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.values[text] * self.up[:n], dtype=np.uint64)))
+
+    def __call__(self, text: np.ndarray, k: int) -> np.ndarray:
+        sums = self.sums(text)
+        return self._mixed((sums[k:] - sums[:-k]) * self.down[: len(text) - k + 1])
+
+    def between(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the strings from each start to its end."""
+        return self._mixed((sums[end] - sums[start]) * self.down[start])
+
+    @staticmethod
+    def _mixed(h: np.ndarray) -> np.ndarray:
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return h ^ (h >> np.uint64(32))
 
@@ -85,6 +100,26 @@ def anchors(text: bytes, grams: Grams, length: int = LENGTH, gram: int = GRAM) -
     return least[first].view(np.int64), first, last, several
 
 
+def word_bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end."""
+    edge = np.diff(np.concatenate(([0], ((text != 32) & ((text < 9) | (text > 13))).astype(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def word_anchors(own: bytes, one: Grams, two: Grams, words: int = WORDS, gram: int = WORD_GRAM) -> tuple[np.ndarray, ...]:
+    """(anchor value, hash of the context, its first byte, its end, number of windows) of each run of windows of so many words with one anchor value."""
+    text = np.frombuffer(own, np.uint8)
+    start, end = word_bounds(text)
+    n = len(start) - words + 1
+    if n < 1:
+        return tuple(np.empty(0, np.int64) for _ in range(5))
+    least = window_minima(one.between(one.sums(text), start[: len(start) - gram + 1], end[gram - 1 :]), words - gram + 1)
+    cut = np.flatnonzero(least[1:] != least[:-1]) + 1
+    first, last = np.concatenate(([0], cut)), np.concatenate((cut, [n])) - 1
+    a, b = start[first], end[last + words - 1]
+    return least[first].view(np.int64), two.between(two.sums(text), a, b).view(np.int64), a, b, last - first + 1
+
+
 class Shard:
     """The Burrows-Wheeler transform of several strings, each with an end of its own below all bytes."""
 
@@ -228,15 +263,16 @@ def _bytes(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def repeated_spans(df: DataFrame, stages: Stages, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def repeated_spans(df: DataFrame, stages: Stages, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, words: int | None = None) -> DataFrame:
     """(key, key2, spans): for documents with repeated windows, the [start, end) of each run of them as covered bytes.
-    df: key, key2 (two 64-bit hashes, which together tell rows apart), text."""
+    df: key, key2 (two 64-bit hashes, which together tell rows apart), text. With words also n_shared: how many passages of so many words
+    another row holds too."""
     spark = df.sparkSession
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams = Grams()
+        grams, second = Grams(), Grams(1)
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], [], []]
             for key, key2, text in zip(batch["key"], batch["key2"], batch["text"], strict=True):
                 own = _bytes(text)
                 v, a, b, own_several = anchors(own, grams, length, gram)
@@ -247,30 +283,41 @@ def repeated_spans(df: DataFrame, stages: Stages, length: int = LENGTH, gram: in
                 cols[4].append(a)
                 cols[5].append(b)
                 cols[6].append(own_several)
+                cols[7].append(np.zeros(len(a), np.int32))
+                if words:
+                    v, content, a, end, wins = word_anchors(own, grams, second, words)
+                    own_keys = np.full(len(a), key, np.int64), np.full(len(a), key2, np.int64)
+                    for c, x in zip(cols, (v, content, *own_keys, a, end - length, np.zeros(len(a), bool), wins), strict=True):
+                        c.append(x)
             if cols[0]:
-                yield pd.DataFrame(dict(zip(("anchor", "content", "key", "key2", "a", "b", "within"), map(np.concatenate, cols), strict=True)))
-
-    found = stages.put(df.mapInPandas(first, "anchor long, content long, key long, key2 long, a int, b int, within boolean"), "anchors")
-    kinds = found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "key2", "a", "b", "within")).alias("one"))
-    kinds = stages.put(kinds.select("anchor", "content", "n", "one.*"), "kinds")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("b") - F.col("a") + length).alias("bytes"), F.bool_or("within").alias("within")).where("kinds > 1 or within")
-    several = stages.put(several, "several")
+                yield pd.DataFrame(dict(zip(("anchor", "content", "key", "key2", "a", "b", "within", "wins"), map(np.concatenate, cols), strict=True)))
+
+    # a context is the bytes from a to b + length; wins: of a context of passages its number of windows, else 0
+    everything = stages.put(df.mapInPandas(first, "anchor long, content long, key long, key2 long, a int, b int, within boolean, wins int"), "anchors")
+    kinds = everything.groupBy("anchor", "content", "wins").agg(F.count("*").alias("n"), F.max("key").alias("highest"), F.min(F.struct("key", "key2", "a", "b", "within")).alias("one"))
+    every_kind = stages.put(kinds.select("anchor", "content", "wins", "n", "highest", "one.*"), "kinds")
+    several = every_kind.groupBy("anchor", (F.col("wins") > 0).alias("passage")).agg(F.count("*").alias("kinds"), F.sum(F.col("b") - F.col("a") + length).alias("bytes"), F.bool_or("within").alias("within"), (F.min("key") < F.max("highest")).alias("rows"))
+    several = stages.put(several.where("(kinds > 1 or within) and (rows or not passage)"), "several")
+    found, kinds = everything.where("wins = 0"), every_kind.where("wins = 0")
     # one occurrence of each distinct context whose anchor has several
-    wanted = kinds.join(several.select("anchor", (F.col("bytes") > block).alias("large")), "anchor")
-    per_key = wanted.groupBy("key", "key2").agg(F.collect_list(F.struct("anchor", "content", "a", "b", "large")).alias("xs"))
+    marks = several.select("anchor", "passage", (F.col("bytes") > block).alias("large"))
+    wanted = every_kind.withColumn("passage", F.col("wins") > 0).join(marks, ["anchor", "passage"])
+    per_key = wanted.groupBy("key", "key2").agg(F.collect_list(F.struct("anchor", "content", "a", "b", "large", "passage", "highest")).alias("xs"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text, xs in zip(batch["text"], batch["xs"], strict=True):
+            for key, text, xs in zip(batch["key"], batch["text"], batch["xs"], strict=True):
                 own = _bytes(text)
-                rows += [(x["anchor"], x["content"], x["large"], own[x["a"] : x["b"] + length]) for x in xs]
+                rows += [(x["anchor"], x["content"], x["large"], x["passage"], key, x["highest"], own[x["a"] : x["b"] + length]) for x in xs]
                 if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["anchor", "content", "large", "own"])
+                    yield pd.DataFrame(rows, columns=names)
                     rows = []
-            yield pd.DataFrame(rows, columns=["anchor", "content", "large", "own"])
+            yield pd.DataFrame(rows, columns=names)
 
-    contexts = df.join(per_key, ["key", "key2"]).select("text", "xs").mapInPandas(cut, "anchor long, content long, large boolean, own binary")
+    names = ["anchor", "content", "large", "passage", "key", "highest", "own"]
+    fields = "anchor long, content long, large boolean, passage boolean, key long, highest long, own binary"
+    contexts = df.join(per_key, ["key", "key2"]).select("key", "text", "xs").mapInPandas(cut, fields)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -301,11 +348,27 @@ def repeated_spans(df: DataFrame, stages: Stages, length: int = LENGTH, gram: in
                 h = one(text, length)
                 yield pd.DataFrame({"anchor": anchor, "content": content, "at": np.arange(len(h), dtype=np.int32), "h1": h.view(np.int64), "h2": two(text, length).view(np.int64)})
 
+    def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one, two = Grams(0), Grams(1)
+        for batch in batches:
+            cols: list[list] = [[], [], []]
+            for own in batch["own"]:
+                text = np.frombuffer(own, np.uint8)
+                start, end = word_bounds(text)
+                start, end = start[: len(start) - words + 1], end[words - 1 :]
+                cols[0].append(np.arange(len(start), dtype=np.int32))
+                cols[1].append(one.between(one.sums(text), start, end).view(np.int64))
+                cols[2].append(two.between(two.sums(text), start, end).view(np.int64))
+            if cols[0]:
+                of = np.repeat(np.arange(len(batch)), [len(x) for x in cols[0]])
+                yield batch.drop(columns="own").iloc[of].assign(**dict(zip(("at", "h1", "h2"), map(np.concatenate, cols), strict=True)))
+
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    contexts = stages.put(contexts, "contexts")
+    every_context = stages.put(contexts, "contexts")
+    contexts = every_context.where("not passage").select("anchor", "content", "large", "own")
     small = contexts.where("not large").drop("large").repartition(parts, "anchor").sortWithinPartitions("anchor")
     ranges = small.mapInPandas(find, "anchor long, content long, lo array<int>, hi array<int>")
-    if not several.where(F.col("bytes") > block).isEmpty():
+    if not several.where(~F.col("passage") & (F.col("bytes") > block)).isEmpty():
         windows = stages.put(contexts.where("large").dropDuplicates(["anchor", "content"]).mapInPandas(explode, "anchor long, content long, at int, h1 long, h2 long"), "windows")
         twice = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
         hits = windows.join(twice, ["h1", "h2"]).groupBy("anchor", "content").agg(F.array_sort(F.collect_list("at")).alias("lo"))
@@ -316,20 +379,32 @@ def repeated_spans(df: DataFrame, stages: Stages, length: int = LENGTH, gram: in
     ranges = whole.unionByName(part)
     hits = found.join(ranges, ["anchor", "content"])
     spans = F.zip_with("lo", "hi", lambda x, y: F.struct((F.col("a") + x).alias("start"), (F.col("a") + y + length).alias("end")))
-    return hits.select("key", "key2", F.explode(spans).alias("span")).groupBy("key", "key2").agg(F.array_sort(F.collect_set("span")).alias("spans"))
-
-
-def remove_repeats(df: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of df (doc_id, text); with_text adds the kept bytes."""
+    out = hits.select("key", "key2", F.explode(spans).alias("span")).groupBy("key", "key2").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    if not words:
+        return out
+    # passages: those of a context that several rows hold, else those whose hashes stand in contexts of several rows
+    shared = every_kind.where("wins > 0 and key < highest").select("anchor", "content", F.col("wins").alias("c"))
+    windows = every_context.where("passage").select("anchor", "content", "key", "highest", "own")
+    windows = stages.put(windows.mapInPandas(passages, "anchor long, content long, key long, highest long, at int, h1 long, h2 long"), "passages")
+    twice = windows.groupBy("h1", "h2").agg(F.min("key").alias("lowest"), F.max("highest").alias("most")).where("lowest < most").select("h1", "h2")
+    some = windows.where("key = highest").join(twice, ["h1", "h2"]).groupBy("anchor", "content").agg(F.size(F.collect_set("at")).alias("c"))
+    held = everything.where("wins > 0").join(stages.put(shared.unionByName(some), "shared"), ["anchor", "content"])
+    counts = held.groupBy("key", "key2").agg(F.aggregate(F.collect_set(F.struct("a", "c")), F.lit(0).cast("long"), lambda n, x: n + x["c"]).alias("n_shared"))
+    return out.join(counts, ["key", "key2"], "full")
+
+
+def remove_repeats(df: DataFrame, length: int = LENGTH, with_text: bool = False, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared of every row of df (doc_id, text); with_text adds the kept bytes. n_shared: how many
+    passages of so many words another row holds too, removed or not."""
     stages = Stages(df.sparkSession, "bwt")
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"key": F.xxhash64("doc_id", "text"), "key2": F.xxhash64(F.lit(SEED), "text", "doc_id")})
-    spans = stages.put(repeated_spans(rows.select("key", "key2", "text"), stages, length), "spans")
-    stages.drop("anchors", "kinds", "several", "contexts", "windows", "ranges")
+    spans = stages.put(repeated_spans(rows.select("key", "key2", "text"), stages, length, words=words), "spans")
+    stages.drop("anchors", "kinds", "several", "contexts", "windows", "ranges", "passages", "shared")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, own_spans in zip(batch["text"], batch["spans"], strict=True):
+            for text, own_spans, shared in zip(batch["text"], batch["spans"], batch["n_shared"], strict=True):
                 own, kept, at, removed, n = _bytes(text), [], 0, 0, 0
                 end = -1
                 for x in own_spans if own_spans is not None else ():
@@ -341,10 +416,10 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, with_text: bool = False)
                     at = end = max(b, at)
                 kept.append(own[at:])
                 left = b"".join(kept)
-                out.append((len(own), removed, n, hashlib.sha256(left).hexdigest(), left))
-            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((len(own), removed, n, hashlib.sha256(left).hexdigest(), shared, left))
+            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "kept"])
             frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield frame if with_text else frame.drop(columns="kept")
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return rows.join(spans, ["key", "key2"], "left").select("doc_id", "text", "spans").mapInPandas(cut, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long" + (", kept binary" if with_text else "")
+    return rows.join(spans, ["key", "key2"], "left").select("doc_id", "text", "spans", F.coalesce("n_shared", F.lit(0)).alias("n_shared")).mapInPandas(cut, schema)

@@ -91,3 +91,11 @@ def mixed_targets(sizes, weights=(5, 2, 1), most=3):
         if not over:
             return fixed | share
         fixed |= {s: most * sizes[s] for s in over}
+
+
+def shared_passages(rows, words=50):
+    """How many passages of so many words of each of the rows (id, text) another row holds too; equal rows count as one."""
+    own = {r: [m.span() for m in WORD.finditer(r[1] or "")] for r in set(rows)}
+    cut = {r: [r[1][at[i][0] : at[i + words - 1][1]] for i in range(len(at) - words + 1)] for r, at in own.items()}
+    held = Counter(x for passages in cut.values() for x in set(passages))
+    return [sum(held[x] > 1 for x in cut[r]) for r in rows]

@@ -527,6 +527,28 @@ def test_repeats_of_equal_rows(spark, odd):
     assert {(r["n_removed"], r["n_bytes"]) for r in bwt.remove_repeats(doubled).collect()} == {(r["n_bytes"], r["n_bytes"]) for r in bwt.remove_repeats(doubled).collect()}
 
 
+def test_passages_of_other_rows(spark):
+    """Passages of just enough words, one word fewer, in the middle and at the ends, over line breaks, repeated in one row only, and equal rows."""
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(2, 6)))) for _ in range(n))
+    fit, short, lines, twice = words(50), words(49), words(30) + "\n\té " + words(40), words(60)
+    texts = [f"{words(80)} {fit} {words(80)}", f"{fit} {words(30)}", f"{words(20)}\t{fit}", f"{words(9)} {short} {words(90)}", f"{short} {words(5)}", f"{words(70)} {lines}", f"{lines} {words(70)}"]
+    texts += [f"{twice} {words(10)} {twice}", words(200), "", None, " \n", "ab " * 500, "ab " * 80 + words(3), lines, fit[:-1]]
+    rows = [*enumerate(texts), (30, texts[8]), (31, texts[7]), (31, texts[7])]
+    want = brute.shared_passages(rows)
+    assert want[0] == want[1] == want[2] == 1 and want[3] == want[4] == 0 and want[5] == want[6] == 22 and want[-1] == want[7] > 20
+    out = bwt.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shared"]) for r in out) == sorted((i, n) for (i, _), n in zip(rows, want, strict=True))
+
+
+def test_passages_of_the_table(spark):
+    """Nothing is shared by one row alone, and half the passages shorter than a removed string are told all the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    out = {r["doc_id"]: r["n_shared"] for r in bwt.remove_repeats(docs).collect()}
+    assert [out[i] for i, _ in rows] == brute.shared_passages(rows) and sum(out.values()) > 0
+
+
 # --- language model ---
 
 
