@@ -19,7 +19,7 @@ Positions of repeated windows come back to all occurrences of a context, become
 
 Beside that, passages of ``WORDS`` words are counted that another row holds too, to the byte: they may be shorter than ``length``, are
 told and not removed. They have anchors (least hash of ``WORD_GRAM`` words) and contexts as above, which travel with the others, and
-the contexts whose anchor has several are decided by the hashes of their windows (128 bits), as in 3.
+the contexts whose anchor has several are decided by the hashes of their windows (128 bits): within tasks in blocks as in 2, beyond a block as in 3.
 
 Defined cases: rows of one id and text count as one row in n_shared, and only there; a null text is empty; texts shorter than ``length`` stay; rows with one id are documents of their own, so
 equal rows repeat each other; a null doc_id is allowed; an empty table gives no rows; extra columns are ignored.
@@ -43,6 +43,7 @@ WORDS, WORD_GRAM = 50, 12
 BLOCK, SHARD = 2_000_000, 400_000
 SEED = 9
 _M64 = (1 << 64) - 1
+_IN_WORD = np.array([x != 32 and not 9 <= x <= 13 for x in range(256)])
 
 _rng = np.random.default_rng(SEED)
 _BASES = [int(x) * 2 + 1 for x in _rng.integers(1, 1 << 63, 2, dtype=np.uint64)]
@@ -65,8 +66,8 @@ class Grams:
             self.down = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, self.inverse, np.uint64))))
         return np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.values[text] * self.up[:n], dtype=np.uint64)))
 
-    def __call__(self, text: np.ndarray, k: int) -> np.ndarray:
-        sums = self.sums(text)
+    def __call__(self, text: np.ndarray, k: int, sums: np.ndarray | None = None) -> np.ndarray:
+        sums = self.sums(text) if sums is None else sums
         return self._mixed((sums[k:] - sums[:-k]) * self.down[: len(text) - k + 1])
 
     def between(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -87,12 +88,12 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[:n], before[w - 1 : w - 1 + n])
 
 
-def anchors(text: bytes, grams: Grams, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(text: bytes, grams: Grams, length: int = LENGTH, gram: int = GRAM, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor value, first window start, last window start, whether the anchor stands at several places in the run) of each
     run of windows with one anchor value. A run whose first anchor is in its last window too can't repeat a window itself."""
     if len(text) < length:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    h, w = grams(np.frombuffer(text, np.uint8), gram), length - gram + 1
+    h, w = grams(np.frombuffer(text, np.uint8), gram, sums), length - gram + 1
     least = window_minima(h, w)
     cut = np.flatnonzero(least[1:] != least[:-1]) + 1
     first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(least)])) - 1
@@ -102,22 +103,34 @@ def anchors(text: bytes, grams: Grams, length: int = LENGTH, gram: int = GRAM) -
 
 def word_bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of a text start and end."""
-    edge = np.diff(np.concatenate(([0], ((text != 32) & ((text < 9) | (text > 13))).astype(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    within = np.zeros(len(text) + 2, bool)
+    within[1:-1] = _IN_WORD[text]
+    edges = np.flatnonzero(within[1:] != within[:-1])
+    return edges[::2], edges[1::2]
 
 
-def word_anchors(own: bytes, one: Grams, two: Grams, words: int = WORDS, gram: int = WORD_GRAM) -> tuple[np.ndarray, ...]:
+def word_anchors(text: np.ndarray, grams: Grams, sums: np.ndarray, words: int = WORDS, gram: int = WORD_GRAM) -> tuple[np.ndarray, ...]:
     """(anchor value, hash of the context, its first byte, its end, number of windows) of each run of windows of so many words with one anchor value."""
-    text = np.frombuffer(own, np.uint8)
     start, end = word_bounds(text)
     n = len(start) - words + 1
     if n < 1:
         return tuple(np.empty(0, np.int64) for _ in range(5))
-    least = window_minima(one.between(one.sums(text), start[: len(start) - gram + 1], end[gram - 1 :]), words - gram + 1)
+    least = window_minima(grams.between(sums, start[: len(start) - gram + 1], end[gram - 1 :]), words - gram + 1)
     cut = np.flatnonzero(least[1:] != least[:-1]) + 1
     first, last = np.concatenate(([0], cut)), np.concatenate((cut, [n])) - 1
     a, b = start[first], end[last + words - 1]
-    return least[first].view(np.int64), two.between(two.sums(text), a, b).view(np.int64), a, b, last - first + 1
+    return least[first].view(np.int64), grams.between(sums, a, b).view(np.int64), a, b, last - first + 1
+
+
+def windows_of(contexts: list[bytes], words: int, one: Grams, two: Grams) -> tuple[np.ndarray, ...]:
+    """(context, number in it, and two hashes) of every window of so many words of the contexts."""
+    text = np.frombuffer(b"\n".join(contexts), np.uint8)
+    start, end = word_bounds(text)
+    begins = np.cumsum([0] + [len(x) + 1 for x in contexts[:-1]])
+    of = np.searchsorted(begins, start, side="right") - 1
+    at = np.flatnonzero(of[: len(of) - words + 1] == of[words - 1 :])
+    a, b = start[at], end[at + words - 1]
+    return of[at], at - np.searchsorted(start, begins)[of[at]], one.between(one.sums(text), a, b), two.between(two.sums(text), a, b)
 
 
 class Shard:
@@ -270,12 +283,14 @@ def repeated_spans(df: DataFrame, stages: Stages, length: int = LENGTH, gram: in
     spark = df.sparkSession
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, second = Grams(), Grams(1)
+        grams = Grams()
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], [], [], []]
             for key, key2, text in zip(batch["key"], batch["key2"], batch["text"], strict=True):
                 own = _bytes(text)
-                v, a, b, own_several = anchors(own, grams, length, gram)
+                plain = np.frombuffer(own, np.uint8)
+                sums = grams.sums(plain)
+                v, a, b, own_several = anchors(own, grams, length, gram, sums)
                 cols[0].append(v)
                 cols[1].append(np.fromiter((xxhash.xxh3_64_intdigest(own[i : j + length]) for i, j in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a)).view(np.int64))
                 cols[2].append(np.full(len(a), key, np.int64))
@@ -285,7 +300,7 @@ def repeated_spans(df: DataFrame, stages: Stages, length: int = LENGTH, gram: in
                 cols[6].append(own_several)
                 cols[7].append(np.zeros(len(a), np.int32))
                 if words:
-                    v, content, a, end, wins = word_anchors(own, grams, second, words)
+                    v, content, a, end, wins = word_anchors(plain, grams, sums, words)
                     own_keys = np.full(len(a), key, np.int64), np.full(len(a), key2, np.int64)
                     for c, x in zip(cols, (v, content, *own_keys, a, end - length, np.zeros(len(a), bool), wins), strict=True):
                         c.append(x)
@@ -294,30 +309,31 @@ def repeated_spans(df: DataFrame, stages: Stages, length: int = LENGTH, gram: in
 
     # a context is the bytes from a to b + length; wins: of a context of passages its number of windows, else 0
     everything = stages.put(df.mapInPandas(first, "anchor long, content long, key long, key2 long, a int, b int, within boolean, wins int"), "anchors")
-    kinds = everything.groupBy("anchor", "content", "wins").agg(F.count("*").alias("n"), F.max("key").alias("highest"), F.min(F.struct("key", "key2", "a", "b", "within")).alias("one"))
-    every_kind = stages.put(kinds.select("anchor", "content", "wins", "n", "highest", "one.*"), "kinds")
-    several = every_kind.groupBy("anchor", (F.col("wins") > 0).alias("passage")).agg(F.count("*").alias("kinds"), F.sum(F.col("b") - F.col("a") + length).alias("bytes"), F.bool_or("within").alias("within"), (F.min("key") < F.max("highest")).alias("rows"))
+    # the first of each column is of one row, whichever: contexts of one content don't differ
+    kinds = everything.groupBy("anchor", "content", "wins").agg(F.count("*").alias("n"), F.min("key").alias("lowest"), F.max("key").alias("highest"), *(F.first(c).alias(c) for c in ("key", "key2", "a", "b", "within")))
+    every_kind = stages.put(kinds, "kinds")
+    several = every_kind.groupBy("anchor", (F.col("wins") > 0).alias("passage")).agg(F.count("*").alias("kinds"), F.sum(F.col("b") - F.col("a") + length).alias("bytes"), F.bool_or("within").alias("within"), (F.min("lowest") < F.max("highest")).alias("rows"))
     several = stages.put(several.where("(kinds > 1 or within) and (rows or not passage)"), "several")
     found, kinds = everything.where("wins = 0"), every_kind.where("wins = 0")
     # one occurrence of each distinct context whose anchor has several
     marks = several.select("anchor", "passage", (F.col("bytes") > block).alias("large"))
     wanted = every_kind.withColumn("passage", F.col("wins") > 0).join(marks, ["anchor", "passage"])
-    per_key = wanted.groupBy("key", "key2").agg(F.collect_list(F.struct("anchor", "content", "a", "b", "large", "passage", "highest")).alias("xs"))
+    per_key = wanted.groupBy("key", "key2").agg(F.collect_list(F.struct("anchor", "content", "a", "b", "large", "passage", "lowest", "highest")).alias("xs"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, text, xs in zip(batch["key"], batch["text"], batch["xs"], strict=True):
+            for text, xs in zip(batch["text"], batch["xs"], strict=True):
                 own = _bytes(text)
-                rows += [(x["anchor"], x["content"], x["large"], x["passage"], key, x["highest"], own[x["a"] : x["b"] + length]) for x in xs]
+                rows += [(x["anchor"], x["content"], x["large"], x["passage"], x["lowest"], x["highest"], own[x["a"] : x["b"] + length]) for x in xs]
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             yield pd.DataFrame(rows, columns=names)
 
-    names = ["anchor", "content", "large", "passage", "key", "highest", "own"]
-    fields = "anchor long, content long, large boolean, passage boolean, key long, highest long, own binary"
-    contexts = df.join(per_key, ["key", "key2"]).select("key", "text", "xs").mapInPandas(cut, fields)
+    names = ["anchor", "content", "large", "passage", "lowest", "highest", "own"]
+    fields = "anchor long, content long, large boolean, passage boolean, lowest long, highest long, own binary"
+    contexts = df.join(per_key, ["key", "key2"]).select("text", "xs").mapInPandas(cut, fields)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -351,17 +367,37 @@ def repeated_spans(df: DataFrame, stages: Stages, length: int = LENGTH, gram: in
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two = Grams(0), Grams(1)
         for batch in batches:
-            cols: list[list] = [[], [], []]
-            for own in batch["own"]:
-                text = np.frombuffer(own, np.uint8)
-                start, end = word_bounds(text)
-                start, end = start[: len(start) - words + 1], end[words - 1 :]
-                cols[0].append(np.arange(len(start), dtype=np.int32))
-                cols[1].append(one.between(one.sums(text), start, end).view(np.int64))
-                cols[2].append(two.between(two.sums(text), start, end).view(np.int64))
-            if cols[0]:
-                of = np.repeat(np.arange(len(batch)), [len(x) for x in cols[0]])
-                yield batch.drop(columns="own").iloc[of].assign(**dict(zip(("at", "h1", "h2"), map(np.concatenate, cols), strict=True)))
+            if len(batch):
+                of, at, h1, h2 = windows_of(batch["own"].tolist(), words, one, two)
+                yield batch.drop(columns="own").iloc[of].assign(at=at.astype(np.int32), h1=h1.view(np.int64), h2=h2.view(np.int64))
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one, two = Grams(0), Grams(1)
+        held: list[tuple] = []
+        size, last = 0, None
+
+        def flush() -> pd.DataFrame:
+            rows = list({(x[0], x[1]): x for x in held}.values())
+            of, _, h1, h2 = windows_of([x[4] for x in rows], words, one, two)
+            order = np.lexsort((h2, h1))
+            h1, h2, of = h1[order], h2[order], of[order]
+            first = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
+            lowest, highest = np.array([x[2] for x in rows])[of], np.array([x[3] for x in rows])[of]
+            hit = np.minimum.reduceat(lowest, first) < np.maximum.reduceat(highest, first)
+            # a window that stands twice in a context counts twice
+            n = np.bincount(of[np.repeat(hit, np.diff(np.append(first, len(of))))], minlength=len(rows))
+            return pd.DataFrame([(*x[:2], k) for x, k in zip(rows, n.tolist(), strict=True) if k and x[2] == x[3]], columns=["anchor", "content", "c"])
+
+        for batch in batches:
+            for row in zip(*(batch[c] for c in ("anchor", "content", "lowest", "highest", "own")), strict=True):
+                if row[0] != last and size > block:
+                    yield flush()
+                    held, size = [], 0
+                last = row[0]
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield flush()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every_context = stages.put(contexts, "contexts")
@@ -383,12 +419,17 @@ def repeated_spans(df: DataFrame, stages: Stages, length: int = LENGTH, gram: in
     if not words:
         return out
     # passages: those of a context that several rows hold, else those whose hashes stand in contexts of several rows
-    shared = every_kind.where("wins > 0 and key < highest").select("anchor", "content", F.col("wins").alias("c"))
-    windows = every_context.where("passage").select("anchor", "content", "key", "highest", "own")
-    windows = stages.put(windows.mapInPandas(passages, "anchor long, content long, key long, highest long, at int, h1 long, h2 long"), "passages")
-    twice = windows.groupBy("h1", "h2").agg(F.min("key").alias("lowest"), F.max("highest").alias("most")).where("lowest < most").select("h1", "h2")
-    some = windows.where("key = highest").join(twice, ["h1", "h2"]).groupBy("anchor", "content").agg(F.size(F.collect_set("at")).alias("c"))
-    held = everything.where("wins > 0").join(stages.put(shared.unionByName(some), "shared"), ["anchor", "content"])
+    shared = every_kind.where("wins > 0 and lowest < highest").select("anchor", "content", F.col("wins").alias("c"))
+    others = every_context.where("passage").drop("passage")
+    near = others.where("not large").drop("large").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    shared = shared.unionByName(near.mapInPandas(told, "anchor long, content long, c int"))
+    if not several.where(F.col("passage") & (F.col("bytes") > block)).isEmpty():
+        windows = others.where("large").drop("large").mapInPandas(passages, "anchor long, content long, lowest long, highest long, at int, h1 long, h2 long")
+        windows = stages.put(windows, "passages")
+        twice = windows.groupBy("h1", "h2").agg(F.min("lowest").alias("from"), F.max("highest").alias("to")).where("from < to").select("h1", "h2")
+        some = windows.where("lowest = highest").join(twice, ["h1", "h2"]).groupBy("anchor", "content").agg(F.size(F.collect_set("at")).alias("c"))
+        shared = shared.unionByName(some)
+    held = everything.where("wins > 0").join(stages.put(shared, "shared"), ["anchor", "content"])
     counts = held.groupBy("key", "key2").agg(F.aggregate(F.collect_set(F.struct("a", "c")), F.lit(0).cast("long"), lambda n, x: n + x["c"]).alias("n_shared"))
     return out.join(counts, ["key", "key2"], "full")
 

@@ -542,11 +542,17 @@ def test_passages_of_other_rows(spark):
 
 
 def test_passages_of_the_table(spark):
-    """Nothing is shared by one row alone, and half the passages shorter than a removed string are told all the same."""
+    """In blocks, and with anchors beyond a block."""
+    from tessera.llm.common import Stages
+
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     out = {r["doc_id"]: r["n_shared"] for r in bwt.remove_repeats(docs).collect()}
-    assert [out[i] for i, _ in rows] == brute.shared_passages(rows) and sum(out.values()) > 0
+    want = brute.shared_passages(rows)
+    assert [out[i] for i, _ in rows] == want and sum(want) > 0
+    keyed = docs.select(F.col("doc_id").alias("key"), F.lit(0).cast("long").alias("key2"), "text")
+    beyond = {r["key"]: r["n_shared"] or 0 for r in bwt.repeated_spans(keyed, Stages(spark, "t"), block=300, words=50).collect()}
+    assert [beyond.get(i, 0) for i, _ in rows] == want
 
 
 # --- language model ---
