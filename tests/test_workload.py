@@ -35,6 +35,23 @@ def test_query(spark, sql, name):
     assert counted(rows, columns) == counted([dict(zip(want.columns, r, strict=True)) for r in want.fetchall()], columns)
 
 
+#: Queries whose repositories are whole days.
+WHOLE_DAYS = ("scc",)
+
+
+@pytest.mark.parametrize("name", WHOLE_DAYS)
+def test_cycles_of_a_day_cross_its_quarters(spark, tmp_path, name):
+    made = "SELECT k AS event_id, TIMESTAMP '2024-01-03 00:00:00' + INTERVAL (k * 5) HOUR AS ts, [7, 8, 7][k + 1] AS user_id, 'click' AS event_type, 1.5 AS value, '{}' AS props FROM range(3) AS r(k)"
+    duckdb.sql(f"COPY ({made}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    rows = workload.QUERIES[name](spark, str(tmp_path)).collect()
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    want = c.sql(workload.ORACLES[name])
+    columns = sorted(want.columns)
+    assert rows and {r["repo_id"] for r in rows} == {"d3"}
+    assert counted(rows, columns) == counted([dict(zip(want.columns, r, strict=True)) for r in want.fetchall()], columns)
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).columns == ["repo_id", "rule", "severity", "message", "files"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
