@@ -36,7 +36,7 @@ def test_query(spark, sql, name):
 
 
 #: Queries whose repositories are whole days.
-WHOLE_DAYS = ("scc", "scc_joined", "scc_fingerprint", "shortest_loop", "cycle_findings")
+WHOLE_DAYS = ("scc", "scc_joined", "scc_fingerprint", "shortest_loop", "cycle_findings", "cycle_cut")
 
 
 @pytest.mark.parametrize("name", WHOLE_DAYS)
