@@ -13,6 +13,7 @@ from tessera.plans.analysis import Options, Runs, narration_context, plan_query,
 from tessera.plans.report import escape_html, markdown
 from tessera.plans.store import Store
 from tessera.streaming.events import node_states, progress_label, read_events, run_status
+from tests.shared import Shelf
 
 #: folder -> (files, expectations)
 TREES = {
@@ -226,6 +227,35 @@ def test_deep_graphs_need_no_recursion():
     assert [len(g) for g in whole] == [n] and len(graph.shortest_loop(whole[0], chain | {n - 1: [0]})) == n + 1
 
 
+def test_chains_of_a_graph_take_few_tables(spark, tmp_path):
+    """A ring of 3,000 nodes with a way in and one out, two rings that share a node, and random graphs: in a round for a few steps it would take hundreds of tables."""
+    n, rnd = 3000, random.Random(5)
+    graphs = {"ring": [(k, (k + 1) % n) for k in range(n)] + [(-k - 1, -k) for k in range(40)] + [(7, n + 5), (n + 5, n + 6)], "two": [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 2), (4, 9)]}
+    for g in range(25):
+        m = rnd.randint(3, 40)
+        graphs[f"r{g}"] = [(rnd.randrange(m), rnd.randrange(m)) for _ in range(int(m * rnd.uniform(0.8, 1.7)))]
+    tables = []
+
+    class Counting(Shelf):
+        def put(self, df, name):
+            tables.append(name)
+            return super().put(df, name)
+
+    edges = spark.createDataFrame([(r, a, b) for r, es in graphs.items() for a, b in es], "repo_id string, a long, b long")
+    rows = graph.members_by_joins(edges, Counting(spark)).collect()
+    found, want = {}, set()
+    for r in rows:
+        found.setdefault((r["repo_id"], r["component"]), []).append(r["node"])
+    for r, es in graphs.items():
+        out = {}
+        for a, b in es:
+            out.setdefault(a, []).append(b)
+        want |= {(r, tuple(sorted(g))) for g in graph.strong_components(sorted(out), out)}
+    assert {(r, tuple(sorted(g))) for (r, _), g in found.items()} == want and len(rows) == sum(len(g) for _, g in want)
+    assert len(tables) < 150
+
+
+
 def test_a_run_writes_its_reports_whatever_the_narrator_does(spark, trees, tmp_path):
     seen, out = [], tmp_path / "made"
 
