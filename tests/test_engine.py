@@ -349,3 +349,32 @@ def test_outcomes_and_fingerprints(spark):
     rows = spark.createDataFrame([(s, p, ["b", "a"]) for s in ("expected-pass", "known-failure") for p in (True, False)], "s string, p boolean, xs array<string>")
     assert [r[0] for r in rows.select(ev.outcome(rows["s"], rows["p"])).collect()] == ["PASS", "REGRESSION", "FIXED", "KNOWN-FAIL"]
     assert rows.select(fingerprint(rows["xs"])).first()[0] == "a | b"
+
+
+def test_loop_lengths_of_all_nodes():
+    """Against one search a node; all nodes of a ring of 20,000 in one search (in one a node it would take 400 million steps)."""
+    import time
+
+    import numpy as np
+
+    rnd, tried = random.Random(3), 0
+    for g in range(60):
+        m = rnd.randint(3, 200)
+        out = {}
+        for _ in range(int(m * rnd.uniform(1.1, 2))):
+            a, b = rnd.randrange(m), rnd.randrange(m)
+            if a != b:
+                out.setdefault(a, set()).add(b)
+        for group in graph.strong_components(sorted(out), out):
+            at = {v: k for k, v in enumerate(sorted(group))}
+            pairs = [(at[a], at[b]) for a in group for b in out[a] if b in at]
+            src, dst = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+            want = {at[v]: len(graph.shortest_loop([v, *group], {a: [b for b in out[a] if b in at] for a in group})) - 1 for v in group}
+            parts = rnd.randint(1, 3)
+            rows = [r for p in range(parts) for r in zip(*(x.tolist() for x in graph.loop_lengths(src, dst, len(group), p, parts)), strict=True)]
+            assert len(rows) == len(group) and dict(rows) == want
+            tried += 1
+    assert tried > 30
+    n, begun = 20_000, time.monotonic()
+    nodes, steps = graph.loop_lengths(np.arange(n), (np.arange(n) + 1) % n, n)
+    assert len(nodes) == n and set(steps.tolist()) == {n} and time.monotonic() - begun < 30
