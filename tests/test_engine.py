@@ -378,3 +378,24 @@ def test_loop_lengths_of_all_nodes():
     n, begun = 20_000, time.monotonic()
     nodes, steps = graph.loop_lengths(np.arange(n), (np.arange(n) + 1) % n, n)
     assert len(nodes) == n and set(steps.tolist()) == {n} and time.monotonic() - begun < 30
+
+
+def test_best_files_of_questions_are_kept_at_once():
+    """The best of many files for 3,000 questions, as sorting gives them; a step a question and file would be 12 million."""
+    import time
+
+    import numpy as np
+
+    from tessera.operators.questions import Best
+
+    r, files, n, most = np.random.default_rng(4), 4000, 3000, 5
+    scores, late, begun = r.integers(0, 40, (files, n)) * 5, r.random((files, n)) < 0.5, time.monotonic()
+    best = Best(n, most)
+    for place in r.permutation(files).tolist():
+        best.add(scores[place], late[place], place, f"f{place}")
+    took, rows = time.monotonic() - begun, best.rows("r", list(range(n)))
+    assert took < 5 and len(rows) == n * most and list(rows["id"]) == [f"f{p}" for p in rows["place"]]
+    for q in range(0, n, 300):
+        want = sorted(range(files), key=lambda p: (-scores[p, q], late[p, q], p))[:most]
+        own = rows[rows["key"] == q].sort_values(["score", "late", "place"], ascending=[False, True, True])
+        assert list(own["place"]) == want and [int(x) for x in own["score"]] == [int(scores[p, q]) for p in want] and list(own["late"]) == [bool(late[p, q]) for p in want]
