@@ -196,11 +196,13 @@ def package_paths(specs: DataFrame, settings: DataFrame, links: DataFrame, deep:
     """repo_id, path, spec, exact and loose: the paths from the root that a specifier names by a package or by its own package's imports,
     best first. specs: repo_id, path, spec, distinct. The nearest folder that has the package counts, and where that
     closes the request nothing else does. An import that leads to another package is followed once."""
+    stages = Stages(specs.sparkSession, "packages")
     asked = specs.mapInPandas(_asked, "repo_id string, path string, spec string, kind string, rank int, at string, request string, name string")
     real = asked.join(links.select("repo_id", F.col("path").alias("at"), "target"), ["repo_id", "at"], "left").withColumn("real", F.coalesce("target", "at"))
     described = settings.where(F.regexp_like("path", F.lit("(^|/)package\\.json$"))).select("repo_id", F.regexp_replace("path", "/?package\\.json$", "").alias("real"), F.col("text").alias("manifest"))
     there = real.join(described.select("repo_id", "real", F.lit(True).alias("described")), ["repo_id", "real"], "left").where("described or target is not null")
     near = there.groupBy("repo_id", "path", "spec", "kind").agg(F.min_by(F.struct("real", "request", "name"), "rank").alias("x")).select("repo_id", "path", "spec", "kind", "x.*")
+    near = stages.put(near, "near")  # read twice, and its joins are of all folders above a file
     # each description answers each request once
     requests = near.select("repo_id", "real", "kind", "request", "name").distinct().join(described, ["repo_id", "real"], "left")
 
@@ -217,6 +219,7 @@ def package_paths(specs: DataFrame, settings: DataFrame, links: DataFrame, deep:
     same = [near[c].eqNullSafe(answered[c]) for c in ("repo_id", "real", "kind", "request", "name")]
     out = near.join(answered, reduce(lambda a, b: a & b, same)).select(near["repo_id"], "path", "spec", near["kind"], "exact", "loose", "again")
     if deep:
+        out = stages.put(out, "out")
         further = out.where(F.size("again") > 0).select("repo_id", "path", F.col("spec").alias("own"), F.explode("again").alias("spec"))
         beyond = package_paths(further.select("repo_id", "path", "spec").distinct(), settings, links, deep=False)
         more = further.join(beyond, ["repo_id", "path", "spec"]).select("repo_id", "path", F.col("own").alias("spec"), F.lit("import").alias("kind"), "exact", "loose")
