@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ from ..sources.tree import in_reading_order, ordinal
 from .lexer import Lines, scan
 
 FACTS = "repo_id string, file_id string, path string, rec string, pos int, name string, what string, exported boolean, start_line int, end_line int, base string, init string, callee string, spec string"
-_FIELDS = [x.split()[0] for x in FACTS.split(", ")]
+_SCHEMA = pa.schema([(name, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[kind]) for name, kind in (x.split() for x in FACTS.split(", "))])
 
 # How single-file components are read.
 VUE_IMPORT = re.compile(r"(?:import\s+(?:[\s\S]*?\s+from\s+)?|export\s+[\s\S]*?\s+from\s+)['\"]([^'\"]+)['\"]")
@@ -47,20 +47,17 @@ def facts_of(path: str, content: str) -> list[dict]:
 def facts(files: DataFrame, contents: DataFrame) -> DataFrame:
     """files: repo_id, id, path; contents: repo_id, path, content."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for repo, file_id, path, content in zip(batch["repo_id"], batch["file_id"], batch["path"], batch["content"], strict=True):
+            for repo, file_id, path, content in zip(*(batch.column(c).to_pylist() for c in ("repo_id", "file_id", "path", "content")), strict=True):
                 rows += [{"repo_id": repo, "file_id": file_id, "path": path} | f for f in facts_of(path, content or "")]
-            frame = pd.DataFrame(rows, columns=_FIELDS)
-            for c in ("pos", "start_line", "end_line"):
-                frame[c] = frame[c].astype("Int32")
-            yield frame.astype(object).where(frame.notna(), None)
+            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     joined = contents.join(files.select("repo_id", F.col("id").alias("file_id"), "path"), ["repo_id", "path"])
     # dealt by number, so that small trees aren't put together into one task either: reading code costs far more than moving it
     tasks = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.select("repo_id", "file_id", "path", "content").repartition(tasks, "repo_id", "path").mapInPandas(run, FACTS)
+    return joined.select("repo_id", "file_id", "path", "content").repartition(tasks, "repo_id", "path").mapInArrow(run, FACTS)
 
 
 def symbols(fact_rows: DataFrame, files: DataFrame) -> DataFrame:
