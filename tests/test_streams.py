@@ -145,3 +145,45 @@ def test_a_table_of_questions_as_each_alone(spark, block, monkeypatch):
         alone = retrieval.retrieve(retrieval.parse_query(spark, q), files, symbols, edges, contents)
         assert got.get(k, []) == [(r["path"], r["score"]) for r in alone.collect()]
     assert questions.retrieve_all(table.where("false"), files, symbols, edges, contents).count() == 0
+
+
+def test_questions_against_many_files_by_brute_force(spark, monkeypatch):
+    """Bounds leave out no file, and tasks pass on the result alone: no candidates are dealt again. Words go to several automata, questions to several blocks."""
+    for name, value in (("WORDS", 40), ("FEW", 25), ("GROUP", 4096)):
+        monkeypatch.setattr(questions, name, value)
+    rnd = random.Random(8)
+    parts = ["ka", "lo", "mi", "ren", "so", "tu", "va", "zek"]
+    word = lambda most: "".join(rnd.choice(parts) for _ in range(rnd.randint(1, most)))
+    kinds, relations = ("component", "hook", "function"), ("import", "render")
+    files, contents, symbols, edges, facts = [], [], [], [], {}
+    for k in range(400):
+        repo, path = f"r{rnd.random() < 0.2:d}", f"d{k % 7}/{word(2)}{k}.ts"
+        text = None if k % 50 == 0 else " ".join(word(4) for _ in range(int(rnd.paretovariate(0.6)) % 200))
+        own = [(word(3).title(), rnd.choice(kinds)) for _ in range(rnd.choice((0, 0, 1, 3, len(text or "") // 20)))]
+        files.append((repo, f"id{k}", path))
+        contents += [(repo, path, text)] if k % 40 else []
+        symbols += [(repo, f"id{k}", n, kind, j) for j, (n, kind) in enumerate(own)]
+        facts[k] = (repo, path, f"{path}\n{text or ''}".lower() if k % 40 else f"{path}\n", own, [])
+    for k in range(900):
+        a, b, kind = rnd.randrange(400), rnd.randrange(400), rnd.choice(relations)
+        edges.append((facts[a][0], f"id{a}", f"id{b}", kind, k))
+        facts[a][4].extend([kind] if facts[a][0] == facts[b][0] else [])
+    asked = [(q, (list({word(rnd.choice((1, 3))) for _ in range(rnd.choice((1, 2, 9, 30)))}), rnd.choice((["component"], ["hook"], list(kinds))), rnd.choice((["import"], list(relations))))) for q in range(150)]
+    table = spark.createDataFrame(asked, "key long, plan struct<concepts: array<string>, symbol_kinds: array<string>, relation_kinds: array<string>>")
+    of = lambda rows, names: spark.createDataFrame(rows, names)
+    found = questions.retrieve_all(table, of(files, "repo_id string, id string, path string"), of(symbols, "repo_id string, file_id string, name string, kind string, ordinal long"), of(edges, "repo_id string, src string, dst string, kind string, ordinal long"), of(contents, "repo_id string, path string, content string"), 5)
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "MapInArrow"
+    got = {}
+    for r in found.collect():
+        got.setdefault((r["repo_id"], r["key"]), []).append((r["rank"], r["path"], r["score"]))
+    place = {r["path"]: r["place"] for r in questions.in_reading_order(of(files, "repo_id string, id string, path string")).collect()}
+    want = {}
+    for q, (words, some, ways) in asked:
+        scored: dict = {}
+        for repo, path, text, own, related in facts.values():
+            hits = sum(w in text for w in words)
+            base = 10 * hits + 25 * sum(kind in some and any(w in n.lower() for w in words) for n, kind in own)
+            if base:
+                scored.setdefault(repo, []).append((-base - 5 * min(5, sum(x in ways for x in related)), hits == 0, place[path], path))
+        want |= {(repo, q): [(k + 1, x[3], -x[0]) for k, x in enumerate(sorted(xs)[:5])] for repo, xs in scored.items()}
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 250
