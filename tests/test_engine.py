@@ -399,3 +399,44 @@ def test_best_files_of_questions_are_kept_at_once():
         want = sorted(range(files), key=lambda p: (-scores[p, q], late[p, q], p))[:most]
         own = rows[rows["key"] == q].sort_values(["score", "late", "place"], ascending=[False, True, True])
         assert list(own["place"]) == want and [int(x) for x in own["score"]] == [int(scores[p, q]) for p in want] and list(own["late"]) == [bool(late[p, q]) for p in want]
+
+
+def test_loops_along_long_paths():
+    """Each way of a small graph is a path of 3,000 nodes: a look at all ways for each step would take minutes."""
+    import time
+
+    import numpy as np
+
+    rnd, n, far = random.Random(6), 80, 3000
+    out = {k: {(k + 1) % n, rnd.randrange(n)} - {k} for k in range(n)}
+    ways, names = [(a, b) for a in out for b in out[a]], n
+    src, dst = [], []
+    for a, b in ways:
+        path = [a, *range(names, names + far - 1), b]
+        names += far - 1
+        src.append(path[:-1])
+        dst.append(path[1:])
+    begun = time.monotonic()
+    nodes, steps = graph.loop_lengths(np.concatenate(src), np.concatenate(dst), names)
+    assert time.monotonic() - begun < 5 and nodes.tolist() == list(range(names))
+    want = [far * (len(graph.shortest_loop([k, *out], out)) - 1) for k in range(n)]
+    assert steps[:n].tolist() == want
+    back = {a: {b: len(graph.shortest_loop([n, *out], {**out, n: [b], a: [*out[a], n]})) - 2 for b in out[a]} for a in out}  # a way and the least way back
+    assert all(set(steps[own[1:]].tolist()) == {far * back[a][b]} for (a, b), own in zip(ways, src, strict=True))
+
+
+def test_loops_of_nodes_on_both_routes(spark):
+    rnd, rows, want = random.Random(12), [], {}
+    for r in range(4):
+        m, out = rnd.randint(20, 40), {}
+        for _ in range(int(m * 1.3)):
+            a, b = rnd.sample(range(m), 2)
+            rows.append((f"r{r}", f"n{a}", f"n{b}"))
+            out.setdefault(a, set()).add(b)
+        want |= {(f"r{r}", f"n{v}"): len(graph.shortest_loop([v, *group], out)) - 1 for group in graph.strong_components(sorted(out), out) for v in group}
+    rows += [("alone", "a", "b"), ("ring", "a", "b"), ("ring", "b", "c"), ("ring", "c", "a"), ("ring", "c", "a")]
+    want |= {("ring", x): 3 for x in "abc"}
+    edges = spark.createDataFrame(rows, "repo_id string, src string, dst string")
+    for most in (10_000, 35):
+        found = graph.loops_of_nodes(edges, most).collect()
+        assert len(found) == len(want) > 20 and {(x["repo_id"], x["id"]): x["hops"] for x in found} == want
